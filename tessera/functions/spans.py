@@ -49,7 +49,12 @@ def answer_span(label, text) -> Column:
     """struct<start:int, end:int> of the first word-bounded match, NULL when none."""
     label, text = _c(label), _c(text)
     pieces = F.split(text, word_pattern(label), 2)
-    start = F.when(F.size(pieces) == 2, F.char_length(F.get(pieces, 0)))
+    found = F.when(F.size(pieces) == 2, F.char_length(F.get(pieces, 0)))
+    # An empty label matches at the first word boundary, i.e. at the first word character
+    # (handled apart: a zero-width match at index 0 does not split).
+    first_word = F.when(F.regexp_like(text, F.lit(WORD_CLASS)), F.char_length(
+        F.regexp_extract(text, f"(?s)^({NON_WORD_CLASS}*){WORD_CLASS}", 1)))
+    start = F.when(label == "", first_word).otherwise(found)
     # Case-insensitive literal matching is one code point for one code point, so the
     # match is exactly as long as the label.
     end = start + F.char_length(label)

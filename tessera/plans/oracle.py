@@ -108,3 +108,272 @@ FROM papers p LEFT JOIN (
   SELECT subject_id, min(object_label) AS doi, count(DISTINCT object_label) AS n_doi
   FROM statements WHERE predicate_id = 'P26' GROUP BY subject_id
 ) d ON d.subject_id = p.id""")
+
+
+# ------------------------------------------------------------------ text helpers (DuckDB SQL)
+from ..functions.text import PY_WHITESPACE_CODEPOINTS, PY_WHITESPACE_CLASS  # noqa: E402
+
+WS = "(" + " || ".join(f"chr({c})" for c in PY_WHITESPACE_CODEPOINTS) + ")"
+W = r"[\p{L}\p{N}_]"
+NW = r"[^\p{L}\p{N}_]"
+TOKEN_RE = W + "+|[^\\p{L}\\p{N}_" + PY_WHITESPACE_CLASS[1:-1] + "]"
+
+
+def strip(x: str) -> str:
+    return f"trim({x}, {WS})"
+
+
+def ntok(x: str) -> str:
+    return f"CAST(len(string_split({x}, ' ')) AS INTEGER)"
+
+
+def span_pattern(label: str) -> str:
+    """Python \\b(label)\\b with the label literal, re-expressed without look-arounds:
+    the boundary class needed on each side depends on the label's first/last character."""
+    lit = f"'\\Q' || replace({label}, '\\E', '\\E\\\\E\\Q') || '\\E'"
+    pre = (f"CASE WHEN regexp_matches({label}, '^{W}') THEN '((?:.*?{NW})??)' "
+           f"ELSE '(.*?{W})' END")
+    post = (f"CASE WHEN regexp_matches({label}, '{W}$') THEN '(?:{NW}|$)' "
+            f"ELSE '{W}' END")
+    return f"('(?is)^' || {pre} || '(?:' || {lit} || ')' || {post})"
+
+
+def span_start(label: str, text: str) -> str:
+    first_word = f"regexp_extract({text}, '(?s)^({NW}*){W}', 1)"
+    return (f"CAST(CASE WHEN {label} IS NULL OR {text} IS NULL THEN NULL "
+            f"WHEN {label} = '' THEN CASE WHEN regexp_matches({text}, '{W}') "
+            f"THEN length({first_word}) END "
+            f"WHEN regexp_matches({text}, {span_pattern(label)}) "
+            f"THEN length(regexp_extract({text}, {span_pattern(label)}, 1)) END AS INTEGER)")
+
+
+def word_flag(label: str, text: str) -> str:
+    return (f"CASE WHEN {label} IS NULL OR {text} IS NULL THEN NULL "
+            f"WHEN {label} = '' THEN regexp_matches({text}, '{W}') "
+            f"ELSE regexp_matches({text}, {span_pattern(label)}) END")
+
+
+def token_at(text: str, pos: str, max_tokens: int | None = None) -> str:
+    idx = f"len(regexp_extract_all(substr({text}, 1, {pos} + 1), '{TOKEN_RE}')) - 1"
+    cap = f" AND {idx} < {max_tokens}" if max_tokens is not None else ""
+    return (f"CASE WHEN {pos} >= 0 AND {pos} < length({text}) AND NOT regexp_matches("
+            f"substr({text}, {pos} + 1, 1), '^{PY_WHITESPACE_CLASS}'){cap} THEN {idx} END")
+
+
+def category(label: str, pred: str) -> str:
+    lab = strip(f"coalesce({label}, 'nan')")
+    val = f"TRY_CAST({lab} AS DECIMAL(38,0))"
+    shape = (f"replace(regexp_replace(regexp_replace({lab}, '^-+', ''), '^([^.]*)[.]', '\\1'), "
+             f"',', '')")
+    return f"""CASE
+  WHEN lower({strip(pred)}) = 'has research problem' THEN 'research problem'
+  WHEN regexp_full_match({lab}, '[0-9]+') AND {val} >= 1000 AND {val} < 2100 THEN 'year/date'
+  WHEN starts_with({lab}, 'http') THEN 'url'
+  WHEN lower({pred}) IN ('country, city, location, continent', 'has location', 'study location',
+                         'countries') THEN 'location'
+  WHEN regexp_full_match({shape}, '[0-9]+') THEN 'number'
+  WHEN regexp_full_match({lab}, '[A-Z]+') THEN 'acronym'
+  WHEN len(string_split({lab}, ' ')) < 5 THEN 'unknown'
+  ELSE 'sentence' END"""
+
+
+def prune_keep(label: str) -> str:
+    raw = f"coalesce({label}, 'nan')"
+    return (f"NOT (length({strip(raw)}) < 3 OR coalesce(regexp_full_match({raw}, '[0-9]+') "
+            f"AND TRY_CAST({raw} AS DECIMAL(38,0)) < 999, false))")
+
+
+T_CTE = f"""
+t_docs AS (SELECT doc_id, text, lang || '/' || source AS pred FROM documents),
+t_own AS (
+  SELECT doc_id * 2 AS ord, doc_id AS PaperId, pred AS PredicateLabel,
+         string_split(text, ' ')[doc_id % 5 + 1] AS ObjectLabel, text AS PaperAbstract
+  FROM t_docs
+),
+t_rows AS (
+  SELECT * FROM t_own
+  UNION ALL
+  SELECT d.doc_id * 2 + 1, d.doc_id, d.pred, string_split(n.text, ' ')[1], d.text
+  FROM t_docs d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1
+),
+t_final AS (
+  SELECT *, true AS ObjectInAbstract, {category('ObjectLabel', 'PredicateLabel')} AS Category
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY PaperId, PredicateLabel, ObjectLabel
+                                 ORDER BY ord DESC) AS rn
+    FROM t_rows WHERE {prune_keep('ObjectLabel')}
+  ) WHERE rn = 1 AND contains(lower(PaperAbstract), lower(ObjectLabel))
+),
+t_qa AS (
+  SELECT ord, PaperAbstract, PredicateLabel, ObjectLabel,
+         {span_start('ObjectLabel', 'PaperAbstract')} AS StartIndex
+  FROM t_own
+),
+t_split AS (
+  SELECT ord, PaperAbstract, PredicateLabel, ObjectLabel, StartIndex,
+         CAST(StartIndex + length(ObjectLabel) AS INTEGER) AS EndIndex,
+         CASE WHEN n < 10 OR rn <= round_even(0.74::DOUBLE * n, 0) THEN 'training'
+              ELSE 'evaluation' END AS split
+  FROM (
+    SELECT *, count(*) OVER (PARTITION BY PredicateLabel) AS n,
+           row_number() OVER (PARTITION BY PredicateLabel ORDER BY md5('42|' || ord), ord) AS rn
+    FROM t_qa WHERE PredicateLabel IS NOT NULL
+  )
+),
+t_inputs_all AS (
+  SELECT ord, split, lower({strip('PaperAbstract')}) AS context,
+         lower({strip("'what ' || PredicateLabel || ' ?'")}) AS question,
+         lower({strip('ObjectLabel')}) AS answer, StartIndex AS answer_start, EndIndex AS answer_end
+  FROM t_split WHERE StartIndex IS NOT NULL AND EndIndex IS NOT NULL
+),
+t_inputs AS (
+  SELECT * FROM t_inputs_all WHERE split = 'training'
+  UNION ALL
+  SELECT * EXCLUDE (r) FROM (
+    SELECT *, row_number() OVER (ORDER BY ord) AS r FROM t_inputs_all WHERE split = 'evaluation'
+  ) WHERE r <= (SELECT count(*) FROM t_inputs_all WHERE split = 'training')
+)
+"""
+
+
+def with_t(select: str) -> str:
+    return "WITH " + T_CTE + select
+
+
+ORACLE["prune_rows"] = with_t(
+    f"SELECT ord, PaperId, PredicateLabel, ObjectLabel FROM t_rows WHERE {prune_keep('ObjectLabel')}")
+ORACLE["dedupe_keep_last"] = """
+SELECT ord, event_id, user_id, event_type, value FROM (
+  SELECT event_id AS ord, *, row_number() OVER (PARTITION BY user_id, event_type
+                                                ORDER BY event_id DESC) AS rn
+  FROM events) WHERE rn = 1"""
+ORACLE["dedupe_text_rows"] = with_t("""
+SELECT ord, PaperId, PredicateLabel, ObjectLabel FROM (
+  SELECT *, row_number() OVER (PARTITION BY PaperId, PredicateLabel, ObjectLabel
+                               ORDER BY ord DESC) AS rn FROM t_rows) WHERE rn = 1""")
+ORACLE["object_in_abstract"] = with_t(
+    "SELECT ord, contains(lower(PaperAbstract), lower(ObjectLabel)) AS ObjectInAbstract FROM t_rows")
+ORACLE["keep_contained"] = with_t(
+    "SELECT ord, PaperId, PredicateLabel, ObjectLabel FROM t_rows "
+    "WHERE contains(lower(PaperAbstract), lower(ObjectLabel))")
+ORACLE["object_word_in_abstract"] = with_t(
+    f"SELECT ord, {word_flag('ObjectLabel', 'PaperAbstract')} AS ObjectWordInAbstract FROM t_rows")
+ORACLE["categorize"] = with_t(
+    f"SELECT ord, {category('ObjectLabel', 'PredicateLabel')} AS Category FROM t_rows")
+ORACLE["categorize_graph"] = with_g(
+    f", cat AS (SELECT predicate_label AS PredicateLabel, object_label AS ObjectLabel FROM statements) "
+    f"SELECT PredicateLabel, ObjectLabel, {category('ObjectLabel', 'PredicateLabel')} AS Category FROM cat")
+ORACLE["finalize"] = with_t(
+    "SELECT ord, PaperId, PredicateLabel, ObjectLabel, ObjectInAbstract, Category FROM t_final")
+ORACLE["answer_span"] = with_t(
+    "SELECT ord, StartIndex, CAST(StartIndex + length(ObjectLabel) AS INTEGER) AS EndIndex FROM t_qa")
+ORACLE["stratified_split"] = with_t("SELECT ord, PredicateLabel, split FROM t_split")
+ORACLE["split_sizes"] = with_t("SELECT split, count(*) AS n FROM t_split GROUP BY split")
+ORACLE["question_variants"] = with_t("""
+SELECT s.ord, w.question_word, w.question_word || ' ' || s.PredicateLabel || ' ?' AS question, s.split
+FROM t_split s CROSS JOIN (VALUES ('what'), ('which'), ('how'), ('')) w(question_word)""")
+ORACLE["model_inputs"] = with_t("SELECT * FROM t_inputs")
+ORACLE["token_positions"] = with_t(f"""
+SELECT ord, split,
+  CAST(coalesce({token_at('context', 'answer_start', 510)}, 1000) AS INTEGER) AS start_position,
+  CAST(coalesce({token_at('context', 'answer_end', 510)},
+                {token_at('context', 'answer_end - 1', 510)}, 1000) AS INTEGER) AS end_position,
+  ({token_at('context', 'answer_start', 510)}) IS NULL OR
+  coalesce({token_at('context', 'answer_end', 510)},
+           {token_at('context', 'answer_end - 1', 510)}) IS NULL AS truncated
+FROM t_inputs""")
+ORACLE["dataset_stats"] = with_t(f"""
+, agg AS (
+  SELECT count(*)::DOUBLE AS m0, count(DISTINCT Category)::DOUBLE AS m1,
+         count(DISTINCT PredicateLabel)::DOUBLE AS m2,
+         avg({ntok('PredicateLabel')}) AS m3, avg({ntok('ObjectLabel')}) AS m4,
+         avg({ntok('PaperAbstract')}) AS m5,
+         (count(*) FILTER (WHERE {ntok('PaperAbstract')} > 510))::DOUBLE AS m6
+  FROM t_final)
+SELECT 'number_of_rows' AS Measurement, m0 AS Value FROM agg
+UNION ALL SELECT 'number_of_unique_categories', m1 FROM agg
+UNION ALL SELECT 'number_of_unique_predicate_labels', m2 FROM agg
+UNION ALL SELECT 'avg_tokens_of_predicate_labels', m3 FROM agg
+UNION ALL SELECT 'avg_tokens_of_object_labels', m4 FROM agg
+UNION ALL SELECT 'avg_tokens_of_abstracts', m5 FROM agg
+UNION ALL SELECT 'number_of_abstracts_over_510_token(not unique)', m6 FROM agg""")
+ORACLE["category_share"] = with_t("""
+SELECT Category AS category, count(*) / (SELECT count(*) FROM t_final) * 100 AS percentage_of_data
+FROM t_final GROUP BY Category""")
+
+E_CTE = f"""
+e_raw AS (
+  SELECT p_partkey AS ord, p_name || ' ' || p_type AS abstract, 'what ' || p_brand || ' ?' AS question,
+         p_name AS answer,
+         CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || '.'
+              WHEN 2 THEN 'the ' || p_name || ' item' WHEN 3 THEN '' ELSE upper(p_name) END AS pred_raw
+  FROM part
+),
+e_norm AS (
+  SELECT *, lower({strip('answer')}) AS target, lower({strip('pred_raw')}) AS predict_answer FROM e_raw
+),
+e_clean AS (
+  SELECT *, right(predict_answer, 1) IN ('.', ',', ';', ':', '-', ')', '(', '_', '+') AS marked,
+         CASE WHEN right(predict_answer, 1) IN ('.', ',', ';', ':', '-', ')', '(', '_', '+')
+              THEN {strip('left(predict_answer, length(predict_answer) - 1)')}
+              ELSE predict_answer END AS clean
+  FROM e_norm
+),
+e_scored AS (
+  SELECT ord, abstract, question, answer, predict_answer, target,
+         predict_answer = '' AS no_answer,
+         contains(predict_answer, target) AS containment_match,
+         clean = target AS exact_match,
+         {ntok('target')} AS expected_tokens,
+         CAST(CASE WHEN predict_answer <> '' AND marked THEN {ntok('clean')} ELSE 0 END AS INTEGER)
+           AS predicted_tokens,
+         CAST(CASE WHEN clean = target THEN {ntok('target')} ELSE 0 END AS INTEGER) AS correct_exact_tokens,
+         CAST(CASE WHEN contains(predict_answer, target) THEN {ntok('target')} ELSE 0 END AS INTEGER)
+           AS correct_containment_tokens
+  FROM e_clean
+)
+"""
+ORACLE["score_rows"] = "WITH " + E_CTE + "SELECT * FROM e_scored"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {b} = 0 THEN NULL ELSE {a} / {b} END"
+
+
+def _prf(correct: str) -> list[str]:
+    r, p = _ratio(correct, "expected"), _ratio(correct, "predicted")
+    f = f"CASE WHEN ({r}) + ({p}) = 0 THEN NULL ELSE (2.0 * ({r}) * ({p})) / (({r}) + ({p})) END"
+    return [f"CASE WHEN {correct} = 0 THEN 0.0 ELSE {x} END" for x in (r, p, f)]
+
+
+_re, _pe, _fe = _prf("correct_exact")
+_rc, _pc, _fc = _prf("correct_containment")
+ORACLE["score_metrics"] = "WITH " + E_CTE + f"""
+, s AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE exact_match) AS exact,
+         count(*) FILTER (WHERE containment_match) AS contained,
+         count(*) FILTER (WHERE no_answer) AS empty,
+         CAST(sum(expected_tokens) AS BIGINT) AS expected,
+         CAST(sum(predicted_tokens) AS BIGINT) AS predicted,
+         CAST(sum(correct_exact_tokens) AS BIGINT) AS correct_exact,
+         CAST(sum(correct_containment_tokens) AS BIGINT) AS correct_containment
+  FROM e_scored)
+SELECT {_ratio('exact', 'n')} AS accuracy, {_ratio('contained', 'n')} AS containment,
+       {_ratio('empty', 'n')} AS no_answer,
+       {_re} AS recall_exact, {_pe} AS precision_exact, {_fe} AS f1_score_exact,
+       {_rc} AS recall_containment, {_pc} AS precision_containment, {_fc} AS f1_score_containment
+FROM s"""
+ORACLE["best_span"] = """
+SELECT vec_id AS ord, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end,
+       array_to_string(list_slice(toks, s + 1, e + 1), ' ') AS answer
+FROM (
+  SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS s,
+         list_position(list_reverse(embedding), list_max(embedding)) - 1 AS e,
+         list_transform(range(len(embedding)), lambda i: 't' || i) AS toks
+  FROM embeddings)"""
+ORACLE["sanitize_text"] = f"""
+SELECT page_id, trim(regexp_replace(regexp_replace(nullif(html, ''), '</?jats:[a-zA-Z0-9_]*>', ' ', 'g'),
+                                   '{PY_WHITESPACE_CLASS}+', ' ', 'g'), ' ') AS text
+FROM pages"""
+ORACLE["flat_map"] = with_g(
+    "SELECT label AS item, unnest(string_split(label, ' ')) AS value FROM papers")

@@ -101,3 +101,163 @@ def field_to_contributions(spark, sf):
 def paper_doi(spark, sf):
     resources, statements = fx.graph(spark, sf)
     return graph.paper_doi(graph.resources_by_class(resources, fx.CLASS_PAPER), statements)
+
+
+# ------------------------------------------------------------- curation
+from ..functions.text import sanitize_abstract  # noqa: E402
+from ..operators import curate, qa, score, split, stats  # noqa: E402
+from ..operators.flatmap import flat_map  # noqa: E402
+
+_ROW_COLS = ["ord", "PaperId", "PredicateLabel", "ObjectLabel"]
+
+
+@register("prune_rows")
+def prune_rows(spark, sf):
+    return curate.prune_rows(fx.text_rows(spark, sf)).select(*_ROW_COLS)
+
+
+@register("dedupe_keep_last")
+def dedupe_keep_last(spark, sf):
+    return curate.dedupe_keep_last(fx.repeated_keys(spark, sf), ["user_id", "event_type"])
+
+
+@register("dedupe_text_rows")
+def dedupe_text_rows(spark, sf):
+    return curate.dedupe_keep_last(fx.text_rows(spark, sf).select(*_ROW_COLS))
+
+
+@register("object_in_abstract")
+def object_in_abstract(spark, sf):
+    return curate.flag_object_in_abstract(fx.text_rows(spark, sf)).select("ord", "ObjectInAbstract")
+
+
+@register("keep_contained")
+def keep_contained(spark, sf):
+    rows = curate.flag_object_in_abstract(fx.text_rows(spark, sf))
+    return curate.keep_contained(rows).select(*_ROW_COLS)
+
+
+@register("object_word_in_abstract")
+def object_word_in_abstract(spark, sf):
+    return fx.text_rows(spark, sf).select(
+        "ord", curate.object_word_in_abstract("ObjectLabel", "PaperAbstract").alias(
+            "ObjectWordInAbstract"))
+
+
+@register("categorize")
+def categorize(spark, sf):
+    return curate.categorize(fx.text_rows(spark, sf)).select("ord", "Category")
+
+
+@register("categorize_graph")
+def categorize_graph(spark, sf):
+    _, statements = fx.graph(spark, sf)
+    rows = statements.select(F.col("predicate_label").alias("PredicateLabel"),
+                             F.col("object_label").alias("ObjectLabel"))
+    return curate.categorize(rows)
+
+
+def _final(spark, sf):
+    return curate.finalize(fx.text_rows(spark, sf))
+
+
+@register("finalize")
+def finalize(spark, sf):
+    return _final(spark, sf).select(*_ROW_COLS, "ObjectInAbstract", "Category")
+
+
+# ----------------------------------------------------- split
+def _split(spark, sf):
+    rows = split.qa_rows(fx.text_rows(spark, sf, neighbours=False))
+    return split.stratified_split(rows)
+
+
+@register("answer_span")
+def answer_span(spark, sf):
+    return split.qa_rows(fx.text_rows(spark, sf, neighbours=False)).select(
+        "ord", "StartIndex", "EndIndex")
+
+
+@register("stratified_split")
+def stratified_split(spark, sf):
+    return _split(spark, sf).select("ord", "PredicateLabel", "split")
+
+
+@register("split_sizes")
+def split_sizes(spark, sf):
+    return split.split_sizes(_split(spark, sf))
+
+
+@register("question_variants")
+def question_variants(spark, sf):
+    return split.question_variants(_split(spark, sf)).select(
+        "ord", "question_word", "question", "split")
+
+
+# ------------------------------------------------------------ model inputs
+def _inputs(spark, sf):
+    variants = split.question_variants(_split(spark, sf))
+    return qa.model_inputs(variants, "what", cased=False)
+
+
+@register("model_inputs")
+def model_inputs(spark, sf):
+    return _inputs(spark, sf).select("ord", "split", "context", "question",
+                                     F.col("answer.answer").alias("answer"),
+                                     "answer.answer_start", "answer.answer_end")
+
+
+@register("token_positions")
+def token_positions(spark, sf):
+    return qa.token_positions(_inputs(spark, sf), max_tokens=510).select(
+        "ord", "split", "start_position", "end_position", "truncated")
+
+
+@register("best_span")
+def best_span(spark, sf):
+    span = qa.best_span("start_logits", "end_logits", "tokens")
+    return fx.score_arrays(spark, sf).select(
+        "ord", span["start"].alias("span_start"), span["end"].alias("span_end"),
+        span["text"].alias("answer"))
+
+
+# ------------------------------------------------------------------ scoring
+@register("score_rows")
+def score_rows(spark, sf):
+    return score.score_rows(fx.predictions(spark, sf))
+
+
+@register("score_metrics")
+def score_metrics(spark, sf):
+    return score.metrics(score.score_rows(fx.predictions(spark, sf)))
+
+
+# ------------------------------------------------------------------------ stats
+@register("dataset_stats")
+def dataset_stats(spark, sf):
+    return stats.general_stats(_final(spark, sf))
+
+
+@register("category_share")
+def category_share(spark, sf):
+    return stats.category_share(_final(spark, sf))
+
+
+# --------------------------------------------------------------------- text clean-up (H6)
+@register("sanitize_text")
+def sanitize_text(spark, sf):
+    from ..sources.tables import read_table
+
+    return read_table(spark, sf, "pages").select("page_id", sanitize_abstract("html").alias("text"))
+
+
+# ---------------------------------------------------------------------------- flat map
+def _words(title):
+    return None if title is None else title.split(" ")
+
+
+@register("flat_map")
+def flat_map_words(spark, sf):
+    resources, _ = fx.graph(spark, sf)
+    papers = graph.resources_by_class(resources, fx.CLASS_PAPER)
+    return flat_map(papers.select(F.col("label").alias("item")), _words, "item", "string")
