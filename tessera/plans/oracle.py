@@ -377,3 +377,81 @@ SELECT page_id, trim(regexp_replace(regexp_replace(nullif(html, ''), '</?jats:[a
 FROM pages"""
 ORACLE["flat_map"] = with_g(
     "SELECT label AS item, unnest(string_split(label, ' ')) AS value FROM papers")
+
+
+# -------------------------------------------------------------------------- titles (P)
+def sanitize(x: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(nullif({x}, ''), '</?jats:[a-zA-Z0-9_]*>', ' ', 'g'), "
+            f"'{PY_WHITESPACE_CLASS}+', ' ', 'g'), ' ')")
+
+
+P_CTE = f"""
+p_q AS (
+  SELECT 'R' || p_partkey AS PaperId,
+         CASE WHEN p_partkey % 11 <> 10
+              THEN p_name || ' ' || p_brand || ' ' || p_type || ' study ' || p_partkey END AS PaperTitle
+  FROM part
+),
+p_t AS (SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' study ' || p_partkey AS t FROM part),
+p_bib AS (
+  SELECT p_partkey AS bib_id,
+         CASE p_partkey % 5 WHEN 0 THEN t WHEN 1 THEN upper(t)
+              WHEN 2 THEN substr(t, 1, length(t) // 2) || substr(t, length(t) // 2 + 2)
+              WHEN 3 THEN substr(t, 1, length(t) // 2) END AS title,
+         '10.7777/' || p_partkey AS doi,
+         CASE WHEN p_partkey % 7 = 0 THEN NULL
+              WHEN p_partkey % 3 = 0 THEN '<jats:p>' || d.text || '</jats:p>' ELSE d.text END AS abstract,
+         CAST(p_partkey % 2 + 1 AS INTEGER) AS source, CAST(p_partkey % 97 AS INTEGER) AS rank
+  FROM p_t LEFT JOIN documents d ON d.doc_id = p_partkey % 200
+  WHERE p_partkey % 5 <> 4
+),
+q AS (SELECT DISTINCT lower(PaperTitle) AS qkey FROM p_q WHERE PaperTitle IS NOT NULL AND PaperTitle <> ''),
+b AS (SELECT bib_id, lower(title) AS bkey FROM p_bib WHERE title IS NOT NULL AND title <> ''),
+doi_1 AS (
+  SELECT doi, {sanitize('abstract')} AS a FROM (
+    SELECT doi, abstract, row_number() OVER (PARTITION BY doi ORDER BY rank, bib_id) AS rn
+    FROM p_bib WHERE source = 1 AND doi IS NOT NULL) WHERE rn = 1
+),
+doi_2 AS (
+  SELECT doi, {sanitize('abstract')} AS a FROM (
+    SELECT doi, abstract, row_number() OVER (PARTITION BY doi ORDER BY rank, bib_id) AS rn
+    FROM p_bib WHERE source = 2 AND doi IS NOT NULL) WHERE rn = 1
+),
+exact_hits AS (SELECT q.qkey, p.* FROM q JOIN p_bib p ON q.qkey = lower(p.title)),
+s1 AS (
+  SELECT qkey, doi AS doi1 FROM (
+    SELECT qkey, doi, row_number() OVER (PARTITION BY qkey ORDER BY rank DESC, bib_id DESC) AS rn
+    FROM exact_hits WHERE source = 1) WHERE rn = 1
+),
+s2 AS (
+  SELECT qkey, {sanitize('abstract')} AS abstract2 FROM (
+    SELECT qkey, abstract, row_number() OVER (PARTITION BY qkey ORDER BY rank, bib_id) AS rn
+    FROM exact_hits WHERE source = 2) WHERE rn = 1
+),
+resolved AS (
+  SELECT q.qkey, s1.doi1,
+         CASE WHEN doi_1.a IS NOT NULL AND doi_1.a <> '' THEN doi_1.a ELSE s2.abstract2 END AS abstract
+  FROM q LEFT JOIN s1 USING (qkey) LEFT JOIN doi_1 ON doi_1.doi = s1.doi1 LEFT JOIN s2 USING (qkey)
+)
+"""
+
+
+def with_p(select: str) -> str:
+    return "WITH " + P_CTE + select
+
+
+ORACLE["title_candidates"] = with_p("""
+SELECT qkey, bib_id, true AS exact FROM q JOIN b ON qkey = bkey
+UNION ALL
+SELECT qkey, bib_id, false AS exact FROM q JOIN b
+  ON qkey <> bkey AND length(qkey) >= 5 AND length(bkey) >= 5
+ AND 400 * least(length(qkey), length(bkey)) > 181 * (length(qkey) + length(bkey))
+ AND levenshtein(qkey, bkey) * 200 < 19 * (length(qkey) + length(bkey))""")
+ORACLE["attach_abstract_exact"] = with_p("""
+SELECT p.PaperId, p.PaperTitle, r.abstract AS PaperAbstract
+FROM p_q p LEFT JOIN resolved r ON r.qkey = lower(p.PaperTitle)""")
+ORACLE["failed_lookups"] = with_p("SELECT DISTINCT PaperId AS Id FROM p_q WHERE PaperTitle IS NULL")
+ORACLE["abstract_by_doi"] = with_p("""
+SELECT d.doi, CASE WHEN doi_1.a IS NOT NULL AND doi_1.a <> '' THEN doi_1.a ELSE doi_2.a END AS abstract
+FROM (SELECT DISTINCT '10.7777/' || p_partkey AS doi FROM part) d
+LEFT JOIN doi_1 USING (doi) LEFT JOIN doi_2 USING (doi)""")

@@ -261,3 +261,53 @@ def flat_map_words(spark, sf):
     resources, _ = fx.graph(spark, sf)
     papers = graph.resources_by_class(resources, fx.CLASS_PAPER)
     return flat_map(papers.select(F.col("label").alias("item")), _words, "item", "string")
+
+
+# ------------------------------------------------------------ titles
+from ..operators import titles  # noqa: E402
+
+
+def _title_inputs(spark, sf):
+    rows = fx.title_queries(spark, sf)
+    bib = fx.bibliography(spark, sf)
+    return rows, bib
+
+
+@register("title_candidates")
+def title_candidates(spark, sf):
+    rows, bib = _title_inputs(spark, sf)
+    return titles.title_candidates(rows.select(F.lower("PaperTitle").alias("qkey")),
+                                   bib.select("bib_id", F.lower("title").alias("bkey")))
+
+
+@register("title_match")
+def title_match(spark, sf):
+    rows, bib = _title_inputs(spark, sf)
+    return titles.title_match(rows.select(F.lower("PaperTitle").alias("qkey")), bib)
+
+
+@register("attach_abstract")
+def attach_abstract(spark, sf):
+    rows, bib = _title_inputs(spark, sf)
+    return titles.attach_abstracts(rows, bib)
+
+
+@register("attach_abstract_exact")
+def attach_abstract_exact(spark, sf):
+    rows, bib = _title_inputs(spark, sf)
+    return titles.attach_abstracts(rows, bib, fuzzy=False)
+
+
+@register("failed_lookups")
+def failed_lookups(spark, sf):
+    rows, _ = _title_inputs(spark, sf)
+    return titles.failed_lookups(rows)
+
+
+@register("abstract_by_doi")
+def abstract_by_doi(spark, sf):
+    from ..sources.tables import read_table
+
+    dois = read_table(spark, sf, "part").select(
+        F.concat(F.lit("10.7777/"), F.col("p_partkey")).alias("doi"))
+    return titles.abstract_by_doi(dois, fx.bibliography(spark, sf))
