@@ -35,14 +35,25 @@ def quote_literal(label) -> Column:
 
 
 def word_pattern(label) -> Column:
-    """Case-insensitive, Unicode-aware, word-bounded literal pattern for ``label``."""
-    return F.concat(F.lit("(?iu)" + WORD_BOUNDARY + "("), quote_literal(label),
-                    F.lit(")" + WORD_BOUNDARY))
+    """Case-insensitive, Unicode-aware, word-bounded literal pattern for ``label``.
+
+    Python's ``\\b`` before the label means "the previous character differs in wordness from
+    the label's first character" (start of text counts as non-word), and likewise after it,
+    so each side needs one look-around chosen by the label's first / last character."""
+    label = _c(label)
+    first_word = F.substring(label, 1, 1).rlike("^" + WORD_CLASS)
+    last_word = F.substring(label, -1, 1).rlike("^" + WORD_CLASS)
+    before = F.when(first_word, F.lit(f"(?<!{WORD_CLASS})")).otherwise(F.lit(f"(?<={WORD_CLASS})"))
+    after = F.when(last_word, F.lit(f"(?!{WORD_CLASS})")).otherwise(F.lit(f"(?={WORD_CLASS})"))
+    return F.concat(F.lit("(?iu)"), before, F.lit("("), quote_literal(label), F.lit(")"), after)
 
 
 def contains_word(label, text) -> Column:
     """Boolean: ``label`` occurs in ``text`` as a whole word (NULL if either is NULL)."""
-    return F.regexp_like(_c(text), word_pattern(label))
+    label, text = _c(label), _c(text)
+    # An empty label matches at any word boundary: wherever the text has a word character.
+    return F.when(label == "", F.regexp_like(text, F.lit(WORD_CLASS))).otherwise(
+        F.regexp_like(text, word_pattern(label)))
 
 
 def answer_span(label, text) -> Column:
@@ -67,8 +78,7 @@ def token_index_at(text, pos, max_tokens: int | None = None) -> Column:
     text = _c(text)
     pos = pos if isinstance(pos, Column) else F.lit(pos)
     ch = F.substring(text, pos + 1, 1)
-    idx = F.size(F.regexp_extract_all(F.substring(text, F.lit(1), pos + 1),
-                                      F.lit(TOKEN_PATTERN), 0)) - 1
+    idx = F.regexp_count(F.substring(text, F.lit(1), pos + 1), F.lit(TOKEN_PATTERN)) - 1
     inside = (pos >= 0) & (pos < F.char_length(text)) & ~ch.rlike("^" + PY_WHITESPACE_CLASS)
     idx = F.when(inside, idx)
     if max_tokens is not None:

@@ -32,7 +32,7 @@ def keep_last(df: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame
 
 
 def head_by(df: DataFrame, n: int | None, order_col: str = "ord",
-            topk_limit: int = 100_000, buckets: int = 1024) -> DataFrame:
+            topk_limit: int = 100_000, buckets: int = 1024, total: int | None = None) -> DataFrame:
     """The first ``n`` rows by ``order_col`` (unique, numeric), without funnelling an
     unbounded ``n`` through one task.
 
@@ -45,7 +45,7 @@ def head_by(df: DataFrame, n: int | None, order_col: str = "ord",
         return df
     if n <= 0:
         return df.limit(0)
-    total = df.count()
+    total = df.count() if total is None else total
     if n >= total:
         return df
     if n <= topk_limit:

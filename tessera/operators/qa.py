@@ -48,14 +48,14 @@ def model_inputs(df: DataFrame, question_word: str, cased: bool, train_limit: in
         F.col("EndIndex").cast("int").alias("answer_end")).alias("answer"))
     train = rows.filter(F.col("split") == TRAINING)
     evals = rows.filter(F.col("split") == EVALUATION)
-    if eval_limit:
-        u = eval_limit
-    elif strict_reference:
-        u = train.count()  # the original's default: the training-set size
-    else:
-        u = None
-    train = head_by(train, train_limit or None, ord_col)
-    evals = head_by(evals, u, ord_col)
+    if not (train_limit or eval_limit or strict_reference):
+        return train.unionByName(evals)
+    # One aggregate pass gives both sizes; limits that cover a split cost nothing more.
+    sizes = dict(rows.groupBy("split").count().collect())  # at most two rows
+    n_train, n_eval = sizes.get(TRAINING, 0), sizes.get(EVALUATION, 0)
+    u = eval_limit or (n_train if strict_reference else None)  # original default: train size
+    train = head_by(train, train_limit or None, ord_col, total=n_train)
+    evals = head_by(evals, u, ord_col, total=n_eval)
     return train.unionByName(evals)
 
 
