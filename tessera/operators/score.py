@@ -53,15 +53,16 @@ def metrics(scored: DataFrame) -> DataFrame:
     """One row with accuracy, containment and no-answer rates and micro
     token recall / precision / F1 for exact and containment matches.  Values are unrounded
     (see ``rounded_record``); a ratio over an empty denominator is NULL."""
+    # Counters start at 0, as in a loop over the rows (a SUM over no rows is NULL).
     sums = scored.agg(
         F.count("*").alias("n"),
         F.count_if("exact_match").alias("exact"),
         F.count_if("containment_match").alias("contained"),
         F.count_if("no_answer").alias("empty"),
-        F.sum("expected_tokens").alias("expected"),
-        F.sum("predicted_tokens").alias("predicted"),
-        F.sum("correct_exact_tokens").alias("correct_exact"),
-        F.sum("correct_containment_tokens").alias("correct_containment"))
+        F.coalesce(F.sum("expected_tokens"), F.lit(0)).alias("expected"),
+        F.coalesce(F.sum("predicted_tokens"), F.lit(0)).alias("predicted"),
+        F.coalesce(F.sum("correct_exact_tokens"), F.lit(0)).alias("correct_exact"),
+        F.coalesce(F.sum("correct_containment_tokens"), F.lit(0)).alias("correct_containment"))
     re_, pe, fe = _prf(F.col("correct_exact"), F.col("expected"), F.col("predicted"))
     rc, pc, fc = _prf(F.col("correct_containment"), F.col("expected"), F.col("predicted"))
     return sums.select(
