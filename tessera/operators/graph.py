@@ -55,17 +55,32 @@ def field_to_papers(resources: DataFrame, statements: DataFrame, with_list: bool
     counts twice) and, with ``with_list``, the sorted list of paper ids; fields without
     papers are added with 0 (and an empty list)."""
     edges = _field_edges(resources, statements)
-    aggs = [F.min("object_label").alias("ResearchFieldLabel"), F.count("*").alias("n_papers")]
+    fields = resources_by_class(resources, CLASS_FIELD)
+    # Fields and edges meet in ONE aggregation (no anti join recomputing the edges): field
+    # rows carry no paper, so a field without edges ends with 0 papers and its own label;
+    # otherwise the label comes from the edges (the smallest, deterministically).
     if with_list:
-        aggs.append(F.sort_array(F.collect_list("subject_id")).alias("PaperIds"))
-    mapped = edges.groupBy(F.col("object_id").alias("ResearchFieldId")).agg(*aggs)
-    fields = resources_by_class(resources, CLASS_FIELD).select(
-        F.col("id").alias("ResearchFieldId"), F.col("label").alias("ResearchFieldLabel"))
-    empty = fields.join(mapped.select("ResearchFieldId"), "ResearchFieldId", "left_anti")
-    empty = empty.withColumn("n_papers", F.lit(0).cast("bigint"))
-    if with_list:
-        empty = empty.withColumn("PaperIds", F.array().cast("array<string>"))
-    out = mapped.unionByName(empty)
+        rows = (edges.select(F.col("object_id").alias("fid"), F.col("object_label").alias("lab"),
+                             F.col("subject_id").alias("pid"), F.lit(True).alias("is_edge"))
+                .unionByName(fields.select(F.col("id").alias("fid"), F.col("label").alias("lab"),
+                                           F.lit(None).cast("string").alias("pid"),
+                                           F.lit(False).alias("is_edge"))))
+        extra = [F.sort_array(F.collect_list("pid")).alias("PaperIds")]
+        n = F.count("pid")
+    else:
+        # Count per (field, label) first: a hash aggregate with map-side combine over all
+        # edges; the final aggregate sees one row per field and label.
+        rows = (edges.groupBy(F.col("object_id").alias("fid"), F.col("object_label").alias("lab"))
+                .agg(F.count("*").alias("n"), F.lit(True).alias("is_edge"))
+                .unionByName(fields.select(F.col("id").alias("fid"), F.col("label").alias("lab"),
+                                           F.lit(0).cast("bigint").alias("n"),
+                                           F.lit(False).alias("is_edge"))))
+        extra = []
+        n = F.sum("n")
+    out = rows.groupBy(F.col("fid").alias("ResearchFieldId")).agg(
+        F.coalesce(F.min(F.when(F.col("is_edge"), F.col("lab"))), F.min("lab"))
+        .alias("ResearchFieldLabel"),
+        n.alias("n_papers"), *extra)
     if sort:
         out = out.orderBy(F.desc("n_papers"), _numeric_suffix("ResearchFieldId"))
     return out

@@ -88,24 +88,25 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
            .unionByName(orders.filter(F.col("o_orderkey") % 50 == 1)
                         .select(*stmt(order_id, P_DOI, "doi", _s("LP26_", order_id, "b"),
                                       _s(doi, "b")))))
-    lines = (lineitem.filter(F.col("l_linenumber") != 7)
-             .join(part, F.col("l_partkey") == F.col("p_partkey"))
-             .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-             .join(nation, F.col("s_nationkey") == F.col("n_nationkey")))
+    # One branch per attribute predicate, each with a literal predicate id: a filter on
+    # predicate_id then removes whole branches (and their joins) at planning time.
+    lines = lineitem.filter(F.col("l_linenumber") != 7)
     (p32, l32), (p33, l33), (p34, l34), (p35, l35), (p36, l36) = ATTRIBUTE_PREDICATES
-    attr = lambda pid, plabel, oid, olabel: F.struct(
-        F.lit(pid).alias("predicate_id"), F.lit(plabel).alias("predicate_label"),
-        oid.alias("object_id"), olabel.alias("object_label"))
     lit_id = lambda pid: _s("L" + pid + "_", contrib)
-    attrs = (lines.select(contrib.alias("subject_id"), F.explode(F.array(
-        attr(p32, l32, _s("P", F.col("l_partkey")), F.col("p_name")),
-        attr(p33, l33, _s("N", F.col("s_nationkey")), F.col("n_name")),
-        attr(p34, l34, lit_id(p34), F.year("l_shipdate").cast("string")),
-        attr(p35, l35, lit_id(p35),
-             _s(F.col("l_quantity").cast("int").cast("string"), " units")),
-        attr(p36, l36, lit_id(p36), F.col("l_returnflag")),
-    )).alias("a")).select("subject_id", "a.*"))
-    statements = p30.unionByName(p31).unionByName(p26).unionByName(attrs)
+    attrs = [
+        lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select(*stmt(contrib, p32, l32, _s("P", F.col("l_partkey")), F.col("p_name"))),
+        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(*stmt(contrib, p33, l33, _s("N", F.col("s_nationkey")), F.col("n_name"))),
+        lines.select(*stmt(contrib, p34, l34, lit_id(p34), F.year("l_shipdate").cast("string"))),
+        lines.select(*stmt(contrib, p35, l35, lit_id(p35),
+                           _s(F.col("l_quantity").cast("int").cast("string"), " units"))),
+        lines.select(*stmt(contrib, p36, l36, lit_id(p36), F.col("l_returnflag"))),
+    ]
+    statements = p30.unionByName(p31).unionByName(p26)
+    for a in attrs:
+        statements = statements.unionByName(a)
     return resources, statements
 
 
