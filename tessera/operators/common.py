@@ -69,5 +69,11 @@ def head_by(df: DataFrame, n: int | None, order_col: str = "ord",
     return df
 
 
-def first_by(value: Column, order: Column) -> Column:
-    return F.min_by(value, order)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the cluster's shared checkpoint folder and continue from there,
+    so a lost executor does not send the job back through an expensive lineage.  The folder
+    is ``spark.checkpoint.dir`` (never a machine-local path on a cluster)."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

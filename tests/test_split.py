@@ -57,3 +57,10 @@ def test_question_variants_keep_leading_space(spark):
     df = spark.createDataFrame([(1, "has x")], "ord long, PredicateLabel string")
     got = sorted(r.question for r in S.question_variants(df).collect())
     assert got == [" has x ?", "how has x ?", "what has x ?", "which has x ?"]
+
+
+def test_first_appearance_order(spark):
+    df = spark.createDataFrame([(5, "b"), (1, "a"), (3, "b"), (2, "c"), (4, "a")],
+                               "ord long, PredicateLabel string")
+    got = [r.ord for r in S.first_appearance_order(df).collect()]
+    assert got == [1, 4, 2, 3, 5]
