@@ -441,11 +441,18 @@ def with_p(select: str) -> str:
 
 
 ORACLE["title_candidates"] = with_p("""
+, qc AS (SELECT qkey, list_transform(range(32), lambda i: len(list_filter(string_split(qkey, ''),
+                lambda ch: unicode(ch) % 32 = i))) AS ca FROM q),
+bc AS (SELECT bib_id, bkey, list_transform(range(32), lambda i: len(list_filter(string_split(bkey, ''),
+                lambda ch: unicode(ch) % 32 = i))) AS cb FROM b)
 SELECT qkey, bib_id, true AS exact FROM q JOIN b ON qkey = bkey
 UNION ALL
-SELECT qkey, bib_id, false AS exact FROM q JOIN b
+SELECT qkey, bib_id, false AS exact FROM qc JOIN bc
   ON qkey <> bkey AND length(qkey) >= 5 AND length(bkey) >= 5
  AND 400 * least(length(qkey), length(bkey)) > 181 * (length(qkey) + length(bkey))
+ AND (list_max(ca) > 127 OR list_max(cb) > 127
+      OR 400 * list_sum(list_transform(list_zip(ca, cb), lambda p: least(p[1], p[2])))
+         > 181 * (length(qkey) + length(bkey)))
  AND levenshtein(qkey, bkey) * 200 < 19 * (length(qkey) + length(bkey))""")
 ORACLE["attach_abstract_exact"] = with_p("""
 SELECT p.PaperId, p.PaperTitle, r.abstract AS PaperAbstract
