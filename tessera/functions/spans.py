@@ -41,11 +41,15 @@ def word_pattern(label) -> Column:
     the label's first character" (start of text counts as non-word), and likewise after it,
     so each side needs one look-around chosen by the label's first / last character."""
     label = _c(label)
+    lit = quote_literal(label)
     first_word = F.substring(label, 1, 1).rlike("^" + WORD_CLASS)
     last_word = F.substring(label, -1, 1).rlike("^" + WORD_CLASS)
-    before = F.when(first_word, F.lit(f"(?<!{WORD_CLASS})")).otherwise(F.lit(f"(?<={WORD_CLASS})"))
+    # The literal comes first (most positions fail on its first character); the boundary
+    # before it is then checked by a fixed-length look-behind over "<char><literal>".
+    before = F.concat(F.when(first_word, F.lit("(?<!")).otherwise(F.lit("(?<=")),
+                      F.lit(WORD_CLASS), lit, F.lit(")"))
     after = F.when(last_word, F.lit(f"(?!{WORD_CLASS})")).otherwise(F.lit(f"(?={WORD_CLASS})"))
-    return F.concat(F.lit("(?iu)"), before, F.lit("("), quote_literal(label), F.lit(")"), after)
+    return F.concat(F.lit("(?iu)("), lit, F.lit(")"), before, after)
 
 
 def contains_word(label, text) -> Column:
