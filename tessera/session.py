@@ -31,7 +31,6 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "16g"))
-        .config("spark.local.dir", os.environ.get("TESSERA_LOCAL_DIR", tempfile.gettempdir()))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
