@@ -71,3 +71,31 @@ def test_stream_stage_equals_batch(spark, scratch):
     q.awaitTermination(120)
     got = sorted(r.ord for r in spark.read.parquet(scratch + "/out").collect())
     assert got == sorted(r.ord for r in curate.prune_rows(df).collect())
+
+
+def test_graph_snapshot_nested_and_partitioned(spark, scratch):
+    from tessera.operators import graph
+    from tessera.sources import fixtures as fx
+    from tessera.sources import graph_snapshot as gs
+
+    from .conftest import SF001
+
+    resources, statements = fx.graph(spark, SF001)
+    nested = statements.select(F.struct(F.col("subject_id").alias("id")).alias("subject"),
+                               F.struct(F.col("predicate_id").alias("id"),
+                                        F.col("predicate_label").alias("label")).alias("predicate"),
+                               F.struct(F.col("object_id").alias("id"),
+                                        F.col("object_label").alias("label")).alias("object"))
+    nested.write.json(scratch + "/nested")
+    flat = gs.read_statements(spark, scratch + "/nested", fmt="json", nested=True)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, statements.collect()))
+    gs.write_statements(flat, scratch + "/part")
+    assert "predicate_id=P30" in os.listdir(scratch + "/part")
+    st = gs.read_statements(spark, scratch + "/part")
+    resources.write.parquet(scratch + "/res")
+    res = gs.read_resources(spark, scratch + "/res")
+    a = sorted(map(tuple, graph.field_to_papers(res, st).collect()))
+    b = sorted(map(tuple, graph.field_to_papers(resources, statements).collect()))
+    assert a == b
+    ids = [r.id for r in graph.all_resources(res, sort=True).collect()]
+    assert ids == sorted(ids)
