@@ -92,3 +92,56 @@ def token_index_at(text, pos, max_tokens: int | None = None) -> Column:
 
 __all__ = ["WORD_BOUNDARY", "TOKEN_PATTERN", "NON_WORD_CLASS", "quote_literal", "word_pattern",
            "contains_word", "answer_span", "token_index_at"]
+
+
+# --- raw-regex mode (the label used as an unescaped Python pattern) ---------------------------
+def _regex_span(label: str | None, text: str | None):
+    import re
+
+    if label is None or text is None:
+        return None
+    try:
+        m = re.compile(r"\b({0})\b".format(label), flags=re.IGNORECASE).search(text)
+    except (re.error, RecursionError, OverflowError):
+        return None  # a bad pattern gives no span, as in the original
+    return None if m is None else m.span()
+
+
+def _regex_span_batch(labels, texts):
+    import pandas as pd
+
+    starts, ends = [], []
+    for label, text in zip(labels, texts):
+        span = _regex_span(label, text)
+        starts.append(None if span is None else span[0])
+        ends.append(None if span is None else span[1])
+    return pd.DataFrame({"start": pd.array(starts, dtype="Int32"),
+                         "end": pd.array(ends, dtype="Int32")})
+
+
+def _make_regex_udf():
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    schema = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
+
+    @F.pandas_udf(schema)
+    def regex_span(labels, texts):
+        return _regex_span_batch(labels, texts)
+
+    return regex_span
+
+
+def answer_span_regex(label, text) -> Column:
+    """Q4 raw-regex mode: the label is an unescaped Python pattern inside ``\\b(...)\\b``
+    (case-insensitive); an invalid pattern gives NULL.  Python ``re`` semantics need Python,
+    so this runs as one Arrow-batched UDF; the literal ``answer_span`` is the default."""
+    span = _make_regex_udf()(_c(label), _c(text))
+    return F.when(span["start"].isNotNull(), span)
+
+
+def contains_word_regex(label, text) -> Column:
+    """B7 in raw-regex mode: NULL if either side is missing, else whether the pattern finds
+    a word-bounded match (a bad pattern counts as no match)."""
+    label, text = _c(label), _c(text)
+    return F.when(label.isNotNull() & text.isNotNull(),
+                  answer_span_regex(label, text).isNotNull())

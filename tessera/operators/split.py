@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import answer_span
+from ..functions.spans import answer_span, answer_span_regex
 
 # --- fixed values ---------------------------------------------------------------------------
 QUESTION_WORDS = ("what", "which", "how", "")
@@ -16,10 +16,13 @@ SMALL_PREDICATE_ROWS = 10
 
 
 def qa_rows(df: DataFrame, label: str = "ObjectLabel", text: str = "PaperAbstract",
-            keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel")) -> DataFrame:
+            keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel"),
+            literal: bool = True) -> DataFrame:
     """(context, predicate, answer) rows with the answer's code-point span
-    ``StartIndex``/``EndIndex`` (NULL when it is not found as a whole word)."""
-    span = answer_span(label, text)
+    ``StartIndex``/``EndIndex`` (NULL when it is not found as a whole word).  ``literal``
+    matches the label as text (JVM-side); ``False`` uses it as a raw Python pattern, as the
+    original did (Arrow UDF)."""
+    span = answer_span(label, text) if literal else answer_span_regex(label, text)
     return df.select(*keep, span["start"].alias("StartIndex"), span["end"].alias("EndIndex"))
 
 

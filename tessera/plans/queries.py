@@ -178,6 +178,12 @@ def answer_span(spark, sf):
         "ord", "StartIndex", "EndIndex")
 
 
+@register("answer_span_regex")
+def answer_span_regex(spark, sf):
+    rows = fx.text_rows(spark, sf, neighbours=False)
+    return split.qa_rows(rows, literal=False).select("ord", "StartIndex", "EndIndex")
+
+
 @register("stratified_split")
 def stratified_split(spark, sf):
     return _split(spark, sf).select("ord", "PredicateLabel", "split")

@@ -17,7 +17,7 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {"title_match", "attach_abstract"}
+    assert rows_only == {"title_match", "attach_abstract", "answer_span_regex"}
 
 
 def test_flat_map_result_shapes(spark):

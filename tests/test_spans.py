@@ -64,3 +64,23 @@ def test_token_index_matches_python_tokens(spark):
         toks = _py_tokens(r.t)
         want = next((i for i, (s, e) in enumerate(toks) if s <= r.p < e), None)
         assert r.k == want, (r.t, r.p)
+
+
+def test_raw_regex_mode_matches_python_re(spark):
+    from tessera.functions.spans import answer_span_regex, contains_word_regex
+
+    cases = [("c++", "I like c++ a lot"), ("a.c", "xx abc yy"), ("(b", "a (b c"), ("wor.", "a word"),
+             ("x", None), (None, "x"), ("ab|cd", "zz cd zz"), ("é", "É é")]
+    df = spark.createDataFrame(cases, "l string, t string")
+    got = df.select(answer_span_regex("l", "t").alias("s"), contains_word_regex("l", "t").alias("w")).collect()
+    for (label, text), row in zip(cases, got):
+        if label is None or text is None:
+            assert row.s is None and row.w is None
+            continue
+        try:
+            m = re.compile(r"\b({0})\b".format(label), flags=re.IGNORECASE).search(text)
+        except re.error:
+            m = None
+        want = None if m is None else m.span()
+        assert (None if row.s is None else (row.s.start, row.s.end)) == want, label
+        assert row.w == (want is not None)
