@@ -53,7 +53,11 @@ def field_to_papers(resources: DataFrame, statements: DataFrame, with_list: bool
                     sort: bool = False) -> DataFrame:
     """Per research field its label, number of papers (a paper listed twice
     counts twice) and, with ``with_list``, the sorted list of paper ids; fields without
-    papers are added with 0 (and an empty list)."""
+    papers are added with 0 (and an empty list).
+
+    ``with_list`` reproduces the original's list column for export: it builds one array per
+    field, so its size is bounded by the largest field.  The at-scale form of the same
+    relation is ``field_paper_rows`` (one row per field and paper)."""
     edges = _field_edges(resources, statements)
     fields = resources_by_class(resources, CLASS_FIELD)
     # Fields and edges meet in ONE aggregation (no anti join recomputing the edges): field
@@ -155,7 +159,8 @@ def contributions_without_statement(contribs: DataFrame, statements: DataFrame)
 def field_to_contributions(fields: DataFrame, flat: DataFrame, statements: DataFrame,
                            with_list: bool = False, sort: bool = False) -> DataFrame:
     """Per field the number (and, on request, the set) of distinct
-    contributions over its papers; fields with none are kept at 0."""
+    contributions over its papers; fields with none are kept at 0.  As for
+    ``field_to_papers``, ``with_list`` is an export form bounded by the largest field."""
     pairs = (flat.select("ResearchFieldId", "PaperId").distinct()
              .join(_paper_contribution_pairs(statements), "PaperId")
              .select("ResearchFieldId", "Contribution").distinct())
