@@ -1,5 +1,4 @@
 """Prune, keep-last, containment and category rules (hand-written edge rows)."""
-from pyspark.sql import functions as F
 
 from tessera.operators import curate
 from tessera.operators.common import keep_last

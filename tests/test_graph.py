@@ -1,5 +1,4 @@
 """Graph operators: lists, sort orders, flatten round trip, reports."""
-from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.sources import fixtures as fx
