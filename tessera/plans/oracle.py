@@ -402,7 +402,7 @@ p_bib AS (
          CASE WHEN p_partkey % 7 = 0 THEN NULL
               WHEN p_partkey % 3 = 0 THEN '<jats:p>' || d.text || '</jats:p>' ELSE d.text END AS abstract,
          CAST(p_partkey % 2 + 1 AS INTEGER) AS source, CAST(p_partkey % 97 AS INTEGER) AS rank
-  FROM p_t LEFT JOIN documents d ON d.doc_id = p_partkey % 200
+  FROM p_t LEFT JOIN documents d ON d.doc_id = p_partkey // 2
   WHERE p_partkey % 5 <> 4
 ),
 q AS (SELECT DISTINCT lower(PaperTitle) AS qkey FROM p_q WHERE PaperTitle IS NOT NULL AND PaperTitle <> ''),

@@ -152,11 +152,10 @@ def title_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P bibliography: the part title changed by ``p_partkey % 5`` (0 as is, 1 upper case,
     2 one character removed, 3 second half removed, 4 absent), its DOI, an abstract taken
-    from documents (NULL every 7th, wrapped in markup every 3rd), source 1 or 2 and a rank."""
+    from document ``p_partkey div 2`` (NULL every 7th, wrapped in markup every 3rd), source
+    1 or 2 and a rank."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    # Only documents 0..199 can be joined (doc_id = p_partkey % 200): the filter reaches the
-    # scan, so the abstract side stays small whatever the size of the documents table.
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").filter(F.col("doc_id") < 200)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     t = _part_title()
     half = F.floor(F.char_length(t) / 2).cast("int")
     k = F.col("p_partkey") % 5
@@ -169,7 +168,8 @@ def bibliography(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(F.col("p_partkey") % 3 == 0, _s("<jats:p>", text, "</jats:p>"))
                 .otherwise(text))
     return (part.filter(k != 4)
-            .join(docs, F.col("doc_id") == F.col("p_partkey") % 200, "left")
+            # two parts per document: the abstracts come from the whole documents table
+            .join(docs, F.col("doc_id") == (F.col("p_partkey") / 2).cast("bigint"), "left")
             .select(F.col("p_partkey").alias("bib_id"), title.alias("title"),
                     _s("10.7777/", F.col("p_partkey")).alias("doi"), abstract.alias("abstract"),
                     (F.col("p_partkey") % 2 + 1).cast("int").alias("source"),
