@@ -5,6 +5,8 @@ the fixture tables are re-derived in CTEs, written independently of the Spark co
 
 from __future__ import annotations
 
+from ..functions.text import PY_WHITESPACE_CLASS, PY_WHITESPACE_CODEPOINTS
+
 ORACLE: dict[str, str] = {}
 
 # ------------------------------------------------------------------------- fixture CTEs
@@ -111,7 +113,6 @@ FROM papers p LEFT JOIN (
 
 
 # ------------------------------------------------------------------ text helpers (DuckDB SQL)
-from ..functions.text import PY_WHITESPACE_CODEPOINTS, PY_WHITESPACE_CLASS  # noqa: E402
 
 WS = "(" + " || ".join(f"chr({c})" for c in PY_WHITESPACE_CODEPOINTS) + ")"
 W = r"[\p{L}\p{N}_]"

@@ -9,8 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..functions.text import sanitize_abstract
+from ..operators import curate, graph, qa, score, split, stats, titles
+from ..operators.flatmap import flat_map
 from ..sources import fixtures as fx
+from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -104,9 +107,6 @@ def paper_doi(spark, sf):
 
 
 # ------------------------------------------------------------- curation
-from ..functions.text import sanitize_abstract  # noqa: E402
-from ..operators import curate, qa, score, split, stats  # noqa: E402
-from ..operators.flatmap import flat_map  # noqa: E402
 
 _ROW_COLS = ["ord", "PaperId", "PredicateLabel", "ObjectLabel"]
 
@@ -252,8 +252,6 @@ def category_share(spark, sf):
 # --------------------------------------------------------------------- text clean-up (H6)
 @register("sanitize_text")
 def sanitize_text(spark, sf):
-    from ..sources.tables import read_table
-
     return read_table(spark, sf, "pages").select("page_id", sanitize_abstract("html").alias("text"))
 
 
@@ -270,7 +268,6 @@ def flat_map_words(spark, sf):
 
 
 # ------------------------------------------------------------ titles
-from ..operators import titles  # noqa: E402
 
 
 def _title_inputs(spark, sf):
@@ -312,8 +309,6 @@ def failed_lookups(spark, sf):
 
 @register("abstract_by_doi")
 def abstract_by_doi(spark, sf):
-    from ..sources.tables import read_table
-
     dois = read_table(spark, sf, "part").select(
         F.concat(F.lit("10.7777/"), F.col("p_partkey")).alias("doi"))
     return titles.abstract_by_doi(dois, fx.bibliography(spark, sf))
