@@ -64,3 +64,10 @@ def test_first_appearance_order(spark):
                                "ord long, PredicateLabel string")
     got = [r.ord for r in S.first_appearance_order(df).collect()]
     assert got == [1, 4, 2, 3, 5]
+
+
+def test_question_words_share_one_split(spark):
+    df = _frame(spark, {"a": 40, "b": 12, "c": 3})
+    v = S.question_variants(S.stratified_split(df))
+    per = v.groupBy("ord").agg(F.count_distinct("split").alias("k"), F.count("*").alias("n"))
+    assert per.filter("k != 1 OR n != 4").count() == 0
