@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.text import parse_id_list
+from ..functions.text import coerce_na, parse_id_list
 
 # --- fixed values: stage schemas --------------------------------------------------------------
 FIELD_PAPERS_SCHEMA = ("ResearchFieldId string, ResearchFieldLabel string, n_papers bigint, "
@@ -52,17 +52,26 @@ def export_csv(df: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def import_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+def import_csv(spark: SparkSession, path: str, schema: str | StructType,
+               coerce_missing: bool = False) -> DataFrame:
     """Read a stage CSV with an explicit schema; array<string> columns are parsed from list
-    literals.  Missing-value coercion is opt-in (``functions.text.coerce_na``)."""
+    literals.  ``coerce_missing`` turns NA-like spellings of string columns ('NA', 'nan',
+    'null', ...) into NULL as the pandas reader did (H15); off by default, so a label that
+    is literally "NA" stays text."""
     target = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     text_schema = StructType([
         StructField(f.name, StringType(), True) if isinstance(f.dataType, ArrayType) else f
         for f in target.fields])
     raw = (spark.read.schema(text_schema).option("header", True).option("multiLine", True)
            .option("escape", '"').csv(path))
-    return raw.select(*[(parse_id_list(f.name) if isinstance(f.dataType, ArrayType)
-                         else F.col(f.name)).alias(f.name) for f in target.fields])
+    def column(f):
+        if isinstance(f.dataType, ArrayType):
+            return parse_id_list(f.name)
+        if coerce_missing and isinstance(f.dataType, StringType):
+            return coerce_na(f.name)
+        return F.col(f.name)
+
+    return raw.select(*[column(f).alias(f.name) for f in target.fields])
 
 
 def write_training(df: DataFrame, path: str) -> None:

@@ -99,3 +99,13 @@ def test_graph_snapshot_nested_and_partitioned(spark, scratch):
     assert a == b
     ids = [r.id for r in graph.all_resources(res, sort=True).collect()]
     assert ids == sorted(ids)
+
+
+def test_csv_missing_value_coercion_is_opt_in(spark, scratch):
+    schema = "ResearchFieldId string, ResearchFieldLabel string, PaperId string, PaperTitle string"
+    df = spark.createDataFrame([("F1", "NA", "R1", "nan"), ("F2", "x", "R2", "t")], schema)
+    io.export_csv(df, scratch + "/na")
+    plain = sorted(map(tuple, io.import_csv(spark, scratch + "/na", schema).collect()))
+    assert plain[0] == ("F1", "NA", "R1", "nan")
+    coerced = sorted(map(tuple, io.import_csv(spark, scratch + "/na", schema, coerce_missing=True).collect()))
+    assert coerced[0] == ("F1", None, "R1", None)
