@@ -19,6 +19,11 @@ LOCATION_PREDICATES = ("country, city, location, continent", "has location", "st
                        "countries")
 DEDUP_KEYS = ("PaperId", "PredicateLabel", "ObjectLabel")
 POS_ADJ, POS_NOUN = "ADJ", "NOUN"
+# Category names, in rule order.
+(CAT_RESEARCH_PROBLEM, CAT_YEAR, CAT_URL, CAT_LOCATION, CAT_NUMBER, CAT_MEASUREMENT,
+ CAT_ACRONYM, CAT_ADJ, CAT_NOUN, CAT_UNKNOWN, CAT_ADJ_PHRASE, CAT_NOUN_PHRASE, CAT_SENTENCE) = (
+    "research problem", "year/date", "url", "location", "number", "count/measurement",
+    "acronym", "adj", "noun", "unknown", "adj phrase", "noun phrase", "sentence")
 # ---------------------------------------------------------------------------------------------
 
 
@@ -102,21 +107,21 @@ def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bo
     tokens = F.split(lab, " ", -1)
     n_tok = F.size(tokens)
     rule = (
-        F.when(F.lower(py_strip(pred)) == RESEARCH_PROBLEM_PREDICATE, "research problem")
-        .when(is_ascii_digits(lab) & (value >= 1000) & (value < 2100), "year/date")
-        .when(lab.startswith("http"), "url")
-        .when(F.lower(pred).isin(*LOCATION_PREDICATES), "location")
-        .when(is_ascii_digits(number_shape), "number")
+        F.when(F.lower(py_strip(pred)) == RESEARCH_PROBLEM_PREDICATE, CAT_RESEARCH_PROBLEM)
+        .when(is_ascii_digits(lab) & (value >= 1000) & (value < 2100), CAT_YEAR)
+        .when(lab.startswith("http"), CAT_URL)
+        .when(F.lower(pred).isin(*LOCATION_PREDICATES), CAT_LOCATION)
+        .when(is_ascii_digits(number_shape), CAT_NUMBER)
     )
     if not strict_reference:
-        rule = rule.when(F.exists(tokens, lambda t: t.rlike("^[0-9]")), "count/measurement")
+        rule = rule.when(F.exists(tokens, lambda t: t.rlike("^[0-9]")), CAT_MEASUREMENT)
     rule = (
-        rule.when(lab.rlike(r"^[A-Z]+\z"), "acronym")
-        .when(n_tok == 1, F.when(p == POS_ADJ, "adj").when(p == POS_NOUN, "noun")
-              .otherwise("unknown"))
-        .when(n_tok < 5, F.when(p == POS_ADJ, "adj phrase").when(p == POS_NOUN, "noun phrase")
-              .otherwise("unknown"))
-        .otherwise("sentence")
+        rule.when(lab.rlike(r"^[A-Z]+\z"), CAT_ACRONYM)
+        .when(n_tok == 1, F.when(p == POS_ADJ, CAT_ADJ).when(p == POS_NOUN, CAT_NOUN)
+              .otherwise(CAT_UNKNOWN))
+        .when(n_tok < 5, F.when(p == POS_ADJ, CAT_ADJ_PHRASE).when(p == POS_NOUN, CAT_NOUN_PHRASE)
+              .otherwise(CAT_UNKNOWN))
+        .otherwise(CAT_SENTENCE)
     )
     return staged.withColumn(out, rule).drop("_lab", "_pos")
 
