@@ -19,6 +19,10 @@ LOCATION_PREDICATES = ("country, city, location, continent", "has location", "st
                        "countries")
 DEDUP_KEYS = ("PaperId", "PredicateLabel", "ObjectLabel")
 POS_ADJ, POS_NOUN = "ADJ", "NOUN"
+MIN_LABEL_CHARS = 3          # shorter labels are pruned
+SMALL_NUMBER = 999           # all-digit labels below this are pruned
+YEAR_FROM, YEAR_TO = 1000, 2100  # all-digit labels in [from, to) are years
+PHRASE_MAX_TOKENS = 5        # fewer space tokens: word or phrase; else sentence
 # Category names, in rule order.
 (CAT_RESEARCH_PROBLEM, CAT_YEAR, CAT_URL, CAT_LOCATION, CAT_NUMBER, CAT_MEASUREMENT,
  CAT_ACRONYM, CAT_ADJ, CAT_NOUN, CAT_UNKNOWN, CAT_ADJ_PHRASE, CAT_NOUN_PHRASE, CAT_SENTENCE) = (
@@ -31,8 +35,9 @@ def prune_condition(label) -> Column:
     """True for rows the unwanted-row rule drops: fewer than 3 characters after strip, or an
     all-digit (unstripped) label below 999.  A missing label reads as 'nan' and stays."""
     raw = py_str(F.col(label) if isinstance(label, str) else label)
-    short = F.char_length(py_strip(raw)) < 3
-    small_number = F.coalesce(is_ascii_digits(raw) & (digits_value(raw) < 999), F.lit(False))
+    short = F.char_length(py_strip(raw)) < MIN_LABEL_CHARS
+    small_number = F.coalesce(is_ascii_digits(raw) & (digits_value(raw) < SMALL_NUMBER),
+                              F.lit(False))
     return short | small_number
 
 
@@ -101,14 +106,14 @@ def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bo
         F.regexp_replace(F.regexp_replace(lab, "^-+", ""), r"^([^.]*)[.]", "$1"),
         F.lit(","), F.lit(""))
     phrase_key = F.substring(lab, -1, 1) if strict_reference else F.element_at(tokens, -1)
-    key = F.when(n_tok == 1, lab).when(n_tok < 5, phrase_key)
+    key = F.when(n_tok == 1, lab).when(n_tok < PHRASE_MAX_TOKENS, phrase_key)
     staged = _pos_lookup(df.withColumn("_lab", lab), key, pos)
     lab, p = F.col("_lab"), F.col("_pos")
     tokens = F.split(lab, " ", -1)
     n_tok = F.size(tokens)
     rule = (
         F.when(F.lower(py_strip(pred)) == RESEARCH_PROBLEM_PREDICATE, CAT_RESEARCH_PROBLEM)
-        .when(is_ascii_digits(lab) & (value >= 1000) & (value < 2100), CAT_YEAR)
+        .when(is_ascii_digits(lab) & (value >= YEAR_FROM) & (value < YEAR_TO), CAT_YEAR)
         .when(lab.startswith("http"), CAT_URL)
         .when(F.lower(pred).isin(*LOCATION_PREDICATES), CAT_LOCATION)
         .when(is_ascii_digits(number_shape), CAT_NUMBER)
@@ -119,7 +124,7 @@ def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bo
         rule.when(lab.rlike(r"^[A-Z]+\z"), CAT_ACRONYM)
         .when(n_tok == 1, F.when(p == POS_ADJ, CAT_ADJ).when(p == POS_NOUN, CAT_NOUN)
               .otherwise(CAT_UNKNOWN))
-        .when(n_tok < 5, F.when(p == POS_ADJ, CAT_ADJ_PHRASE).when(p == POS_NOUN, CAT_NOUN_PHRASE)
+        .when(n_tok < PHRASE_MAX_TOKENS, F.when(p == POS_ADJ, CAT_ADJ_PHRASE).when(p == POS_NOUN, CAT_NOUN_PHRASE)
               .otherwise(CAT_UNKNOWN))
         .otherwise(CAT_SENTENCE)
     )

@@ -25,6 +25,7 @@ CLASS_PAPER = "Paper"
 CLASS_FIELD = "ResearchField"
 SENTINEL_ID = "Custom_ID"
 P_FIELD, P_CONTRIBUTION, P_DOI = "P30", "P31", "P26"
+L_FIELD, L_CONTRIBUTION, L_DOI = "has research field", "contribution", "doi"
 ATTRIBUTE_PREDICATES = (
     ("P32", "has research problem"),
     ("P33", "has location"),
@@ -76,17 +77,17 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     order_id = _s("R", F.col("o_orderkey"))
     p30 = (orders.join(customer, orders.o_custkey == customer.c_custkey)
            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-           .select(*stmt(order_id, P_FIELD, "has research field",
+           .select(*stmt(order_id, P_FIELD, L_FIELD,
                          _s("F", F.col("n_nationkey")), F.col("n_name"))))
     contrib = _s("C", F.col("l_orderkey"), "_", F.col("l_linenumber"))
-    p31 = lineitem.select(*stmt(_s("R", F.col("l_orderkey")), P_CONTRIBUTION, "contribution",
+    p31 = lineitem.select(*stmt(_s("R", F.col("l_orderkey")), P_CONTRIBUTION, L_CONTRIBUTION,
                                 contrib, _s("Contribution ", F.col("l_orderkey"), "_",
                                             F.col("l_linenumber"))))
     doi = _s("10.5555/", F.col("o_orderkey"))
     p26 = (orders.filter(F.col("o_orderkey") % 10 != 0)
-           .select(*stmt(order_id, P_DOI, "doi", _s("LP26_", order_id), doi))
+           .select(*stmt(order_id, P_DOI, L_DOI, _s("LP26_", order_id), doi))
            .unionByName(orders.filter(F.col("o_orderkey") % 50 == 1)
-                        .select(*stmt(order_id, P_DOI, "doi", _s("LP26_", order_id, "b"),
+                        .select(*stmt(order_id, P_DOI, L_DOI, _s("LP26_", order_id, "b"),
                                       _s(doi, "b")))))
     # One branch per attribute predicate, each with a literal predicate id: a filter on
     # predicate_id then removes whole branches (and their joins) at planning time.
