@@ -463,3 +463,17 @@ ORACLE["abstract_by_doi"] = with_p("""
 SELECT d.doi, CASE WHEN doi_1.a IS NOT NULL AND doi_1.a <> '' THEN doi_1.a ELSE doi_2.a END AS abstract
 FROM (SELECT DISTINCT '10.7777/' || p_partkey AS doi FROM part) d
 LEFT JOIN doi_1 USING (doi) LEFT JOIN doi_2 USING (doi)""")
+
+
+ORACLE["field_to_papers_docs"] = """
+WITH d AS (
+  SELECT doc_id, TRY_CAST(regexp_extract(source, '^src([0-9]+)$', 1) AS INTEGER) AS fk FROM documents
+),
+edges AS (
+  SELECT 'F' || n_nationkey AS fid, n_name AS lab FROM d JOIN nation ON fk = n_nationkey
+)
+SELECT fid AS ResearchFieldId, min(lab) AS ResearchFieldLabel, count(*) AS n_papers
+FROM edges GROUP BY fid
+UNION ALL
+SELECT 'F' || n_nationkey, n_name, CAST(0 AS BIGINT) FROM nation
+WHERE 'F' || n_nationkey NOT IN (SELECT fid FROM edges)"""

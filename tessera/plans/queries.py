@@ -56,6 +56,12 @@ def field_to_papers(spark, sf):
     return graph.field_to_papers(resources, statements)
 
 
+@register("field_to_papers_docs")
+def field_to_papers_docs(spark, sf):
+    resources, statements = fx.document_graph(spark, sf)
+    return graph.field_to_papers(resources, statements)
+
+
 @register("field_papers_flat")
 def field_papers_flat(spark, sf):
     resources, statements = fx.graph(spark, sf)

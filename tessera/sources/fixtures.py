@@ -111,6 +111,28 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return resources, statements
 
 
+def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """F: nations are research fields, documents are papers, and a document belongs to the
+    nation numbered in its ``source`` (src0, src1, ...); nations without documents stay
+    empty."""
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    field_key = F.regexp_extract("source", r"^src([0-9]+)$", 1).try_cast("int")
+    resources = (
+        nation.select(_s("F", F.col("n_nationkey")).alias("id"), F.col("n_name").alias("label"),
+                      F.array(F.lit(CLASS_FIELD)).alias("classes"))
+        .unionByName(docs.select(_s("D", F.col("doc_id")).alias("id"),
+                                 _s(F.col("lang"), " document ", F.col("doc_id")).alias("label"),
+                                 F.array(F.lit(CLASS_PAPER)).alias("classes"))))
+    statements = (docs.withColumn("fk", field_key)
+                  .join(bounded_broadcast(nation), F.col("fk") == F.col("n_nationkey"))
+                  .select(_s("D", F.col("doc_id")).alias("subject_id"),
+                          F.lit(P_FIELD).alias("predicate_id"), F.lit(L_FIELD).alias("predicate_label"),
+                          _s("F", F.col("n_nationkey")).alias("object_id"),
+                          F.col("n_name").alias("object_label")))
+    return resources, statements
+
+
 def text_rows(spark: SparkSession, sf_dir: str, neighbours: bool = True) -> DataFrame:
     """T: two rows per document (its own word number ``doc_id % 5`` and the first word of
     the next document); ``ord`` is unique and gives the row order."""

@@ -49,3 +49,10 @@ def test_papers_without_title(spark):
     res = spark.createDataFrame([("R1", "t", ["Paper"])], "id string, label string, classes array<string>")
     ids = spark.createDataFrame([("R1",), ("R2",)], "PaperId string")
     assert [x.PaperId for x in graph.papers_without_title(ids, res).collect()] == ["R2"]
+
+
+def test_document_graph_has_five_empty_fields(spark):
+    r, s = fx.document_graph(spark, SF01)
+    rows = graph.field_to_papers(r, s).collect()
+    assert len(rows) == 25 and sum(x.n_papers == 0 for x in rows) == 5
+    assert sum(x.n_papers for x in rows) == 1000
