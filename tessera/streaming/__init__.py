@@ -1,0 +1,2 @@
+"""Incremental application of the row-wise stages to newly arriving files (Structured
+Streaming with an availableNow trigger)."""
