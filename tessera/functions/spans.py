@@ -16,11 +16,6 @@ from pyspark.sql import functions as F
 
 from .text import NON_WORD_CLASS, PY_WHITESPACE_CLASS, WORD_CLASS, _c
 
-# A Python-style \b: a position where exactly one neighbour is a word character.
-WORD_BOUNDARY = (
-    f"(?:(?<={WORD_CLASS})(?!{WORD_CLASS})|(?<!{WORD_CLASS})(?={WORD_CLASS}))"
-)
-
 # Default token provider for span -> token alignment: a run of word characters, or one
 # character that is neither a word character nor whitespace.
 TOKEN_PATTERN = (
@@ -90,7 +85,7 @@ def token_index_at(text, pos, max_tokens: int | None = None) -> Column:
     return idx
 
 
-__all__ = ["WORD_BOUNDARY", "TOKEN_PATTERN", "NON_WORD_CLASS", "quote_literal", "word_pattern",
+__all__ = ["TOKEN_PATTERN", "NON_WORD_CLASS", "quote_literal", "word_pattern",
            "contains_word", "answer_span", "token_index_at"]
 
 
