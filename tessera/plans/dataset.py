@@ -74,3 +74,58 @@ def build(resources: DataFrame, statements: DataFrame, bibliography: DataFrame,
                             "question_word", "split"),
             f"{out}/training")
     return variants
+
+
+def score_predictions(predictions: DataFrame, out: str, strict_reference: bool = True) -> DataFrame:
+    """Scoring stage: per-row evaluation table (CSV) and the metrics record (JSON)."""
+    from ..operators import score
+
+    scored = score.score_rows(predictions, strict_reference=strict_reference)
+    metrics = score.metrics(scored)
+    stage_io.write_eval(scored, f"{out}/eval")
+    stage_io.write_metrics(metrics, f"{out}/metrics")
+    return metrics
+
+
+def main(argv: list[str] | None = None, spark=None) -> None:
+    """Command line (for spark-submit):
+
+    ``build --resources R --statements S --bibliography B --out O [--nested] [--pos P]``
+    ``score --predictions P --out O [--fixed]``"""
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from ..sources import graph_snapshot
+
+    ap = argparse.ArgumentParser(prog="tessera.plans.dataset")
+    sub = ap.add_subparsers(dest="cmd", required=True)
+    b = sub.add_parser("build")
+    b.add_argument("--resources", required=True)
+    b.add_argument("--statements", required=True)
+    b.add_argument("--bibliography", required=True)
+    b.add_argument("--out", required=True)
+    b.add_argument("--format", default="parquet")
+    b.add_argument("--nested", action="store_true")
+    b.add_argument("--pos")
+    b.add_argument("--exact-titles", action="store_true")
+    s = sub.add_parser("score")
+    s.add_argument("--predictions", required=True)
+    s.add_argument("--out", required=True)
+    s.add_argument("--fixed", action="store_true", help="count every non-empty prediction")
+    args = ap.parse_args(argv)
+    spark = spark or SparkSession.builder.getOrCreate()
+    if args.cmd == "build":
+        resources = graph_snapshot.read_resources(spark, args.resources, args.format)
+        statements = graph_snapshot.read_statements(spark, args.statements, args.format,
+                                                    nested=args.nested)
+        bib = spark.read.parquet(args.bibliography)
+        pos = spark.read.parquet(args.pos) if args.pos else None
+        build(resources, statements, bib, out=args.out, pos=pos, fuzzy=not args.exact_titles)
+    else:
+        preds = spark.read.parquet(args.predictions)
+        score_predictions(preds, args.out, strict_reference=not args.fixed)
+
+
+if __name__ == "__main__":
+    main()

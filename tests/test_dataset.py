@@ -37,3 +37,18 @@ def test_build_writes_every_stage(spark, scratch):
     # every final row is in exactly one split
     splits = back.groupBy("ord").agg(F.count_distinct("split").alias("k"))
     assert splits.filter("k != 1").count() == 0
+
+
+def test_command_line_build_and_score(spark, scratch):
+    resources, statements = fx.graph(spark, SF001)
+    resources.write.parquet(scratch + "/res")
+    statements.write.parquet(scratch + "/st")
+    _graph_bibliography(resources, statements).write.parquet(scratch + "/bib")
+    dataset.main(["build", "--resources", scratch + "/res", "--statements", scratch + "/st",
+                  "--bibliography", scratch + "/bib", "--out", scratch + "/out", "--exact-titles"],
+                 spark=spark)
+    assert stage_io.read_training(spark, scratch + "/out/training").count() > 0
+    fx.predictions(spark, SF001).write.parquet(scratch + "/pred")
+    dataset.main(["score", "--predictions", scratch + "/pred", "--out", scratch + "/score"], spark=spark)
+    m = spark.read.json(scratch + "/score/metrics").first()
+    assert abs(m.accuracy - 0.6) < 1e-9
