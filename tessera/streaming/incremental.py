@@ -28,3 +28,25 @@ def stream_stage(spark: SparkSession, source: str, schema: str | StructType,
               .option("path", sink).option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
+
+
+def stream_metrics(spark: SparkSession, source: str, schema: str | StructType, out: str,
+                   checkpoint: str, strict_reference: bool = True,
+                   available_now: bool = True) -> StreamingQuery:
+    """Keep the scoring metrics up to date while prediction files arrive in ``source``.
+
+    The token and match counters are a streaming aggregation (kept in the state store under
+    ``checkpoint``); after every micro-batch the complete one-row record is rewritten to
+    ``out`` as JSON.  Once all files are in, the record equals ``score.metrics`` over them."""
+    from ..operators import score
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    record = score.metrics(score.score_rows(stream, strict_reference=strict_reference))
+
+    def publish(batch: DataFrame, _epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").json(out)
+
+    writer = (record.writeStream.outputMode("complete").foreachBatch(publish)
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.start()

@@ -109,3 +109,20 @@ def test_csv_missing_value_coercion_is_opt_in(spark, scratch):
     assert plain[0] == ("F1", "NA", "R1", "nan")
     coerced = sorted(map(tuple, io.import_csv(spark, scratch + "/na", schema, coerce_missing=True).collect()))
     assert coerced[0] == ("F1", None, "R1", None)
+
+
+def test_stream_metrics_equals_batch(spark, scratch):
+    from tessera.sources.fixtures import predictions
+    from tessera.streaming.incremental import stream_metrics
+
+    from .conftest import SF001
+
+    preds = predictions(spark, SF001)
+    preds.filter("ord < 100").write.parquet(scratch + "/p/a")
+    preds.filter("ord >= 100").write.parquet(scratch + "/p/b")
+    q = stream_metrics(spark, scratch + "/p/*", preds.schema, scratch + "/m", scratch + "/mc")
+    q.awaitTermination(180)
+    got = spark.read.json(scratch + "/m").first().asDict()
+    want = score.metrics(score.score_rows(preds)).first().asDict()
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
