@@ -20,7 +20,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 def keep_last(df: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
     """Keep, per key combination, the row with the greatest ``ord`` (pandas
     ``drop_duplicates(keep='last')`` on a frame ordered by ``ord``).  NULL keys compare
-    equal, as in pandas.
+    equal, as in pandas.  ``ord`` must be non-null and unique (it stands for the row
+    position; a tie would leave the choice to the data layout).
 
     One hash aggregate of ``max(struct(ord, row))``: the map side keeps one row per key
     per partition before the shuffle, so a key holding a third of all rows costs one row
