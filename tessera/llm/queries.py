@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints
+from . import fingerprints, packing, token_counts
+from .common import shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every call starts from an empty cache, so its work is that of a cold start
+    return token_counts.count_tokens(_documents(spark, sf_dir), shared_path(spark, "token-cache"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op6_token_counts": op6_token_counts,
+    "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
