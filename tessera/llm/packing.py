@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,21 +111,21 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_TO
         groups = max(1, -(-n // group_pieces))
         last = groups == 1 or turn == max_rounds - 1
 
-        def pack_frame(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["length", "doc_id", "piece", "salt"], ascending=[False, True, True, True],
-                                      kind="stable", ignore_index=True)
-            seq, offset = pack_group(frame["length"].to_numpy(), (max_tokens, max_docs, max_attention), score=score)
-            fill = np.bincount(seq, weights=frame["length"].to_numpy()) / max_tokens
-            frame["sequence_id"] = (turn << 56) + frame["_group"].astype("int64") * (1 << 24) + seq
-            frame["offset"] = offset
-            frame["open"] = fill[seq] < OPEN_BELOW
-            return frame.drop(columns="_group")
-
-        schema = (f"doc_id long, piece int, start long, length long, ids_crc32 long, salt int, "
-                  f"sequence_id long, `offset` long, `open` boolean")
+        def pack_table(table: pa.Table) -> pa.Table:
+            table = table.sort_by([("length", "descending"), ("doc_id", "ascending"),
+                                   ("piece", "ascending"), ("salt", "ascending")])
+            length = table.column("length").to_numpy()
+            seq, offset = pack_group(length, (max_tokens, max_docs, max_attention), score=score)
+            fill = np.bincount(seq, weights=length) / max_tokens
+            name = (turn << 56) + table.column("_group").to_numpy().astype(np.int64) * (1 << 24) + seq
+            table = table.drop_columns("_group")
+            return (table.append_column("sequence_id", pa.array(name)).append_column("offset", pa.array(offset))
+                    .append_column("open", pa.array(fill[seq] < OPEN_BELOW)))
+
+        schema = PIECE_SCHEMA + ", sequence_id long, `offset` long, `open` boolean"
         dealt = todo.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "salt", F.lit(turn)),
                                                  F.lit(groups)).cast("int"))
-        packed = publish(dealt.groupBy("_group").applyInPandas(pack_frame, schema), f"packed{turn}")
+        packed = publish(dealt.groupBy("_group").applyInArrow(pack_table, schema), f"packed{turn}")
         done.append(packed if last else packed.filter(~F.col("open")))
         if last:
             break

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, token_counts
+from . import fingerprints, mixing, packing, token_counts
 from .common import shared_path
 
 
@@ -22,6 +22,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every call starts from an empty cache, so its work is that of a cold start
     return token_counts.count_tokens(_documents(spark, sf_dir), shared_path(spark, "token-cache"))
@@ -33,6 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_mixing": op3_mixing,
     "op6_token_counts": op6_token_counts,
     "op10_packing": op10_packing,
 }
