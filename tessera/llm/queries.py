@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, packing, token_counts, toxicity
+from . import fingerprints, language, logbilinear, mixing, packing, token_counts, toxicity
 from .common import shared_path
 
 
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), shared_path(spark, "token-cache"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logbilinear.score(_documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
     "op8_language": op8_language,
     "op10_packing": op10_packing,
 }
