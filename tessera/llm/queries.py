@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, logbilinear, mixing, packing, token_counts, toxicity
+from . import curves, fingerprints, language, logbilinear, mixing, packing, token_counts, toxicity
 from .common import shared_path
 
 
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op5_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every call starts from an empty cache, so its work is that of a cold start
     return token_counts.count_tokens(_documents(spark, sf_dir), shared_path(spark, "token-cache"))
@@ -51,6 +55,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op5_curve_neighbours": op5_curve_neighbours,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
     "op8_language": op8_language,
