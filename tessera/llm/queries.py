@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curves, fingerprints, language, logbilinear, mixing, packing, token_counts, toxicity
+from . import curves, fingerprints, jaccard, language, logbilinear, mixing, packing, token_counts, toxicity
 from .common import shared_path
 
 
@@ -47,6 +47,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_documents(spark, sf_dir))
 
 
+def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(_documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
     "op8_language": op8_language,
+    "op9_jaccard_groups": op9_jaccard_groups,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {}
