@@ -1,8 +1,67 @@
-"""The corpus pipeline (in the making)."""
+"""The corpus pipeline: toxicity, near duplicates, repeated passages, source mix, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.  All but
+the last return the columns of ``documents``; ``run`` writes every stage's rows as Parquet
+into the shared folder and reads them again for the next one.
+
+* toxicity: rows whose score reaches ``toxicity.THRESHOLD`` go; the model learns from the
+  table ``labels`` and the unfiltered ``documents``, outside the kept fold.
+* near_duplicates: word 5-grams, Jaccard similarity of 0.8 or more; the smallest doc_id of
+  each group stays.
+* repeated_passages: words under 13-word windows that start in a smaller doc_id go; a
+  document that loses all its words goes.
+* source_mix: every row as often as the mix of sources takes it.
+* packing: pieces of at most 4096 tokens in sequences.
+
+No stage has an SQL form as a whole, so ``ORACLE_SQL`` is None; ``tests/llm`` runs the stages
+against brute force."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import jaccard, mixing, packing, substrings, toxicity
+from tessera.llm.common import publish
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lexicon, trees = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                                  spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, lexicon, trees)
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("source_mix", mix_sources),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table ``documents`` of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = publish(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curves, fingerprints, jaccard, language, logbilinear, mixing, packing, token_counts, toxicity
+from . import curves, fingerprints, jaccard, language, logbilinear, mixing, packing, substrings, token_counts, toxicity
 from .common import shared_path
 
 
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -59,6 +63,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_curve_neighbours": op5_curve_neighbours,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
