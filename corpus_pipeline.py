@@ -23,14 +23,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, mixing, packing, substrings, toxicity
-from tessera.llm.common import publish
+from tessera.llm.common import masked, publish
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lexicon, trees = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"),
                                   spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, lexicon, trees)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    plain, name = masked(docs)
+    scored = toxicity.score(plain.withColumnRenamed(name["text"], "text"), lexicon, trees)
+    return scored.filter("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,15 @@ def shingle_sets(words: Words, h: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+# ---- pass-through columns ----------------------------------------------------------------
+
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with neutral column names, and which name stands for which: an operator that
+    carries all columns along can then add its own without clashes."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 # ---- schemas -------------------------------------------------------------------------------
 
 def extended(df: DataFrame, **columns: str) -> StructType:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, mix, publish, shingle_sets, text_chunks
+from .common import LOWER, Words, masked, mix, publish, shingle_sets, text_chunks
 from .components import components
 
 SHINGLE = 4
@@ -418,6 +418,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group (rows without words and
     with a null id all stay; repeated rows of one id stay together)."""
     keep = similar_groups(docs, k, percent).filter("component_id = doc_id").select(F.col("doc_id").alias("_keep")).distinct()
-    columns = [F.col(c) for c in docs.columns]
-    return (docs.filter("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep")).select(*columns)
-            .unionByName(docs.filter("doc_id is null")))
+    plain, name = masked(docs)
+    doc_id = F.col(name["doc_id"])
+    return (plain.filter(doc_id.isNotNull()).join(keep, doc_id == F.col("_keep")).drop("_keep")
+            .unionByName(plain.filter(doc_id.isNull()))).toDF(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, extended, mix as splitmix, publish, text_chunks
+from .common import Words, extended, masked, mix as splitmix, publish, text_chunks
 
 CAP = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -171,19 +171,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
                     seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (not at all, once or more)."""
-    columns = [F.col(f"a.{c}") for c in docs.columns]
+    plain, name = masked(docs)
     sizes = publish(word_counts(docs), "word-counts")
     copies = mix_rows(sizes, weights, cap, seed=seed).filter("copies > 0")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = [Words(buf, offs).counts() for _, _, buf, offs in text_chunks(b.column("text"))]
+            n = [Words(buf, offs).counts() for _, _, buf, offs in text_chunks(b.column(name["text"]))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n) if n else [], pa.int64())],
                                              names=[*b.schema.names, "_words"])
 
-    rows = docs.mapInArrow(sized, extended(docs, _words="long"))
-    same = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-            & (F.col("a._words") == F.col("b.size")))
+    rows = plain.mapInArrow(sized, extended(plain, _words="long"))
+    same = (F.col(f"a.{name['doc_id']}").eqNullSafe(F.col("b.doc_id"))
+            & F.col(f"a.{name['source']}").eqNullSafe(F.col("b.source")) & (F.col("a._words") == F.col("b.size")))
     return (rows.alias("a").join(copies.alias("b"), same)
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*columns))
+            .select(*[f"a.{c}" for c in plain.columns]).toDF(*docs.columns))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Words, _powers, extended, mix, publish, shuffle_partitions, text_chunks, window_hashes
+from .common import BASE, Words, _powers, extended, masked, mix, publish, shuffle_partitions, text_chunks, window_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -356,14 +356,14 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
                        F.xxhash64("text").alias("_hash"), "text")
 
 
-def _removals(b: pa.RecordBatch, window: int = WINDOW) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
+def _removals(b: pa.RecordBatch, text: str = "text", window: int = WINDOW) -> Iterator[tuple[np.ndarray, Words, np.ndarray]]:
     """(rows, words, mask of removed words) chunk by chunk of a batch with ``spans``."""
     spans = b.column("spans")
     offsets = spans.offsets.to_numpy() if len(spans) else np.zeros(1, np.int64)
     flat = spans.values
     start, bits = flat.field("start").to_numpy(), flat.field("bits").to_numpy()
     valid = spans.is_valid().to_numpy(zero_copy_only=False)
-    for at, to, buf, offs in text_chunks(b.column("text")):
+    for at, to, buf, offs in text_chunks(b.column(text)):
         words = Words(buf, offs)
         edge = np.zeros(len(words) + 1, np.int64)
         for r in range(at, to):
@@ -416,24 +416,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the covered words removed from the texts.  A text that loses nothing
     stays as it is; of another the kept words are joined by one space; a text that loses all
     its words goes.  ``n_chars`` (if there) is brought up to date."""
-    columns = docs.columns
-    rows = _keyed(docs, *[F.col(c) for c in columns if c != "text"])
-    spans = repeated_windows(rows)
-    joined = rows.join(spans, ["_id", "_hash"], "left").drop("_id", "_hash")
+    plain, name = masked(docs)
+    text = name["text"]
+    rows = (plain.withColumn("_id", F.coalesce(F.col(name["doc_id"]).cast("long"), F.lit(LAST)))
+            .withColumn("_hash", F.xxhash64(text)))
+    spans = repeated_windows(rows.select("_id", "_hash", F.col(text).alias("text")))
+    joined = rows.join(spans, ["_id", "_hash"], "left").select(*plain.columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, emptied = b.column("text").to_pylist(), [False] * b.num_rows
-            for at, words, gone in _removals(b):
+            texts, emptied = b.column(text).to_pylist(), [False] * b.num_rows
+            for at, words, gone in _removals(b, text):
                 for i in np.unique(words.doc[gone]).tolist():
                     left = _kept_text(words, gone, i)
                     texts[at[i]], emptied[at[i]] = left.decode(), not left
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(emptied)],
-                                             names=[*b.schema.names[:-1], "_text", "_emptied"])
-
-    out = joined.drop("spans")
-    cut = joined.mapInArrow(run, extended(out, _text="string", _emptied="boolean")).filter("not _emptied")
-    cut = cut.drop("text", "_emptied").withColumnRenamed("_text", "text")
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*columns)
+            columns = dict(zip(b.schema.names[:-1], b.columns[:-1])) | {text: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(emptied)], names=[*columns, "_emptied"])
+
+    cut = joined.mapInArrow(run, extended(plain, _emptied="boolean")).filter("not _emptied").drop("_emptied")
+    if "n_chars" in name:
+        cut = cut.withColumn(name["n_chars"], F.char_length(F.coalesce(text, F.lit("")))
+                             .cast(docs.schema["n_chars"].dataType))
+    return cut.toDF(*docs.columns)
