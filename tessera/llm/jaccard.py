@@ -10,11 +10,15 @@ sets, by tries.
    and a set with at least ``slack`` empty parts signs the empty ones too.)  Sets that share
    a signature are linked to the smallest such set, first within a task's batch, then on the
    cluster; the connected components hold every similar pair.
-3. Each cluster's sets, in the global order of shingle hashes, go into a prefix tree: sets
-   with a common beginning share a path, so their overlap with a query is counted once; a
-   subtree is left when the shingles that remain on either side can't reach the overlap its
-   smallest set needs, or no size in it fits.  A pair within one group already is not visited.
-4. A cluster of more than ``block`` sets is cut into blocks by hash.  Each block is joined on
+3. Each cluster's sets, in one order of their shingles (rarest first), go into a prefix tree:
+   sets with a common beginning share a path, so their overlap with a query is counted once;
+   a subtree is left when the shingles that remain on either side can't reach the overlap its
+   smallest set needs, when no size in it fits, or when none of its sets shares one of the
+   first shingles that a similar set must share.  Pairs within one group are not visited.
+   A cluster of more than ``block`` sets (held together by passages that many sets share)
+   is taken apart first: its sets sign again, leaving out parts that hold nothing but
+   shingles common in it (see ``signatures``; still no similar pair is lost).
+4. A cluster of still more than ``block`` sets is cut into blocks by hash.  Each block is joined on
    its own; then the blocks' groups are compared by one set each; then, unless one group is
    left, every set outside the largest group meets every block, in tasks of bounded size."""
 
@@ -27,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, masked, mix, publish, shingle_sets, text_chunks
+from .common import LOWER, Words, masked, mix, publish, shingle_sets, shuffle_partitions, text_chunks
 from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-BLOCK = 1500  # sets of a block, on average
+BLOCK = 4000  # sets of a block, on average
 CLASS_RATIO = 0.6  # sizes of a class: from this times its top up to its top
+LEVELS = (3, 9, 27, 81, 243, 729)  # numbers of sets from which a shingle counts as common
 _EMPTY = np.uint64(0x51ED270B0A1F39C1)
 
 
@@ -71,45 +76,79 @@ def _classes(size: int, percent: int) -> range:
     return range(c, last + 1)
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The set's signatures in all its size classes."""
+def signatures(s: np.ndarray, percent: int = PERCENT, levels: np.ndarray | None = None) -> np.ndarray:
+    """The set's signatures in all its size classes.
+
+    Every similar pair has at least ``slack`` equal parts.  Without ``levels`` the empty parts
+    don't sign, unless there are ``slack`` of them.  With ``levels`` (see ``Levels``) neither
+    do parts whose shingles are all common; what counts as common starts at the lowest level
+    that leaves fewer than ``slack`` parts unsigned.  Of two similar sets, the one with the
+    lower level has an equal part with a shingle below that level, which the other signs too:
+    no pair is lost."""
     out = []
     for c in _classes(len(s), percent):
         most = most_different(_class_top(c), percent)
-        slack = 4 + most // 50
+        slack = 4 + (most // 50 if levels is None else most // 5)
         parts = most + slack
         spread = mix(s + np.uint64(0x632BE59BD9B4E019))
         at = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        # at most 2^32 parts; sums wrap
-        total = np.zeros(parts, np.uint64)
+        total = np.zeros(parts, np.uint64)  # sums wrap
         np.add.at(total, at, mix(s))
-        filled = np.zeros(parts, bool)
-        filled[at] = True
-        empty = parts - int(filled.sum())
-        total[~filled] = _EMPTY
+        least = np.full(parts, len(LEVELS) + 1)  # the level of a part's rarest shingle; empty: above all
+        np.minimum.at(least, at, 0 if levels is None else levels)
+        total[least > len(LEVELS)] = _EMPTY
         number = np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 40)
         sign = mix(total ^ mix(number))
-        out.append(sign if empty >= slack else sign[filled])
+        for level in range(len(LEVELS) + 1):
+            if (least > level).sum() < slack:
+                sign = sign[least <= level]
+                break
+        out.append(sign)
     return np.concatenate(out)
 
 
+class Levels:
+    """How common shingles are: for each bound of ``LEVELS`` a bitmap of fixed size, by hash,
+    of the shingles in at least so many sets (a bit may stand for several shingles, so a
+    shingle may seem more common than it is, the same for every set)."""
+
+    SHARDS, BITS = 256, 1 << 16
+
+    @classmethod
+    def spot(cls, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (s >> np.uint64(56)).astype(np.int64), ((s >> np.uint64(32)) % np.uint64(cls.BITS)).astype(np.int64)
+
+    def __init__(self, bitmaps: np.ndarray):
+        self.bitmaps = bitmaps  # uint8 [levels, SHARDS, BITS / 8]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        shard, bit = self.spot(s)
+        return ((self.bitmaps[:, shard, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).sum(axis=0)
+
+
 # ---- the prefix tree -----------------------------------------------------------------------
 
 class Node:
-    __slots__ = ("run", "below", "ends", "least", "most", "left")
+    __slots__ = ("run", "below", "ends", "least", "most", "left", "up", "stamp")
 
-    def __init__(self, run):
+    def __init__(self, run, up):
         self.run = run  # shingles on the edge into this node
+        self.up: Node | None = up
         self.below: dict[int, Node] = {}
         self.ends: list[int] = []
         self.least, self.most = 1 << 60, 0  # sizes of the sets below
         self.left = 0  # most shingles that follow on any path below
+        self.stamp = 0
 
 
 class PrefixTree:
+    """Sets as paths of shingle ranks (rarest first); edges hold runs of them."""
+
     def __init__(self, percent: int):
         self.percent = percent
-        self.root = Node(np.empty(0, np.uint64))
+        self.root = Node(np.empty(0, np.int64), None)
+        self.place: dict[int, Node] = {}  # where each set ends
+        self.turn = 0
 
     def add(self, s: np.ndarray, number: int) -> None:
         node, at, n = self.root, 0, len(s)
@@ -117,40 +156,48 @@ class PrefixTree:
             node.least, node.most = min(node.least, n), max(node.most, n)
             node.left = max(node.left, n - at)
             if at == n:
-                node.ends.append(number)
-                return
+                break
             child = node.below.get(int(s[at]))
             if child is None:
-                leaf = Node(s[at:])
+                leaf = Node(s[at:], node)
                 leaf.least = leaf.most = n
-                leaf.ends.append(number)
                 node.below[int(s[at])] = leaf
-                return
+                node = leaf
+                break
             m = min(len(child.run), n - at)
             differ = np.flatnonzero(child.run[:m] != s[at:at + m])
             shared = int(differ[0]) if len(differ) else m
             if shared < len(child.run):  # cut the edge
-                upper = Node(child.run[:shared])
-                upper.least, upper.most = child.least, child.most
+                upper = Node(child.run[:shared], node)
+                upper.least, upper.most, upper.stamp = child.least, child.most, child.stamp
                 upper.left = child.left + len(child.run) - shared
-                child.run = child.run[shared:]
+                child.run, child.up = child.run[shared:], upper
                 upper.below[int(child.run[0])] = child
                 node.below[int(s[at])] = upper
                 child = upper
             node, at = child, at + shared
+        node.ends.append(number)
+        self.place[number] = node
 
-    def similar(self, s: np.ndarray, skip) -> Iterator[int]:
-        """Numbers of the sets at least as similar as asked, but those that ``skip``."""
+    def similar(self, s: np.ndarray, wanted: list[int]) -> int | None:
+        """One of the ``wanted`` sets that is at least as similar as asked, if any.  Only
+        paths to wanted sets are walked, and their common beginnings once."""
         n, p = len(s), self.percent
-        stack = [(c, 0, 0) for c in self.root.below.values()]
+        self.turn += 1
+        for j in wanted:
+            node = self.place[j]
+            while node is not None and node.stamp != self.turn:
+                node.stamp = self.turn
+                node = node.up
+        stack = [(c, 0, 0) for c in self.root.below.values() if c.stamp == self.turn]
+        wanted = set(wanted)
         while stack:
             node, overlap, at = stack.pop()
             if node.most * 100 < p * n or node.least * p > 100 * n:
                 continue
             run = node.run
-            rest = n - at
             need = -(-p * (n + node.least) // (100 + p))
-            if overlap + min(rest, len(run) + node.left) < need:
+            if overlap + min(n - at, len(run) + node.left) < need:
                 continue
             spot = np.searchsorted(s, run)
             inside = spot < n
@@ -158,16 +205,14 @@ class PrefixTree:
             at = int(np.searchsorted(s, run[-1], "right"))
             if overlap + min(n - at, node.left) < need:
                 continue
-            for i in node.ends:
-                if not skip(i) and (100 + p) * overlap >= p * (n + node_size(node)):
-                    yield i
+            if node.ends and (100 + p) * overlap >= p * (n + node.least):  # the sets that end here are its least
+                for j in node.ends:
+                    if j in wanted:
+                        return j
             for c in node.below.values():
-                stack.append((c, overlap, at))
-
-
-def node_size(node: Node) -> int:
-    """The size of the sets that end at a node: the least below it, as others go on."""
-    return node.least
+                if c.stamp == self.turn:
+                    stack.append((c, overlap, at))
+        return None
 
 
 class Groups:
@@ -196,35 +241,66 @@ class Groups:
             self.count -= 1
 
 
+def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets as sorted ranks in one order of all their shingles: rarest first, then by hash."""
+    if not sets:
+        return []
+    values, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, count))] = np.arange(len(values))
+    return [np.sort(x) for x in np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])]
+
+
 def link_all(sets: list[np.ndarray], labels: list, percent: int, asks: list[bool] | None = None) -> Groups:
     """Groups of similar sets; sets with one label are one group to begin with.  With
-    ``asks``, only pairs of an asking and another set are looked for.  A set is a query once,
-    against the tree of the sets before it (with ``asks``: of all that don't ask)."""
+    ``asks``, only pairs of an asking and another set are looked for.
+
+    Sets come by size.  Two similar sets share one of their first
+    ``n - ceil(p / 100 * n) + 1`` shingles in the common order, so each set is led to those
+    before it (with ``asks``: to all that don't ask) by an index of these; of every group
+    among them, one similar set is looked for in the tree."""
     groups = Groups(labels)
+    sets = ranked(sets)
     tree = PrefixTree(percent)
-    inside: set[int] = set()  # groups that have a set in the tree
+    index: dict[int, list[int]] = {}
+
+    def first(s: np.ndarray) -> list[int]:
+        return s[:len(s) - (-(-percent * len(s) // 100)) + 1].tolist()
+
+    def enter(i: int) -> None:
+        tree.add(sets[i], i)
+        for x in first(sets[i]):
+            index.setdefault(x, []).append(i)
+
     if asks is not None:
-        for i, s in enumerate(sets):
+        for i in range(len(sets)):
             if not asks[i]:
-                tree.add(s, i)
+                enter(i)
     for i, s in enumerate(sets):
         if asks is not None and not asks[i]:
             continue
         if groups.count == 1:
             break
-        others = {groups.find(g) for g in inside} if asks is None else None
-        if others is None or others - {groups.find(i)}:
-            for j in tree.similar(s, lambda j: groups.find(j) == groups.find(i)):
-                groups.join(i, j)
-                if others is not None:
-                    others = {groups.find(g) for g in others}
-                    if others <= {groups.find(i)}:
-                        break
-                if groups.count == 1:
-                    break
+        near: dict[int, list[int]] = {}
+        own = groups.find(i)
+        known: set[int] = set()
+        for x in first(s):
+            for j in index.get(x, ()):
+                if j not in known:
+                    known.add(j)
+                    g = groups.find(j)
+                    if g != own:
+                        near.setdefault(g, []).append(j)
+        for members in near.values():
+            if groups.find(members[0]) == groups.find(i):
+                continue
+            found = tree.similar(s, members[:4])  # in a group of near copies the first will do
+            if found is None and len(members) > 4:
+                found = tree.similar(s, members[4:])
+            if found is not None:
+                groups.join(i, found)
         if asks is None:
-            tree.add(s, i)
-            inside = {groups.find(g) for g in inside} | {groups.find(i)}
+            enter(i)
     return groups
 
 
@@ -242,11 +318,47 @@ def shingle_identities(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long")
 
 
-def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def common_shingles(texts: DataFrame, k: int = SHINGLE) -> Levels:
+    """The levels of the shingles of ``texts`` (one row per distinct set).  Shingles travel
+    packed, as 32 bits within one of 256 shards."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, buf, offs in text_chunks(b.column("text"), 1 << 22):
+                every = np.sort(np.concatenate(sets_of(buf, offs, k)))
+                cut = np.searchsorted(every >> np.uint64(56), np.arange(Levels.SHARDS + 1))
+                low = ((every >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(Levels.SHARDS, dtype=np.int32)),
+                    pa.array([low[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["shard", "low"])
+
+    def count(table: pa.Table) -> pa.Table:
+        low, n = np.unique(np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4"), return_counts=True)
+        bit = (low.astype(np.int64) >> 8) % Levels.BITS
+        rows = []
+        for bound in LEVELS:
+            flags = np.zeros(Levels.BITS, bool)
+            flags[bit[n >= bound]] = True
+            rows.append(np.packbits(flags, bitorder="little").tobytes())
+        shard = table.column("shard")[0].as_py()
+        return pa.table({"shard": pa.array([shard] * len(LEVELS), pa.int32()),
+                         "level": pa.array(range(len(LEVELS)), pa.int32()), "bits": pa.array(rows, pa.binary())})
+
+    table = np.zeros((len(LEVELS), Levels.SHARDS, Levels.BITS // 8), np.uint8)
+    found = (texts.select("text").mapInArrow(packed, "shard int, low binary").groupBy("shard")
+             .applyInArrow(count, "shard int, level int, bits binary"))
+    for r in found.toLocalIterator():  # a fixed size in all: LEVELS x SHARDS x BITS bits
+        table[r["level"], r["shard"]] = np.frombuffer(r["bits"], np.uint8)
+    return Levels(table)
+
+
+def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, levels: Levels | None = None) -> DataFrame:
     """(a, b): pairs of set numbers (sa) that share a signature with the smaller of the two
     being the smallest of its batch or of all."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
     def signed(want_links: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels = shared.value
             for b in batches:
                 signs, owners = [], []
                 seen: set[int] = set()
@@ -254,7 +366,7 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
                     for s in sets_of(buf, offs, k):
                         if len(s) and (number := identity(s)[0]) not in seen:
                             seen.add(number)
-                            signs.append(signatures(s, percent))
+                            signs.append(signatures(s, percent, None if levels is None else levels.of(s)))
                             owners.append(np.full(len(signs[-1]), number))
                 if not signs:
                     continue
@@ -273,11 +385,23 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
         return run
 
+    def star(table: pa.Table) -> pa.Table:
+        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        pairs = np.stack([y, y[first]])[:, ~new]
+        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
     texts = docs.select("text")
     near = texts.mapInArrow(signed(True), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    signs = texts.mapInArrow(signed(False), "x long, y long")
-    least = signs.groupBy("x").agg(F.min("y").alias("m"), F.max("y").alias("z")).filter("m < z").select("x", "m")
-    far = signs.join(least, "x").filter("y != m").select(F.col("y").alias("a"), F.col("m").alias("b"))
+    # shards of signatures: one shuffle, a sort in numpy; a signature has one row per batch
+    shards = max(64, 8 * shuffle_partitions(docs.sparkSession))
+    signs = texts.mapInArrow(signed(False), "x long, y long").withColumn("shard", F.pmod("x", F.lit(shards)))
+    far = signs.groupBy("shard").applyInArrow(star, "a long, b long")
     return near.unionByName(far).distinct()
 
 
@@ -309,12 +433,20 @@ def _sets_in(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
 def linked_sets(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(rep, component): the representatives (``reps``: rep, number = sa) that are similar to
     another one, and the smallest representative they are connected to."""
-    clusters = components(candidate_links(docs, k, percent), "a", "b")
-    members = (clusters.select(F.col("node").alias("number"), F.col("component").alias("cluster")).join(reps, "number"))
-    members = publish(_cut(members, block), "cluster-members")
-    # the only shuffle of texts: those of clustered representatives then move on to their block
-    rows = (members.join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id"))
-            .select("cluster", "blocks", "block", "number", "rep", "text"))
+    clusters = components(candidate_links(docs, k, percent), "a", "b").toDF("number", "cluster")
+    # the only shuffle of all texts; those of clustered representatives are kept
+    members = publish(clusters.join(reps, "number").join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id"))
+                      .select("cluster", "number", "rep", "text"), "cluster-members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    wide = sizes.filter(F.col("size") > block).select("cluster")
+    parts = members
+    if wide.limit(1).count():
+        # sets in a large cluster sign again, without the shingles that many of them share
+        crowd = members.join(wide, "cluster")
+        again = components(candidate_links(crowd, k, percent, common_shingles(crowd, k)), "a", "b").toDF("number", "sub")
+        parts = (members.join(wide, "cluster", "left_anti")
+                 .unionByName(crowd.drop("cluster").join(again, "number").withColumnRenamed("sub", "cluster")))
+    rows = publish(_cut(parts, block), "cluster-blocks")
 
     def join_block(table: pa.Table) -> pa.Table:
         sets, at = _sets_in(table, k)
@@ -349,10 +481,10 @@ def linked_sets(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, percent: int
         a, b = zip(*sorted(pairs)) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texts = docs.select("doc_id", "text")
+    texts = rows.filter("blocks > 1").select(F.col("rep").alias("doc_id"), "text")
 
-    def with_text(rows: DataFrame) -> DataFrame:
-        return rows.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
+    def with_text(some: DataFrame) -> DataFrame:
+        return some.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")
 
     # one set of every local group, at most about ``block`` groups together
     heads = large.filter("rep = label").select("cluster", "number", "rep", "label")
