@@ -6,6 +6,10 @@ They reproduce the Python string semantics the dataset rules were written with
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,15 +89,42 @@ def clean_answer(c) -> Column:
                   py_strip(F.substring(c, F.lit(1), F.char_length(c) - 1))).otherwise(c)
 
 
-def is_ascii_digits(c) -> Column:
-    """``str.isdigit()`` restricted to ASCII digits (other Unicode digits made ``int()``
-    fail in the original rules)."""
-    return _c(c).rlike(r"^[0-9]+\z")
+def _ranges(wanted) -> str:
+    """The characters that ``wanted`` accepts, as ranges of a regex class."""
+    points = [c for c in range(sys.maxunicode + 1) if wanted(chr(c))]
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+@functools.cache
+def _digit_classes() -> tuple[str, str, str, str]:
+    """(class of decimal digits, class of all that ``str.isdigit`` accepts, the non-ASCII
+    decimal digits, the ASCII digits that they stand for), from Python's character data."""
+    decimals = [chr(c) for c in range(128, sys.maxunicode + 1) if chr(c).isdecimal()]
+    return (f"[{_ranges(str.isdecimal)}]", f"[{_ranges(str.isdigit)}]", "".join(decimals),
+            "".join(str(unicodedata.decimal(d)) for d in decimals))
+
+
+def is_decimal_digits(c) -> Column:
+    """Every character is a decimal digit of some script: what ``int()`` can read.  (Other
+    digits, such as superscripts, made ``int()`` fail in the original rules.)"""
+    return _c(c).rlike(f"^{_digit_classes()[0]}+\\z")
+
+
+def is_digits(c) -> Column:
+    """``str.isdigit()``: decimal digits of any script, superscripts, circled digits ..."""
+    return _c(c).rlike(f"^{_digit_classes()[1]}+\\z")
 
 
 def digits_value(c) -> Column:
-    """Integer value of an all-digit label (decimal(38,0); NULL when longer)."""
-    return _c(c).try_cast("decimal(38,0)")
+    """Integer value of a label of decimal digits (decimal(38,0); NULL when longer)."""
+    _, _, other, ascii_ = _digit_classes()
+    return F.translate(_c(c), other, ascii_).try_cast("decimal(38,0)")
 
 
 def coerce_na(c, na_values=PANDAS_NA_VALUES) -> Column:
@@ -102,9 +133,33 @@ def coerce_na(c, na_values=PANDAS_NA_VALUES) -> Column:
     return F.when(c.isin(*na_values), F.lit(None).cast("string")).otherwise(c)
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+
+
+def list_literal(c) -> Column:
+    """array<string> -> ``['R1', "R'2"]``: single quotes unless the item holds one and no
+    double quote; backslashes and the quote itself are escaped; a null item is ``None``."""
+    def item(x: Column) -> Column:
+        x = F.regexp_replace(x, r"\\", r"\\\\")
+        double = F.contains(x, F.lit("'")) & ~F.contains(x, F.lit('"'))
+        single = F.concat(F.lit("'"), F.regexp_replace(x, "'", r"\\'"), F.lit("'"))
+        return F.coalesce(F.when(double, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(single), F.lit("None"))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(c), item), ", "), F.lit("]"))
+
+
 def parse_id_list(c) -> Column:
-    """A list literal written as text (``"['R1', 'R2']"``) -> array<string>."""
-    return F.from_json(F.regexp_replace(_c(c), "'", '"'), "array<string>")
+    """A list literal written as text (``"['R1', \"R'2\"]"``) -> array<string>.  Both quote
+    styles and escapes are read; text that is not such a list fails the job, so that no row
+    disappears unseen."""
+    c = _c(c)
+    token = f"(?:{_QUOTED}|None)"
+    whole = rf"(?s)^\s*\[\s*(?:{token}(?:\s*,\s*{token})*\s*,?)?\s*\]\s*\z"
+    items = F.transform(
+        F.regexp_extract_all(c, F.lit(f"(?s){token}"), 0),
+        lambda t: F.when(t != "None", F.regexp_replace(F.substring(t, F.lit(2), F.char_length(t) - 2), r"(?s)\\(.)", "$1")))
+    return F.when(c.rlike(whole), items).when(
+        c.isNotNull(), F.raise_error(F.concat(F.lit("not a list literal: "), F.substring(c, 1, 200))))
 
 
 def py_str(c) -> Column:

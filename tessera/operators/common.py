@@ -2,74 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Row bound under which a dimension side may be broadcast.  The bound is checked by an
-# actual count (cheap for parquet: footer metadata), never taken from an estimate.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df`` unchanged (the
-    join then shuffles, and AQE may still convert it at run time from real sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def keep_last(df: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
     """Keep, per key combination, the row with the greatest ``ord`` (pandas
     ``drop_duplicates(keep='last')`` on a frame ordered by ``ord``).  NULL keys compare
     equal, as in pandas.  ``ord`` must be non-null and unique (it stands for the row
     position; a tie would leave the choice to the data layout).
 
-    One hash aggregate of ``max(struct(ord, row))``: the map side keeps one row per key
-    per partition before the shuffle, so a key holding a third of all rows costs one row
-    per map task on the reduce side."""
-    others = [c for c in df.columns if c != ord_col]
-    packed = F.struct(F.col(ord_col).alias(ord_col), *[F.col(c) for c in others])
-    kept = df.groupBy(*keys).agg(F.max(packed).alias("_last"))
-    return kept.select(*[F.col("_last." + c).alias(c) for c in df.columns])
+    A hash aggregate finds the greatest ``ord`` per key (longs only, combined on the map side,
+    so a key holding a third of all rows costs one row per map task); a semi join on ``ord``
+    keeps those rows.  Texts take no part in the aggregate."""
+    last = df.groupBy(*keys).agg(F.max(ord_col).alias("_last")).select("_last")
+    return df.join(last, F.col(ord_col) == F.col("_last"), "left_semi")
+
 
+DIGIT_BITS = 16
 
-def head_by(df: DataFrame, n: int | None, order_col: str = "ord",
-            topk_limit: int = 100_000, buckets: int = 1024, total: int | None = None) -> DataFrame:
-    """The first ``n`` rows by ``order_col`` (unique, numeric), without funnelling an
-    unbounded ``n`` through one task.
 
-    * ``n`` is None or covers the frame: the frame itself.
-    * ``n <= topk_limit``: ``orderBy().limit()`` (per-partition top-n, then a bounded merge).
-    * otherwise: cut at order-value quantiles, count per bucket (a small aggregate), keep
-      whole buckets below the cut and recurse into the one bucket that holds the n-th row.
-    """
+def nth_smallest(values: DataFrame, n: DataFrame) -> DataFrame:
+    """One row (cut): the ``n``-th smallest value of the one bigint column of ``values``;
+    no row if there are fewer.  ``n`` is a frame of one row and column.
+
+    A radix selection: counts by the leading 16 bits tell which of them the value has and how
+    many are below; then the same among those, by the next 16 bits, and so on.  Each step is
+    one aggregate over the narrow column (at most 2^16 groups); nothing is sorted, and no job
+    runs until the result is asked for."""
+    flipped = F.col(values.columns[0]).bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order
+    keys = values.select(flipped.alias("key"))
+    state = n.select(F.lit(0).cast("bigint").alias("prefix"), F.col(n.columns[0]).cast("bigint").alias("wanted"))
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        high = F.shiftrightunsigned("key", shift + DIGIT_BITS) if shift + DIGIT_BITS < 64 else F.lit(0).cast("bigint")
+        digit = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        counts = (keys.select(high.alias("prefix"), digit.alias("digit")).join(F.broadcast(state), "prefix")  # one row
+                  .groupBy("prefix", "wanted", "digit").agg(F.count("*").alias("c")))
+        before = F.sum("c").over(Window.partitionBy("prefix", "wanted").orderBy("digit")) - F.col("c")
+        state = (counts.withColumn("before", before)
+                 .filter((F.col("before") < F.col("wanted")) & (F.col("before") + F.col("c") >= F.col("wanted")))
+                 .select(F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit")).alias("prefix"),
+                         (F.col("wanted") - F.col("before")).alias("wanted")))
+    return state.select(F.col("prefix").bitwiseXOR(F.lit(-(1 << 63))).alias("cut"))
+
+
+def head_by(df: DataFrame, n: int | DataFrame | None, order_col: str = "ord",
+            values: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order_col`` (unique, bigint): one path for every ``n``, a
+    number or a frame of one row.  None: all rows.  ``values`` may give the column of ``df``
+    by a cheaper way."""
     if n is None:
         return df
-    if n <= 0:
-        return df.limit(0)
-    total = df.count() if total is None else total
-    if n >= total:
-        return df
-    if n <= topk_limit:
-        return df.orderBy(order_col).limit(n)
-    from pyspark.ml.feature import Bucketizer  # JVM-side binary search over the cuts
-
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(order_col, probs, 0.0005)))
-    splits = [float("-inf")] + [float(c) for c in cuts] + [float("inf")]
-    tagged = Bucketizer(splits=splits, inputCol="_o", outputCol="_bucket").transform(
-        df.withColumn("_o", F.col(order_col).cast("double"))).drop("_o")
-    counts = sorted(tagged.groupBy("_bucket").count().collect())  # <= buckets rows
-    if len(counts) <= 1:  # the order values cannot be told apart as doubles: no progress
-        return df.orderBy(order_col).limit(n)
-    seen = 0
-    for b, c in counts:
-        if seen + c >= n:
-            below = tagged.filter(F.col("_bucket") < b).drop("_bucket")
-            inside = head_by(tagged.filter(F.col("_bucket") == b).drop("_bucket"), n - seen,
-                             order_col, topk_limit, buckets)
-            return below.unionByName(inside)
-        seen += c
-    return df
+    if isinstance(n, int):
+        n = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n"))
+    values = df if values is None else values
+    cut = nth_smallest(values.select(F.col(order_col).cast("bigint").alias("v")), n).scalar()
+    return df.filter((n.scalar() > 0) & (F.col(order_col) <= F.coalesce(cut, F.lit((1 << 63) - 1))))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

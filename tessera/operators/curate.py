@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import contains_word
-from ..functions.text import digits_value, is_ascii_digits, py_str, py_strip
-from .common import bounded_broadcast, keep_last
+from ..functions.text import digits_value, is_decimal_digits, is_digits, py_str, py_strip
+from .common import keep_last
 
 # --- fixed values ---------------------------------------------------------------------------
 RESEARCH_PROBLEM_PREDICATE = "has research problem"
@@ -36,7 +36,7 @@ def prune_condition(label) -> Column:
     all-digit (unstripped) label below 999.  A missing label reads as 'nan' and stays."""
     raw = py_str(F.col(label) if isinstance(label, str) else label)
     short = F.char_length(py_strip(raw)) < MIN_LABEL_CHARS
-    small_number = F.coalesce(is_ascii_digits(raw) & (digits_value(raw) < SMALL_NUMBER),
+    small_number = F.coalesce(is_decimal_digits(raw) & (digits_value(raw) < SMALL_NUMBER),
                               F.lit(False))
     return short | small_number
 
@@ -85,7 +85,7 @@ def _pos_lookup(df: DataFrame, key: Column, pos: DataFrame | None) -> DataFrame:
     # One tag per token (a token with several tags gets the smallest, deterministically).
     tags = pos.groupBy(F.col("token").alias("_key")).agg(F.min("pos").alias("_pos"))
     return (df.withColumn("_key", key)
-            .join(bounded_broadcast(tags), "_key", "left").drop("_key"))
+            .join(tags, "_key", "left").drop("_key"))
 
 
 def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bool = True,
@@ -113,10 +113,10 @@ def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bo
     n_tok = F.size(tokens)
     rule = (
         F.when(F.lower(py_strip(pred)) == RESEARCH_PROBLEM_PREDICATE, CAT_RESEARCH_PROBLEM)
-        .when(is_ascii_digits(lab) & (value >= YEAR_FROM) & (value < YEAR_TO), CAT_YEAR)
+        .when(is_decimal_digits(lab) & (value >= YEAR_FROM) & (value < YEAR_TO), CAT_YEAR)
         .when(lab.startswith("http"), CAT_URL)
         .when(F.lower(pred).isin(*LOCATION_PREDICATES), CAT_LOCATION)
-        .when(is_ascii_digits(number_shape), CAT_NUMBER)
+        .when(is_digits(number_shape), CAT_NUMBER)
     )
     if not strict_reference:
         rule = rule.when(F.exists(tokens, lambda t: t.rlike("^[0-9]")), CAT_MEASUREMENT)

@@ -90,12 +90,19 @@ def field_to_papers(resources: DataFrame, statements: DataFrame, with_list: bool
     return out
 
 
-def field_paper_rows(resources: DataFrame, statements: DataFrame) -> DataFrame:
+def _titles(resources: DataFrame, order_col: str | None) -> DataFrame:
+    """One title per id, also if the id occurs twice: the last by ``order_col``, or (the
+    snapshot has no order of its own) the greatest title."""
+    last = F.max("label") if order_col is None else F.max_by("label", order_col)
+    return resources.groupBy(F.col("id").alias("PaperId")).agg(last.alias("PaperTitle"))
+
+
+def field_paper_rows(resources: DataFrame, statements: DataFrame, order_col: str | None = None) -> DataFrame:
     """Flat (ResearchFieldId, ResearchFieldLabel, PaperId, PaperTitle), one row per
     field edge of a paper; papers without a title are dropped (see ``papers_without_title``)."""
-    edges = _field_edges(resources, statements)
-    titles = resources_by_class(resources, CLASS_PAPER).select(
-        F.col("id").alias("PaperId"), F.col("label").alias("PaperTitle"))
+    edges = statements.filter(F.col("predicate_id") == P_FIELD)
+    papers = F.array_contains("classes", CLASS_PAPER) & (F.col("id") != SENTINEL_ID)
+    titles = _titles(resources.filter(papers), order_col)
     return (edges.select(F.col("object_id").alias("ResearchFieldId"),
                          F.col("object_label").alias("ResearchFieldLabel"),
                          F.col("subject_id").alias("PaperId"))
@@ -105,7 +112,7 @@ def field_paper_rows(resources: DataFrame, statements: DataFrame) -> DataFrame:
 
 def explode_field_papers(field_papers: DataFrame, resources: DataFrame) -> DataFrame:
     """G4/C3/A7 on the list form: explode ``PaperIds`` (empty lists vanish) and attach titles."""
-    titles = resources.select(F.col("id").alias("PaperId"), F.col("label").alias("PaperTitle"))
+    titles = _titles(resources, None)
     return (field_papers.select("ResearchFieldId", "ResearchFieldLabel",
                                 F.explode("PaperIds").alias("PaperId"))
             .join(titles, "PaperId")

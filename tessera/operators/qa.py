@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import token_index_at
 from ..functions.text import capitalize, py_strip
-from .common import cut_lineage, head_by
+from .common import head_by
 from .split import EVALUATION, TRAINING
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -46,20 +46,14 @@ def model_inputs(df: DataFrame, question_word: str, cased: bool, train_limit: in
     rows = rows.select(ord_col, "split", "context", "question", F.struct(
         F.col("answer").alias("answer"), F.col("StartIndex").cast("int").alias("answer_start"),
         F.col("EndIndex").cast("int").alias("answer_end")).alias("answer"))
-    if not (train_limit or eval_limit or strict_reference):
-        return rows
-    # The sizes decide the limits, so the rows are materialised once in the shared
-    # checkpoint folder (the spans behind them are the expensive part) and both the size
-    # pass and the output read them from there.
-    rows = cut_lineage(rows)
-    train = rows.filter(F.col("split") == TRAINING)
-    evals = rows.filter(F.col("split") == EVALUATION)
-    sizes = dict(rows.groupBy("split").count().collect())  # at most two rows
-    n_train, n_eval = sizes.get(TRAINING, 0), sizes.get(EVALUATION, 0)
-    u = eval_limit or (n_train if strict_reference else None)  # original default: train size
-    train = head_by(train, train_limit or None, ord_col, total=n_train)
-    evals = head_by(evals, u, ord_col, total=n_eval)
-    return train.unionByName(evals)
+    # The limits look at (ord, split) several times, and the spans behind them are the
+    # expensive part: the narrow frame is kept, lazily, when the result is first asked for.
+    narrow = rows.select(ord_col, "split").persist()
+    n_train = narrow.filter(F.col("split") == TRAINING).agg(F.count("*").alias("n"))
+    limits = {TRAINING: train_limit or None, EVALUATION: eval_limit or (n_train if strict_reference else None)}
+    parts = [head_by(rows.filter(F.col("split") == name), limits[name], ord_col, narrow.filter(F.col("split") == name))
+             for name in (TRAINING, EVALUATION)]
+    return parts[0].unionByName(parts[1])
 
 
 def token_positions(df: DataFrame, context: str = "context", start: Column | None = None,

@@ -21,7 +21,7 @@ def score_rows(df: DataFrame, answer: str = "answer", prediction: str = "predict
     ``strict_reference``: predicted tokens are counted only for predictions that ended in a
     trailing mark (as the original did); ``False`` counts every non-empty prediction."""
     target = F.lower(py_strip(answer))
-    pred = F.lower(py_strip(prediction))
+    pred = F.coalesce(F.lower(py_strip(prediction)), F.lit(""))  # a missing prediction is no answer
     out = (df.withColumn("target", target).withColumn(prediction, pred)
            .withColumn("_clean", clean_answer(F.col(prediction))))
     nonempty = F.col(prediction) != ""
@@ -74,8 +74,20 @@ def metrics(scored: DataFrame) -> DataFrame:
         fc.alias("f1_score_containment"))
 
 
-def rounded_record(row) -> dict:
-    """D14 display form of the one-row metrics: 3 decimals (Python formatting, half-even on
-    the binary value) then x100, as the original wrote it."""
-    return {k: (None if row[k] is None else float("{:.3f}".format(row[k])) * 100)
-            for k in METRIC_COLUMNS}
+def rounded_metrics(record: DataFrame) -> DataFrame:
+    """The metrics as they are written: rounded to three decimals (half to even on
+    the exact binary value, as Python formats it), times 100, ``no answer`` with a space.
+
+    The value times 2^83 is put together from two long integers, so the rounding is exact."""
+    def shown(name: str) -> F.Column:
+        big = F.col(name) * F.lit(float(1 << 30))
+        high, low = F.floor(big), F.floor((big - F.floor(big)) * F.lit(float(1 << 53)))
+        whole = high.cast("decimal(20,0)") * F.lit(1 << 53).cast("decimal(17,0)") + low.cast("decimal(17,0)")
+        scaled = whole * F.lit(1000).cast("decimal(5,0)")
+        unit, half = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (83, 82))
+        rest = scaled % unit
+        below = ((scaled - rest) / unit).cast("bigint")
+        up = (rest > half) | ((rest == half) & (below % 2 == 1))
+        return ((below + up.cast("int")) / F.lit(1000.0) * 100).alias(name.replace("no_answer", "no answer"))
+
+    return record.select(*[shown(c) for c in METRIC_COLUMNS])

@@ -36,11 +36,14 @@ def general_stats(df: DataFrame, category: str = "Category", predicate: str = "P
     return one.selectExpr(f"stack({len(MEASUREMENTS)}, {pairs}) AS (Measurement, Value)")
 
 
-def category_share(df: DataFrame, category: str = "Category", sort: bool = False) -> DataFrame:
+def category_share(df: DataFrame, category: str = "Category", sort: bool = False,
+                   decimals: int | None = None) -> DataFrame:
     """Per category its share of rows in percent, ``count / rows * 100``
-    (unrounded; ``round(..., 2)`` is display only)."""
+    (``decimals=2`` rounds as the original shows it)."""
     counts = df.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("_c"))
     # The window runs over the per-category counts: one row per category, a bounded set.
     total = F.sum("_c").over(Window.partitionBy())
-    out = counts.select("category", (F.col("_c") / total * 100).alias("percentage_of_data"))
+    share = F.col("_c") / total * 100
+    share = share if decimals is None else F.round(share, decimals)
+    out = counts.select("category", share.alias("percentage_of_data"))
     return out.orderBy(F.desc("percentage_of_data")) if sort else out

@@ -35,7 +35,8 @@ def final_dataset(rows: DataFrame, pos: DataFrame | None = None,
                   ) -> DataFrame:
     """Stage 4: finalize.  Rows get a deterministic ``ord`` (a hash of their content: the
     graph carries no row order) for the keep-last step."""
-    ordered = rows.withColumn("ord", F.xxhash64(*[F.col(c) for c in order_cols]))
+    # a NULL hashes as its own value, never like the neighbouring column's content
+    ordered = rows.withColumn("ord", F.xxhash64(*[x for c in order_cols for x in (F.col(c).isNull(), F.col(c))]))
     return curate.finalize(ordered, pos)
 
 
@@ -81,7 +82,7 @@ def score_predictions(predictions: DataFrame, out: str, strict_reference: bool =
     from ..operators import score
 
     scored = score.score_rows(predictions, strict_reference=strict_reference)
-    metrics = score.metrics(scored)
+    metrics = score.rounded_metrics(score.metrics(scored))
     stage_io.write_eval(scored, f"{out}/eval")
     stage_io.write_metrics(metrics, f"{out}/metrics")
     return metrics

@@ -188,8 +188,13 @@ T_CTE = f"""
 t_docs AS (SELECT doc_id, text, lang || '/' || source AS pred FROM documents),
 t_own AS (
   SELECT doc_id * 2 AS ord, doc_id AS PaperId, pred AS PredicateLabel,
-         string_split(text, ' ')[doc_id % 5 + 1] AS ObjectLabel, text AS PaperAbstract
-  FROM t_docs
+         CASE WHEN doc_id % 7 <= 1 THEN words[spot] WHEN doc_id % 7 = 2 THEN translate(words[spot], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+              WHEN doc_id % 7 = 3 THEN array_to_string(words[spot:spot + 2], ' ')
+              WHEN doc_id % 7 = 4 THEN array_to_string(words[spot:spot + 5], ' ')
+              WHEN doc_id % 7 = 5 THEN 'http://' || words[spot]
+              ELSE CAST(length(text) AS VARCHAR) END AS ObjectLabel, text AS PaperAbstract
+  FROM (SELECT *, doc_id * 7919 % len(words) + 1 AS spot
+        FROM (SELECT *, string_split(text, ' ') AS words FROM t_docs))
 ),
 t_rows AS (
   SELECT * FROM t_own
@@ -208,7 +213,7 @@ t_final AS (
 t_qa AS (
   SELECT ord, PaperAbstract, PredicateLabel, ObjectLabel,
          {span_start('ObjectLabel', 'PaperAbstract')} AS StartIndex
-  FROM t_own
+  FROM t_rows
 ),
 t_split AS (
   SELECT ord, PaperAbstract, PredicateLabel, ObjectLabel, StartIndex,
@@ -274,6 +279,16 @@ ORACLE["question_variants"] = with_t("""
 SELECT s.ord, w.question_word, w.question_word || ' ' || s.PredicateLabel || ' ?' AS question, s.split
 FROM t_split s CROSS JOIN (VALUES ('what'), ('which'), ('how'), ('')) w(question_word)""")
 ORACLE["model_inputs"] = with_t("SELECT * FROM t_inputs")
+ORACLE["model_inputs_cased"] = with_t(f"""
+, cased AS (
+  SELECT ord, split, PaperAbstract AS context,
+         upper(left({strip("' ' || PredicateLabel || ' ?'")}, 1)) ||
+         lower(substr({strip("' ' || PredicateLabel || ' ?'")}, 2)) AS question,
+         {strip('ObjectLabel')} AS answer, StartIndex AS answer_start, EndIndex AS answer_end,
+         row_number() OVER (PARTITION BY split ORDER BY ord) AS r
+  FROM t_split WHERE StartIndex IS NOT NULL AND EndIndex IS NOT NULL
+)
+SELECT * EXCLUDE (r) FROM cased WHERE r <= CASE split WHEN 'training' THEN 300 ELSE 40 END""")
 ORACLE["token_positions"] = with_t(f"""
 SELECT ord, split,
   CAST(coalesce({token_at('context', 'answer_start', 510)}, 1000) AS INTEGER) AS start_position,
@@ -302,6 +317,11 @@ ORACLE["category_share"] = with_t("""
 SELECT Category AS category, count(*) / (SELECT count(*) FROM t_final) * 100 AS percentage_of_data
 FROM t_final GROUP BY Category""")
 
+ORACLE["category_share_shown"] = with_t("""
+SELECT Category AS category,
+       round(count(*) / (SELECT count(*) FROM t_final) * 100, 2) AS percentage_of_data
+FROM t_final GROUP BY Category""")
+
 E_CTE = f"""
 e_raw AS (
   SELECT p_partkey AS ord, p_name || ' ' || p_type AS abstract, 'what ' || p_brand || ' ?' AS question,
@@ -364,6 +384,13 @@ SELECT {_ratio('exact', 'n')} AS accuracy, {_ratio('contained', 'n')} AS contain
        {_re} AS recall_exact, {_pe} AS precision_exact, {_fe} AS f1_score_exact,
        {_rc} AS recall_containment, {_pc} AS precision_containment, {_fc} AS f1_score_containment
 FROM s"""
+_shown = lambda x: f"CAST(round_even(CAST({x} AS DECIMAL(38,20)), 3) AS DOUBLE) * 100"
+ORACLE["metrics_record"] = (
+    "SELECT " + ", ".join(f'{_shown(c)} AS "{c.replace("no_answer", "no answer")}"' for c in (
+        "accuracy", "containment", "no_answer", "recall_exact", "precision_exact", "f1_score_exact",
+        "recall_containment", "precision_containment", "f1_score_containment"))
+    + f" FROM ({ORACLE['score_metrics']})")
+ORACLE["score_metrics_fixed"] = ORACLE["score_metrics"].replace("predict_answer <> '' AND marked", "predict_answer <> ''")
 ORACLE["best_span"] = """
 SELECT vec_id AS ord, CAST(s AS INTEGER) AS span_start, CAST(e AS INTEGER) AS span_end,
        array_to_string(list_slice(toks, s + 1, e + 1), ' ') AS answer

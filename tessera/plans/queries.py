@@ -174,19 +174,19 @@ def finalize(spark, sf):
 
 # ----------------------------------------------------- split
 def _split(spark, sf):
-    rows = split.qa_rows(fx.text_rows(spark, sf, neighbours=False))
+    rows = split.qa_rows(fx.text_rows(spark, sf))
     return split.stratified_split(rows)
 
 
 @register("answer_span")
 def answer_span(spark, sf):
-    return split.qa_rows(fx.text_rows(spark, sf, neighbours=False)).select(
+    return split.qa_rows(fx.text_rows(spark, sf)).select(
         "ord", "StartIndex", "EndIndex")
 
 
 @register("answer_span_regex")
 def answer_span_regex(spark, sf):
-    rows = fx.text_rows(spark, sf, neighbours=False)
+    rows = fx.text_rows(spark, sf)
     return split.qa_rows(rows, literal=False).select("ord", "StartIndex", "EndIndex")
 
 
@@ -219,6 +219,15 @@ def model_inputs(spark, sf):
                                      "answer.answer_start", "answer.answer_end")
 
 
+@register("model_inputs_cased")
+def model_inputs_cased(spark, sf):
+    """The cased branch, another question word, and limits that cut."""
+    variants = split.question_variants(_split(spark, sf))
+    rows = qa.model_inputs(variants, "", cased=True, train_limit=300, eval_limit=40)
+    return rows.select("ord", "split", "context", "question", F.col("answer.answer").alias("answer"),
+                       "answer.answer_start", "answer.answer_end")
+
+
 @register("token_positions")
 def token_positions(spark, sf):
     return qa.token_positions(_inputs(spark, sf), max_tokens=510).select(
@@ -239,6 +248,16 @@ def score_rows(spark, sf):
     return score.score_rows(fx.predictions(spark, sf))
 
 
+@register("score_metrics_fixed")
+def score_metrics_fixed(spark, sf):
+    return score.metrics(score.score_rows(fx.predictions(spark, sf), strict_reference=False))
+
+
+@register("metrics_record")
+def metrics_record(spark, sf):
+    return score.rounded_metrics(score.metrics(score.score_rows(fx.predictions(spark, sf))))
+
+
 @register("score_metrics")
 def score_metrics(spark, sf):
     return score.metrics(score.score_rows(fx.predictions(spark, sf)))
@@ -255,6 +274,11 @@ def category_share(spark, sf):
     return stats.category_share(_final(spark, sf))
 
 
+@register("category_share_shown")
+def category_share_shown(spark, sf):
+    return stats.category_share(_final(spark, sf), decimals=2)
+
+
 # --------------------------------------------------------------------- text clean-up (H6)
 @register("sanitize_text")
 def sanitize_text(spark, sf):

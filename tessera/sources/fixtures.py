@@ -13,11 +13,12 @@ except the single 'Custom_ID' sentinel resource that the class scan must drop.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import space_token
-from ..operators.common import bounded_broadcast
 from .tables import read_table
 
 # --- fixed values: graph vocabulary ---------------------------------------------------------
@@ -44,7 +45,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(resources[id, label, classes], statements[subject_id, predicate_id, predicate_label,
     object_id, object_label])."""
     t = lambda name: read_table(spark, sf_dir, name)
-    nation = bounded_broadcast(t("nation").select("n_nationkey", "n_name"))
+    nation = t("nation").select("n_nationkey", "n_name")
     region = t("region").select("r_regionkey", "r_name")
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = t("customer").select("c_custkey", "c_nationkey")
@@ -125,7 +126,7 @@ def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
                                  _s(F.col("lang"), " document ", F.col("doc_id")).alias("label"),
                                  F.array(F.lit(CLASS_PAPER)).alias("classes"))))
     statements = (docs.withColumn("fk", field_key)
-                  .join(bounded_broadcast(nation), F.col("fk") == F.col("n_nationkey"))
+                  .join(nation, F.col("fk") == F.col("n_nationkey"))
                   .select(_s("D", F.col("doc_id")).alias("subject_id"),
                           F.lit(P_FIELD).alias("predicate_id"), F.lit(L_FIELD).alias("predicate_label"),
                           _s("F", F.col("n_nationkey")).alias("object_id"),
@@ -133,22 +134,34 @@ def document_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return resources, statements
 
 
-def text_rows(spark: SparkSession, sf_dir: str, neighbours: bool = True) -> DataFrame:
-    """T: two rows per document (its own word number ``doc_id % 5`` and the first word of
-    the next document); ``ord`` is unique and gives the row order."""
+def _own_label() -> F.Column:
+    """A label from anywhere in the text (word number ``doc_id * 7919`` modulo the number of
+    space-separated words), in seven shapes by ``doc_id % 7``: 0-1 the word, 2 the word
+    with a-z in upper case, 3 and 4 up to three and six words from there, 5 a link, 6 the text's length."""
+    words = F.split("text", " ", -1)
+    at = (F.pmod(F.col("doc_id") * 7919, F.size(words).cast("bigint")) + 1).cast("int")
+    word = F.element_at(words, at)
+    k = F.pmod("doc_id", F.lit(7))
+    return (F.when(k <= 1, word).when(k == 2, F.translate(word, ascii_lowercase, ascii_uppercase))
+            .when(k == 3, F.array_join(F.slice(words, at, 3), " "))
+            .when(k == 4, F.array_join(F.slice(words, at, 6), " "))
+            .when(k == 5, _s("http://", word))
+            .otherwise(F.char_length("text").cast("string")))
+
+
+def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T: two rows per document (a label from its own text, see ``_own_label``, and the first
+    word of the next document); ``ord`` is unique and gives the row order."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     base = docs.select(
         F.col("doc_id").alias("PaperId"),
         _s(F.col("lang"), "/", F.col("source")).alias("PredicateLabel"),
-        F.col("text").alias("PaperAbstract"), "doc_id")
+        F.col("text").alias("PaperAbstract"), _own_label().alias("ObjectLabel"), "doc_id")
     own = base.select((F.col("doc_id") * 2).alias("ord"), "PaperId", "PredicateLabel",
-                      space_token(F.col("PaperAbstract"), F.col("doc_id") % 5).alias("ObjectLabel"),
-                      "PaperAbstract")
-    if not neighbours:
-        return own
+                      "ObjectLabel", "PaperAbstract")
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"),
                       space_token(F.col("text"), 0).alias("ObjectLabel"))
-    other = (base.join(nxt, "doc_id", "left")
+    other = (base.drop("ObjectLabel").join(nxt, "doc_id", "left")
              .select((F.col("doc_id") * 2 + 1).alias("ord"), "PaperId", "PredicateLabel",
                      "ObjectLabel", "PaperAbstract"))
     return own.unionByName(other)

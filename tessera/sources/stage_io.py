@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions.text import coerce_na, parse_id_list
+from ..functions.text import coerce_na, list_literal, parse_id_list
 
 # --- fixed values: stage schemas --------------------------------------------------------------
 FIELD_PAPERS_SCHEMA = ("ResearchFieldId string, ResearchFieldLabel string, n_papers bigint, "
@@ -21,6 +21,7 @@ STATEMENT_ROWS_SCHEMA = (FLAT_SCHEMA + ", Contribution string, PredicateLabel st
                          "ObjectLabel string, PaperAbstract string")
 TRAINING_SCHEMA = ("ord bigint, context string, question string, answer string, "
                    "answer_start int, answer_end int, question_word string, split string")
+EMPTY_WORD = "_none"  # folder of the question variant without a question word
 LEGACY_TRAINING_SCHEMA = "training_set array<array<string>>, evaluation_set array<array<string>>"
 # ---------------------------------------------------------------------------------------------
 
@@ -39,14 +40,9 @@ def read_stage(spark: SparkSession, path: str, schema: str | StructType | None =
     return r.parquet(path)
 
 
-def _list_literal(c: F.Column) -> F.Column:
-    quoted = F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'")))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with header; array<string> columns become list literals (``['R1', 'R2']``)."""
-    cols = [(_list_literal(F.col(f.name)) if isinstance(f.dataType, ArrayType) else F.col(f.name))
+    cols = [(list_literal(F.col(f.name)) if isinstance(f.dataType, ArrayType) else F.col(f.name))
             .alias(f.name) for f in df.schema.fields]
     (df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"')
      .csv(path))
@@ -75,14 +71,19 @@ def import_csv(spark: SparkSession, path: str, schema: str | StructType,
 
 
 def write_training(df: DataFrame, path: str) -> None:
-    """A5: JSON lines, one folder per question word and split (partition pruning on read)."""
-    df.write.mode("overwrite").partitionBy("question_word", "split").json(path)
+    """A5: JSON lines, one folder per question word and split (partition pruning on read).
+    An empty folder value would come back as NULL, so the empty word has a code."""
+    coded = F.when(F.col("question_word") == "", EMPTY_WORD).otherwise(F.col("question_word"))
+    df.withColumn("question_word", coded).write.mode("overwrite").partitionBy("question_word", "split").json(path)
 
 
 def read_training(spark: SparkSession, path: str, question_word: str | None = None) -> DataFrame:
     """Read the training sets back; a question-word filter prunes folders."""
     df = spark.read.schema(TRAINING_SCHEMA).json(path)
-    return df if question_word is None else df.filter(F.col("question_word") == question_word)
+    if question_word is not None:
+        df = df.filter(F.col("question_word") == (question_word or EMPTY_WORD))
+    word = F.when(F.col("question_word") == EMPTY_WORD, "").otherwise(F.col("question_word"))
+    return df.withColumn("question_word", word)
 
 
 def read_legacy_training(spark: SparkSession, path: str) -> DataFrame:

@@ -43,3 +43,11 @@ def test_queries_match_oracle(spark, chunk):
            if v.get("cols_match") is False or v.get("values_match") is False
            or ("oracle_rows" in v and v["oracle_rows"] != v["rows"])}
     assert not bad, bad
+
+
+def test_flat_map_keeps_integers(spark):
+    df = spark.createDataFrame([(9007199254740993,), (None,), (5,)], "item long")
+    got = {r.item: r.value for r in flat_map(df, lambda x: repr(x).split(), "item", "string").collect()}
+    assert got == {9007199254740993: "9007199254740993", None: "None", 5: "5"}
+    many = flat_map(df, lambda x: range(7), "item", "long", chunk_rows=3).collect()
+    assert len(many) == 21

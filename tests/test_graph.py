@@ -56,3 +56,12 @@ def test_document_graph_has_five_empty_fields(spark):
     rows = graph.field_to_papers(r, s).collect()
     assert len(rows) == 25 and sum(x.n_papers == 0 for x in rows) == 5
     assert sum(x.n_papers for x in rows) == 1000
+
+
+def test_last_title_of_a_repeated_id(spark):
+    resources = spark.createDataFrame([("R1", "first", ["Paper"], 1), ("R1", "last", ["Paper"], 2)],
+                                      "id string, label string, classes array<string>, seen int")
+    statements = spark.createDataFrame([("R1", "P30", "field", "F1", "f")],
+                                       "subject_id string, predicate_id string, predicate_label string, object_id string, object_label string")
+    got = graph.field_paper_rows(resources, statements, order_col="seen").collect()
+    assert [(r.PaperId, r.PaperTitle) for r in got] == [("R1", "last")]

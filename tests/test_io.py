@@ -126,3 +126,15 @@ def test_stream_metrics_equals_batch(spark, scratch):
     want = score.metrics(score.score_rows(preds)).first().asDict()
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_training_sets_of_all_question_words(spark, scratch):
+    rows = [(i, "c", "q", "a", 0, 1, w, s) for i, (w, s) in enumerate(
+        (w, s) for w in ("what", "which", "how", "") for s in ("training", "evaluation"))]
+    df = spark.createDataFrame(rows, io.TRAINING_SCHEMA)
+    io.write_training(df, scratch + "/words")
+    back = io.read_training(spark, scratch + "/words").select(*df.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    for w in ("what", "which", "how", ""):
+        assert {r.question_word for r in io.read_training(spark, scratch + "/words", w).collect()} == {w}
+        assert io.read_training(spark, scratch + "/words", w).count() == 2

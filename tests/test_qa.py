@@ -1,3 +1,4 @@
+import pytest
 """Model inputs, token alignment and span choice."""
 from pyspark.sql import functions as F
 
@@ -56,9 +57,10 @@ def test_model_inputs_cased(spark):
     assert (r.context, r.question, r.answer.answer) == ("  Ctx ONE  ", "What p ?", "Ans")
 
 
-def test_head_by_quantile_path(spark):
+@pytest.mark.parametrize("n", [0, 1, 2, 1234, 4999, 5000, 6000])
+def test_head_by(spark, n):
     from tessera.operators.common import head_by
 
-    df = spark.range(0, 5000).withColumnRenamed("id", "ord")
-    got = head_by(df.repartition(5), 1234, "ord", topk_limit=100, buckets=16)
-    assert sorted(r.ord for r in got.collect()) == list(range(1234))
+    values = [(i * 7919) % 100003 - 50000 for i in range(4990)] + [2**62 + i for i in range(5)] + [-2**62 - i for i in range(5)]
+    df = spark.createDataFrame([(v,) for v in values], "ord long").repartition(5)
+    assert sorted(r.ord for r in head_by(df, n).collect()) == sorted(values)[:n]

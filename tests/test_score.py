@@ -37,9 +37,16 @@ def test_row_flags(spark):
                    ("", False, False, True), ("x", False, True, False)]
 
 
-def test_rounded_record():
-    row = {k: 0.0 for k in score.METRIC_COLUMNS}
-    row.update(accuracy=0.3125, containment=0.0025, no_answer=None)
-    rec = score.rounded_record(row)
-    assert rec["accuracy"] == float("0.312") * 100 and rec["containment"] == float("0.003") * 100
-    assert rec["no_answer"] is None
+def test_rounded_metrics(spark):
+    values = [0.0, 1.0, 1 / 3, 2 / 3, 0.0625, 0.1875, 0.3125, 0.4375, 0.0005, 0.1235, 0.9995, 0.5, 1e-9]
+    rows = [tuple([v] * len(score.METRIC_COLUMNS)) for v in values] + [tuple([None] * len(score.METRIC_COLUMNS))]
+    got = score.rounded_metrics(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in score.METRIC_COLUMNS)))
+    assert "no answer" in got.columns
+    want = [float("{:.3f}".format(v)) * 100 for v in values] + [None]
+    assert [r["no answer"] for r in got.collect()] == want and [r["accuracy"] for r in got.collect()] == want
+
+
+def test_missing_prediction_is_no_answer(spark):
+    df = spark.createDataFrame([("a", None), ("a", "a")], "answer string, predict_answer string")
+    rec = score.metrics(score.score_rows(df)).first()
+    assert rec.no_answer == 0.5 and rec.accuracy == 0.5

@@ -1,7 +1,11 @@
 """Column string functions vs. the plain-Python definitions they stand for."""
+import ast
 import random
 import re
+import sys
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -78,10 +82,31 @@ def test_coerce_na_and_digits(spark):
     vals = ["NA", "nan", "", "x", None, "N/A"]
     got = _apply(spark, vals, T.coerce_na)
     assert [got[i] for i in range(len(vals))] == [None, None, None, "x", None, None]
-    got = _apply(spark, ["123", "0001", "²²", "12a", "", " 1"], T.is_ascii_digits)
+    got = _apply(spark, ["123", "0001", "²²", "12a", "", " 1"], T.is_decimal_digits)
     assert [got[i] for i in range(6)] == [True, True, False, False, False, False]
 
 
-def test_parse_id_list(spark):
-    df = spark.createDataFrame([("['R1', 'R2']",), ("[]",)], "v string")
-    assert [r[0] for r in df.select(T.parse_id_list("v")).collect()] == [["R1", "R2"], []]
+def test_digits_of_every_script(spark):
+    """Differential test over every number character."""
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nd", "No", "Nl")]
+    labels = chars + [a + b for a, b in zip(chars, chars[7:])] + ["٢٠٢٠", "-²", "12", "x1", ""]
+    decimal, digits = _apply(spark, labels, T.is_decimal_digits), _apply(spark, labels, T.is_digits)
+    value = _apply(spark, labels, T.digits_value)
+    for i, s in enumerate(labels):
+        assert (decimal[i], digits[i]) == (s.isdecimal(), s.isdigit()), s
+        if s.isdecimal():
+            assert int(value[i]) == int(s)
+
+
+LISTS = [["R1", "R2"], [], ["R'1", "R2"], ['a "b"'], ["it's \"x\"", "back\\slash"], ["é, ]", "['"], [None, "None"]]
+
+
+def test_list_literals(spark):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(LISTS)], "i int, v array<string>")
+    text = df.select("i", T.list_literal("v").alias("t"))
+    assert all(ast.literal_eval(r.t) == LISTS[r.i] for r in text.collect())
+    assert {r.i: r.v for r in text.select("i", T.parse_id_list("t").alias("v")).collect()} == dict(enumerate(LISTS))
+    odd = spark.createDataFrame([("[ 'R1' , \"R2\", ]",), (None,)], "v string")
+    assert [r[0] for r in odd.select(T.parse_id_list("v")).collect()] == [["R1", "R2"], None]
+    with pytest.raises(Exception, match="not a list literal"):
+        spark.createDataFrame([("['R1",)], "v string").select(T.parse_id_list("v")).collect()
