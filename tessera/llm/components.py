@@ -2,7 +2,7 @@
 
 Every step replaces a node's links by links to the smallest neighbour; the number of steps
 grows with the logarithm of the longest path.  Neighbourhoods are never gathered: each step
-takes a minimum per node and joins it back.  Every step's links are published, so neither
+takes a minimum per node and joins it back.  Every round's links are published, so neither
 the plan nor the recomputation after a lost executor grows."""
 
 from __future__ import annotations
@@ -21,23 +21,24 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = (links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
              .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
     edges = publish(edges, "links")
-    before = None
     for _ in range(MAX_STEPS):
         # large star: neighbours above a node go to the smallest of its neighbourhood
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = (both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u != v").distinct())
-        large = publish(large, "large-star")
         # small star: neighbours below a node and the node go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         joined = large.join(low, F.col("u") == F.col("w"))
         small = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct())
-        edges = publish(small, "small-star")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == now:
+        edges = publish(small, "stars")
+        # done when all links are stars: no node has two centres, or is a centre and has one
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("has"), F.lit(0).alias("is")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(0).alias("has"), F.lit(1).alias("is")))
+        open_ = (ends.groupBy("node").agg(F.sum("has").alias("has"), F.max("is").alias("is"))
+                 .agg(F.max((F.col("has") + F.col("is") > 1).cast("int")).alias("more")).first()["more"])
+        if not open_:
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

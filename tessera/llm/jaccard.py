@@ -346,7 +346,7 @@ def common_shingles(texts: DataFrame, k: int = SHINGLE) -> Levels:
     table = np.zeros((len(LEVELS), Levels.SHARDS, Levels.BITS // 8), np.uint8)
     found = (texts.select("text").mapInArrow(packed, "shard int, low binary").groupBy("shard")
              .applyInArrow(count, "shard int, level int, bits binary"))
-    for r in found.toLocalIterator():  # a fixed size in all: LEVELS x SHARDS x BITS bits
+    for r in found.collect():  # a fixed size in all: LEVELS x SHARDS x BITS bits
         table[r["level"], r["shard"]] = np.frombuffer(r["bits"], np.uint8)
     return Levels(table)
 

@@ -243,7 +243,7 @@ def anchor_filter(anchors: DataFrame) -> tuple[AnchorFilter, np.ndarray]:
 
     blocked = anchors.select(F.shiftrightunsigned("anchor", 54).cast("int").alias("block"), "anchor")
     table = np.zeros((FILTER_BLOCKS, per // 8), np.uint8)
-    for r in blocked.groupBy("block").applyInArrow(bitmap, "block int, bits binary").toLocalIterator():
+    for r in blocked.groupBy("block").applyInArrow(bitmap, "block int, bits binary").collect():  # bounded in all
         table[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     hot = anchors.filter(F.col("n") >= max(HOT, -(-uses // MAX_HOT))).select("anchor").toPandas()["anchor"]
     return AnchorFilter(bits, table), np.sort(hot.to_numpy(np.int64).view(np.uint64))
