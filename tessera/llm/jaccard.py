@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, masked, mix, publish, shingle_sets, shuffle_partitions, text_chunks
+from .common import LOWER, Words, bounded, masked, mix, publish, shingle_sets, shuffle_partitions, text_chunks
 from .components import components
 
 SHINGLE = 4
@@ -407,8 +407,11 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
 
 def _cut(members: DataFrame, block: int) -> DataFrame:
     """``members`` (cluster, number, ..) plus blocks (of its cluster) and block."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    return (members.join(sizes, "cluster")
+    # only clusters of more than a block are looked up, so the rows (and texts) stay in place
+    wide = (members.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") > block)
+            .select("cluster", F.ceil(F.col("size") / block).alias("_blocks")))
+    return (members.join(bounded(wide), "cluster", "left")
+            .withColumn("blocks", F.coalesce("_blocks", F.lit(1).cast("bigint"))).drop("_blocks")
             .withColumn("block", F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")))
 
 
@@ -438,9 +441,10 @@ def linked_sets(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, percent: int
     members = publish(clusters.join(reps, "number").join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id"))
                       .select("cluster", "number", "rep", "text"), "cluster-members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    wide = sizes.filter(F.col("size") > block).select("cluster")
+    wide = publish(sizes.filter(F.col("size") > block).select("cluster"), "large-clusters")
     parts = members
     if wide.limit(1).count():
+        wide = bounded(wide)
         # sets in a large cluster sign again, without the shingles that many of them share
         crowd = members.join(wide, "cluster")
         again = components(candidate_links(crowd, k, percent, common_shingles(crowd, k)), "a", "b").toDF("number", "sub")
