@@ -51,4 +51,4 @@ def test_command_line_build_and_score(spark, scratch):
     fx.predictions(spark, SF001).write.parquet(scratch + "/pred")
     dataset.main(["score", "--predictions", scratch + "/pred", "--out", scratch + "/score"], spark=spark)
     m = spark.read.json(scratch + "/score/metrics").first()
-    assert abs(m.accuracy - 0.6) < 1e-9
+    assert abs(m.accuracy - 60) < 1e-9 and abs(m["no answer"] - 20) < 1e-9  # as written: percent
