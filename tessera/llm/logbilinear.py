@@ -281,7 +281,8 @@ class Scorer:
 
 # ---- scores --------------------------------------------------------------------------------
 
-def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUNDS,
+          frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10
     probability under the model) of every whole text.
 
@@ -291,7 +292,7 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
     spark = docs.sparkSession
     texts = docs.filter(fold(F.col("doc_id"), folds) != rest).select(F.coalesce("text", F.lit("")).alias("text"))
     counts = publish(count_words(texts), "word-counts")
-    vocab = vocabulary(counts, texts.count())
+    vocab = vocabulary(counts, texts.count(), frequent)
     model = train(texts, vocab, rounds)
     shared = spark.sparkContext.broadcast((vocab, Scorer(model)))
 

@@ -153,7 +153,8 @@ def mix_rows(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
                     (F.col("whole") + F.col("part").cast("int")).alias("copies")))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, leaf_rows: int = LEAF,
+        seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken (copies times size) of every document.
 
     A document without words takes part with no words (its copies are those of its source,
@@ -161,7 +162,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     Rows with the same doc_id, source and size get the same copies, each a row of the result.
     An empty table gives no rows; extra columns are ignored."""
     sizes = publish(word_counts(docs), "word-counts")
-    mixed = mix_rows(sizes, weights, cap, seed=seed)
+    mixed = mix_rows(sizes, weights, cap, leaf_rows, seed)
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "source", "size")]
     return (sizes.alias("a").join(mixed.alias("b"), keys[0] & keys[1] & keys[2])
             .select("a.doc_id", "a.size", "source_size", "target", "copies",

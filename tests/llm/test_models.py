@@ -32,13 +32,12 @@ def targets_by_hand(sizes, cap=3.0):
 
 @pytest.mark.parametrize("leaf", [4096, 3])
 def test_mix(spark, docs, leaf, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAF", leaf)
     monkeypatch.setattr(mixing, "FAN_IN", 3)
     rows = docs.collect()
     sizes = collections.Counter()
     for r in rows:
         sizes[r.source] += len((r.text or "").encode().split())
-    got = mixing.mix(docs).collect()
+    got = mixing.mix(docs, leaf_rows=leaf).collect()
     assert len(got) == len(rows)
     want = targets_by_hand(sizes)
     source = {r.doc_id: r.source for r in rows}
@@ -52,7 +51,7 @@ def test_mix(spark, docs, leaf, monkeypatch):
         largest[s] = max(largest[s], r.size)
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 0.5 * largest[s] + 1e-6
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7), leaf_rows=leaf).collect()))
 
 
 def test_pivot_keeps_words_and_expectation():
@@ -78,11 +77,10 @@ def test_mixed_documents(spark, odd_docs):
             assert copies[i, t] == n * taken[i][0] // taken[i][1]
 
 
-def test_lm_counts_are_exact(spark, docs, monkeypatch):
-    monkeypatch.setattr(logbilinear, "FREQUENT", 50)  # most words take the join
+def test_lm_counts_are_exact(spark, docs):
     rows = docs.collect()
     got = collections.defaultdict(list)
-    for r in logbilinear.score(docs, rounds=1).collect():
+    for r in logbilinear.score(docs, rounds=1, frequent=50).collect():  # most words take the join
         got[r.doc_id].append(r)
     c, ends = collections.Counter(), 0
     tokens = {r.doc_id: (r.text or "").encode().translate(LOW).split() for r in rows}
