@@ -355,6 +355,9 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
     """(a, b): pairs of set numbers (sa) that share a signature with the smaller of the two
     being the smallest of its batch or of all."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    # shards of signatures: one shuffle, packed (16 bytes a signature), and a sort in numpy; a
+    # signature comes once per batch
+    shards = max(64, 8 * shuffle_partitions(docs.sparkSession))
 
     def signed(want_links: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,14 +382,22 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
                     first = np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))
                     pairs = np.stack([owner, owner[first]])[:, ~new]
                     pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-                    x, y = pairs
-                else:
-                    x, y = sign[new].view(np.int64), owner[new]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                    continue
+                sign, owner = sign[new], owner[new]
+                shard = (sign % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                sign, owner = sign[order].astype("<u8"), owner[order].astype("<i8")
+                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                parts = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i for i, _, _ in parts], pa.int32()),
+                    pa.array([sign[x:y].tobytes() for _, x, y in parts], pa.binary()),
+                    pa.array([owner[x:y].tobytes() for _, x, y in parts], pa.binary())], names=["shard", "x", "y"])
         return run
 
     def star(table: pa.Table) -> pa.Table:
-        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("x", "<u8"), ("y", "<i8")))
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         new = np.ones(len(x), bool)
@@ -397,10 +408,8 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     texts = docs.select("text")
-    near = texts.mapInArrow(signed(True), "x long, y long").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    # shards of signatures: one shuffle, a sort in numpy; a signature has one row per batch
-    shards = max(64, 8 * shuffle_partitions(docs.sparkSession))
-    signs = texts.mapInArrow(signed(False), "x long, y long").withColumn("shard", F.pmod("x", F.lit(shards)))
+    near = texts.mapInArrow(signed(True), "a long, b long")
+    signs = texts.mapInArrow(signed(False), "shard int, x binary, y binary")
     far = signs.groupBy("shard").applyInArrow(star, "a long, b long")
     return near.unionByName(far).distinct()
 
