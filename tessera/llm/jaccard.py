@@ -37,6 +37,7 @@ from .components import components
 SHINGLE = 4
 PERCENT = 85
 BLOCK = 4000  # sets of a block, on average
+SIGNATURES = 1 << 19  # signatures that a task folds at once
 CLASS_RATIO = 0.6  # sizes of a class: from this times its top up to its top
 LEVELS = (3, 9, 27, 81, 243, 729)  # numbers of sets from which a shingle counts as common
 _EMPTY = np.uint64(0x51ED270B0A1F39C1)
@@ -323,7 +324,7 @@ def common_shingles(texts: DataFrame, k: int = SHINGLE) -> Levels:
     packed, as 32 bits within one of 256 shards."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in text_chunks(b.column("text"), 1 << 22):
+            for _, _, buf, offs in text_chunks(b.column("text")):
                 every = np.sort(np.concatenate(sets_of(buf, offs, k)))
                 cut = np.searchsorted(every >> np.uint64(56), np.arange(Levels.SHARDS + 1))
                 low = ((every >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4")
@@ -359,11 +360,34 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
     # signature comes once per batch
     shards = max(64, 8 * shuffle_partitions(docs.sparkSession))
 
+    def folded(signs: list, owners: list, want_links: bool) -> pa.RecordBatch:
+        """Of signatures that several sets have, one row each, or the links to the smallest."""
+        sign, owner = np.concatenate(signs), np.concatenate(owners)
+        order = np.lexsort((owner, sign))
+        sign, owner = sign[order], owner[order]
+        new = np.ones(len(sign), bool)
+        new[1:] = sign[1:] != sign[:-1]
+        if want_links:
+            first = np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))
+            pairs = np.stack([owner, owner[first]])[:, ~new]
+            pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        sign, owner = sign[new], owner[new]
+        shard = (sign % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        sign, owner = sign[order].astype("<u8"), owner[order].astype("<i8")
+        cut = np.searchsorted(shard[order], np.arange(shards + 1))
+        parts = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([
+            pa.array([i for i, _, _ in parts], pa.int32()),
+            pa.array([sign[x:y].tobytes() for _, x, y in parts], pa.binary()),
+            pa.array([owner[x:y].tobytes() for _, x, y in parts], pa.binary())], names=["shard", "x", "y"])
+
     def signed(want_links: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels = shared.value
             for b in batches:
-                signs, owners = [], []
+                signs, owners, size = [], [], 0
                 seen: set[int] = set()
                 for _, _, buf, offs in text_chunks(b.column("text")):
                     for s in sets_of(buf, offs, k):
@@ -371,29 +395,12 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
                             seen.add(number)
                             signs.append(signatures(s, percent, None if levels is None else levels.of(s)))
                             owners.append(np.full(len(signs[-1]), number))
-                if not signs:
-                    continue
-                sign, owner = np.concatenate(signs), np.concatenate(owners)
-                order = np.lexsort((owner, sign))
-                sign, owner = sign[order], owner[order]
-                new = np.ones(len(sign), bool)
-                new[1:] = sign[1:] != sign[:-1]
-                if want_links:
-                    first = np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))
-                    pairs = np.stack([owner, owner[first]])[:, ~new]
-                    pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-                    continue
-                sign, owner = sign[new], owner[new]
-                shard = (sign % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                sign, owner = sign[order].astype("<u8"), owner[order].astype("<i8")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                parts = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([i for i, _, _ in parts], pa.int32()),
-                    pa.array([sign[x:y].tobytes() for _, x, y in parts], pa.binary()),
-                    pa.array([owner[x:y].tobytes() for _, x, y in parts], pa.binary())], names=["shard", "x", "y"])
+                            size += len(signs[-1])
+                    if size > SIGNATURES:
+                        yield folded(signs, owners, want_links)
+                        signs, owners, size = [], [], 0
+                if signs:
+                    yield folded(signs, owners, want_links)
         return run
 
     def star(table: pa.Table) -> pa.Table:

@@ -20,7 +20,7 @@ from array import array
 
 import public_tokenizers
 
-KEEP = 500_000
+KEEP = 300_000
 
 
 def vocabulary(name: str) -> str:

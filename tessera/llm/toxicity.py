@@ -126,7 +126,7 @@ class Features:
         got = self.kept.get(key)
         if got is None:
             got = self._word(words.text(i))
-            if len(self.kept) < 500_000:
+            if len(self.kept) < 100_000:
                 self.kept[key] = got
         return got
 
