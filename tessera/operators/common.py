@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def keep_last(df: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
     """Keep, per key combination, the row with the greatest ``ord`` (pandas
     ``drop_duplicates(keep='last')`` on a frame ordered by ``ord``).  NULL keys compare
-    equal, as in pandas.  ``ord`` must be non-null and unique (it stands for the row
-    position; a tie would leave the choice to the data layout).
+    equal, as in pandas.  ``ord`` stands for the row position; among rows of a key that share
+    the greatest ``ord`` the one with the greatest other columns stays, so every key keeps
+    exactly one row and the layout of the data decides nothing.
 
-    A hash aggregate finds the greatest ``ord`` per key (longs only, combined on the map side,
-    so a key holding a third of all rows costs one row per map task); a semi join on ``ord``
-    keeps those rows.  Texts take no part in the aggregate."""
-    last = df.groupBy(*keys).agg(F.max(ord_col).alias("_last")).select("_last")
-    return df.join(last, F.col(ord_col) == F.col("_last"), "left_semi")
+    One aggregate of ``max(struct(ord, row))``: the map side keeps one row per key and
+    partition before the shuffle, so a key holding a third of all rows costs one row per map
+    task.  Keys and ``ord`` stay together in it; nothing is joined back."""
+    others = [c for c in df.columns if c != ord_col]
+    last = df.groupBy(*keys).agg(F.max(F.struct(ord_col, *others)).alias("_last"))
+    return last.select(*[F.col("_last")[c].alias(c) for c in df.columns])
 
 
 DIGIT_BITS = 16

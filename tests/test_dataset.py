@@ -52,3 +52,41 @@ def test_command_line_build_and_score(spark, scratch):
     dataset.main(["score", "--predictions", scratch + "/pred", "--out", scratch + "/score"], spark=spark)
     m = spark.read.json(scratch + "/score/metrics").first()
     assert abs(m.accuracy - 60) < 1e-9 and abs(m["no answer"] - 20) < 1e-9  # as written: percent
+
+
+def test_build_keeps_one_row_per_key(spark, scratch):
+    resources = spark.createDataFrame(
+        [("R1", "A paper of two fields", ["Paper"]), ("R2", "A paper of one field", ["Paper"]),
+         ("F1", "Physics", ["ResearchField"]), ("F2", "Biology", ["ResearchField"])],
+        "id string, label string, classes array<string>")
+    said = [("R1", "P30", "has research field", "F1", "Physics"), ("R1", "P30", "has research field", "F2", "Biology"),
+            ("R2", "P30", "has research field", "F1", "Physics"),
+            ("R1", "P31", "contribution", "C1", "c"), ("R1", "P31", "contribution", "C2", "c"), ("R2", "P31", "contribution", "C3", "c"),
+            ("C1", "P33", "method", "L1", "neutrons"), ("C2", "P33", "method", "L1", "neutrons"),
+            ("C3", "P33", "method", "L1", "neutrons"), ("C3", "P33", "method", "L1", "neutrons"),  # a repeated statement
+            ("C3", "P34", "result", "L2", "tritium")]
+    statements = spark.createDataFrame(
+        said, "subject_id string, predicate_id string, predicate_label string, object_id string, object_label string")
+    bib = spark.createDataFrame(
+        [(i, t, f"10.1/{i}", "We count neutrons and tritium.", 1, 0)
+         for i, t in enumerate(["A paper of two fields", "A paper of one field"])],
+        "bib_id long, title string, doi string, abstract string, source int, rank int")
+    out = []
+    for parts in (1, 5):  # also not by the layout of the data
+        dataset.build(resources, statements.repartition(parts), bib, out=f"{scratch}/{parts}", fuzzy=False)
+        rows = stage_io.read_stage(spark, f"{scratch}/{parts}/final_dataset").collect()
+        assert sorted((r.PaperId, r.PredicateLabel, r.ObjectLabel) for r in rows) == [
+            ("R1", "method", "neutrons"), ("R2", "method", "neutrons"), ("R2", "result", "tritium")]
+        assert len({r.ord for r in rows}) == 3
+        assert stage_io.read_training(spark, f"{scratch}/{parts}/training", "what").count() == 3
+        out.append(sorted(map(str, rows)))
+    assert out[0] == out[1]
+
+
+def test_keep_last_ties_and_other_keys(spark):
+    from tessera.operators.common import keep_last
+
+    df = spark.createDataFrame([(5, "a", "x"), (5, "a", "y"), (3, "b", "z"), (5, "b", "w"), (7, "b", "v"), (5, None, "n")],
+                               "ord int, k string, v string")
+    # the row of b with ord 5, the greatest ord of a, goes; one row of the tie stays
+    assert sorted(map(tuple, keep_last(df, ["k"]).collect()), key=str) == [(5, "a", "y"), (5, None, "n"), (7, "b", "v")]
