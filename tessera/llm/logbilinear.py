@@ -5,15 +5,22 @@ from the classes of the two tokens before it: with context vectors ``R``, positi
 ``c1, c2``, target vectors ``Q`` and biases ``b``, the score of class ``w`` is
 ``(R[w1] * c1 + R[w2] * c2) . Q[w] + b[w]``, normalised over all classes by batched matrix
 products.  Each of the most frequent words and the end is a class of its own; every other
-word belongs to a class that its length and last byte decide, and has the class's probability
-times its smoothed share of the class: ``(c + 1) / (sum of c + 1 over the class + 1)``, the
-last 1 standing for the words that were never seen.
+word belongs to a class that its length and last byte decide.  Inside such a class the words
+seen at least ``LEARNED`` times (their number grows with the corpus and has no bound) have
+vectors of their own, as contexts and as targets: the class falls into cells of ``CELL``
+words, and a word has the probability of its class, times that of its cell in the class, times
+its own in the cell, each a log-bilinear softmax of the same context.  Words seen more rarely
+share one more cell of their class and have its probability times their smoothed share of it:
+``(c + 1) / (sum of c + 1 over them + 1)``, the last 1 standing for the words that were never
+seen; as contexts they have their class's vector.
 
 Counts cover every training text.  Training passes over every training text as well: each
-task trains on its own texts from the common start, and the models are averaged by tokens
-(a sum per block of parameters on the cluster), once per round.  A table of the most frequent
-words' counts is broadcast (at most ``FREQUENT`` words); all other words of all texts meet
-their counts in a join."""
+task trains on its own texts from the common start, and the models are averaged (classes by
+tokens, words and cells by the times a task met them; a sum per block of parameters on the
+cluster), once per round.  All rounds but the last train classes only; the last starts every
+word from its class's vector.  A table of the most frequent words' counts is broadcast (at
+most ``FREQUENT`` words and all learned ones); all other words of all texts meet their counts
+in a join."""
 
 from __future__ import annotations
 
@@ -30,7 +37,9 @@ from .common import LOWER, Words, publish, text_chunks
 from .sampling import fold, held_out
 
 FOLDS = 7
-FREQUENT = 1 << 18  # words whose counts are broadcast, at most
+FREQUENT = 1 << 18  # words whose counts are broadcast, at most (learned words always are)
+LEARNED = 100  # words seen so often have vectors of their own
+CELL = 64  # learned words in a cell
 OWN = 447  # words that are a class of their own, at most
 SHAPES = 64  # classes of the other words
 END = OWN + SHAPES  # the class of the end of a text; also stands before its first word
@@ -41,6 +50,8 @@ BATCH = 1024
 ROUNDS = 2
 LEARNING_RATE = 0.04
 BLOCKS = 32
+NODES = 512  # words and cells in a block of parameters
+NOISE_IN = 4  # noise words (or cells) per token inside a cell (or class)
 
 
 def shape_class(words: Words) -> np.ndarray:
@@ -72,24 +83,68 @@ def count_words(texts: DataFrame) -> DataFrame:
             .groupBy("h").agg(F.sum("n").alias("c"), F.max("shape").alias("shape")))
 
 
+@dataclass
+class Tree:
+    """The learned words below the classes by shape.  Cells are numbered by class, words by
+    cell; the first cell of each class is that of its rare words and has no learned ones."""
+
+    cells: np.ndarray  # where the cells of each shape class start, and their number
+    words: np.ndarray  # where the words of each cell start, and their number
+    cell: np.ndarray  # per word its cell
+    shape: np.ndarray  # per word its shape class, from 0
+    mass: np.ndarray  # per cell, then per word: sum of c + 1
+    rare: np.ndarray  # per shape class: sum of c + 1 over its rare words, plus 1
+
+    @staticmethod
+    def of(shape: np.ndarray, c: np.ndarray, sums: np.ndarray) -> Tree:
+        """Of learned words sorted by shape class, the frequent ones of a class first."""
+        n = np.bincount(shape, minlength=SHAPES)
+        cells = np.concatenate([[0], np.cumsum(1 + -(-n // CELL))])
+        inside = np.arange(len(shape)) - (np.cumsum(n) - n)[shape]
+        cell = cells[shape] + 1 + inside // CELL
+        words = np.searchsorted(cell, np.arange(cells[-1] + 1))
+        learned = np.bincount(shape, c + 1.0, SHAPES)
+        mass = np.bincount(cell, c + 1.0, cells[-1])
+        mass[cells[:-1]] = sums - learned
+        return Tree(cells, words, cell, shape, np.concatenate([mass, c + 1.0]), sums - learned)
+
+    def start(self, model: Model) -> np.ndarray:
+        """Per cell, then per word: context vector, target vector and bias.  Every softmax
+        starts at the shares, every word's context vector at its class's."""
+        n = self.cells[-1]
+        out = np.zeros((len(self.mass), 2 * WIDTH + 1), np.float32)
+        out[n:, :WIDTH] = model.R[OWN + self.shape]
+        total = np.concatenate([np.repeat(np.add.reduceat(self.mass[:n], self.cells[:-1]), np.diff(self.cells)),
+                                self.mass[:n][self.cell]])
+        out[:, -1] = np.log(self.mass / total)
+        return out
+
+
 @dataclass
 class Vocabulary:
-    """What every task needs: the frequent words' hashes (sorted), counts and classes (-1:
-    none of its own), the smallest count among them, and the class sums."""
+    """What every task needs: the frequent words' hashes (sorted), counts, classes (-1: none
+    of its own) and numbers among the learned words (-1: not learned), the smallest count
+    among them, and the class sums."""
 
     hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
+    learned: np.ndarray
+    tree: Tree
     floor: int
     sums: np.ndarray  # per shape class: sum of c + 1 over its words, plus 1
     tokens: int  # N
     types: int  # V
     ends: int
 
+    def only(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, classes, numbers among the learned words) of some of the words."""
+        return self.hashes[keep], self.classes[keep], self.learned[keep]
 
-def vocabulary(counts: DataFrame, ends: int, frequent: int = FREQUENT) -> Vocabulary:
+
+def vocabulary(counts: DataFrame, ends: int, frequent: int = FREQUENT, learned: int = LEARNED) -> Vocabulary:
     """The broadcast part of the counts.  Frequent are all words with a count of at least the
-    smallest power of two that leaves at most ``frequent`` of them."""
+    smallest power of two that leaves at most ``frequent`` of them, and all learned words."""
     level = F.floor(F.log2("c"))
     steps = {int(r["k"]): r["n"] for r in counts.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()}
     total = 0
@@ -98,7 +153,9 @@ def vocabulary(counts: DataFrame, ends: int, frequent: int = FREQUENT) -> Vocabu
         if total + steps[k] > frequent:
             break
         total, floor = total + steps[k], 1 << k
+    floor = min(floor, learned)
     top = counts.filter(F.col("c") >= floor).toPandas().sort_values(["c", "h"], ascending=[False, True])
+    shape, c = top["shape"].to_numpy(np.int64) - OWN, top["c"].to_numpy(np.int64)
     own = np.full(len(top), -1)
     own[:OWN] = np.arange(min(OWN, len(top)))
     sums = np.ones(SHAPES)
@@ -107,11 +164,14 @@ def vocabulary(counts: DataFrame, ends: int, frequent: int = FREQUENT) -> Vocabu
     for r in counts.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         sums[r["shape"] - OWN] += r["c"] + r["v"]
         seen, types = seen + r["c"], types + r["v"]
-    for shape, c in zip(top["shape"][:OWN], top["c"][:OWN]):
-        sums[shape - OWN] -= c + 1
+    np.subtract.at(sums, shape[:OWN], c[:OWN] + 1)
+    at = np.flatnonzero((own < 0) & (c >= learned))
+    at = at[np.argsort(shape[at], kind="stable")]
+    number = np.full(len(top), -1)
+    number[at] = np.arange(len(at))
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(h[order], top["c"].to_numpy(np.int64)[order], own[order], floor, sums,
+    return Vocabulary(h[order], c[order], own[order], number[order], Tree.of(shape[at], c[at], sums), floor, sums,
                       seen + ends, types + (ends > 0), ends)
 
 
@@ -182,54 +242,142 @@ def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(flat, rows.ravel(), n * WIDTH).reshape(n, WIDTH)
 
 
-def sequences(words: Words, h: np.ndarray, own_hashes: np.ndarray, own_classes: np.ndarray
-              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(class, class before, class before that, text) of every token, ends included."""
+class WordTrainer(Trainer):
+    """The last round: learned words as contexts, and the softmaxes inside classes and cells,
+    by noise-contrastive estimation with uniform noise from the same class or cell."""
+
+    def __init__(self, model: Model, share: np.ndarray, tree: Tree, nodes: np.ndarray, seed: int):
+        super().__init__(model, share, seed)
+        self.tree, self.nodes = tree, nodes.copy()
+        self.node_sq = np.full(nodes.shape, 0.1, np.float32)
+        self.met = np.zeros(len(nodes), np.int64)
+
+    def step(self, w: np.ndarray, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+        m, n, t = self.m, len(self.edges), self.tree
+        cells = t.cells[-1]
+        r1, r2 = contexts(m, self.nodes, cells, x1), contexts(m, self.nodes, cells, x2)
+        h = r1 * m.c1 + r2 * m.c2
+        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
+        qw, qn = m.Q[w], m.Q[noise]
+        up = _sigmoid(self.noise[w] - (h * qw).sum(1) - m.b[w])
+        down = _sigmoid(h @ qn.T + m.b[noise] - self.noise[noise])
+        dh = up[:, None] * qw - down @ qn
+        gq = _sums(w, up[:, None] * h, n)
+        np.add.at(gq, noise, -(down.T @ h))
+        gb = np.bincount(w, up, n) - np.bincount(noise, down.sum(0), n)
+        shaped = np.flatnonzero((w >= OWN) & (w < END))
+        cell = np.where(x[shaped] >= CLASSES, t.cell[x[shaped] - CLASSES] if len(t.cell) else 0, t.cells[w[shaped] - OWN])
+        learned = np.flatnonzero(x >= CLASSES)
+        in_cell = t.cell[x[learned] - CLASSES]
+        steps = [self._inside(h, dh, shaped, cell, t.cells[w[shaped] - OWN], t.cells[w[shaped] - OWN + 1]),
+                 self._inside(h, dh, learned, cells + x[learned] - CLASSES, cells + t.words[in_cell], cells + t.words[in_cell + 1])]
+        d1, d2 = dh * m.c1, dh * m.c2
+        own1, own2 = x1 >= CLASSES, x2 >= CLASSES
+        gr = _sums(x1[~own1], d1[~own1], n) + _sums(x2[~own2], d2[~own2], n)
+        steps.append((np.concatenate([x1[own1], x2[own2]]) - CLASSES + cells, np.concatenate([d1[own1], d2[own2]])))
+        for g, (at, rows) in zip((slice(WIDTH, None), slice(WIDTH, None), slice(0, WIDTH)), steps):
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                sorted_at = at[order]
+                first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
+                rows = np.add.reduceat(rows[order], first, axis=0)
+                at = sorted_at[first]
+                self.met[at] += np.diff(np.append(first, len(sorted_at)))
+                self.node_sq[at, g] += rows * rows
+                self.nodes[at, g] += LEARNING_RATE * rows / np.sqrt(self.node_sq[at, g])
+        for p, g, s in zip((m.R, m.Q, m.c1, m.c2, m.b), (gr, gq, (dh * r1).sum(0), (dh * r2).sum(0), gb), self.sq):
+            s += g * g
+            p += LEARNING_RATE * g / np.sqrt(s)
+        self.tokens += len(w)
+
+    def _inside(self, h: np.ndarray, dh: np.ndarray, rows: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray]:
+        """(node, gradient of its target vector and bias); ``dh`` grows in place.  Nodes that
+        are alone in their group have probability 1 and nothing to learn."""
+        some = high - low > 1
+        rows, target, low, size = rows[some], target[some], low[some], (high - low)[some]
+        if not len(rows):
+            return rows, np.empty((0, WIDTH + 1))
+        every = np.empty((len(rows), 1 + NOISE_IN), np.int64)
+        every[:, 0] = target
+        every[:, 1:] = low[:, None] + (self.rng.random((len(rows), NOISE_IN)) * size[:, None]).astype(np.int64)
+        hr = h[rows]
+        q = self.nodes[every, WIDTH:]
+        s = np.einsum("ij,ikj->ik", hr, q[:, :, :WIDTH]) + q[:, :, WIDTH] - np.log(NOISE_IN / size)[:, None]
+        g = -_sigmoid(s)
+        g[:, 0] += 1
+        dh[rows] += np.einsum("ik,ikj->ij", g, q[:, :, :WIDTH])
+        out = np.empty((len(rows), 1 + NOISE_IN, WIDTH + 1))
+        np.multiply(g[:, :, None], hr[:, None, :], out=out[:, :, :WIDTH])
+        out[:, :, WIDTH] = g
+        return every.ravel(), out.reshape(-1, WIDTH + 1)
+
+
+def contexts(model: Model, nodes: np.ndarray, cells: int, x: np.ndarray) -> np.ndarray:
+    """The context vectors of tokens: of their class or, from ``CLASSES`` on, of the word."""
+    out = model.R[np.minimum(x, CLASSES - 1)]
+    own = np.flatnonzero(x >= CLASSES)
+    out[own] = nodes[x[own] - CLASSES + cells, :WIDTH]
+    return out
+
+
+def sequences(words: Words, h: np.ndarray, hashes: np.ndarray, classes: np.ndarray, learned: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, word, word before, word before that, text) of every token, ends included.  A
+    word is its class or, if it is learned, ``CLASSES`` and its number."""
     n = len(words.first) - 1
     cls = shape_class(words)
-    if len(own_hashes):
-        spot = np.minimum(np.searchsorted(own_hashes, h), len(own_hashes) - 1)
-        cls = np.where(own_hashes[spot] == h, own_classes[spot], cls)
+    word = cls
+    if len(hashes):
+        spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hit = hashes[spot] == h
+        cls = np.where(hit & (classes[spot] >= 0), classes[spot], cls)
+        word = np.where(hit & (learned[spot] >= 0), CLASSES + learned[spot], cls)
     ends = words.first[1:] + np.arange(n)  # where the ends go among all tokens
-    w = np.full(len(h) + n, END)
+    w, x = np.full(len(h) + n, END), np.full(len(h) + n, END)
     word_at = np.arange(len(h)) + words.doc
-    w[word_at] = cls
+    w[word_at], x[word_at] = cls, word
     doc = np.empty(len(w), np.int64)
     doc[word_at], doc[ends] = words.doc, np.arange(n)
-    w1, w2 = np.full(len(w), END), np.full(len(w), END)
+    x1, x2 = np.full(len(w), END), np.full(len(w), END)
     same1 = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-    w1[same1] = w[same1 - 1]
+    x1[same1] = x[same1 - 1]
     same2 = np.flatnonzero(doc[2:] == doc[:-2]) + 2
-    w2[same2] = w[same2 - 2]
-    return w, w1, w2, doc
+    x2[same2] = x[same2 - 2]
+    return w, x, x1, x2, doc
 
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """``rounds`` passes over all training texts."""
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Model, np.ndarray]:
+    """``rounds`` passes over all training texts: the classes' model, and the vectors and
+    biases of cells and learned words."""
     spark = texts.sparkSession
     own = vocab.classes >= 0
-    own_hashes, own_classes = vocab.hashes[own], vocab.classes[own]
     mass = np.ones(CLASSES)
-    mass[own_classes] += vocab.counts[own]
+    mass[vocab.classes[own]] += vocab.counts[own]
     mass[OWN:END] += vocab.sums
     mass[END] += vocab.ends
     share = mass / mass.sum()
     model = Model.start(share)
     size = len(model.flat())
     cuts = np.linspace(0, size, BLOCKS + 1).astype(int)
+    nodes = vocab.tree.start(model)
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((model, share, own_hashes, own_classes))
+        last = turn == rounds - 1
+        nodes = vocab.tree.start(model) if last else nodes
+        shared = spark.sparkContext.broadcast(
+            (model, share, *vocab.only(own | (vocab.learned >= 0) if last else own), *((vocab.tree, nodes) if last else (None, None))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, share, hashes, classes = shared.value
-            trainer = Trainer(model, share, 1000 * turn + TaskContext.get().partitionId())
+            model, share, hashes, classes, learned, tree, nodes = shared.value
+            seed = 1000 * turn + TaskContext.get().partitionId()
+            trainer = Trainer(model, share, seed) if tree is None else WordTrainer(model, share, tree, nodes, seed)
             held: list[np.ndarray] = []
             size = 0
             for b in batches:
                 for _, _, buf, offs in text_chunks(b.column("text"), 1 << 18):
                     words = Words(LOWER[buf], offs)
-                    w, w1, w2, _ = sequences(words, words.hashes(), hashes, classes)
-                    held.append(np.stack([w, w1, w2]))
+                    w, x, x1, x2, _ = sequences(words, words.hashes(), hashes, classes, learned)
+                    held.append(np.stack([w, x1, x2] if tree is None else [w, x, x1, x2]))
                     size += len(w)
                     if size >= BATCH:
                         every = np.concatenate(held, axis=1)
@@ -243,46 +391,103 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
                 flat = trainer.m.flat()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, trainer.tokens)),
-                    pa.array([flat[a:z].tolist() for a, z in zip(cuts, cuts[1:])], pa.list_(pa.float64()))],
-                    names=["block", "tokens", "part"])
+                    pa.array([[]] * BLOCKS, pa.list_(pa.int32())), pa.array([[]] * BLOCKS, pa.list_(pa.int64())),
+                    pa.array([flat[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())], names=names)
+            if tree is not None:
+                met = np.flatnonzero(trainer.met)
+                for group in np.split(met, np.flatnonzero(np.diff(met // NODES)) + 1) if len(met) else []:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([BLOCKS + group[0] // NODES], pa.int32()), pa.array([trainer.tokens]),
+                        pa.array([group], pa.list_(pa.int32())), pa.array([trainer.met[group]], pa.list_(pa.int64())),
+                        pa.array([trainer.nodes[group].tobytes()], pa.binary())], names=names)
 
         def average(table: pa.Table) -> pa.Table:
+            block = table.column("block")[0].as_py()
             n = table.column("tokens").to_numpy().astype(np.float64)
-            parts = np.array(table.column("part").to_pylist())
-            order = np.lexsort((parts[:, 0], n))  # sums do not depend on the order of arrival
-            mean = (parts[order] * n[order, None]).sum(0) / n.sum()
-            return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([mean.tolist()])})
-
-        models = publish(texts.select("text").mapInArrow(run, "block int, tokens long, part array<double>"), "lbl-models")
-        rows = models.groupBy("block").applyInArrow(average, "block int, part array<double>").collect()
+            parts = table.column("part").to_pylist()
+            # sums do not depend on the order of arrival
+            order = sorted(range(len(parts)), key=lambda i: (n[i], parts[i]))
+            if block < BLOCKS:
+                at, mean = [], sum(n[i] * np.frombuffer(parts[i]) for i in order) / n.sum()
+            else:
+                ats, mets = table.column("at").to_pylist(), table.column("met").to_pylist()
+                total, weight = np.zeros((NODES, 2 * WIDTH + 1)), np.zeros(NODES)
+                for i in order:
+                    a, m = np.array(ats[i]) % NODES, np.array(mets[i], np.float64)
+                    total[a] += m[:, None] * np.frombuffer(parts[i], np.float32).reshape(len(a), -1)
+                    weight[a] += m
+                at = np.flatnonzero(weight)
+                mean = (total[at] / weight[at, None]).astype(np.float32)
+                at = ((block - BLOCKS) * NODES + at).tolist()
+            return pa.table({"block": pa.array([block], pa.int32()), "at": pa.array([at], pa.list_(pa.int32())),
+                             "part": pa.array([mean.tobytes()], pa.binary())})
+
+        names = ["block", "tokens", "at", "met", "part"]
+        models = texts.select("text").mapInArrow(run, "block int, tokens long, at array<int>, met array<long>, part binary")
+        rows = publish(models.groupBy("block").applyInArrow(average, "block int, at array<int>, part binary"),
+                       "lbl-models").orderBy("block").collect()
         if rows:
-            model = Model.of(np.concatenate([r["part"] for r in sorted(rows, key=lambda r: r["block"])]), CLASSES)
-    return model
+            model = Model.of(np.concatenate([np.frombuffer(r["part"]) for r in rows if r["block"] < BLOCKS]), CLASSES)
+        for r in rows:
+            if r["block"] >= BLOCKS:
+                nodes[r["at"]] = np.frombuffer(r["part"], np.float32).reshape(len(r["at"]), -1)
+    return model, nodes
 
 
 class Scorer:
-    """Normalised log10 class probabilities by table: the score is a sum of two entries and a
-    bias, the normaliser one entry per pair of context classes."""
-
-    def __init__(self, model: Model):
-        self.p1 = ((model.R * model.c1) @ model.Q.T).astype(np.float32)
-        self.p2 = ((model.R * model.c2) @ model.Q.T).astype(np.float32)
-        self.b = model.b.astype(np.float32)
-        n = len(self.b)
-        self.z = np.empty((n, n), np.float32)
-        for i in range(n):  # one batched product per class before
-            s = self.p1[i] + self.p2 + self.b
-            top = s.max(axis=1, keepdims=True)
-            self.z[i] = np.log(np.exp(s - top).sum(axis=1)) + top[:, 0]
-
-    def log10(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        return (self.p1[w1, w] + self.p2[w2, w] + self.b[w] - self.z[w1, w2]).astype(np.float64) / np.log(10)
+    """Normalised log10 probabilities: of classes over all classes, and inside a class over
+    its cells and inside a cell over its words."""
+
+    def __init__(self, model: Model, tree: Tree | None = None, nodes: np.ndarray | None = None):
+        self.m = Model(*(x.astype(np.float32) for x in (model.R, model.Q, model.c1, model.c2, model.b)))
+        self.tree, self.nodes = tree, np.empty((0, 2 * WIDTH + 1), np.float32) if nodes is None else nodes
+
+    def log10(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """Of the class; with ``x`` also of the cell and the word in it (rare words: of the
+        cell only)."""
+        m, t = self.m, self.tree
+        cells = t.cells[-1] if t else 0
+        h = contexts(m, self.nodes, cells, x1) * m.c1 + contexts(m, self.nodes, cells, x2) * m.c2
+        out = np.empty(len(w))
+        for a in range(0, len(w), 2048):  # batched products that stay in the cache
+            out[a:a + 2048] = _softmax(h[a:a + 2048], m.Q, m.b, w[a:a + 2048])
+        if x is not None:
+            shaped = np.flatnonzero((w >= OWN) & (w < END))
+            shape, xs = w[shaped] - OWN, x[shaped]
+            cell = np.where(xs >= CLASSES, t.cell[xs - CLASSES] if len(t.cell) else 0, t.cells[shape])
+            self._inside(out, h, shaped, shape, cell, t.cells, 0)
+            learned = np.flatnonzero(x >= CLASSES)
+            number = x[learned] - CLASSES
+            self._inside(out, h, learned, t.cell[number], number, t.words, cells)
+        return out / np.log(10)
+
+    def _inside(self, out: np.ndarray, h: np.ndarray, rows: np.ndarray, group: np.ndarray, target: np.ndarray,
+                first: np.ndarray, offset: int) -> None:
+        order = np.argsort(group, kind="stable")
+        rows, group, target = rows[order], group[order], target[order]
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+        for a, z in zip(cut, [*cut[1:], len(rows)]):
+            low, high = first[group[a]], first[group[a] + 1]
+            if high - low > 1:
+                q = self.nodes[offset + low:offset + high, WIDTH:]
+                for i in range(a, z, 8192):
+                    j = min(i + 8192, z)
+                    out[rows[i:j]] += _softmax(h[rows[i:j]], q[:, :WIDTH], q[:, WIDTH], target[i:j] - low)
+
+
+def _softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each row's probability of ``at``."""
+    s = h @ q.T
+    s += b
+    s -= s.max(axis=1, keepdims=True)
+    own = s[np.arange(len(s)), at].astype(np.float64)
+    return own - np.log(np.exp(s, out=s).sum(axis=1))
 
 
 # ---- scores --------------------------------------------------------------------------------
 
 def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUNDS,
-          frequent: int = FREQUENT) -> DataFrame:
+          frequent: int = FREQUENT, learned: int = LEARNED) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10
     probability under the model) of every whole text.
 
@@ -292,16 +497,14 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
     spark = docs.sparkSession
     texts = docs.filter(fold(F.col("doc_id"), folds) != rest).select(F.coalesce("text", F.lit("")).alias("text"))
     counts = publish(count_words(texts), "word-counts")
-    vocab = vocabulary(counts, texts.count(), frequent)
-    model = train(texts, vocab, rounds)
-    shared = spark.sparkContext.broadcast((vocab, Scorer(model)))
+    vocab = vocabulary(counts, texts.count(), frequent, learned)
+    model, nodes = train(texts, vocab, rounds)
+    shared = spark.sparkContext.broadcast((vocab, Scorer(model, vocab.tree, nodes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, scorer = shared.value
-        own = vocab.classes >= 0
-        own_hashes, own_classes = vocab.hashes[own], vocab.classes[own]
         log_count = np.log10(vocab.counts + 1.0)
-        log_sum = np.log10(vocab.sums)
+        log_sum = np.log10(vocab.tree.rare)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -309,17 +512,19 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
                 n = len(offs) - 1
                 words = Words(LOWER[buf], offs)
                 h = words.hashes()
-                w, w1, w2, doc = sequences(words, h, own_hashes, own_classes)
-                model10 = np.bincount(doc, scorer.log10(w, w1, w2), n)
+                w, x, x1, x2, doc = sequences(words, h, vocab.hashes, vocab.classes, vocab.learned)
+                model10 = np.bincount(doc, scorer.log10(w, x1, x2, x), n)
                 if len(vocab.hashes):
                     spot = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
                     hit = vocab.hashes[spot] == h
                 else:
                     spot, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
                 seen = np.where(hit, log_count[spot] if len(log_count) else 0.0, 0.0)
-                shaped = ~hit | (vocab.classes[spot] < 0) if len(vocab.classes) else np.ones(len(h), bool)
+                shared_cell = ~hit
+                if len(vocab.classes):
+                    shared_cell |= (vocab.classes[spot] < 0) & (vocab.learned[spot] < 0)
                 shape = shape_class(words) - OWN
-                model10 += np.bincount(words.doc, np.where(shaped, seen - log_sum[shape], 0.0), n)
+                model10 += np.bincount(words.doc, np.where(shared_cell, seen - log_sum[shape], 0.0), n)
                 base10 = np.bincount(words.doc, seen, n) + np.log10(vocab.ends + 1.0)
                 known = np.bincount(words.doc, hit, n).astype(np.int64) + (vocab.ends > 0)
                 rare, first, times = _rare(words.doc[~hit], h[~hit])

@@ -168,3 +168,33 @@ def test_hidden_words_and_trees():
     assert np.mean((trees.score(x[400:]) > 0.5) == y[400:]) > 0.93
     m, level = toxicity.isotonic(np.array([3., 1, 2, 4]), np.array([0., 0, 1, 1]), np.ones(4))
     assert (np.diff(level) > 0).all() and (np.diff(m) > 0).all()
+
+
+def test_lm_own_words_grow_with_the_corpus(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    counts = logbilinear.count_words(docs)
+    words = {n: (logbilinear.vocabulary(c, 1, learned=20).learned >= 0).sum() + logbilinear.OWN
+             for n, c in (("all", counts), ("some", logbilinear.count_words(docs.filter("doc_id % 8 = 0"))))}
+    assert words["all"] == counts.filter("c >= 20").count() > 2 * words["some"]
+    held = [[r for r in logbilinear.score(docs, learned=k).collect() if r.held_out] for k in (20, 1 << 40)]
+    # own vectors predict better than shares of a class by length and last byte
+    assert sum(r.score for r in held[0]) > sum(r.score for r in held[1])
+
+
+def test_lm_words_are_normalised():
+    lb, rng = logbilinear, np.random.default_rng(4)
+    shape = np.sort(rng.integers(0, 5, 900))
+    c = rng.integers(20, 900, 900)
+    sums = 1 + np.bincount(shape, c + 1.0, lb.SHAPES) + rng.integers(0, 99, lb.SHAPES)
+    tree, share = lb.Tree.of(shape, c, sums), rng.random(lb.CLASSES)
+    model = lb.Model.start(share / share.sum())
+    nodes = tree.start(model) + rng.normal(0, 0.3, (len(tree.mass), 2 * lb.WIDTH + 1)).astype(np.float32)
+    # every class (a shape class: its rare words' cell) and every learned word, after learned words
+    x = np.concatenate([np.arange(lb.CLASSES), lb.CLASSES + np.arange(900)])
+    w = np.concatenate([np.arange(lb.CLASSES), lb.OWN + shape])
+    p = 10 ** lb.Scorer(model, tree, nodes).log10(w, np.full_like(w, lb.CLASSES + 7), np.full_like(w, lb.CLASSES + 800), x)
+    assert abs(p.sum() - 1) < 1e-4
+    # at the start a word has its smoothed share of the class
+    q = 10 ** lb.Scorer(model, tree, tree.start(model)).log10(w, np.zeros_like(w), np.zeros_like(w), x)
+    k = 10 ** lb.Scorer(model).log10(w, np.zeros_like(w), np.zeros_like(w))
+    assert np.allclose(q[lb.CLASSES:] / k[lb.CLASSES:], (c + 1) / sums[shape], rtol=1e-3)
