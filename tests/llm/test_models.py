@@ -198,3 +198,37 @@ def test_lm_words_are_normalised():
     q = 10 ** lb.Scorer(model, tree, tree.start(model)).log10(w, np.zeros_like(w), np.zeros_like(w), x)
     k = 10 ** lb.Scorer(model).log10(w, np.zeros_like(w), np.zeros_like(w))
     assert np.allclose(q[lb.CLASSES:] / k[lb.CLASSES:], (c + 1) / sums[shape], rtol=1e-3)
+
+
+def test_language_sets_of_four(spark):
+    table = spark.read.parquet(f"{SF01}/documents.parquet").filter("length(text) > 600")
+    langs, probs = language.learn(table)
+    pick = {r.lang: r.text.lower()[:600] for r in table.collect()}
+    four = [i for i, name in enumerate(langs) if name in pick][:4]
+    from tessera.llm.common import joined
+    text = " ".join(pick[langs[i]] for i in four)
+    best, score, size, shares = language.infer_sets(*joined([text.encode(), pick[langs[four[0]]].encode()]), probs)
+    assert size.tolist() == [4, 1] and set(np.flatnonzero(shares[0])) == set(four)
+    assert abs(shares[0].sum() - 1) < 1e-6 and shares[0][four].min() > 0.1 and shares[1][four[0]] == 1
+    # leaving out texts that can't improve changes nothing: each text alone, every set tried
+    rows = [r.text.lower().encode() for r in table.limit(60).collect()] + [text.encode()]
+    together = language.infer_sets(*joined(rows), probs)[2]
+    assert together.tolist() == [best_set(r, probs) for r in rows]
+    got = language.identify(table.limit(30)).collect()
+    assert all(len(r.langs) == len(r.proportions) == r.n_langs and abs(sum(r.proportions) - 1) < 1e-6 for r in got)
+    assert all(r.langs[0] == r.lang_pred and r.proportions == sorted(r.proportions, reverse=True) for r in got)
+
+
+def best_set(text, probs):
+    grams, starts, _ = language.word_grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    like = np.add.reduceat(probs[grams], starts, axis=0).astype(np.float64)
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    n, words = like.shape[1], np.array([len(like)])
+    full, _ = language._em(like, np.full((1, n), 1 / n), np.array([0]), words, language.STEPS)
+    order, values = np.argsort(-full[0], kind="stable"), []
+    for k in range(1, n + 1):
+        share = np.zeros((1, n))
+        share[0, order[:k]] = full[0, order[:k]] + 1e-6
+        _, total = language._em(like, share / share.sum(), np.array([0]), words, language.SET_STEPS if k > 1 else 0)
+        values.append(total[0] - language.PENALTY * (k - 1) * np.log(len(like) + 1))
+    return 1 + int(np.argmax(values))
