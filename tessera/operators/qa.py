@@ -58,12 +58,20 @@ def model_inputs(df: DataFrame, question_word: str, cased: bool, train_limit: in
 
 def token_positions(df: DataFrame, context: str = "context", start: Column | None = None,
                     end: Column | None = None, max_tokens: int | None = None,
-                    missing: int = MISSING_TOKEN) -> DataFrame:
+                    missing: int = MISSING_TOKEN, offsets: DataFrame | None = None,
+                    key: str = "ord") -> DataFrame:
     """Token index of the answer start (token containing char ``start``) and end (token
     containing char ``end``, else char ``end - 1``); ``missing`` when none (beyond the text
-    or beyond ``max_tokens``), with a ``truncated`` flag."""
+    or beyond ``max_tokens``), with a ``truncated`` flag.
+
+    ``offsets`` are the tokens of any tokenizer: (``key``, token, start, end), one row per
+    token, numbered from 0, with the characters from ``start`` up to ``end`` (excluded) of
+    the row's context; of several tokens over a character the first counts.  Without it the
+    tokens are those of the regex tokenizer."""
     start = start if start is not None else F.col("answer.answer_start")
     end = end if end is not None else F.col("answer.answer_end")
+    if offsets is not None:
+        return _offset_positions(df, start, end, max_tokens, missing, offsets, key)
     s = token_index_at(F.col(context), start, max_tokens)
     e = F.coalesce(token_index_at(F.col(context), end, max_tokens),
                    token_index_at(F.col(context), end - 1, max_tokens))
@@ -72,6 +80,31 @@ def token_positions(df: DataFrame, context: str = "context", start: Column | Non
             .withColumn("truncated", s.isNull() | e.isNull()))
 
 
+def _offset_positions(df: DataFrame, start: Column, end: Column, max_tokens: int | None, missing: int,
+                      offsets: DataFrame, key: str) -> DataFrame:
+    tokens = offsets.select(F.col(key).alias("_key"), F.col("token").cast("int").alias("_token"),
+                            F.col("start").alias("_from"), F.col("end").alias("_to"))
+    if max_tokens is not None:
+        tokens = tokens.filter(F.col("_token") < max_tokens)
+    asked = df.withColumns({"_start": start, "_end": end})
+
+    def over(pos: Column) -> Column:
+        return (F.col("_from") <= pos) & (pos < F.col("_to"))
+
+    s, e, before = over(F.col("_start")), over(F.col("_end")), over(F.col("_end") - 1)
+    found = (asked.select(F.col(key).alias("_key"), "_start", "_end").distinct()
+             .join(tokens, "_key").filter(s | e | before)
+             .groupBy("_key", F.col("_start").alias("_s"), F.col("_end").alias("_e"))
+             .agg(F.min(F.when(s, F.col("_token"))).alias("_first"),
+                  F.coalesce(F.min(F.when(e, F.col("_token"))), F.min(F.when(before, F.col("_token")))).alias("_last")))
+    same = ((F.col(key) == F.col("_key")) & F.col("_start").eqNullSafe(F.col("_s"))
+            & F.col("_end").eqNullSafe(F.col("_e")))
+    return asked.join(found, same, "left").select(
+        *df.columns, F.coalesce("_first", F.lit(missing)).alias("start_position"),
+        F.coalesce("_last", F.lit(missing)).alias("end_position"),
+        (F.col("_first").isNull() | F.col("_last").isNull()).alias("truncated"))
+
+
 def best_span(start_scores, end_scores, tokens) -> Column:
     """K1: s = first argmax of the start scores, e = of the end scores, chosen independently;
     the answer is tokens[s..e] joined by spaces, empty when e < s."""

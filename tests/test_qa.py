@@ -64,3 +64,20 @@ def test_head_by(spark, n):
     values = [(i * 7919) % 100003 - 50000 for i in range(4990)] + [2**62 + i for i in range(5)] + [-2**62 - i for i in range(5)]
     df = spark.createDataFrame([(v,) for v in values], "ord long").repartition(5)
     assert sorted(r.ord for r in head_by(df, n).collect()) == sorted(values)[:n]
+
+
+def test_token_positions_by_offsets(spark):
+    # "unbelievable story": un ##believ ##able story; (0, 0) is a special token over nothing
+    df = spark.createDataFrame([(1, "unbelievable story", 2, 12), (1, "unbelievable story", 13, 18),
+                                (1, "unbelievable story", 4, None), (2, "a row without tokens", 0, 1),
+                                (None, "no key", 0, 2)], "ord long, context string, s int, e int")
+    tokens = [(1, 0, 0, 0), (1, 1, 0, 2), (1, 2, 2, 8), (1, 3, 8, 12), (1, 4, 13, 18), (None, 0, 0, 9)]
+    offsets = spark.createDataFrame(tokens, "ord long, token int, start int, end int")
+    at = lambda **k: sorted((r.ord or 0, r.s, r.start_position, r.end_position, r.truncated)
+                            for r in qa.token_positions(df, start=F.col("s"), end=F.col("e"), offsets=offsets, **k).collect())
+    m = qa.MISSING_TOKEN
+    # char 12 is a space: the token of char 11; char 18 is past the end: that of char 17
+    assert at() == [(0, 0, m, m, True), (1, 2, 2, 3, False), (1, 4, 2, m, True), (1, 13, 4, 4, False), (2, 0, m, m, True)]
+    assert at(max_tokens=3) == [(0, 0, m, m, True), (1, 2, 2, m, True), (1, 4, 2, m, True), (1, 13, m, m, True), (2, 0, m, m, True)]
+    out = qa.token_positions(df, start=F.col("s"), end=F.col("e"), offsets=offsets)
+    assert out.columns == qa.token_positions(df, start=F.col("s"), end=F.col("e")).columns
