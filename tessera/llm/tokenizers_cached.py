@@ -9,12 +9,14 @@ wherever it stands and its result can be kept for the next text:
 * ``WordIds`` (BPE with word ends, white space dropped): the words between ASCII white space
   are independent.
 
-A part that is not kept yet is given to the library.  ``tests/llm/test_tokens.py`` holds both
-against the library on whole texts.  Each keeps at most a fixed number of parts."""
+Both look at their vocabulary first; with any other kind of vocabulary the library gets whole
+texts.  A part that is not kept yet is given to the library.
+``tests/llm/test_sketches_tokens_packing.py`` holds both against the library on whole texts.  Each keeps at most a fixed number of parts."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 
@@ -104,10 +106,32 @@ class WordIds:
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]"
                        "|[^\\x20\\x09-\\x0Da-z0-9ß-öø-ÿœ]+")
 
+    # What a vocabulary file has to say for its words to be independent and for PARTS to be
+    # its split; its added tokens start like PLAIN expects.
+    SETTINGS = {
+        "normalizer": {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "behavior": "Removed", "invert": True, "pattern": {
+                "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    }
+    MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None,
+             "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
     def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()  # texts are whole, whatever the file says
+        self.tokenizer.no_padding()
+        said = json.loads(self.tokenizer.to_str())
+        #: whether words are independent (see above); else whole texts are encoded
+        self.by_word = (
+            all(said.get(k) == v for k, v in self.SETTINGS.items())
+            and {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")} == self.MODEL
+            and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"])
+                    and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in said["added_tokens"]))
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words = _kept(lambda word: self.direct(word.decode()), keep)
@@ -124,6 +148,8 @@ class WordIds:
         return len(self.encode(text)) // 4
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.direct(text)
         if "<|" not in text and self.PLAIN.fullmatch(text):
             return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
         return b"".join(map(self.words.__getitem__, text.encode().split()))

@@ -78,6 +78,39 @@ def test_token_parts_equal_whole_texts():
         assert ids.encode(t) == ids.direct(t), t
 
 
+def test_other_vocabularies_get_whole_texts(tmp_path):
+    import copy
+    import json
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        said = json.load(f)
+
+    def other(change):
+        new = copy.deepcopy(said)
+        change(new)
+        path = str(tmp_path / "other.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(new, f)
+        return WordIds(path, keep=200)
+
+    changes = [lambda v: v["normalizer"]["normalizers"].pop(),  # capitals stay
+               lambda v: v["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[^\\s]"),
+               lambda v: v["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+               lambda v: v["model"].update(end_of_word_suffix=None),
+               lambda v: v["added_tokens"].append({**v["added_tokens"][-1], "id": 49408, "content": "new york"})]
+    texts = ODD + ["I live in New York, new york!", "It's 1999 and WE'RE here"]
+    for change in changes:
+        ids = other(change)
+        assert not ids.by_word
+        from tokenizers import Tokenizer
+        plain = Tokenizer.from_file(str(tmp_path / "other.json"))
+        for t in texts:
+            assert ids.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    cut = other(lambda v: v.update(truncation={"direction": "Right", "max_length": 4, "strategy": "LongestFirst", "stride": 0}))
+    right = WordIds(vocabulary("word_bpe_49k.json"))
+    assert right.by_word and cut.by_word and all(cut.direct(t) == right.direct(t) for t in texts)
+
+
 def test_token_counts_and_cache(spark, docs):
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     cache = shared_path(spark, "cache")
