@@ -30,6 +30,9 @@ IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: letters A-Z and a-z, digits and all bytes of other characters: the runs of
+#: ``[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+``
+IS_TERM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
 # ---- published intermediate tables ---------------------------------------------------------
@@ -123,10 +126,10 @@ class Words:
     """The words of several texts: ``start``, ``end`` (byte positions), ``doc`` (text number)
     and ``first`` (position of each text's first word; one more entry at the end)."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = IS_WORD):
         self.buf, self.offs = buf, offs
         n = len(offs) - 1
-        inside = IS_WORD[buf]
+        inside = is_word[buf]
         filled = np.flatnonzero(offs[1:] > offs[:-1])
         before = np.zeros(len(buf), bool)
         before[1:] = inside[:-1]

@@ -1,8 +1,8 @@
 """Registered queries of the training-data operators (``opN_<name>``), each over its whole
-intended table with production parameters.  None of them has oracle SQL: sketches, trained
-models, tokenizers, tries and packings have no SQL form, and the two removal / join
-contracts are too slow in SQL on whole tables; ``tests/llm`` holds each against brute force,
-an exact round trip or held-out accuracy."""
+intended table with production parameters.  Only the ranked search has oracle SQL: sketches,
+trained models, tokenizers, tries, packings, runs and hundreds of regular expressions have no
+SQL form, and the two removal / join contracts are too slow in SQL on whole tables;
+``tests/llm`` holds each against brute force, an exact round trip or held-out accuracy."""
 
 from __future__ import annotations
 
@@ -10,7 +10,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curves, fingerprints, jaccard, language, logbilinear, mixing, packing, substrings, token_counts, toxicity
+from . import (
+    curves,
+    fingerprints,
+    jaccard,
+    language,
+    lexical,
+    licenses,
+    logbilinear,
+    mixing,
+    packing,
+    periods,
+    substrings,
+    token_counts,
+    toxicity,
+)
 from .common import shared_path
 
 
@@ -59,6 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(periods.with_planted_run(_documents(spark, sf_dir)))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_documents(spark, sf_dir))
+
+
+def op13_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _documents(spark, sf_dir))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -70,5 +96,8 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
+    "op13_shared_search": op13_shared_search,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_shared_search": lexical.ORACLE_SQL}

@@ -3,7 +3,21 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tessera.llm import curves, fingerprints, jaccard, language, logbilinear, mixing, packing, substrings, token_counts, toxicity
+from tessera.llm import (
+    curves,
+    fingerprints,
+    jaccard,
+    language,
+    lexical,
+    licenses,
+    logbilinear,
+    mixing,
+    packing,
+    periods,
+    substrings,
+    token_counts,
+    toxicity,
+)
 from tessera.llm.common import shared_path
 from tessera.llm.queries import REGISTRY
 
@@ -19,10 +33,16 @@ def operators(spark, labels):
         "lm": lambda d: logbilinear.score(d, rounds=1),
         "language": language.identify,
         "jaccard": jaccard.similar_groups,
+        "runs": periods.periodic_runs,
+        "collapse": periods.collapse,
+        "run_report": lambda d: periods.run_report(periods.with_planted_run(d)),
+        "licenses": licenses.scan,
+        "license_report": licenses.license_report,
     }
 
 
-NAMES = ["fingerprint_edits", "fingerprint", "toxicity", "mix", "repeats", "tokens", "lm", "language", "jaccard"]
+NAMES = ["fingerprint_edits", "fingerprint", "toxicity", "mix", "repeats", "tokens", "lm", "language", "jaccard", "runs",
+         "collapse", "run_report", "licenses", "license_report"]
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +71,14 @@ def test_empty_packing_and_search(spark, no_docs, odd_docs):
     assert curves.search(one).collect() == []
 
 
+def test_empty_lexical_search(spark, odd_docs, no_docs):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one a b"), (3, "one a b")], "item_id int, text string").selectExpr("*", "1 as score", "2 as rank")
+    assert lexical.search(items, no_docs).collect() == []
+    assert lexical.search(items.limit(0), odd_docs).collect() == []
+    got = lexical.search(items, odd_docs).collect()
+    assert {r.item_id for r in got} == {3} and len(got) % 2 == 0
+
+
 def test_stages(spark, odd_docs, no_docs, labels, tmp_path):
     sf = str(tmp_path)
     for docs in (odd_docs, no_docs):
@@ -71,6 +99,6 @@ def test_stages(spark, odd_docs, no_docs, labels, tmp_path):
 
 def test_registry():
     names = list(REGISTRY)
-    assert [n for n in names if n.startswith("op")] == names and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert [n for n in names if n.startswith("op")] == names and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert set(REGISTRY) | {"pipeline"} <= set(entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
