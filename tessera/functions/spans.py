@@ -55,20 +55,28 @@ def contains_word(label, text) -> Column:
         F.regexp_like(text, word_pattern(label)))
 
 
-def answer_span(label, text) -> Column:
-    """struct<start:int, end:int> of the first word-bounded match, NULL when none."""
+def span_start(label, text, pattern) -> Column:
+    """Code-point offset of the first word-bounded match, NULL when none; ``pattern`` is
+    ``word_pattern(label)``."""
     label, text = _c(label), _c(text)
-    pieces = F.split(text, word_pattern(label), 2)
-    found = F.when(F.size(pieces) == 2, F.char_length(F.get(pieces, 0)))
+    # "let pieces = ..." (an expression used twice would be evaluated twice)
+    found = F.get(F.transform(F.array(F.split(text, pattern, 2)), lambda pieces: F.when(
+        F.size(pieces) == 2, F.char_length(F.get(pieces, 0)))), 0)
     # An empty label matches at the first word boundary, i.e. at the first word character
     # (handled apart: a zero-width match at index 0 does not split).
     first_word = F.when(F.regexp_like(text, F.lit(WORD_CLASS)), F.char_length(
         F.regexp_extract(text, f"(?s)^({NON_WORD_CLASS}*){WORD_CLASS}", 1)))
-    start = F.when(label == "", first_word).otherwise(found)
+    return F.when(label == "", first_word).otherwise(found)
+
+
+def answer_span(label, text) -> Column:
+    """struct<start:int, end:int> of the first word-bounded match, NULL when none."""
+    label, text = _c(label), _c(text)
+    start = span_start(label, text, word_pattern(label))
     # Case-insensitive literal matching is one code point for one code point, so the
     # match is exactly as long as the label.
-    end = start + F.char_length(label)
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    return F.get(F.transform(F.array(start), lambda s: F.when(
+        s.isNotNull(), F.struct(s.alias("start"), (s + F.char_length(label)).alias("end")))), 0)
 
 
 def token_index_at(text, pos, max_tokens: int | None = None) -> Column:
@@ -90,23 +98,23 @@ __all__ = ["TOKEN_PATTERN", "NON_WORD_CLASS", "quote_literal", "word_pattern",
 
 
 # --- raw-regex mode (the label used as an unescaped Python pattern) ---------------------------
-# fixed value: a match has a word boundary on both sides
-BOUNDARY = r"\b"
+# --- fixed value: the label, in any letter case, between word boundaries ----------------------
+LABEL_PATTERN = r"\b({})\b"
+# ---------------------------------------------------------------------------------------------
 
 
 def _regex_span(label: str | None, text: str | None) -> tuple[int, int] | None:
-    """First place where the label, read as a pattern, matches between word boundaries in any
-    letter case.  No bound on backtracking: a label such as ``(a+)+b`` can take very long,
-    so this mode is for trusted labels only."""
+    """Where the label, used as a pattern, first matches.  No bound on backtracking: a label such
+    as ``(a+)+b`` can take very long, so this mode is for trusted labels only."""
     import re
 
     if label is None or text is None:
         return None
     try:
-        hits = re.finditer(f"{BOUNDARY}({label}){BOUNDARY}", text, re.I)
-        return next((hit.span() for hit in hits), None)
+        match = re.search(LABEL_PATTERN.format(label), text, re.IGNORECASE)
     except (re.error, RecursionError, OverflowError):
         return None  # a bad pattern gives no span, as in the original
+    return match.span() if match else None
 
 
 def _regex_span_batch(labels, texts):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import token_index_at
 from ..functions.text import capitalize, py_strip
-from .common import head_by
+from .common import head_by, publish
 from .split import EVALUATION, TRAINING
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -46,14 +46,18 @@ def model_inputs(df: DataFrame, question_word: str, cased: bool, train_limit: in
     rows = rows.select(ord_col, "split", "context", "question", F.struct(
         F.col("answer").alias("answer"), F.col("StartIndex").cast("int").alias("answer_start"),
         F.col("EndIndex").cast("int").alias("answer_end")).alias("answer"))
-    # The limits look at (ord, split) several times, and the spans behind them are the
-    # expensive part: the narrow frame is kept, lazily, when the result is first asked for.
-    narrow = rows.select(ord_col, "split").persist()
-    n_train = narrow.filter(F.col("split") == TRAINING).agg(F.count("*").alias("n"))
+    # Spans and questions are computed once: the limits, and whatever follows, read them back.
+    rows = publish(rows.filter(F.col("split").isin(TRAINING, EVALUATION)), "model-inputs")
+    sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    n_train = sizes.get(TRAINING, 0)
     limits = {TRAINING: train_limit or None, EVALUATION: eval_limit or (n_train if strict_reference else None)}
-    parts = [head_by(rows.filter(F.col("split") == name), limits[name], ord_col, narrow.filter(F.col("split") == name))
-             for name in (TRAINING, EVALUATION)]
-    return parts[0].unionByName(parts[1])
+    cut = {name: n for name, n in limits.items() if n is not None and n < sizes.get(name, 0)}
+    if not cut:
+        return rows
+    whole = rows.filter(~F.col("split").isin(list(cut)))
+    for name, n in cut.items():
+        whole = whole.unionByName(head_by(rows.filter(F.col("split") == name), n, ord_col))
+    return whole
 
 
 def token_positions(df: DataFrame, context: str = "context", start: Column | None = None,

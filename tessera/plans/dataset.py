@@ -43,9 +43,10 @@ def final_dataset(rows: DataFrame, pos: DataFrame | None = None,
 
 
 def training_rows(final: DataFrame, seed: int = 42) -> DataFrame:
-    """Stage 5: spans, stratified split and the four question variants."""
-    qa_rows = split.qa_rows(final, keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel"))
-    return split.question_variants(split.stratified_split(qa_rows, seed=seed))
+    """Stage 5: stratified split, spans and the four question variants."""
+    qa_rows = split.qa_rows(split.stratified_split(final, seed=seed),
+                            keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel", "split"))
+    return split.question_variants(qa_rows)
 
 
 def build(resources: DataFrame, statements: DataFrame, bibliography: DataFrame,

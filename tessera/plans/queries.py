@@ -174,8 +174,7 @@ def finalize(spark, sf):
 
 # ----------------------------------------------------- split
 def _split(spark, sf):
-    rows = split.qa_rows(fx.text_rows(spark, sf))
-    return split.stratified_split(rows)
+    return split.stratified_split(fx.text_rows(spark, sf))
 
 
 @register("answer_span")
@@ -207,9 +206,13 @@ def question_variants(spark, sf):
 
 
 # ------------------------------------------------------------ model inputs
+def _variants(spark, sf):
+    rows = split.qa_rows(_split(spark, sf), keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel", "split"))
+    return split.question_variants(rows)
+
+
 def _inputs(spark, sf):
-    variants = split.question_variants(_split(spark, sf))
-    return qa.model_inputs(variants, "what", cased=False)
+    return qa.model_inputs(_variants(spark, sf), "what", cased=False)
 
 
 @register("model_inputs")
@@ -222,8 +225,7 @@ def model_inputs(spark, sf):
 @register("model_inputs_cased")
 def model_inputs_cased(spark, sf):
     """The cased branch, another question word, and limits that cut."""
-    variants = split.question_variants(_split(spark, sf))
-    rows = qa.model_inputs(variants, "", cased=True, train_limit=300, eval_limit=40)
+    rows = qa.model_inputs(_variants(spark, sf), "", cased=True, train_limit=300, eval_limit=40)
     return rows.select("ord", "split", "context", "question", F.col("answer.answer").alias("answer"),
                        "answer.answer_start", "answer.answer_end")
 

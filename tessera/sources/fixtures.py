@@ -153,18 +153,14 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T: two rows per document (a label from its own text, see ``_own_label``, and the first
     word of the next document); ``ord`` is unique and gives the row order."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    base = docs.select(
-        F.col("doc_id").alias("PaperId"),
-        _s(F.col("lang"), "/", F.col("source")).alias("PredicateLabel"),
-        F.col("text").alias("PaperAbstract"), _own_label().alias("ObjectLabel"), "doc_id")
-    own = base.select((F.col("doc_id") * 2).alias("ord"), "PaperId", "PredicateLabel",
-                      "ObjectLabel", "PaperAbstract")
-    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"),
-                      space_token(F.col("text"), 0).alias("ObjectLabel"))
-    other = (base.drop("ObjectLabel").join(nxt, "doc_id", "left")
-             .select((F.col("doc_id") * 2 + 1).alias("ord"), "PaperId", "PredicateLabel",
-                     "ObjectLabel", "PaperAbstract"))
-    return own.unionByName(other)
+    nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), space_token(F.col("text"), 0).alias("next_label"))
+    both = docs.withColumn("own_label", _own_label()).join(nxt, "doc_id", "left")
+    rows = F.explode(F.array(
+        F.struct((F.col("doc_id") * 2).alias("ord"), F.col("own_label").alias("ObjectLabel")),
+        F.struct((F.col("doc_id") * 2 + 1).alias("ord"), F.col("next_label").alias("ObjectLabel"))))
+    return (both.select(F.col("doc_id").alias("PaperId"), _s(F.col("lang"), "/", F.col("source")).alias("PredicateLabel"),
+                        F.col("text").alias("PaperAbstract"), rows.alias("r"))
+            .select("r.ord", "PaperId", "PredicateLabel", "r.ObjectLabel", "PaperAbstract"))
 
 
 def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import io
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, split, titles
-from tessera.operators.common import keep_last
+from tessera.operators.common import keep_last, repeated_keys
 from tessera.sources import fixtures as fx
 
 from .conftest import SF001
@@ -20,12 +20,26 @@ def _plan(df) -> str:
 
 def test_keep_last_combines_before_shuffle_and_survives_hot_key(spark):
     hot = spark.range(0, 30000).select(F.col("id").alias("ord"),
-                                        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"))
+                                        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"),
+                                        F.repeat(F.lit("abstract "), 50).alias("abstract"))
+    plan = _plan(repeated_keys(hot, ["k"]))
+    assert "partial_count" in plan and "partial_max" in plan
+    assert plan.index("partial_count") > plan.index("Exchange")  # partial step sits below the exchange
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "abstract" not in plan
     out = keep_last(hot, ["k"])
-    plan = _plan(out)
-    assert "partial_max" in plan
-    assert plan.index("partial_max") > plan.index("Exchange")  # partial step sits below the exchange
     assert out.filter("k = 0").first().ord == 29997
+    # the rows stay where they are: no exchange but that of the small published table
+    plan = _plan(out)
+    assert "SortAggregate" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_finalize_shuffles_no_abstract(spark):
+    from tessera.operators import curate
+
+    source = fx.text_rows(spark, SF001)
+    rows = spark.createDataFrame(source.collect(), source.schema)
+    plan = _plan(curate.finalize(rows))
+    assert "SortAggregate" not in plan and "hashpartitioning" not in plan
 
 
 def test_predicate_filter_reaches_parquet_scan(spark, scratch):
@@ -46,11 +60,23 @@ def test_field_counts_are_hash_aggregated(spark):
 def test_split_ranks_inside_buckets(spark):
     import re
 
-    df = spark.range(0, 100).select(F.col("id").alias("ord"),
-                                    F.concat(F.lit("p"), F.col("id") % 2).alias("PredicateLabel"))
-    plan = _plan(split.stratified_split(df))
+    df = spark.range(0, 100).select(F.col("id").alias("ord"), F.concat(F.lit("p"), F.col("id") % 2).alias("PredicateLabel"),
+                                    F.repeat(F.lit("abstract "), 50).alias("abstract"))
+    plan = _plan(split.predicate_cuts(df))
     # row_number runs per (predicate, hash bucket), never over a whole predicate
     assert re.search(r"row_number\(\) windowspecdefinition\(PredicateLabel#\d+L?, _b#", plan)
+    assert "abstract" not in plan
+    plan = _plan(split.stratified_split(df))  # the rows are compared with the cuts where they lie
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_model_inputs_read_their_sources_once(spark):
+    from tessera.plans.queries import REGISTRY
+
+    for name in ("model_inputs", "model_inputs_cased"):
+        plan = _plan(REGISTRY[name](spark, SF001))
+        assert "documents.parquet" not in plan and "InMemoryRelation" not in plan and "split(" not in plan
+        assert plan.count("Scan parquet") <= 15
 
 
 def test_title_join_has_no_cartesian_product(spark):

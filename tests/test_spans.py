@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.functions.spans import BOUNDARY, answer_span, contains_word, token_index_at
+from tessera.functions.spans import LABEL_PATTERN, answer_span, contains_word, token_index_at
 from tessera.sources.fixtures import text_rows
 
 from .conftest import SF001
@@ -12,8 +12,8 @@ from .conftest import SF001
 def _py_span(label, text):
     if label is None or text is None:
         return None
-    hits = [(m.start(), m.end()) for m in re.finditer(BOUNDARY + "(" + re.escape(label) + ")" + BOUNDARY, text, re.I)]
-    return hits[0] if hits else None
+    match = re.search(LABEL_PATTERN.format(re.escape(label)), text, re.I)
+    return match.span() if match else None
 
 
 CASES = [
@@ -67,7 +67,7 @@ def test_token_index_matches_python_tokens(spark):
 
 
 def test_raw_regex_mode_matches_python_re(spark):
-    from tessera.functions.spans import BOUNDARY, answer_span_regex, contains_word_regex
+    from tessera.functions.spans import LABEL_PATTERN, answer_span_regex, contains_word_regex
 
     cases = [("c++", "I like c++ a lot"), ("a.c", "xx abc yy"), ("(b", "a (b c"), ("wor.", "a word"),
              ("x", None), (None, "x"), ("ab|cd", "zz cd zz"), ("é", "É é")]
