@@ -40,5 +40,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
                  .agg(F.max((F.col("has") + F.col("is") > 1).cast("int")).alias("more")).first()["more"])
         if not open_:
             break
+    else:
+        raise RuntimeError(f"links are not yet stars after {MAX_STEPS} steps")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -348,7 +348,8 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     bits = (F.when(F.col("_id") > F.col("low"), F.expr("shiftleft(1, `count`) - 1"))
             .when(F.col("_id") == F.col("low"), F.col("mask")).otherwise(0))
     return (occurrences.join(found, "key").withColumn("bits", bits).filter("bits != 0")
-            .groupBy("_id", "_hash").agg(F.collect_list(F.struct("start", "bits")).alias("spans")))
+            # rows that repeat an id and its text have one list, each span once
+            .groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "bits")).alias("spans")))
 
 
 def _keyed(docs: DataFrame, *columns: str) -> DataFrame:

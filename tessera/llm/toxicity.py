@@ -10,6 +10,7 @@ labelled rows of each class; rows of the kept fold are never looked at."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -258,14 +259,16 @@ def _word_shares(texts: DataFrame) -> DataFrame:
                 for i in range(to - at):
                     a, z = found.first[i], found.first[i + 1]
                     g = grams[cut[i]:cut[i + 1]]
-                    keys.append(int(g.min().view(np.int64)) if len(g) else int(a + z * 7919))
+                    whole = b" ".join(found.text(j) for j in range(a, z))  # a text too short for word runs is its own key
+                    keys.append(int(g.min().view(np.int64)) if len(g) else
+                                int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little", signed=True))
                     flags.append(ids[at + i])
-                    bags.append([w.decode() for w in {bare(found.text(j)) for j in range(a, z)} if w])
+                    bags.append(sorted(w.decode() for w in {bare(found.text(j)) for j in range(a, z)} if w))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(flags, pa.int32()),
                                               pa.array(bags, pa.list_(pa.string()))], names=["key", "toxic", "bag"])
 
     bags = texts.select("toxic", "text").mapInArrow(words, "key long, toxic int, bag array<string>")
-    once = bags.dropDuplicates(["key", "toxic"])
+    once = bags.groupBy("key", "toxic").agg(F.min("bag").alias("bag"))  # of near copies the smallest: no layout matters
     return (once.select("toxic", F.explode("bag").alias("word")).groupBy("word")
             .agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")))
 

@@ -175,3 +175,15 @@ def test_hilbert_neighbours():
     assert sorted(keys) == list(range(512))
     path = cells[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_repeated_rows_share_one_list_of_spans(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    sizes = []
+    for copies in (1, 50):
+        rows = [(1, passage)] + [(2, passage + " own words")] * copies
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        spans = substrings.repeated_windows(substrings._keyed(df, "doc_id")).collect()
+        sizes.append(sorted(len(r.spans) for r in spans))
+        assert {r[2] for r in substrings.remove_repeats(df).collect()} == {0, 40}
+    assert sizes[0] == sizes[1]

@@ -232,3 +232,12 @@ def best_set(text, probs):
         _, total = language._em(like, share / share.sum(), np.array([0]), words, language.SET_STEPS if k > 1 else 0)
         values.append(total[0] - language.PENALTY * (k - 1) * np.log(len(like) + 1))
     return 1 + int(np.argmax(values))
+
+
+def test_lexicon_ignores_the_layout(spark):
+    texts = [(1, f"rude{i} vile") for i in range(40)] + [(0, f"kind{i} words") for i in range(40)]
+    texts += [(1, "a longer vile text with many words " * 3 + f"x{i % 3}") for i in range(9)] + [(1, ""), (0, "")]
+    df = spark.createDataFrame(texts, "toxic int, text string")
+    shares = [sorted(map(tuple, toxicity._word_shares(df.repartition(n)).collect())) for n in (1, 4, 40)]
+    assert shares[0] == shares[1] == shares[2]
+    assert {r[0]: r[1:] for r in shares[0]}["vile"][0] >= 40
