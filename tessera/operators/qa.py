@@ -84,6 +84,27 @@ def token_positions(df: DataFrame, context: str = "context", start: Column | Non
             .withColumn("truncated", s.isNull() | e.isNull()))
 
 
+def indexed_token_positions(df: DataFrame, start: Column | None = None, end: Column | None = None,
+                            max_tokens: int | None = None, missing: int = MISSING_TOKEN,
+                            starts: str = "token_starts", ends: str = "token_ends") -> DataFrame:
+    """C10 over an index of token offsets held by each row (two arrays, see
+    ``token_index.with_token_index``): the same columns as ``token_positions``, by looking up the
+    first token that holds the character; nothing is tokenised again and nothing is shuffled."""
+    start = start if start is not None else F.col("answer.answer_start")
+    end = end if end is not None else F.col("answer.answer_end")
+
+    def at(pos: Column) -> Column:
+        holds = F.zip_with(starts, ends, lambda s, e: (s <= pos) & (pos < e))
+        token = F.array_position(holds, F.lit(True)) - 1
+        inside = token >= 0 if max_tokens is None else (token >= 0) & (token < max_tokens)
+        return F.when(inside, token.cast("int"))
+
+    s, e = at(start), F.coalesce(at(end), at(end - 1))
+    return (df.withColumn("start_position", F.coalesce(s, F.lit(missing)))
+            .withColumn("end_position", F.coalesce(e, F.lit(missing)))
+            .withColumn("truncated", s.isNull() | e.isNull()))
+
+
 def _offset_positions(df: DataFrame, start: Column, end: Column, max_tokens: int | None, missing: int,
                       offsets: DataFrame, key: str) -> DataFrame:
     tokens = offsets.select(F.col(key).alias("_key"), F.col("token").cast("int").alias("_token"),

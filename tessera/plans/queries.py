@@ -14,6 +14,7 @@ from ..operators import curate, graph, qa, score, split, stats, titles
 from ..operators.flatmap import flat_map
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
+from ..sources.token_index import with_token_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -236,6 +237,13 @@ def token_positions(spark, sf):
         "ord", "split", "start_position", "end_position", "truncated")
 
 
+@register("token_positions_subword")
+def token_positions_subword(spark, sf):
+    """Positions in the tokens of a public subword vocabulary."""
+    return qa.indexed_token_positions(with_token_index(_inputs(spark, sf)), max_tokens=510).select(
+        "ord", "split", "start_position", "end_position", "truncated")
+
+
 @register("best_span")
 def best_span(spark, sf):
     span = qa.best_span("start_logits", "end_logits", "tokens")

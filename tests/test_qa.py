@@ -81,3 +81,37 @@ def test_token_positions_by_offsets(spark):
     assert at(max_tokens=3) == [(0, 0, m, m, True), (1, 2, 2, m, True), (1, 4, 2, m, True), (1, 13, m, m, True), (2, 0, m, m, True)]
     out = qa.token_positions(df, start=F.col("s"), end=F.col("e"), offsets=offsets)
     assert out.columns == qa.token_positions(df, start=F.col("s"), end=F.col("e")).columns
+
+
+def test_positions_in_subword_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from tessera.plans.queries import REGISTRY, _inputs
+    from tessera.sources.token_index import vocabulary_path, with_token_index
+
+    from .conftest import SF001
+
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+
+    def by_hand(text, start, end, most):
+        offsets = tokenizer.encode(text, add_special_tokens=False).offsets
+
+        def at(pos):
+            return next((i for i, (a, b) in enumerate(offsets) if a <= pos < b and i < most), None)
+
+        s, e = at(start), at(end)
+        e = at(end - 1) if e is None else e
+        return (qa.MISSING_TOKEN if s is None else s, qa.MISSING_TOKEN if e is None else e, s is None or e is None)
+
+    inputs = {r.ord: r for r in _inputs(spark, SF001).collect()}
+    got = REGISTRY["token_positions_subword"](spark, SF001).collect()
+    assert len(got) == len(inputs) > 50
+    for r in got:
+        row = inputs[r.ord]
+        assert (r.start_position, r.end_position, r.truncated) == by_hand(
+            row.context, row.answer.answer_start, row.answer.answer_end, 510)
+    odd = spark.createDataFrame([(1, None, 0, 1), (2, "", 0, 1), (3, "日本語 naïve 🙂 x", 11, 12), (4, "a b", None, None)],
+                                "ord int, context string, s int, e int")
+    out = {r.ord: r for r in qa.indexed_token_positions(with_token_index(odd), F.col("s"), F.col("e")).collect()}
+    assert out[1].truncated and out[2].truncated and out[4].truncated
+    assert (out[3].start_position, out[3].end_position, out[3].truncated) == by_hand("日本語 naïve 🙂 x", 11, 12, 10**6)
