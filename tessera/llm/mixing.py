@@ -10,12 +10,21 @@ constant up to the last document that is still a fraction.
 
 The rounding runs as a reduction tree: documents are dealt to leaves of bounded size by hash,
 each leaf leaves at most one fraction, and the fractions meet again, ``FAN_IN`` leaves at a
-time, until a source has one left, which goes to the nearer whole number.  All draws
-come from hashes of the seed and the documents, so reruns agree.  A source with a third of
-all rows simply has more leaves."""
+time, until a source has one left.  All draws come from hashes of the seed and the documents,
+so reruns agree.  A source with a third of all rows simply has more leaves.
+
+A long document would stay a fraction until many short ones have moved it to 0 or 1, and its
+last rounding would miss the target by up to half of it.  So fractions settle by size class
+(powers of two), long to short: the one that a class leaves is rounded by its share, and the
+words this adds or frees are taken from or passed on to the fractions of the shorter ones.
+Documents of more than ``LONG`` of a mean leaf's words have a tree of their own before the
+others (at most ``1 / LONG`` of them per leaf), whose rest all other documents of the source
+share.  What is left at the end is half of a short document, unless the long ones outweigh
+everything shorter."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +38,7 @@ CAP = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
 LEAF = 4096  # documents of a leaf, on average
 FAN_IN = 64  # leaves whose fractions meet in the next level
+LONG = 1 / 16  # documents of more than this share of a mean leaf's words settle before the others
 SEED = 7
 
 
@@ -100,7 +110,65 @@ def pivot(size: np.ndarray, part: np.ndarray, draws: np.ndarray) -> tuple[np.nda
     return np.array(p), i
 
 
+def passed_on(size: np.ndarray, part: np.ndarray, draw: float) -> bool:
+    """Round the fraction ``part[0]`` up or down, by its share, and take the words from the
+    fractions after it or give them to these, each by its room; False (nothing done) if they
+    have too little room both ways.  If there is room for one only, that one is taken."""
+    z, r = size[1:], part[1:]
+    open_ = (r > 0) & (r < 1)
+    room, held = float((z * (1 - r))[open_].sum()), float((z * r)[open_].sum())
+    freed, wanted = float(part[0] * size[0]), float((1 - part[0]) * size[0])  # rounded down, up
+    if freed > room and wanted > held:
+        return False
+    up = draw < part[0] if freed <= room and wanted <= held else wanted <= held
+    moved = r - wanted * r / held if up else r + freed * (1 - r) / room
+    part[1:] = np.where(open_, np.clip(moved, 0.0, 1.0), r)
+    part[0] = 1.0 if up else 0.0
+    return True
+
+
+def settled(size: np.ndarray, part: np.ndarray, draws: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The parts after pivotal rounding by size class of documents ordered long to short: at
+    most one is still a fraction.  The sum of ``size * part`` does not change."""
+    part, left, low = part.copy(), -1, 0
+    for high in [*(np.flatnonzero(np.diff(np.frexp(size)[1])) + 1).tolist(), len(size)]:
+        at = np.arange(low, high)
+        if left >= 0:  # a longer one for which the shorter ones had too little room
+            at = np.concatenate([[left], at])
+        part[at], i = pivot(size[at], part[at], draws[at])
+        left, low = (int(at[i]) if i >= 0 else -1), high
+        if left >= 0 and high < len(size):
+            tail = np.concatenate([[left], np.arange(high, len(size))])
+            some = part[tail]
+            if passed_on(size[tail], some, more[left]):
+                part[tail], left = some, -1
+    return part
+
+
 ROW = "doc_id long, source string, size long, rows long, whole int, part double, leaf long"
+FRACTION = "part > 0 and part < 1"
+
+
+def reduce_fractions(rows: DataFrame, leaves: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """(settled rows, level by level; the rows that are still a fraction, at most one a
+    source) of ``rows`` dealt to at most ``leaves`` leaves a source."""
+    def settle(table: pa.Table) -> pa.Table:
+        key = splitmix(table.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64) + np.uint64(seed))
+        size = (table.column("size").to_numpy() * table.column("rows").to_numpy()).astype(np.float64)
+        order = np.lexsort((key, -size))
+        part = settled(size[order], table.column("part").to_numpy()[order], _uniform(key, seed), _uniform(key, seed + 1))
+        table = table.take(pa.array(order))
+        return table.set_column(table.schema.get_field_index("part"), "part", pa.array(part))
+
+    done = []
+    while True:
+        level = publish(rows.groupBy("source", "leaf").applyInArrow(settle, ROW), "mix-level")
+        done.append(level.filter(f"not ({FRACTION})"))
+        rows = level.filter(FRACTION)
+        if leaves <= 1:
+            return done, rows
+        leaves = -(-leaves // FAN_IN)
+        rows = rows.withColumn("leaf", F.floor(F.col("leaf") / FAN_IN))
 
 
 def mix_rows(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
@@ -110,43 +178,43 @@ def mix_rows(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     weigh as one document that is as many times as long)."""
     sizes = publish(sizes, "sizes")
     targets = publish(source_targets(sizes, weights, cap), "targets")
+    few = targets.count() <= 100_000
     same = lambda: F.col("s.source").eqNullSafe(F.col("t.source"))
-    rows = (sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).alias("s")
-            .join(F.broadcast(targets.alias("t")) if targets.count() <= 100_000 else targets.alias("t"), same()))
+    of_source = lambda df: F.broadcast(df.alias("t")) if few else df.alias("t")
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    leaves = F.ceil(F.col("n") / leaf_rows)
-    rows = (rows.select("doc_id", "s.source", "size", "rows", x.alias("_x"), leaves.alias("_l"))
-            .withColumn("whole", F.floor("_x").cast("int"))
-            .withColumn("part", F.when(F.col("size") > 0, F.col("_x") - F.floor("_x")).otherwise(F.lit(0.0)))
-            .withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("_l")))
-            .select("doc_id", "source", "size", "rows", "whole", "part", "leaf"))
-
-    def settle(table: pa.Table) -> pa.Table:
-        key = splitmix(table.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64) + np.uint64(seed))
-        size, n = table.column("size").to_numpy(), table.column("rows").to_numpy()
-        order = np.lexsort((key, -size * n))  # long documents settle first, so that the last fraction is short
-        draws = _uniform(key, seed)
-        part, _ = pivot((size * n)[order].astype(np.float64), table.column("part").to_numpy()[order], draws)
-        table = table.take(pa.array(order))
-        return table.set_column(table.schema.get_field_index("part"), "part", pa.array(part))
-
+    leaf = lambda n: F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.greatest(F.lit(1), n))
+    leaves, long_leaf = F.ceil(F.col("n") / leaf_rows), LONG * leaf_rows * leaf_rows  # documents behind a leaf of long ones
+    # the long ones settle first; the rest of the words is shared by the others, in the next step
+    rows = publish(sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).alias("s").join(of_source(targets), same())
+                   .withColumn("_x", x)
+                   .withColumn("part", F.when(F.col("size") > 0, F.col("_x") - F.floor("_x")).otherwise(F.lit(0.0)))
+                   .withColumn("is_long", F.col("size") * F.col("rows") * leaves > F.col("source_size") * F.lit(LONG))
+                   .select("doc_id", "s.source", "size", "rows", F.floor("_x").cast("int").alias("whole"), "part",
+                           leaf(F.when(F.col("is_long"), F.ceil(F.col("n") / long_leaf)).otherwise(leaves)).alias("leaf"), "is_long"),
+                   "mix-rows")
     most = targets.agg(F.max("n")).first()[0] or 0
-    n_leaves = max(1, -(-most // leaf_rows))
-    done = []
-    fraction = (F.col("part") > 0) & (F.col("part") < 1)
-    while True:
-        level = publish(rows.groupBy("source", "leaf").applyInArrow(settle, ROW), "mix-level")
-        done.append(level.filter(~fraction))
-        rows = level.filter(fraction)
-        if n_leaves == 1:
-            break
-        n_leaves = -(-n_leaves // FAN_IN)
-        rows = rows.withColumn("leaf", F.floor(F.col("leaf") / FAN_IN))
+    long_done, long_left = reduce_fractions(rows.filter("is_long").drop("is_long"), math.ceil(most / long_leaf), seed)
+    others = rows.filter("not is_long").drop("is_long")
+    held = others.filter(FRACTION).groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.max("part").alias("p"))
+    freed, wanted = (share * F.col("size") * F.col("rows") for share in (F.col("part"), 1 - F.col("part")))  # if rounded down, up
+    room, has = F.coalesce((1 - F.col("p")) * F.col("words"), F.lit(0.0)), F.coalesce(F.col("p") * F.col("words"), F.lit(0.0))
+    draw = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 2)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    up = (F.when((freed <= room) & (wanted <= has), draw < F.col("part")).when(wanted <= has, True).when(freed <= room, False)
+          .otherwise(F.col("part") >= 0.5))
+    last = publish(long_left.alias("s").join(held.alias("t"), same(), "left").withColumn("up", up)
+                   .withColumn("moved", F.when(F.col("up"), -F.least(wanted, has)).otherwise(F.least(freed, room)) / F.col("words"))
+                   .select("doc_id", "s.source", "size", "rows", "whole", F.col("up").cast("double").alias("part"), "leaf", "moved"),
+                   "mix-long")
+    others = (others.alias("s").join(of_source(last.select("source", "moved")), same(), "left")
+              .select("doc_id", "s.source", "size", "rows", "whole",
+                      F.when(F.expr(FRACTION), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("part") + F.coalesce("moved", F.lit(0.0)))))
+                      .otherwise(F.col("part")).alias("part"), "leaf"))
+    done, left = reduce_fractions(others, -(-most // leaf_rows), seed)
     # one fraction per source is left: the nearer whole number keeps the source's words
     # within half of that one document of the target
-    done.append(rows.withColumn("part", F.when(F.col("part") >= 0.5, 1.0).otherwise(0.0)))
-    out = done[0]
-    for d in done[1:]:
+    left = left.withColumn("part", F.when(F.col("part") >= 0.5, 1.0).otherwise(0.0))
+    out = left
+    for d in [*long_done, last.drop("moved"), *done]:
         out = out.unionByName(d)
     return (out.alias("s").join(targets.alias("t"), same())
             .select("doc_id", "s.source", "size", "source_size", "target",

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import language, logbilinear, mixing, toxicity
 
@@ -66,6 +67,28 @@ def test_pivot_keeps_words_and_expectation():
     assert np.abs(mean - part).max() < 0.12
 
 
+def test_settled_keeps_words_and_passes_long_rests_on():
+    rng = np.random.default_rng(1)
+    size = np.sort(np.concatenate([rng.integers(1, 100, 200), [9000, 5000, 700]]).astype(float))[::-1].copy()
+    mean = np.zeros(len(size))
+    for seed in range(400):
+        draws, more = np.random.default_rng(seed).random((2, len(size) + 1))
+        out = mixing.settled(size, np.full(len(size), 0.4), draws, more)
+        assert abs((size * out).sum() - 0.4 * size.sum()) < 1e-6
+        left = [i for i, p in enumerate(out) if 0 < p < 1]
+        assert len(left) <= 1 and all(size[i] < 100 for i in left)
+        mean += out / 400
+    assert np.abs(mean[3:] - 0.4).max() < 0.15
+
+
+@pytest.mark.parametrize("sf,off", [("sf0.001", 0.1), ("sf0.01", 0.01), ("sf0.1", 0.002)])
+def test_mix_meets_its_targets(spark, sf, off):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    got = (mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source")
+           .agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect())
+    assert max(abs(r.taken - r.target) / r.target for r in got if r.target) <= off
+
+
 def test_mixed_documents(spark, odd_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns
