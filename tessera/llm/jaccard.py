@@ -449,12 +449,15 @@ def _sets_in(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return sets, np.array(rows, np.int64)
 
 
-def linked_sets(docs: DataFrame, reps: DataFrame, k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def linked_sets(docs: DataFrame, reps: DataFrame, guests: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
+                block: int = BLOCK) -> DataFrame:
     """(rep, component): the representatives (``reps``: rep, number = sa) that are similar to
-    another one, and the smallest representative they are connected to."""
+    another one, and the smallest representative they are connected to.  A representative's
+    text is that of its doc_id in ``docs`` or ``guests`` (doc_id, text)."""
     clusters = components(candidate_links(docs, k, percent), "a", "b").toDF("number", "cluster")
     # the only shuffle of all texts; those of clustered representatives are kept
-    members = publish(clusters.join(reps, "number").join(docs.select("doc_id", "text"), F.col("rep") == F.col("doc_id"))
+    texts = docs.filter("doc_id is not null").select("doc_id", "text").unionByName(guests)
+    members = publish(clusters.join(reps, "number").join(texts, F.col("rep") == F.col("doc_id"))
                       .select("cluster", "number", "rep", "text"), "cluster-members")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
     wide = publish(sizes.filter(F.col("size") > block).select("cluster"), "large-clusters")
@@ -553,14 +556,23 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bl
 
     A text with fewer than ``k`` words has its whole sequence as its one shingle; a null text
     or one without words has none and is linked with nothing.  Repeated rows are linked like
-    copies.  A document with a null id keeps a null component unless it is linked.  An empty
-    table gives no rows; extra columns are ignored."""
+    copies.  Rows with a null id link like all others; their component is null only if no id
+    is reachable.  An empty table gives no rows; extra columns are ignored."""
     rows = publish(shingle_identities(docs, k), "shingle-sets")
-    sets = publish(rows.filter("n > 0").groupBy("sa", "sb").agg(F.min("doc_id").alias("rep")), "distinct-sets")
-    labels = linked_sets(docs.select("doc_id", "text"), sets.filter("rep is not null").select("rep", F.col("sa").alias("number")),
+    # a set that no row with an id has is represented by one of its texts, under a hash of it
+    guests = publish(docs.filter("doc_id is null and text is not null").select(F.xxhash64("text").alias("doc_id"), "text")
+                     .dropDuplicates(["doc_id"]), "texts-without-id")
+    unnamed = shingle_identities(guests, k).filter("n > 0").select("sa", "sb", F.lit(None).cast("long").alias("doc_id"), F.col("doc_id").alias("guest"))
+    sets = (rows.filter("n > 0 and doc_id is not null").select("sa", "sb", "doc_id", F.lit(None).cast("long").alias("guest"))
+            .unionByName(unnamed).groupBy("sa", "sb").agg(F.min("doc_id").alias("least"), F.min("guest").alias("guest")))
+    sets = publish(sets.select("sa", "sb", "least", F.coalesce("least", "guest").alias("rep")), "distinct-sets")
+    labels = linked_sets(docs.select("doc_id", "text"), sets.select("rep", F.col("sa").alias("number")), guests,
                          k, percent, block).groupBy("rep").agg(F.min("label").alias("label"))
-    groups = publish(sets.join(labels, "rep", "left").select("sa", "sb", F.coalesce("label", "rep").alias("component_id")),
-                     "set-groups")
+    groups = publish(sets.join(labels, "rep", "left").select("sa", "sb", "least", F.coalesce("label", "rep").alias("label")), "set-groups")
+    # the label is the smallest id, except where a set without one takes part
+    odd = groups.groupBy("label").agg(F.min("least").alias("id"), F.count("least").alias("named"), F.count("*").alias("all"))
+    odd = odd.filter("named < all").select("label", "id", F.lit(True).alias("odd"))
+    groups = groups.join(odd, "label", "left").select("sa", "sb", F.when(F.col("odd"), F.col("id")).otherwise(F.col("label")).alias("component_id"))
     some = rows.filter("n > 0").join(groups, ["sa", "sb"]).select("doc_id", "n", "component_id")
     none = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

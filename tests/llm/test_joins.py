@@ -106,6 +106,47 @@ def test_jaccard_groups(spark, docs, k, percent, block):
         assert sorted(map(tuple, jaccard.similar_groups(docs, k, percent).collect())) == brute_groups(rows, k, percent)
 
 
+def test_links_through_rows_without_an_id(spark):
+    w = [f"n{i}" for i in range(100)]
+    mid, end = w[:30] + ["x"] + w[31:], w[:30] + ["x"] + w[31:70] + ["y"] + w[71:]
+    far = [f"m{i}" for i in range(50)]
+    rows = [(5, w), (None, mid), (None, mid), (9, end), (None, far), (None, far[:49] + ["z"]), (7, far[:3])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard.similar_groups(df).collect()), key=str)
+    assert got == sorted([(5, 97, 5), (None, 97, 5), (None, 97, 5), (9, 97, 5), (None, 47, None), (None, 47, None), (7, 1, 7)], key=str)
+    alone = df.filter("doc_id is not null")
+    assert {r.component_id for r in jaccard.similar_groups(alone).collect()} == {5, 9, 7}
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    rng = random.Random(2)
+    links = [(0, i) for i in range(1, 3000)] + [(9000, i) for i in range(3000, 6000)] + [(i, i + 1) for i in range(20000, 20040)]
+    links += [(2999, 5000)] + [(rng.randrange(30000, 30500), rng.randrange(30000, 30500)) for _ in range(300)]
+    up = {x: x for e in links for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    want = sorted((x, find(x)) for x in linked)
+    df = spark.createDataFrame(links, "a long, b long").repartition(6)
+    for hubs in (1000, 1):
+        monkeypatch.setattr(components, "HUBS", hubs)
+        assert sorted(map(tuple, components.components(df, "a", "b").collect())) == want
+
+
+def test_a_hub_does_not_meet_its_links_in_one_task(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 10001)], "u long, v long").repartition(8)
+    rows = components.with_least(links, 10000)
+    assert rows.rdd.glom().map(len).filter(lambda n: n > 0).max() <= 1300
+    assert rows.filter("m = 1").count() == 10000
+
+
 def test_every_similar_pair_shares_a_signature():
     rng = np.random.default_rng(8)
     for percent in (80, 85, 95):
