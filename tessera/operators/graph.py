@@ -110,9 +110,9 @@ def field_paper_rows(resources: DataFrame, statements: DataFrame, order_col: str
             .select("ResearchFieldId", "ResearchFieldLabel", "PaperId", "PaperTitle"))
 
 
-def explode_field_papers(field_papers: DataFrame, resources: DataFrame) -> DataFrame:
+def explode_field_papers(field_papers: DataFrame, resources: DataFrame, order_col: str | None = None) -> DataFrame:
     """G4/C3/A7 on the list form: explode ``PaperIds`` (empty lists vanish) and attach titles."""
-    titles = _titles(resources, None)
+    titles = _titles(resources, order_col)
     return (field_papers.select("ResearchFieldId", "ResearchFieldLabel",
                                 F.explode("PaperIds").alias("PaperId"))
             .join(titles, "PaperId")

@@ -2,17 +2,23 @@
 
 Each function is one stage of the original flow and returns a lazy DataFrame; ``build``
 chains them and, given a folder, publishes every stage as Parquet: later stages read the
-files instead of recomputing the lineage.  A restarted build writes all stages anew.
+files instead of recomputing the lineage, and a restarted build goes on after the last stage
+that was finished.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curate, graph, split, titles
 from ..sources import stage_io
 
+VERSION = "1"  # of the stages' rows: finished stages of another version are made anew
+
 
 def fields_and_papers(resources: DataFrame, statements: DataFrame):
     """Stage 1: papers per research field, and the flat field/paper/title rows."""
@@ -42,41 +48,56 @@ def final_dataset(rows: DataFrame, pos: DataFrame | None = None,
     return curate.finalize(ordered, pos)
 
 
+def spans_and_split(final: DataFrame, seed: int = 42) -> DataFrame:
+    """Stage 5: stratified split and answer spans."""
+    return split.qa_rows(split.stratified_split(final, seed=seed),
+                         keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel", "split"))
+
+
 def training_rows(final: DataFrame, seed: int = 42) -> DataFrame:
-    """Stage 5: stratified split, spans and the four question variants."""
-    qa_rows = split.qa_rows(split.stratified_split(final, seed=seed),
-                            keep=("ord", "PaperAbstract", "PredicateLabel", "ObjectLabel", "split"))
-    return split.question_variants(qa_rows)
+    """Stage 5 with the four question variants of each row."""
+    return split.question_variants(spans_and_split(final, seed))
+
+
+def write_training_sets(variants: DataFrame, path: str) -> DataFrame:
+    """Write the training sets; the number of rows per question word and split."""
+    stage_io.write_training(
+        variants.select("ord", F.col("PaperAbstract").alias("context"), "question",
+                        F.col("ObjectLabel").alias("answer"),
+                        F.col("StartIndex").cast("int").alias("answer_start"),
+                        F.col("EndIndex").cast("int").alias("answer_end"),
+                        "question_word", "split"), path)
+    return stage_io.read_training(variants.sparkSession, path).groupBy("question_word", "split").agg(F.count("*").alias("n"))
 
 
 def build(resources: DataFrame, statements: DataFrame, bibliography: DataFrame,
-          out: str | None = None, pos: DataFrame | None = None, fuzzy: bool = True
-          ) -> DataFrame:
+          out: str | None = None, pos: DataFrame | None = None, fuzzy: bool = True,
+          order_col: str | None = None, seed: int = 42) -> DataFrame:
     """All stages; with ``out`` every stage is written under it and read back, and the
-    training sets land in ``out/training`` partitioned by question word and split."""
+    training sets land in ``out/training`` partitioned by question word and split.
+
+    A build into the same ``out`` resumes: a stage that an earlier run finished from the same
+    inputs (by content) and options is read, not made again.  ``order_col`` of ``resources``
+    tells which title of a repeated id is the last."""
     spark = resources.sparkSession
-    fields, flat = fields_and_papers(resources, statements)
-    if out:
-        stage_io.write_stage(fields, f"{out}/field_papers")
-        stage_io.write_stage(flat, f"{out}/field_papers_flat")
-        flat = stage_io.read_stage(spark, f"{out}/field_papers_flat")
-    rows = with_abstracts(contributions_and_statements(flat, statements), bibliography, fuzzy, flat)
     if out:
-        stage_io.write_stage(rows, f"{out}/statements_with_abstract")
-        rows = stage_io.read_stage(spark, f"{out}/statements_with_abstract")
-    final = final_dataset(rows, pos)
+        given = [resources, statements, bibliography, *([] if pos is None else [pos])]
+        facts = [VERSION, str(pos is not None), str(fuzzy), str(order_col), str(seed), *map(stage_io.content_digest, given)]
+        inputs = hashlib.sha256("\n".join(facts).encode()).hexdigest()
+
+    def stage(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return stage_io.resumable_stage(spark, f"{out}/{name}", inputs, make) if out else make()
+
     if out:
-        stage_io.write_stage(final, f"{out}/final_dataset")
-        final = stage_io.read_stage(spark, f"{out}/final_dataset")
-    variants = training_rows(final)
+        stage("field_papers", lambda: graph.field_to_papers(resources, statements))
+    flat = stage("field_papers_flat", lambda: graph.field_paper_rows(resources, statements, order_col))
+    said = stage("statement_rows", lambda: contributions_and_statements(flat, statements))
+    rows = stage("statements_with_abstract", lambda: with_abstracts(said, bibliography, fuzzy, flat))
+    final = stage("final_dataset", lambda: final_dataset(rows, pos))
+    asked = stage("qa_rows", lambda: spans_and_split(final, seed))
+    variants = split.question_variants(asked)
     if out:
-        stage_io.write_training(
-            variants.select("ord", F.col("PaperAbstract").alias("context"), "question",
-                            F.col("ObjectLabel").alias("answer"),
-                            F.col("StartIndex").cast("int").alias("answer_start"),
-                            F.col("EndIndex").cast("int").alias("answer_end"),
-                            "question_word", "split"),
-            f"{out}/training")
+        stage("training_sets", lambda: write_training_sets(variants, f"{out}/training"))
     return variants
 
 
@@ -120,12 +141,14 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     args = ap.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     if args.cmd == "build":
-        resources = graph_snapshot.read_resources(spark, args.resources, args.format)
+        ordered = args.format == "parquet"
+        resources = graph_snapshot.read_resources(spark, args.resources, args.format, ordered)
         statements = graph_snapshot.read_statements(spark, args.statements, args.format,
                                                     nested=args.nested)
         bib = spark.read.parquet(args.bibliography)
         pos = spark.read.parquet(args.pos) if args.pos else None
-        build(resources, statements, bib, out=args.out, pos=pos, fuzzy=not args.exact_titles)
+        build(resources, statements, bib, out=args.out, pos=pos, fuzzy=not args.exact_titles,
+              order_col="ord" if ordered else None)
     else:
         preds = spark.read.parquet(args.predictions)
         score_predictions(preds, args.out, strict_reference=not args.fixed)

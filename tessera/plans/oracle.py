@@ -88,6 +88,14 @@ ORACLE["statements_by_subject"] = with_g(
     "SELECT * FROM statements WHERE predicate_id = 'P26' AND subject_id IN (SELECT id FROM papers)")
 ORACLE["field_to_papers"] = with_g("SELECT * FROM field_papers")
 ORACLE["field_papers_flat"] = with_g("SELECT * FROM flat")
+ORACLE["field_papers_last_title"] = with_g("""
+, records AS (
+  SELECT 'R' || l_orderkey AS id, 'Part ' || l_partkey || ' in ' || l_returnflag AS title, n
+  FROM (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER () AS n FROM lineitem)
+)
+, last_title AS (SELECT id, arg_max(title, n) AS PaperTitle FROM records GROUP BY id)
+SELECT s.object_id AS ResearchFieldId, s.object_label AS ResearchFieldLabel, s.subject_id AS PaperId, PaperTitle
+FROM statements s JOIN last_title ON s.subject_id = id WHERE s.predicate_id = 'P30'""")
 ORACLE["paper_contributions"] = with_g("SELECT * FROM contribs")
 ORACLE["papers_without_contribution"] = with_g(
     "SELECT DISTINCT PaperId FROM flat WHERE PaperId NOT IN "

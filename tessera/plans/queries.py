@@ -69,6 +69,12 @@ def field_papers_flat(spark, sf):
     return graph.field_paper_rows(resources, statements)
 
 
+@register("field_papers_last_title")
+def field_papers_last_title(spark, sf):
+    _, statements = fx.graph(spark, sf)
+    return graph.field_paper_rows(fx.paper_records(spark, sf), statements, order_col="ord")
+
+
 def _contribs(spark, sf):
     resources, statements = fx.graph(spark, sf)
     flat = graph.field_paper_rows(resources, statements)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import space_token
-from .tables import read_table
+from .tables import read_in_order, read_table
 
 # --- fixed values: graph vocabulary ---------------------------------------------------------
 CLASS_PAPER = "Paper"
@@ -41,6 +41,15 @@ def _s(*parts) -> F.Column:
     return F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
 
 
+def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resources[id, label, classes, ord] with repeated ids: every line of an order is a record
+    of its paper, with a title of its own, in the order of the table's files."""
+    lines = read_in_order(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return lines.select(_s("R", F.col("l_orderkey")).alias("id"),
+                        _s("Part ", F.col("l_partkey"), " in ", F.col("l_returnflag")).alias("label"),
+                        F.array(F.lit(CLASS_PAPER)).alias("classes"), "ord")
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(resources[id, label, classes], statements[subject_id, predicate_id, predicate_label,
     object_id, object_label])."""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .tables import read_in_order
+
 # --- fixed values: snapshot schemas --------------------------------------------------------
 RESOURCE_SCHEMA = "id string, label string, classes array<string>"
 NESTED_STATEMENT_SCHEMA = ("subject struct<id:string>, predicate struct<id:string,label:string>, "
@@ -33,7 +35,13 @@ def flatten_statements(df: DataFrame) -> DataFrame:
     return df.select(*FLAT_STATEMENT_COLUMNS)
 
 
-def read_resources(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_resources(spark: SparkSession, path: str, fmt: str = "parquet", ordered: bool = False) -> DataFrame:
+    """Resources of a snapshot; ``ordered`` (Parquet only) adds ``ord``, the row's position in the
+    source, by which the last of several rows of an id wins."""
+    if ordered:
+        if fmt != "parquet":
+            raise ValueError("the order of rows is known for Parquet only")
+        return read_in_order(spark, path, RESOURCE_SCHEMA)
     return spark.read.schema(RESOURCE_SCHEMA).format(fmt).load(path)
 
 

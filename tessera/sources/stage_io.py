@@ -7,6 +7,9 @@ split, and the single-object legacy training file can still be read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -21,6 +24,7 @@ STATEMENT_ROWS_SCHEMA = (FLAT_SCHEMA + ", Contribution string, PredicateLabel st
                          "ObjectLabel string, PaperAbstract string")
 TRAINING_SCHEMA = ("ord bigint, context string, question string, answer string, "
                    "answer_start int, answer_end int, question_word string, split string")
+MANIFEST_SCHEMA = "inputs string, rows bigint"
 EMPTY_WORD = "_none"  # folder of the question variant without a question word
 LEGACY_TRAINING_SCHEMA = "training_set array<array<string>>, evaluation_set array<array<string>>"
 # ---------------------------------------------------------------------------------------------
@@ -33,6 +37,51 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None)
     w.parquet(path)
 
 
+def content_digest(df: DataFrame) -> str:
+    """A digest of the rows of ``df`` whatever their order: their number, and the xor and the sum
+    of two 64-bit hashes a row.  One pass, one row of result."""
+    values = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    row = df.select(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b")).agg(
+        F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
+    names = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"{names}|{row['n']}|{row['a']}|{row['b']}"
+
+
+def _manifest(spark: SparkSession, path: str):
+    try:
+        rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}.manifest").collect()  # one row by construction
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows[0] if rows else None
+
+
+def _write_manifest(spark: SparkSession, path: str, inputs: str, rows: int | None) -> None:
+    (spark.createDataFrame([(inputs, rows)], MANIFEST_SCHEMA).coalesce(1)
+     .write.mode("overwrite").json(f"{path}.manifest"))
+
+
+def resumable_stage(spark: SparkSession, path: str, inputs: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stage table at ``path``: read if an earlier run finished it from the same ``inputs`` (a
+    digest), made and written otherwise.
+
+    Beside the table lies its manifest, a record of the inputs and the number of rows.  It is
+    voided before the table is written and filled after the writer has committed, so a run that
+    dies in between leaves no table that counts as finished; one whose files lost rows since is
+    made anew too."""
+    done = _manifest(spark, path)
+    if done is not None and done["inputs"] == inputs and done["rows"] is not None:
+        kept = read_stage(spark, path)
+        if kept.count() == done["rows"]:
+            return kept
+    _write_manifest(spark, path, inputs, None)
+    write_stage(make(), path)
+    made = read_stage(spark, path)
+    _write_manifest(spark, path, inputs, made.count())
+    return made
+
+
 def read_stage(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     r = spark.read
     if schema is not None:

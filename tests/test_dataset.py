@@ -1,4 +1,5 @@
 """End-to-end stage chain on the graph fixture with a bibliography derived from it."""
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
@@ -39,6 +40,63 @@ def test_build_writes_every_stage(spark, scratch):
     assert splits.filter("k != 1").count() == 0
 
 
+def test_a_killed_build_resumes(spark, scratch, monkeypatch):
+    resources, statements = fx.graph(spark, SF001)
+    some = statements.join(resources.filter("id like 'R%7'").select(F.col("id").alias("subject_id")), "subject_id")
+    statements = some.unionByName(statements.filter("predicate_id != 'P30'"))
+    bib = _graph_bibliography(resources, statements).withColumn("title", F.concat("title", F.lit("s")))  # near, not equal
+    whole = dataset.build(resources, statements, bib, out=f"{scratch}/whole", fuzzy=True)
+    want = sorted(map(str, whole.collect()))
+    assert want
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    files = lambda name: sorted(spark.read.parquet(f"{scratch}/part/{name}").inputFiles())
+    with monkeypatch.context() as m:
+        m.setattr(dataset, "with_abstracts", killed)
+        with pytest.raises(RuntimeError):
+            dataset.build(resources, statements, bib, out=f"{scratch}/part", fuzzy=True)
+    early = {name: files(name) for name in ("field_papers", "field_papers_flat", "statement_rows")}
+    with monkeypatch.context() as m:
+        m.setattr(dataset, "contributions_and_statements", killed)  # finished, so not called
+        again = dataset.build(resources, statements, bib, out=f"{scratch}/part", fuzzy=True)
+        assert sorted(map(str, again.collect())) == want
+        assert {name: files(name) for name in early} == early
+        late = files("final_dataset")
+        dataset.build(resources, statements.repartition(5), bib, out=f"{scratch}/part", fuzzy=True)
+        assert files("final_dataset") == late
+    # other inputs: nothing of the earlier build is taken
+    fewer = dataset.build(resources, statements, bib.filter("bib_id % 2 = 0"), out=f"{scratch}/part", fuzzy=True)
+    assert files("final_dataset") != late and 0 < fewer.count() < len(want)
+
+
+def test_a_stage_is_finished_only_with_its_manifest(spark, scratch):
+    path, made = f"{scratch}/stage", []
+
+    def make(n, fail=False):
+        def rows():
+            made.append(n)
+            df = spark.range(n).repartition(4)
+            return df.select(F.raise_error(F.lit("lost")).cast("long").alias("id")) if fail else df
+        return rows
+
+    assert stage_io.resumable_stage(spark, path, "a", make(10)).count() == 10
+    assert stage_io.resumable_stage(spark, path, "a", make(10)).count() == 10 and made == [10]
+    with pytest.raises(Exception, match="lost"):
+        stage_io.resumable_stage(spark, path, "b", make(20, fail=True))
+    assert stage_io.resumable_stage(spark, path, "a", make(11)).count() == 11  # voided by the failed run
+    stage_io.write_stage(spark.range(7), path)  # rows lost since
+    assert stage_io.resumable_stage(spark, path, "a", make(12)).count() == 12 and made == [10, 20, 11, 12]
+
+
+def test_content_digest(spark):
+    df = spark.createDataFrame([("a", None, [1]), (None, "a", [1, 2]), ("a", None, [1])], "x string, y string, z array<int>")
+    d = stage_io.content_digest(df)
+    assert d == stage_io.content_digest(df.repartition(3)) != stage_io.content_digest(df.distinct())
+    assert d != stage_io.content_digest(df.select(F.col("y").alias("x"), F.col("x").alias("y"), "z"))
+
+
 def test_command_line_build_and_score(spark, scratch):
     resources, statements = fx.graph(spark, SF001)
     resources.write.parquet(scratch + "/res")

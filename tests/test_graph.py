@@ -65,3 +65,21 @@ def test_last_title_of_a_repeated_id(spark):
                                        "subject_id string, predicate_id string, predicate_label string, object_id string, object_label string")
     got = graph.field_paper_rows(resources, statements, order_col="seen").collect()
     assert [(r.PaperId, r.PaperTitle) for r in got] == [("R1", "last")]
+
+
+def test_last_title_by_source_order(spark, scratch):
+    from tessera.sources import graph_snapshot
+
+    rows = [("R1", "zebra", ["Paper"]), ("R2", "only", ["Paper"]), ("R1", "apple", ["Paper"])]
+    schema = "id string, label string, classes array<string>"
+    for i in range(3):  # three files, in the order of their names; R1 ends with the title of the last
+        said = rows if i < 2 else [("R1", "mango", ["Paper"])]
+        spark.createDataFrame(said, schema).coalesce(1).write.mode("append").parquet(f"{scratch}/r/part={i}")
+    flat = spark.createDataFrame([("R1", "P30", "f", "F1", "x"), ("R2", "P30", "f", "F1", "x")],
+                                 "subject_id string, predicate_id string, predicate_label string, object_id string, object_label string")
+    for name, last in (("r/part=0", "apple"), ("r", "mango")):
+        resources = graph_snapshot.read_resources(spark, f"{scratch}/{name}", ordered=True)
+        for parts in (1, 4):
+            got = graph.field_paper_rows(resources.repartition(parts), flat, order_col="ord")
+            assert sorted((r.PaperId, r.PaperTitle) for r in got.collect()) == [("R1", last), ("R2", "only")]
+    assert {r.PaperTitle for r in graph.field_paper_rows(resources, flat).collect()} == {"zebra", "only"}
