@@ -88,26 +88,34 @@ def _pos_lookup(df: DataFrame, key: Column, pos: DataFrame | None) -> DataFrame:
             .join(tags, "_key", "left").drop("_key"))
 
 
+def _pos_key(lab: Column, strict_reference: bool) -> Column:
+    tokens = F.split(lab, " ", -1)
+    phrase_key = F.substring(lab, -1, 1) if strict_reference else F.element_at(tokens, -1)
+    return F.when(F.size(tokens) == 1, lab).when(F.size(tokens) < PHRASE_MAX_TOKENS, phrase_key)
+
+
+def pos_tokens(df: DataFrame, strict_reference: bool = True, label: str = "ObjectLabel") -> DataFrame:
+    """(token): the distinct tokens that ``categorize`` looks up in its ``pos`` table."""
+    token = _pos_key(py_strip(py_str(F.col(label))), strict_reference)
+    return df.select(token.alias("token")).filter("token is not null").distinct()
+
+
 def categorize(df: DataFrame, pos: DataFrame | None = None, strict_reference: bool = True,
                label: str = "ObjectLabel", predicate: str = "PredicateLabel",
                out: str = "Category") -> DataFrame:
     """The ordered category rules, first hit wins.
 
-    ``pos`` is an optional (token, pos) lexicon standing in for a part-of-speech tagger;
+    ``pos`` is an optional (token, pos) lexicon, given or made by ``operators.tagger``;
     without it every part-of-speech branch yields 'unknown'.  ``strict_reference`` keeps
     the original behaviour: 'count/measurement' is never emitted, and 2-4 token phrases are
     tagged by their last character; ``False`` emits it and tags the last token."""
     lab = py_strip(py_str(F.col(label)))
     pred = F.col(predicate)
-    tokens = F.split(lab, " ", -1)
-    n_tok = F.size(tokens)
     value = digits_value(lab)
     number_shape = F.replace(
         F.regexp_replace(F.regexp_replace(lab, "^-+", ""), r"^([^.]*)[.]", "$1"),
         F.lit(","), F.lit(""))
-    phrase_key = F.substring(lab, -1, 1) if strict_reference else F.element_at(tokens, -1)
-    key = F.when(n_tok == 1, lab).when(n_tok < PHRASE_MAX_TOKENS, phrase_key)
-    staged = _pos_lookup(df.withColumn("_lab", lab), key, pos)
+    staged = _pos_lookup(df.withColumn("_lab", lab), _pos_key(lab, strict_reference), pos)
     lab, p = F.col("_lab"), F.col("_pos")
     tokens = F.split(lab, " ", -1)
     n_tok = F.size(tokens)

@@ -277,6 +277,33 @@ ORACLE["categorize"] = with_t(
 ORACLE["categorize_graph"] = with_g(
     f", cat AS (SELECT predicate_label AS PredicateLabel, object_label AS ObjectLabel FROM statements) "
     f"SELECT PredicateLabel, ObjectLabel, {category('ObjectLabel', 'PredicateLabel')} AS Category FROM cat")
+ORACLE["categorize_tagged"] = """
+WITH objects AS (
+  SELECT p_partkey AS ord, p_brand AS PredicateLabel,
+         CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) WHEN 2 THEN split_part(p_name, ' ', 2)
+              WHEN 3 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1) ELSE lower(p_type) END AS ObjectLabel
+  FROM part),
+labelled AS (
+  SELECT split_part(p_name, ' ', 1) AS w, 'ADJ' AS pos FROM part
+  UNION ALL SELECT split_part(p_name, ' ', 2), 'NOUN' FROM part),
+facts AS (
+  SELECT 9 AS strength, w AS key, pos FROM labelled
+  UNION ALL SELECT k, right(w, k), pos FROM labelled, range(0, 4) r(k)),
+best AS (
+  SELECT strength, key, pos FROM (SELECT strength, key, pos, count(*) AS n FROM facts GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY strength, key ORDER BY n DESC, pos) = 1),
+asked AS (
+  SELECT DISTINCT unnest([ObjectLabel, split_part(ObjectLabel, ' ', 2), right(ObjectLabel, 1)]) AS token FROM objects),
+tags AS (
+  SELECT token, arg_max(pos, strength) AS pos FROM asked JOIN best
+    ON (strength = 9 AND key = token) OR (strength < 9 AND key = right(token, strength)) GROUP BY token)
+SELECT o.*,
+  CASE WHEN ObjectLabel NOT LIKE '% %' THEN CASE w.pos WHEN 'ADJ' THEN 'adj' ELSE 'noun' END
+       ELSE CASE p.pos WHEN 'ADJ' THEN 'adj phrase' ELSE 'noun phrase' END END AS Category,
+  CASE WHEN ObjectLabel NOT LIKE '% %' THEN CASE w.pos WHEN 'ADJ' THEN 'adj' ELSE 'noun' END
+       ELSE CASE c.pos WHEN 'ADJ' THEN 'adj phrase' ELSE 'noun phrase' END END AS StrictCategory
+FROM objects o JOIN tags w ON w.token = ObjectLabel JOIN tags p ON p.token = split_part(ObjectLabel, ' ', 2)
+     JOIN tags c ON c.token = right(ObjectLabel, 1)"""
 ORACLE["finalize"] = with_t(
     "SELECT ord, PaperId, PredicateLabel, ObjectLabel, ObjectInAbstract, Category FROM t_final")
 ORACLE["answer_span"] = with_t(

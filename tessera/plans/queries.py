@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_abstract
-from ..operators import curate, graph, qa, score, split, stats, titles
+from ..operators import curate, graph, qa, score, split, stats, tagger, titles
 from ..operators.flatmap import flat_map
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
@@ -170,6 +170,15 @@ def categorize_graph(spark, sf):
     return curate.categorize(rows)
 
 
+@register("categorize_tagged")
+def categorize_tagged(spark, sf):
+    model = tagger.train(fx.labelled_tokens(spark, sf))
+    rows = fx.part_objects(spark, sf)
+    pos = tagger.lexicon(model, curate.pos_tokens(rows, strict_reference=False))
+    strict = tagger.lexicon(model, curate.pos_tokens(rows))
+    return curate.categorize(curate.categorize(rows, pos, strict_reference=False), strict, out="StrictCategory")
+
+
 def _final(spark, sf):
     return curate.finalize(fx.text_rows(spark, sf))
 

@@ -41,6 +41,24 @@ def _s(*parts) -> F.Column:
     return F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
 
 
+def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token, pos): the words of the part names, which are an adjective and a noun each."""
+    words = F.split("p_name", " ")
+    return read_table(spark, sf_dir, "part").select(F.explode(F.array(
+        F.struct(F.get(words, 0).alias("token"), F.lit("ADJ").alias("pos")),
+        F.struct(F.get(words, 1).alias("token"), F.lit("NOUN").alias("pos")))).alias("t")).select("t.*")
+
+
+def part_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, PredicateLabel, ObjectLabel) per part: its name, one of its words, its words the other
+    way round, or its type in lower case (a word that no part name has)."""
+    words, r = F.split("p_name", " "), F.col("p_partkey") % 5
+    return read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ord"), F.col("p_brand").alias("PredicateLabel"),
+        F.when(r == 0, F.col("p_name")).when(r == 1, F.get(words, 0)).when(r == 2, F.get(words, 1))
+        .when(r == 3, _s(F.get(words, 1), " ", F.get(words, 0))).otherwise(F.lower("p_type")).alias("ObjectLabel"))
+
+
 def paper_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resources[id, label, classes, ord] with repeated ids: every line of an order is a record
     of its paper, with a title of its own, in the order of the table's files."""

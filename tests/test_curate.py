@@ -69,3 +69,44 @@ def test_finalize_order(spark):
                                      "ObjectLabel string, PaperAbstract string")
     out = curate.finalize(df).collect()
     assert [(r.ord, r.Category) for r in out] == [(2, "location")]
+
+
+def test_tagger_tokens_endings_and_edges(spark):
+    from collections import Counter
+
+    from tessera.operators import tagger
+
+    said = ([("Running", "VERB")] * 2 + [("running", "NOUN")] * 2 + [("walking", "VERB"), ("king", "NOUN"), ("red", "ADJ"), ("sacred", "ADJ")]
+            + [("wanted", "VERB"), (None, "ADJ"), ("", "ADJ"), ("x", None), ("né", "ADJ")])
+    labelled = spark.createDataFrame(said, "token string, pos string").repartition(4)
+    asked = ["running", "RED", "barking", "bored", "zed", "zzé", "Q", "", None, "red", "red"]
+
+    counts = {}
+    for token, pos in said:
+        if token and pos:
+            w = token.lower()
+            for key in {("w", w), (3, w[-3:]), (2, w[-2:]), (1, w[-1:]), (0, "")}:
+                counts.setdefault(key, Counter())[pos] += 1
+
+    def tag(token):
+        w = token.lower()
+        for key in (("w", w), (3, w[-3:]), (2, w[-2:]), (1, w[-1:]), (0, "")):
+            if key in counts:
+                return min(counts[key].items(), key=lambda c: (-c[1], c[0]))[0]
+
+    model = tagger.train(labelled)
+    tokens = spark.createDataFrame([(t,) for t in asked], "token string")
+    got = [tuple(r) for r in tagger.lexicon(model, tokens).collect()]
+    assert sorted(got) == sorted((t, tag(t)) for t in {t for t in asked if t})
+    empty = tagger.train(labelled.limit(0))
+    assert empty.count() == 0 and tagger.lexicon(empty, tokens).count() == 0
+    assert tagger.lexicon(model, tokens.limit(0)).count() == 0
+
+
+def test_tagged_query_gives_all_four_labels(spark):
+    from tessera.plans.queries import REGISTRY
+
+    from .conftest import SF001
+
+    got = {r.Category for r in REGISTRY["categorize_tagged"](spark, SF001).select("Category").distinct().collect()}
+    assert got >= {"adj", "noun", "adj phrase", "noun phrase"}
