@@ -27,6 +27,10 @@ from tessera.llm.common import masked, publish
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is below the threshold.  A null text is scored as an empty one, equal texts get
+    equal scores, repeated rows and rows with a null id are judged like all others; without
+    labels of both kinds the score is the share of toxic labels.  An empty table stays empty;
+    extra columns, also clashing ones, are kept."""
     lexicon, trees = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"),
                                   spark.read.parquet(f"{sf_dir}/labels.parquet"))
     plain, name = masked(docs)
@@ -35,18 +39,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with the smallest doc_id of their group.  Null, empty and wordless texts are in no group and
+    stay; rows with a null id link others and stay themselves; repeated rows of one id stay
+    together.  An empty table stays empty; extra columns, also clashing ones, are kept."""
     return jaccard.one_of_each(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the words under windows that start in a smaller doc_id; a changed text is its kept words
+    joined by one space, with its n_chars; a row that loses all its words goes, one without
+    words (null, empty) stays as it is, as does a text without repeats.  Repeated rows of one id
+    are one document; extra columns, also clashing ones, are kept."""
     return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as the mix takes it.  A null source is one of its own, ordered last; a
+    row without words gets the whole part of its source's copies; repeated rows get the same
+    number each.  An empty table stays empty; extra columns, also clashing ones, are kept."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row (repeated rows each, null ids too) with their sequences; a null or
+    empty text is one piece with the end id.  Extra columns are left out."""
     return packing.pack_documents(docs)
 
 
