@@ -520,6 +520,68 @@ SELECT qkey, bib_id, false AS exact FROM qc JOIN bc
 ORACLE["attach_abstract_exact"] = with_p("""
 SELECT p.PaperId, p.PaperTitle, r.abstract AS PaperAbstract
 FROM p_q p LEFT JOIN resolved r ON r.qkey = lower(p.PaperTitle)""")
+# The title score over all pairs of distinct titles, as its definition says it: the longest common
+# block (the first of them in one title, then in the other), then the same left and right of it.
+# ``runs`` holds the equal stretches of each diagonal, ``walk`` the parts still to compare; k is the
+# length of the block that cut a part off.  Accepted pairs have fewer than 19 T / 200 edits; the
+# titles are below 200 characters, so no character is junk.
+FUZZY_CTE = f"""
+, near AS MATERIALIZED (
+  SELECT row_number() OVER () AS p, qkey, bkey, length(qkey) AS la, length(bkey) AS lb
+  FROM q JOIN (SELECT DISTINCT bkey FROM b) ON qkey <> bkey
+   AND 400 * least(length(qkey), length(bkey)) > 181 * (length(qkey) + length(bkey))
+   AND 200 * levenshtein(qkey, bkey) < 19 * (length(qkey) + length(bkey))
+),
+a_chars AS (SELECT p, generate_subscripts(string_split(qkey, ''), 1) AS i, unnest(string_split(qkey, '')) AS ch FROM near),
+b_chars AS (SELECT p, generate_subscripts(string_split(bkey, ''), 1) AS j, unnest(string_split(bkey, '')) AS ch FROM near),
+cells AS (
+  SELECT p, i - j AS d, i, i - row_number() OVER (PARTITION BY p, i - j ORDER BY i) AS stretch
+  FROM a_chars JOIN b_chars USING (p, ch)
+),
+runs AS MATERIALIZED (SELECT p, min(i) - 1 AS i, min(i) - 1 - d AS j, count(*) AS n FROM cells GROUP BY p, d, stretch),
+walk AS (
+  SELECT p, 0::BIGINT AS alo, la::BIGINT AS ahi, 0::BIGINT AS blo, lb::BIGINT AS bhi, 0::BIGINT AS k FROM near
+  UNION ALL
+  SELECT p, CASE WHEN side = 0 THEN alo ELSE m.n - m.i END, CASE WHEN side = 0 THEN -m.i ELSE ahi END,
+         CASE WHEN side = 0 THEN blo ELSE m.n - m.j END, CASE WHEN side = 0 THEN -m.j ELSE bhi END,
+         CASE WHEN side = 0 THEN m.n ELSE 0 END
+  FROM (
+    SELECT p, alo, ahi, blo, bhi, max({{'n': n, 'i': -i, 'j': -j}}) AS m
+    FROM (
+      SELECT p, alo, ahi, blo, bhi, i + s AS i, j + s AS j, e - s AS n
+      FROM (SELECT w.p, alo, ahi, blo, bhi, i, j, greatest(0, alo - i, blo - j) AS s, least(n, ahi - i, bhi - j) AS e
+            FROM walk w JOIN runs r ON w.p = r.p)
+      WHERE e > s)
+    GROUP BY p, alo, ahi, blo, bhi) CROSS JOIN (VALUES (0), (1)) sides(side)
+),
+accepted AS (
+  SELECT q.qkey, b.bib_id, true AS exact FROM q JOIN b ON qkey = bkey
+  UNION ALL
+  SELECT near.qkey, b.bib_id, false
+  FROM near JOIN (SELECT p, sum(k) AS m FROM walk GROUP BY p) USING (p) JOIN b USING (bkey)
+  WHERE round_even(100 * (2.0::DOUBLE * m / (la + lb)), 0) > 90
+),
+hits AS (SELECT * FROM accepted JOIN p_bib USING (bib_id)),
+one AS (
+  SELECT qkey, doi AS doi1 FROM (
+    SELECT qkey, doi, row_number() OVER (PARTITION BY qkey ORDER BY rank DESC, bib_id DESC) AS rn
+    FROM hits WHERE source = 1) WHERE rn = 1
+),
+two AS (
+  SELECT qkey, {sanitize('abstract')} AS abstract2 FROM (
+    SELECT qkey, abstract, row_number() OVER (PARTITION BY qkey ORDER BY exact DESC, rank, bib_id) AS rn
+    FROM hits WHERE source = 2) WHERE rn = 1
+),
+matched AS (
+  SELECT q.qkey, one.doi1,
+         CASE WHEN doi_1.a IS NOT NULL AND doi_1.a <> '' THEN doi_1.a ELSE two.abstract2 END AS abstract
+  FROM q LEFT JOIN one USING (qkey) LEFT JOIN doi_1 ON doi_1.doi = one.doi1 LEFT JOIN two USING (qkey)
+)
+"""
+ORACLE["title_match"] = "WITH RECURSIVE " + P_CTE + FUZZY_CTE + "SELECT * FROM matched"
+ORACLE["attach_abstract"] = "WITH RECURSIVE " + P_CTE + FUZZY_CTE + """
+SELECT p.PaperId, p.PaperTitle, r.abstract AS PaperAbstract
+FROM p_q p LEFT JOIN matched r ON r.qkey = lower(p.PaperTitle)"""
 ORACLE["failed_lookups"] = with_p("SELECT DISTINCT PaperId AS Id FROM p_q WHERE PaperTitle IS NULL")
 ORACLE["abstract_by_doi"] = with_p("""
 SELECT d.doi, CASE WHEN doi_1.a IS NOT NULL AND doi_1.a <> '' THEN doi_1.a ELSE doi_2.a END AS abstract
@@ -539,3 +601,17 @@ FROM edges GROUP BY fid
 UNION ALL
 SELECT 'F' || n_nationkey, n_name, CAST(0 AS BIGINT) FROM nation
 WHERE 'F' || n_nationkey NOT IN (SELECT fid FROM edges)"""
+
+# -------------------------------------------------------------------- stage files
+ORACLE["csv_round_trip"] = """
+SELECT doc_id AS PaperId, nullif(text, '') AS PaperAbstract, lang || '|it''s ' || source AS Tags FROM documents"""
+ORACLE["csv_missing_values"] = """
+SELECT p_partkey AS PaperId, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 'NA ' || p_name
+       WHEN 3 THEN NULL ELSE p_name END AS PaperTitle FROM part"""
+ORACLE["training_round_trip"] = with_t("""
+SELECT s.ord, s.PaperAbstract AS context, w.question_word || ' ' || s.PredicateLabel || ' ?' AS question,
+       s.ObjectLabel AS answer, s.StartIndex AS answer_start, s.EndIndex AS answer_end, w.question_word, s.split
+FROM t_split s CROSS JOIN (VALUES ('what'), ('which'), ('how'), ('')) w(question_word)""")
+ORACLE["eval_round_trip"] = "WITH " + E_CTE + """
+SELECT abstract, question, answer, nullif(predict_answer, '') AS predict_answer, exact_match, containment_match
+FROM e_scored"""

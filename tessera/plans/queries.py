@@ -4,6 +4,7 @@ DataFrame`` over the whole derived fixtures.  List-valued results are rendered a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitize_abstract
 from ..operators import curate, graph, qa, score, split, stats, tagger, titles
 from ..operators.flatmap import flat_map
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import stage_io
 from ..sources.tables import read_table
 from ..sources.token_index import with_token_index
 
@@ -367,3 +370,51 @@ def abstract_by_doi(spark, sf):
     dois = read_table(spark, sf, "part").select(
         F.concat(F.lit("10.7777/"), F.col("p_partkey")).alias("doi"))
     return titles.abstract_by_doi(dois, fx.bibliography(spark, sf))
+
+
+# ------------------------------------------------------------------- stage files
+def _stage_path(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_round_trip")
+def csv_round_trip(spark, sf):
+    """Whole texts, line feeds and quotes included, and a list column out to CSV and in again."""
+    docs = read_table(spark, sf, "documents")
+    rows = docs.select(F.col("doc_id").alias("PaperId"), F.col("text").alias("PaperAbstract"),
+                       F.array("lang", F.concat(F.lit("it's "), F.col("source"))).alias("Tags"))
+    path = _stage_path(spark, "csv")
+    stage_io.export_csv(rows, path)
+    return stage_io.import_csv(spark, path, rows.schema).withColumn("Tags", F.array_join("Tags", "|"))
+
+
+@register("csv_missing_values")
+def csv_missing_values(spark, sf):
+    """Spellings of a missing value in labels become NULL on import, labels that hold one don't."""
+    part = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    k = F.col("p_partkey") % 5
+    label = (F.when(k == 0, "NA").when(k == 1, "nan").when(k == 2, F.concat(F.lit("NA "), F.col("p_name")))
+             .when(k == 3, "").otherwise(F.col("p_name")))
+    rows = part.select(F.col("p_partkey").alias("PaperId"), label.alias("PaperTitle"))
+    path = _stage_path(spark, "csv")
+    stage_io.export_csv(rows, path)
+    return stage_io.import_csv(spark, path, rows.schema, coerce_missing=True)
+
+
+@register("training_round_trip")
+def training_round_trip(spark, sf):
+    """The training sets of every question word written by word and split, and read again."""
+    rows = _variants(spark, sf).select(
+        "ord", F.col("PaperAbstract").alias("context"), "question", F.col("ObjectLabel").alias("answer"),
+        F.col("StartIndex").alias("answer_start"), F.col("EndIndex").alias("answer_end"), "question_word", "split")
+    path = _stage_path(spark, "training")
+    stage_io.write_training(rows, path)
+    return stage_io.read_training(spark, path).select(*rows.columns)
+
+
+@register("eval_round_trip")
+def eval_round_trip(spark, sf):
+    """The per-row evaluation table as a file, and read again; an empty prediction is NULL there."""
+    path = _stage_path(spark, "eval")
+    stage_io.write_eval(score.score_rows(fx.predictions(spark, sf)), path)
+    return stage_io.read_eval(spark, path)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import coerce_na, list_literal, parse_id_list
+from .records import csv_quotes, json_quotes, read_records
 
 # --- fixed values: stage schemas --------------------------------------------------------------
 FIELD_PAPERS_SCHEMA = ("ResearchFieldId string, ResearchFieldLabel string, n_papers bigint, "
@@ -26,7 +27,10 @@ TRAINING_SCHEMA = ("ord bigint, context string, question string, answer string,
                    "answer_start int, answer_end int, question_word string, split string")
 MANIFEST_SCHEMA = "inputs string, rows bigint"
 EMPTY_WORD = "_none"  # folder of the question variant without a question word
-LEGACY_TRAINING_SCHEMA = "training_set array<array<string>>, evaluation_set array<array<string>>"
+EVAL_SCHEMA = ("abstract string, question string, answer string, predict_answer string, "
+               "exact_match boolean, containment_match boolean")
+LEGACY_KEY = r'^[\s,{]*"(\w+)"\s*:\s*\['                        # a set begins
+LEGACY_ROW = r'(?s)^[\s,{]*(?:"\w+"\s*:\s*\[)?\s*\[(.*)\z'  # a row, without its last bracket
 # ---------------------------------------------------------------------------------------------
 
 
@@ -102,13 +106,23 @@ def import_csv(spark: SparkSession, path: str, schema: str | StructType,
     """Read a stage CSV with an explicit schema; array<string> columns are parsed from list
     literals.  ``coerce_missing`` turns NA-like spellings of string columns ('NA', 'nan',
     'null', ...) into NULL as the pandas reader did (H15); off by default, so a label that
-    is literally "NA" stays text."""
+    is literally "NA" stays text.
+
+    Fields may hold line feeds, and still a file is read by as many tasks as it has byte
+    ranges (see ``records``).  A quote inside a quoted field is written twice, as
+    ``export_csv`` does; records end with a line feed, which a carriage return may precede.
+    Each file begins with a header; empty lines are no rows.  The layout does not tell an empty
+    text from a missing one: both are NULL."""
     target = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     text_schema = StructType([
         StructField(f.name, StringType(), True) if isinstance(f.dataType, ArrayType) else f
         for f in target.fields])
-    raw = (spark.read.schema(text_schema).option("header", True).option("multiLine", True)
-           .option("escape", '"').csv(path))
+    records = (read_records(spark, path, "\n", csv_quotes)
+               .filter((F.col("start") > 0) | (F.col("no") > 0))  # the header
+               .select(F.regexp_replace("text", r"\r\z", "").alias("text")).filter("text <> ''"))
+    raw = records.select(F.from_csv("text", text_schema.simpleString(),
+                                    {"multiLine": "true", "escape": '"'}).alias("row")).select("row.*")
+
     def column(f):
         if isinstance(f.dataType, ArrayType):
             return parse_id_list(f.name)
@@ -137,19 +151,32 @@ def read_training(spark: SparkSession, path: str, question_word: str | None = No
 
 def read_legacy_training(spark: SparkSession, path: str) -> DataFrame:
     """A6 for the single-object file ``{"training_set": [[...5]], "evaluation_set": [...]}``:
-    rows (split, context, question, answer, answer_start, answer_end)."""
-    doc = spark.read.schema(LEGACY_TRAINING_SCHEMA).option("multiLine", True).json(path)
-    parts = doc.select(F.explode(F.array(
-        F.struct(F.lit("training").alias("split"), F.col("training_set").alias("rows")),
-        F.struct(F.lit("evaluation").alias("split"), F.col("evaluation_set").alias("rows")),
-    )).alias("p")).select("p.split", F.explode("p.rows").alias("r"))
-    return parts.select(
+    rows (split, context, question, answer, answer_start, answer_end).
+
+    The file is cut behind every closing bracket outside strings, so many tasks read one
+    object, on one line or on many.  A row belongs to the set whose key is the last before it."""
+    records = read_records(spark, path, "]", json_quotes)
+    keyed = records.withColumn("name", F.regexp_extract("text", LEGACY_KEY, 1))
+    names = (keyed.filter("name <> ''").groupBy("file")  # one row a file, as many names as the object has keys
+             .agg(F.array_sort(F.collect_list(F.struct("start", "no", "name"))).alias("names")))
+    place = F.struct("start", "no", F.lit("\U0010ffff").alias("name"))
+    before = F.filter("names", lambda x: x <= place)
+    body = F.concat(F.lit("["), F.regexp_extract("text", LEGACY_ROW, 1), F.lit("]"))
+    rows = (keyed.filter(F.col("text").rlike(LEGACY_ROW)).join(F.broadcast(names), "file")
+            .select(F.element_at(before, -1)["name"].alias("name"), F.from_json(body, "array<string>").alias("r")))
+    split = F.when(F.col("name") == "training_set", "training").when(F.col("name") == "evaluation_set", "evaluation")
+    return rows.withColumn("split", split).filter("split IS NOT NULL").select(
         "split", F.get("r", 0).alias("context"), F.get("r", 1).alias("question"),
         F.get("r", 2).alias("answer"),
         F.get("r", 3).try_cast("double").cast("int").alias("answer_start"),
         F.get("r", 4).try_cast("double").cast("int").alias("answer_end"))
 
 
+def read_eval(spark: SparkSession, path: str) -> DataFrame:
+    """The per-row evaluation table as ``write_eval`` wrote it."""
+    return import_csv(spark, path, EVAL_SCHEMA)
+
+
 def write_eval(scored: DataFrame, path: str) -> None:
     """The per-row evaluation table as CSV."""
     (scored.select("abstract", "question", "answer", "predict_answer", "exact_match",

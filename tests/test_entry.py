@@ -18,7 +18,7 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(REGISTRY) <= set(entry.queries())
     rows_only = set(REGISTRY) - set(entry.oracle_sql())
-    assert rows_only == {"title_match", "attach_abstract", "answer_span_regex", "token_positions_subword"}
+    assert rows_only == {"answer_span_regex", "token_positions_subword"}
 
 
 def test_flat_map_result_shapes(spark):

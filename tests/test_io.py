@@ -138,3 +138,84 @@ def test_training_sets_of_all_question_words(spark, scratch):
     for w in ("what", "which", "how", ""):
         assert {r.question_word for r in io.read_training(spark, scratch + "/words", w).collect()} == {w}
         assert io.read_training(spark, scratch + "/words", w).count() == 2
+
+
+AWKWARD = ["a, \"quoted\"\nlabel", "\n\n\n", "", None, "x" * 400 + "\n" + "\"y\"" * 9, "\r\nmid\r\n", "plain", "\"",
+           "back\\slash \\\" quote", "[\"a\", 1]", "], \"training_set\": [[", "üñî\n漢字 😀", "a\\", "tab\tand ]"]
+
+
+def _small_ranges(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+
+
+def test_csv_file_read_by_many_tasks(spark, scratch):
+    """One file with quotes and line feeds, cut at any byte: the rows of the one-task reader."""
+    from tessera.sources.records import csv_quotes, read_records
+
+    rows = [(i, AWKWARD[i % len(AWKWARD)], AWKWARD[(i * 5 + i // 14) % len(AWKWARD)]) for i in range(84)]
+    schema = "id long, a string, b string"
+    df = spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("id")
+    io.export_csv(df, scratch + "/one")
+    whole = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+             .csv(scratch + "/one"))
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) == 84
+    try:
+        for size in (211, 1 << 27):
+            _small_ranges(spark, size)
+            back = io.import_csv(spark, scratch + "/one", schema)
+            assert sorted(map(tuple, back.collect())) == want, size
+        _small_ranges(spark, 211)
+        records = read_records(spark, scratch + "/one", "\n", csv_quotes)
+        assert records.select("start").distinct().count() > 20
+        order = [r.text.split(",")[0] for r in records.orderBy("start", "no").collect()]
+        assert order == ["id", *map(str, range(84))]
+    finally:
+        _small_ranges(spark, 1 << 27)
+
+
+def test_csv_odd_files(spark, scratch):
+    """Empty files, a header alone, carriage returns, blank lines, no line feed at the end, and a
+    quote that never closes."""
+    os.makedirs(scratch + "/odd")
+    texts = {"a": "", "b": "x,y\n", "c": "x,y\r\n1,\"p\nq\"\r\n\r\n2,r", "d": "x,y\n3,\"open\n4,z\n"}
+    for name, text in texts.items():
+        with open(f"{scratch}/odd/{name}.csv", "w", newline="") as f:
+            f.write(text)
+    try:
+        for size in (7, 1 << 27):
+            _small_ranges(spark, size)
+            got = {r.x: r.y for r in io.import_csv(spark, scratch + "/odd", "x int, y string").collect()}
+            assert set(got) == {1, 2, 3} and got[1] == "p\nq" and got[2] == "r" and got[3].startswith("open\n4,z")
+    finally:
+        _small_ranges(spark, 1 << 27)
+
+
+def test_legacy_object_read_by_many_tasks(spark, scratch):
+    from tessera.sources.records import json_quotes, read_records
+
+    def row(i):
+        return [AWKWARD[i % len(AWKWARD)], f"what {i} ?", AWKWARD[(i * 3) % len(AWKWARD)], i if i % 4 else None, i + 1.0]
+
+    sets = {"training_set": [row(i) for i in range(30)], "other": [["n", "q", "a", 0, 1]],
+            "evaluation_set": [row(i) for i in range(30, 40)]}
+    os.makedirs(scratch + "/legacy")
+    for name, doc, kw in (("line", sets, {}), ("tall", sets, {"indent": 1, "ensure_ascii": False}),
+                          ("turned", {k: sets[k] for k in reversed(sets)}, {"separators": (",", ":")}),
+                          ("none", {"training_set": [], "evaluation_set": []}, {}), ("half", {"evaluation_set": [row(1)]}, {})):
+        with open(f"{scratch}/legacy/{name}.json", "w") as f:
+            json.dump(doc, f, **kw)
+    once = [(s, r[0], r[1], r[2], r[3], int(r[4])) for s, k in (("training", "training_set"), ("evaluation", "evaluation_set"))
+            for r in sets[k]]
+    r = row(1)
+    want = sorted(once * 3 + [("evaluation", r[0], r[1], r[2], r[3], int(r[4]))], key=str)
+    try:
+        for size in (499, 1 << 27):
+            _small_ranges(spark, size)
+            got = sorted(map(tuple, io.read_legacy_training(spark, scratch + "/legacy").collect()), key=str)
+            assert got == want, size
+        _small_ranges(spark, 499)
+        records = read_records(spark, scratch + "/legacy/line.json", "]", json_quotes)
+        assert records.select("start").distinct().count() > 5
+    finally:
+        _small_ranges(spark, 1 << 27)
