@@ -114,61 +114,76 @@ def merge_by(prints: DataFrame, keys: list[str], k: int = K) -> DataFrame:
             .groupBy(*keys).applyInPandas(final, schema))
 
 
-def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE,
-                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and its likeness to the edited
-    text and to the next document.
-
-    The edited text has the last ``floor(n / 2)`` of the text's ``n`` code points replaced by
-    the first as many (or all) of the next document in descending ``doc_id`` order (after
-    the last: the first).  Null text: empty.  Rows with one doc_id follow each other by
-    their text's hash, descending; a null doc_id comes after all others; a single row is
-    its own next document; an empty table gives no rows.  Extra columns are ignored."""
-    spark = docs.sparkSession
+def _dealt(docs: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """The rows with their block and, as a guest (``_guest`` 1), the top row of each block in the
+    one above; and the number of blocks.  Blocks are ranges of (id, text hash): an id that fills
+    several blocks has as many equal quantiles, and its hashes are dealt evenly to them."""
     low = F.lit(-(1 << 63)).cast("long")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), low).alias("_ord"),
-                       F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("_ord")
-    n = ids.count()
+                       F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    n = rows.count()
     blocks = max(1, min(MAX_BLOCKS, -(-n // block_rows)))
-    cuts: list[int] = []
+    found: list[float] = []
     if blocks > 1:
-        probs = [i / blocks for i in range(1, blocks)]
-        cuts = sorted({int(x) for x in ids.approxQuantile("_ord", probs, 0.2 / blocks)})
+        found = rows.approxQuantile("_ord", [i / blocks for i in range(1, blocks)], 0.2 / blocks)
+    cuts = np.array(sorted(int(x) for x in found), np.int64)
+
+    def block(ord_: np.ndarray, h: np.ndarray) -> np.ndarray:
+        left = np.searchsorted(cuts, ord_, side="left")
+        parts = (np.searchsorted(cuts, ord_, side="right") - left).astype(np.uint64)
+        high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        return (left + ((high * parts) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return b.column("_ord").to_numpy(zero_copy_only=False), b.column("_h").to_numpy(zero_copy_only=False)
 
     def block_of(frames):
         for b in frames:
-            at = np.searchsorted(np.array(cuts, np.int64), b.column("_ord").to_numpy(zero_copy_only=False), side="left")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))],
-                                             names=[*b.schema.names, "_block"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block(*keys(b)))], names=[*b.schema.names, "_block"])
 
-    blocked = ids.mapInArrow(block_of, "_ord long, _block int")
-    tops = sorted((r["_block"], r["_top"]) for r in
-                  blocked.groupBy("_block").agg(F.max("_ord").alias("_top")).collect())
+    blocked = rows.select("_ord", "_h").mapInArrow(block_of, "_ord long, _h long, _block int")
+    tops = sorted((r["_block"], r["_top"]["_ord"], r["_top"]["_h"]) for r in
+                  blocked.groupBy("_block").agg(F.max(F.struct("_ord", "_h")).alias("_top")).collect())
     if not tops:
-        tops = [(0, 0)]
+        tops = [(0, 0, 0)]
     # the top document of each block is the next one for the lowest document of the block above
-    guest_in = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    guests = np.array(sorted(guest_in), np.int64)
-    into = np.array([guest_in[g] for g in guests.tolist()], np.int32)
+    at_top = {block: (ord_, h, tops[(i + 1) % len(tops)][0]) for i, (block, ord_, h) in enumerate(tops)}
+    top_ord, top_h, into = (np.zeros(tops[-1][0] + 1, t) for t in (np.int64, np.int64, np.int32))
+    for k, v in at_top.items():
+        top_ord[k], top_h[k], into[k] = v
 
     def deal(frames):
         for b in frames:
-            ord_ = b.column("_ord").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(np.array(cuts, np.int64), ord_, side="left").astype(np.int32)
-            spot = np.minimum(np.searchsorted(guests, ord_), len(guests) - 1)
-            extra = np.flatnonzero(guests[spot] == ord_)
+            ord_, h = keys(b)
+            at = block(ord_, h)
+            top = np.flatnonzero((top_ord[at] == ord_) & (top_h[at] == h))
+            texts = b.column("text").take(pa.array(top)).to_pylist()
+            extra = np.array(sorted({(at[r], t): r for r, t in zip(top, texts)}.values()), np.int64)  # equal rows once
             pick = np.concatenate([np.arange(len(ord_)), extra])
             flag = np.zeros(len(pick), np.int32)
             flag[len(ord_):] = 1
             out = b.take(pa.array(pick))
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, pa.array(np.concatenate([at, into[spot[extra]]])), pa.array(flag)],
+                [*out.columns, pa.array(np.concatenate([at, into[at[extra]]])), pa.array(flag)],
                 names=[*out.schema.names, "_block", "_guest"])
 
-    dealt = rows.mapInArrow(deal, extended(rows, _block="int", _guest="int"))
-    laid = (dealt.repartitionById(tops[-1][0] + 1, "_block")
-            .sortWithinPartitions("_block", "_guest", F.desc("_ord"), F.desc(F.xxhash64("text")), F.desc("text")))
+    return rows.mapInArrow(deal, extended(rows, _block="int", _guest="int")), int(tops[-1][0]) + 1
+
+
+def fingerprint_edits(docs: DataFrame, k: int = K, shingle: int = SHINGLE,
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and its likeness to the edited
+    text and to the next document.
+
+    The edited text has the last ``floor(n / 2)`` of the text's ``n`` code points replaced by
+    the first as many (or all) of the next document in descending ``doc_id`` order (after
+    the last: the first).  Null text: empty.  Rows with one doc_id follow each other by
+    their text's hash, descending (one id may fill many blocks; only rows equal in id and text
+    stay in one task); a null doc_id comes after all others; a single row is
+    its own next document; an empty table gives no rows.  Extra columns are ignored."""
+    dealt, blocks = _dealt(docs, block_rows)
+    laid = (dealt.repartitionById(blocks, "_block")
+            .sortWithinPartitions("_block", "_guest", F.desc("_ord"), F.desc("_h"), F.desc("text")))
 
     def run(batches):
         held: list[tuple] = []  # rows whose next document has not come yet

@@ -168,3 +168,27 @@ def test_capacities_hold(score):
         mine = length[seq == s]
         assert mine.sum() <= 1000 and len(mine) <= 7 and (mine.astype(float)**2).sum() <= 150_000
         assert sorted(offset[seq == s]) == np.concatenate([[0], np.cumsum(mine[np.argsort(offset[seq == s])])[:-1]]).tolist()
+
+
+def test_edits_of_rows_that_share_an_id(spark):
+    """A third of the rows without an id and a third under one: they fill blocks like others, each
+    block gets one guest, and the next document is right across blocks."""
+    import hashlib
+
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " * (i % 5 + 1)) for i in range(600)]
+    rows += [(7, "the same row")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, blocks = fp._dealt(docs, 30)
+    sizes = {(r["_block"], r["_guest"]): r["count"] for r in dealt.groupBy("_block", "_guest").count().collect()}
+    own = {b: n for (b, guest), n in sizes.items() if not guest}
+    assert len(own) > 12 and max(own.values()) <= 100 and sum(own.values()) == 609
+    assert all(sizes[b, 1] <= 9 for b in own) and sum(n for (_, guest), n in sizes.items() if guest) <= len(own) + 8
+    hashed = docs.selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)
+    want = []
+    for r, after in zip(order, order[1:] + order[:1]):
+        cut = len(r.text) // 2
+        edited = r.text[:len(r.text) - cut] + after.text[:cut]
+        want.append((r.doc_id, hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in fp.fingerprint_edits(docs, block_rows=30).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
