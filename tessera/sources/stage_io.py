@@ -26,6 +26,7 @@ STATEMENT_ROWS_SCHEMA = (FLAT_SCHEMA + ", Contribution string, PredicateLabel st
 TRAINING_SCHEMA = ("ord bigint, context string, question string, answer string, "
                    "answer_start int, answer_end int, question_word string, split string")
 MANIFEST_SCHEMA = "inputs string, rows bigint"
+OPEN_SETS = 64  # training sets that a writing task keeps open; with more of them it sorts its rows
 EMPTY_WORD = "_none"  # folder of the question variant without a question word
 EVAL_SCHEMA = ("abstract string, question string, answer string, predict_answer string, "
                "exact_match boolean, containment_match boolean")
@@ -135,9 +136,20 @@ def import_csv(spark: SparkSession, path: str, schema: str | StructType,
 
 def write_training(df: DataFrame, path: str) -> None:
     """A5: JSON lines, one folder per question word and split (partition pruning on read).
-    An empty folder value would come back as NULL, so the empty word has a code."""
+    An empty folder value would come back as NULL, so the empty word has a code.
+
+    A text stands in as many rows as it has labels and question words, so the files are
+    compressed (gzip, its fast level), and a task writes its sets side by side instead of
+    sorting its rows, whole texts, by folder."""
     coded = F.when(F.col("question_word") == "", EMPTY_WORD).otherwise(F.col("question_word"))
-    df.withColumn("question_word", coded).write.mode("overwrite").partitionBy("question_word", "split").json(path)
+    conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, str(OPEN_SETS))
+    try:
+        (df.withColumn("question_word", coded).write.mode("overwrite").option("compression", "gzip")
+         .option("zlib.compress.level", "BEST_SPEED").partitionBy("question_word", "split").json(path))
+    finally:
+        conf.set(key, before)
 
 
 def read_training(spark: SparkSession, path: str, question_word: str | None = None) -> DataFrame:

@@ -38,6 +38,21 @@ def test_training_json_partitioned(spark, scratch):
     assert [(r.ord, r.split) for r in back] == [(1, "training")]
 
 
+def test_training_sets_are_written_compressed_and_unsorted(spark, scratch):
+    text = "a long text that stands in every set \u00e9 \n " * 200
+    words, key = ["", "what", "which", "how"], "spark.sql.maxConcurrentOutputFileWriters"
+    rows = [(i, f"{i} {text}" if i % 9 else None, "q ?", "a", 0, 1, words[i % 4], ["training", "evaluation"][i % 8 // 4])
+            for i in range(200)]
+    df = spark.createDataFrame(rows, io.TRAINING_SCHEMA).coalesce(2)
+    before = spark.conf.get(key)
+    io.write_training(df, scratch + "/tr")
+    assert spark.conf.get(key) == before
+    files = [os.path.join(d, f) for d, _, names in os.walk(scratch + "/tr") for f in names if f.startswith("part-")]
+    assert len(files) == 16 and all(f.endswith(".json.gz") for f in files)  # 2 tasks, 4 words, 2 splits
+    assert sum(map(os.path.getsize, files)) * 10 < sum(len(r[1] or "") for r in rows)
+    assert sorted(map(tuple, io.read_training(spark, scratch + "/tr").collect())) == sorted(rows)
+
+
 def test_legacy_training_file(spark, scratch):
     doc = {"training_set": [["ctx", "what p ?", "ans", 3, 6]],
            "evaluation_set": [["ctx2", "what q ?", "b", None, None], ["c3", "q", "x", 0, 1]]}
