@@ -115,3 +115,27 @@ def test_positions_in_subword_tokens(spark):
     out = {r.ord: r for r in qa.indexed_token_positions(with_token_index(odd), F.col("s"), F.col("e")).collect()}
     assert out[1].truncated and out[2].truncated and out[4].truncated
     assert (out[3].start_position, out[3].end_position, out[3].truncated) == by_hand("日本語 naïve 🙂 x", 11, 12, 10**6)
+
+
+def test_token_index_asks_the_library_for_new_words_only():
+    import random
+
+    from tessera.sources.token_index import Offsets, vocabulary_path
+
+    rnd = random.Random(4)
+    pool = [*"abXYZ'\u2019s!?<|>019\u00e9\u0301\u00df\u0130\u03a3\u00a0\ufb01\u4e2d\U0001f642 \u2003\u0085\x1c\x0b\t\n  .,-",
+            "<|endoftext|>", "'re ", "don't", "running ", " \u0301"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    for keep in (300, 10**6):
+        offsets = Offsets(vocabulary_path(), keep)
+        assert offsets.by_word
+        for i in range(0, len(texts), 100):
+            for t, got in zip(texts[i:], offsets.of(texts[i:i + 100])):
+                assert got.tolist() == offsets.direct(t).tolist(), t
+        assert len(offsets.words) <= keep
+    asked = []
+    whole = offsets.direct
+    offsets.direct = lambda t: asked.append(t) or whole(t)
+    assert [x.tolist() for x in offsets.of(texts)] == [whole(t).tolist() for t in texts]
+    offsets.of(["unseen words", "words unseen"])
+    assert asked[0] == "" and sorted(asked[1].split()) == ["unseen", "words"] and len(asked) == 2
