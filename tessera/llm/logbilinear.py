@@ -108,6 +108,16 @@ class Tree:
         mass[cells[:-1]] = sums - learned
         return Tree(cells, words, cell, shape, np.concatenate([mass, c + 1.0]), sums - learned)
 
+    def places(self, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of shape classes, tokens of learned words, cells of the former, numbers of
+        the latter)."""
+        shaped, learned = np.flatnonzero((w >= OWN) & (w < END)), np.flatnonzero(x >= CLASSES)
+        xs = x[shaped]
+        cell = self.cells[w[shaped] - OWN]
+        own = np.flatnonzero(xs >= CLASSES)
+        cell[own] = self.cell[xs[own] - CLASSES]
+        return shaped, learned, cell, x[learned] - CLASSES
+
     def start(self, model: Model) -> np.ndarray:
         """Per cell, then per word: context vector, target vector and bias.  Every softmax
         starts at the shares, every word's context vector at its class's."""
@@ -204,42 +214,108 @@ class Model:
 
 class Trainer:
     """Noise-contrastive estimation with AdaGrad steps on batches of tokens; the noise words
-    of a batch are shared by its tokens, so their scores are one matrix product."""
+    of a batch are shared by its tokens, so their scores are one matrix product.  Works in
+    single precision; a bias is one more column of the target vectors."""
 
     def __init__(self, model: Model, share: np.ndarray, seed: int):
-        self.m = Model.of(model.flat().copy(), len(share))
-        self.noise = np.log(share * NOISE)
+        self.R = model.R.astype(np.float32)
+        self.Q = _with_bias(model.Q, model.b)
+        self.c = np.stack([model.c1, model.c2]).astype(np.float32)
+        self.noise = np.log(share * NOISE).astype(np.float32)
         self.edges = np.cumsum(share)
         self.rng = np.random.Generator(np.random.Philox(seed))
-        self.sq = [np.full(x.shape, 1.0) for x in (self.m.R, self.m.Q, self.m.c1, self.m.c2, self.m.b)]
+        self.R_sq, self.Q_sq, self.c_sq = (np.ones_like(x) for x in (self.R, self.Q, self.c))
         self.tokens = 0
 
-    def step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
-        m, n = self.m, len(self.edges)
-        r1, r2 = m.R[w1], m.R[w2]
-        h = r1 * m.c1 + r2 * m.c2
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
-        qw, qn = m.Q[w], m.Q[noise]
-        up = _sigmoid(self.noise[w] - (h * qw).sum(1) - m.b[w])  # 1 - P(data)
-        down = _sigmoid(h @ qn.T + m.b[noise] - self.noise[noise])  # P(data) of a noise word
-        dh = up[:, None] * qw - down @ qn
-        gq = _sums(w, up[:, None] * h, n)
-        np.add.at(gq, noise, -(down.T @ h))
-        gb = np.bincount(w, up, n) - np.bincount(noise, down.sum(0), n)
-        gr = _sums(w1, dh * m.c1, n) + _sums(w2, dh * m.c2, n)
-        for x, g, s in zip((m.R, m.Q, m.c1, m.c2, m.b), (gr, gq, (dh * r1).sum(0), (dh * r2).sum(0), gb), self.sq):
-            s += g * g
-            x += LEARNING_RATE * g / np.sqrt(s)
+    def model(self) -> Model:
+        return Model(*(x.astype(np.float64) for x in (self.R[:CLASSES], self.Q[:, :WIDTH], *self.c, self.Q[:, WIDTH])))
+
+    def step(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+        r1, r2, h = self._context(x1, x2)
+        dh = self._classes(w, h)
+        self._learn_contexts(x1, x2, r1, r2, dh)
         self.tokens += len(w)
 
+    def _context(self, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r1, r2 = self.R.take(x1, axis=0), self.R.take(x2, axis=0)
+        return r1, r2, _mixed(r1, r2, *self.c)
+
+    def _classes(self, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The gradient of the contexts; moves the classes' target vectors."""
+        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
+        qw, qn = self.Q.take(w, axis=0), self.Q.take(noise, axis=0)
+        up = _sigmoid(self.noise[w] - np.einsum("ij,ij->i", h, qw))[:, None]  # 1 - P(data)
+        down = h @ qn.T
+        down -= self.noise[noise]
+        down = _sigmoid(down)  # P(data) of a noise word
+        dh = up * qw
+        dh -= down @ qn
+        g = _sums(np.concatenate([w, noise]), np.concatenate([up * h, -(down.T @ h)]), len(self.Q))
+        _adagrad(self.Q, self.Q_sq, g)
+        return dh[:, :WIDTH]
+
+    def _learn_contexts(self, x1: np.ndarray, x2: np.ndarray, r1: np.ndarray, r2: np.ndarray, dh: np.ndarray) -> None:
+        g = np.concatenate([dh * self.c[0], dh * self.c[1]])
+        self._move_contexts(np.concatenate([x1, x2]), np.concatenate([r1, r2]), g)
+        _adagrad(self.c, self.c_sq, np.stack([np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2)]))
+
+    def _move_contexts(self, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
+        _adagrad(self.R, self.R_sq, _sums(at, g, len(self.R)))
+
+
+def _with_bias(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([q, b[:, None]], axis=1).astype(np.float32)
+
+
+def _mixed(r1: np.ndarray, r2: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """The weighted context of every token, and a column of ones for the biases."""
+    h = np.ones((len(r1), WIDTH + 1), np.float32)
+    h[:, :WIDTH] = r1 * c1
+    h[:, :WIDTH] += r2 * c2
+    return h
+
+
+def _adagrad(x: np.ndarray, sq: np.ndarray, g: np.ndarray) -> None:
+    sq += g * g
+    g = g * np.float32(LEARNING_RATE)
+    g /= np.sqrt(sq)
+    x += g
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """1 / (1 + exp(-x)); takes ``x`` for itself."""
+    if x.size and max(x.max(), -x.min()) > 30:
+        np.clip(x, np.float32(-30), np.float32(30), out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    flat = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(flat, rows.ravel(), n * WIDTH).reshape(n, WIDTH)
+    width = rows.shape[1]
+    flat = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
+def _sparse_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, where it is first, sum of its rows, how many) of every number in ``at``, ascending."""
+    bits = len(at).bit_length()
+    key = at << bits | np.arange(len(at))
+    key.sort()
+    order, key = key & ((1 << bits) - 1), key >> bits
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(key)))
+    where = order[first]
+    out = rows.take(where, axis=0)
+    again = np.flatnonzero(~new)
+    if len(again):
+        width = rows.shape[1]
+        slot = (np.cumsum(new) - 1)[again]
+        np.add.at(out.reshape(-1), (slot[:, None] * width + np.arange(width)).ravel(), rows.take(order[again], axis=0).ravel())
+    return key[first], where, out, times
 
 
 class WordTrainer(Trainer):
@@ -248,94 +324,123 @@ class WordTrainer(Trainer):
 
     def __init__(self, model: Model, share: np.ndarray, tree: Tree, nodes: np.ndarray, seed: int):
         super().__init__(model, share, seed)
-        self.tree, self.nodes = tree, nodes.copy()
-        self.node_sq = np.full(nodes.shape, 0.1, np.float32)
+        self.tree = tree
+        cells = tree.cells[-1]
+        self.R = np.concatenate([self.R, nodes[cells:, :WIDTH]])
+        self.R_sq = np.concatenate([self.R_sq, np.full((len(nodes) - cells, WIDTH), 0.1, np.float32)])
+        self.targets = np.ascontiguousarray(nodes[:, WIDTH:])
+        self.target_sq = np.full(self.targets.shape, 0.1, np.float32)
         self.met = np.zeros(len(nodes), np.int64)
 
+    def nodes(self, at: np.ndarray) -> np.ndarray:
+        """Context vector, target vector and bias of some cells (no context vector) and words."""
+        cells = self.tree.cells[-1]
+        out = np.zeros((len(at), 2 * WIDTH + 1), np.float32)
+        words = at >= cells
+        out[words, :WIDTH] = self.R[CLASSES + at[words] - cells]
+        out[:, WIDTH:] = self.targets[at]
+        return out
+
     def step(self, w: np.ndarray, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
-        m, n, t = self.m, len(self.edges), self.tree
-        cells = t.cells[-1]
-        r1, r2 = contexts(m, self.nodes, cells, x1), contexts(m, self.nodes, cells, x2)
-        h = r1 * m.c1 + r2 * m.c2
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), n - 1)
-        qw, qn = m.Q[w], m.Q[noise]
-        up = _sigmoid(self.noise[w] - (h * qw).sum(1) - m.b[w])
-        down = _sigmoid(h @ qn.T + m.b[noise] - self.noise[noise])
-        dh = up[:, None] * qw - down @ qn
-        gq = _sums(w, up[:, None] * h, n)
-        np.add.at(gq, noise, -(down.T @ h))
-        gb = np.bincount(w, up, n) - np.bincount(noise, down.sum(0), n)
-        shaped = np.flatnonzero((w >= OWN) & (w < END))
-        cell = np.where(x[shaped] >= CLASSES, t.cell[x[shaped] - CLASSES] if len(t.cell) else 0, t.cells[w[shaped] - OWN])
-        learned = np.flatnonzero(x >= CLASSES)
-        in_cell = t.cell[x[learned] - CLASSES]
-        steps = [self._inside(h, dh, shaped, cell, t.cells[w[shaped] - OWN], t.cells[w[shaped] - OWN + 1]),
-                 self._inside(h, dh, learned, cells + x[learned] - CLASSES, cells + t.words[in_cell], cells + t.words[in_cell + 1])]
-        d1, d2 = dh * m.c1, dh * m.c2
-        own1, own2 = x1 >= CLASSES, x2 >= CLASSES
-        gr = _sums(x1[~own1], d1[~own1], n) + _sums(x2[~own2], d2[~own2], n)
-        steps.append((np.concatenate([x1[own1], x2[own2]]) - CLASSES + cells, np.concatenate([d1[own1], d2[own2]])))
-        for g, (at, rows) in zip((slice(WIDTH, None), slice(WIDTH, None), slice(0, WIDTH)), steps):
-            if len(at):
-                order = np.argsort(at, kind="stable")
-                sorted_at = at[order]
-                first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-                rows = np.add.reduceat(rows[order], first, axis=0)
-                at = sorted_at[first]
-                self.met[at] += np.diff(np.append(first, len(sorted_at)))
-                self.node_sq[at, g] += rows * rows
-                self.nodes[at, g] += LEARNING_RATE * rows / np.sqrt(self.node_sq[at, g])
-        for p, g, s in zip((m.R, m.Q, m.c1, m.c2, m.b), (gr, gq, (dh * r1).sum(0), (dh * r2).sum(0), gb), self.sq):
-            s += g * g
-            p += LEARNING_RATE * g / np.sqrt(s)
+        r1, r2, h = self._context(x1, x2)
+        dh = self._classes(w, h)
+        self._inside(w, x, h, dh)
+        self._learn_contexts(x1, x2, r1, r2, dh)
         self.tokens += len(w)
 
-    def _inside(self, h: np.ndarray, dh: np.ndarray, rows: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray
-                ) -> tuple[np.ndarray, np.ndarray]:
-        """(node, gradient of its target vector and bias); ``dh`` grows in place.  Nodes that
-        are alone in their group have probability 1 and nothing to learn."""
-        some = high - low > 1
-        rows, target, low, size = rows[some], target[some], low[some], (high - low)[some]
+    def _move_contexts(self, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
+        at, where, g, times = _sparse_sums(at, g)
+        self._move(self.R, self.R_sq, at, now.take(where, axis=0), g)
+        words = np.searchsorted(at, CLASSES)
+        self.met[at[words:] - CLASSES + self.tree.cells[-1]] += times[words:]
+
+    @staticmethod
+    def _move(x: np.ndarray, sq: np.ndarray, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
+        """A step of the rows ``at`` of x, which are ``now``."""
+        s = sq.take(at, axis=0)
+        s += g * g
+        sq[at] = s
+        g *= np.float32(LEARNING_RATE)
+        g /= np.sqrt(s)
+        g += now
+        x[at] = g
+
+    def _inside(self, w: np.ndarray, x: np.ndarray, h: np.ndarray, dh: np.ndarray) -> None:
+        """Moves the target vectors of cells and words; ``dh`` grows in place.  Nodes that are
+        alone in their group have probability 1 and nothing to learn."""
+        t, cells = self.tree, self.tree.cells[-1]
+        shaped, learned, cell, number = t.places(w, x)
+        shape, inside = w[shaped] - OWN, t.cell[number]
+        steps = []
+        for rows, target, low, high in ((shaped, cell, t.cells[shape], t.cells[shape + 1]),
+                                        (learned, cells + number, cells + t.words[inside], cells + t.words[inside + 1])):
+            size = high - low
+            some = np.flatnonzero(size > 1)
+            rows, target, low, size = rows[some], target[some], low[some], size[some]
+            every = np.empty((len(rows), 1 + NOISE_IN), np.int64)
+            every[:, 0] = target
+            every[:, 1:] = low[:, None] + (self.rng.random((len(rows), NOISE_IN)) * size[:, None]).astype(np.int64)
+            steps.append((rows, every, size))
+        rows, every, size = (np.concatenate(s) for s in zip(*steps))
         if not len(rows):
-            return rows, np.empty((0, WIDTH + 1))
-        every = np.empty((len(rows), 1 + NOISE_IN), np.int64)
-        every[:, 0] = target
-        every[:, 1:] = low[:, None] + (self.rng.random((len(rows), NOISE_IN)) * size[:, None]).astype(np.int64)
-        hr = h[rows]
-        q = self.nodes[every, WIDTH:]
-        s = np.einsum("ij,ikj->ik", hr, q[:, :, :WIDTH]) + q[:, :, WIDTH] - np.log(NOISE_IN / size)[:, None]
-        g = -_sigmoid(s)
+            return
+        hr = h.take(rows, axis=0)
+        now = self.targets.take(every.ravel(), axis=0)
+        q = now.reshape(len(rows), 1 + NOISE_IN, WIDTH + 1)
+        s = np.einsum("ij,ikj->ik", hr, q)
+        s -= np.log(NOISE_IN / size).astype(np.float32)[:, None]
+        g = np.negative(_sigmoid(s))
         g[:, 0] += 1
-        dh[rows] += np.einsum("ik,ikj->ij", g, q[:, :, :WIDTH])
-        out = np.empty((len(rows), 1 + NOISE_IN, WIDTH + 1))
-        np.multiply(g[:, :, None], hr[:, None, :], out=out[:, :, :WIDTH])
-        out[:, :, WIDTH] = g
-        return every.ravel(), out.reshape(-1, WIDTH + 1)
-
-
-def contexts(model: Model, nodes: np.ndarray, cells: int, x: np.ndarray) -> np.ndarray:
-    """The context vectors of tokens: of their class or, from ``CLASSES`` on, of the word."""
-    out = model.R[np.minimum(x, CLASSES - 1)]
-    own = np.flatnonzero(x >= CLASSES)
-    out[own] = nodes[x[own] - CLASSES + cells, :WIDTH]
-    return out
-
-
-def sequences(words: Words, h: np.ndarray, hashes: np.ndarray, classes: np.ndarray, learned: np.ndarray
+        back = np.einsum("ik,ikj->ij", g, q)[:, :WIDTH]
+        first = len(steps[0][0])
+        dh[steps[0][0]] += back[:first]
+        dh[steps[1][0]] += back[first:]
+        at, where, sums, times = _sparse_sums(every.ravel(), (g[:, :, None] * hr[:, None, :]).reshape(-1, WIDTH + 1))
+        self._move(self.targets, self.target_sq, at, now.take(where, axis=0), sums)
+        self.met[at] += times
+
+
+class Lookup:
+    """Finds hashes among sorted ones: their leading bits say where to begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.append(hashes, np.uint64(0))  # the end is never a hit beyond the last
+        self.n = len(hashes)
+        bits = max(1, (4 * self.n).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of every hash."""
+        spot = self.begin[h >> self.shift].astype(np.int64)
+        at = np.flatnonzero((self.hashes[spot] < h) & (spot < self.n))
+        while len(at):
+            spot[at] += 1
+            at = at[(self.hashes[spot[at]] < h[at]) & (spot[at] < self.n)]
+        return spot, (self.hashes[spot] == h) & (spot < self.n)
+
+
+def sequences(words: Words, h: np.ndarray, lookup: Lookup, classes: np.ndarray, learned: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(class, word, word before, word before that, text) of every token, ends included.  A
     word is its class or, if it is learned, ``CLASSES`` and its number."""
+    return placed(words, *lookup.find(h), classes, learned)
+
+
+def placed(words: Words, spot: np.ndarray, hit: np.ndarray, classes: np.ndarray, learned: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``sequences`` of words whose places among the hashes are known."""
     n = len(words.first) - 1
     cls = shape_class(words)
     word = cls
-    if len(hashes):
-        spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        hit = hashes[spot] == h
-        cls = np.where(hit & (classes[spot] >= 0), classes[spot], cls)
-        word = np.where(hit & (learned[spot] >= 0), CLASSES + learned[spot], cls)
+    if len(classes):
+        spot = np.where(hit, spot, 0)
+        own, number = classes[spot], learned[spot]
+        cls = np.where(hit & (own >= 0), own, cls)
+        word = np.where(hit & (number >= 0), CLASSES + number, cls)
     ends = words.first[1:] + np.arange(n)  # where the ends go among all tokens
-    w, x = np.full(len(h) + n, END), np.full(len(h) + n, END)
-    word_at = np.arange(len(h)) + words.doc
+    w, x = np.full(len(cls) + n, END), np.full(len(cls) + n, END)
+    word_at = np.arange(len(cls)) + words.doc
     w[word_at], x[word_at] = cls, word
     doc = np.empty(len(w), np.int64)
     doc[word_at], doc[ends] = words.doc, np.arange(n)
@@ -369,6 +474,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Mo
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, share, hashes, classes, learned, tree, nodes = shared.value
+            lookup = Lookup(hashes)
             seed = 1000 * turn + TaskContext.get().partitionId()
             trainer = Trainer(model, share, seed) if tree is None else WordTrainer(model, share, tree, nodes, seed)
             held: list[np.ndarray] = []
@@ -376,7 +482,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Mo
             for b in batches:
                 for _, _, buf, offs in text_chunks(b.column("text"), 1 << 18):
                     words = Words(LOWER[buf], offs)
-                    w, x, x1, x2, _ = sequences(words, words.hashes(), hashes, classes, learned)
+                    w, x, x1, x2, _ = sequences(words, words.hashes(), lookup, classes, learned)
                     held.append(np.stack([w, x1, x2] if tree is None else [w, x, x1, x2]))
                     size += len(w)
                     if size >= BATCH:
@@ -388,7 +494,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Mo
             if size:
                 trainer.step(*np.concatenate(held, axis=1))
             if trainer.tokens:
-                flat = trainer.m.flat()
+                flat = trainer.model().flat()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(BLOCKS, dtype=np.int32)), pa.array(np.full(BLOCKS, trainer.tokens)),
                     pa.array([[]] * BLOCKS, pa.list_(pa.int32())), pa.array([[]] * BLOCKS, pa.list_(pa.int64())),
@@ -399,7 +505,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Mo
                     yield pa.RecordBatch.from_arrays([
                         pa.array([BLOCKS + group[0] // NODES], pa.int32()), pa.array([trainer.tokens]),
                         pa.array([group], pa.list_(pa.int32())), pa.array([trainer.met[group]], pa.list_(pa.int64())),
-                        pa.array([trainer.nodes[group].tobytes()], pa.binary())], names=names)
+                        pa.array([trainer.nodes(group).tobytes()], pa.binary())], names=names)
 
         def average(table: pa.Table) -> pa.Table:
             block = table.column("block")[0].as_py()
@@ -439,49 +545,80 @@ class Scorer:
     its cells and inside a cell over its words."""
 
     def __init__(self, model: Model, tree: Tree | None = None, nodes: np.ndarray | None = None):
-        self.m = Model(*(x.astype(np.float32) for x in (model.R, model.Q, model.c1, model.c2, model.b)))
-        self.tree, self.nodes = tree, np.empty((0, 2 * WIDTH + 1), np.float32) if nodes is None else nodes
+        cells = tree.cells[-1] if tree else 0
+        nodes = np.empty((0, 2 * WIDTH + 1), np.float32) if nodes is None else nodes
+        self.R = np.concatenate([model.R.astype(np.float32), nodes[cells:, :WIDTH]])
+        self.Q = _with_bias(model.Q, model.b)
+        self.c = np.stack([model.c1, model.c2]).astype(np.float32)
+        self.tree, self.targets = tree, np.ascontiguousarray(nodes[:, WIDTH:])
+        # contexts of two classes are few: their sums are computed once
+        self.pairs = np.stack([self._log_totals(_mixed(np.repeat(self.R[i:i + 1], CLASSES, axis=0), self.R[:CLASSES], *self.c))
+                               for i in range(CLASSES)])
 
     def log10(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
         """Of the class; with ``x`` also of the cell and the word in it (rare words: of the
         cell only)."""
-        m, t = self.m, self.tree
-        cells = t.cells[-1] if t else 0
-        h = contexts(m, self.nodes, cells, x1) * m.c1 + contexts(m, self.nodes, cells, x2) * m.c2
-        out = np.empty(len(w))
-        for a in range(0, len(w), 2048):  # batched products that stay in the cache
-            out[a:a + 2048] = _softmax(h[a:a + 2048], m.Q, m.b, w[a:a + 2048])
+        h = _mixed(self.R.take(x1, axis=0), self.R.take(x2, axis=0), *self.c)
+        out = np.einsum("ij,ij->i", h, self.Q.take(w, axis=0)).astype(np.float64)
+        classes = (x1 < CLASSES) & (x2 < CLASSES)
+        out[classes] -= self.pairs[x1[classes], x2[classes]]
+        words = np.flatnonzero(~classes)
+        out[words] -= self._log_totals(h.take(words, axis=0))
         if x is not None:
-            shaped = np.flatnonzero((w >= OWN) & (w < END))
-            shape, xs = w[shaped] - OWN, x[shaped]
-            cell = np.where(xs >= CLASSES, t.cell[xs - CLASSES] if len(t.cell) else 0, t.cells[shape])
-            self._inside(out, h, shaped, shape, cell, t.cells, 0)
-            learned = np.flatnonzero(x >= CLASSES)
-            number = x[learned] - CLASSES
-            self._inside(out, h, learned, t.cell[number], number, t.words, cells)
+            t = self.tree
+            shaped, learned, cell, number = t.places(w, x)
+            self._inside(out, h, shaped, w[shaped] - OWN, cell, t.cells, 0)
+            self._inside(out, h, learned, t.cell[number], number, t.words, t.cells[-1])
         return out / np.log(10)
 
+    def _log_totals(self, h: np.ndarray) -> np.ndarray:
+        """The logarithm of each context's sum of exp of scores over all classes."""
+        out = np.empty(len(h))
+        ones = np.ones(len(self.Q), np.float32)
+        block = np.empty((128, len(self.Q)), np.float32)  # stays in the cache
+        for a in range(0, len(h), 128):
+            part = h[a:a + 128]
+            s = np.matmul(part, self.Q.T, out=block[:len(part)])
+            top = s.max(axis=1)
+            s -= top[:, None]
+            out[a:a + 128] = np.log(np.exp(s, out=s) @ ones) + top
+        return out
+
     def _inside(self, out: np.ndarray, h: np.ndarray, rows: np.ndarray, group: np.ndarray, target: np.ndarray,
                 first: np.ndarray, offset: int) -> None:
-        order = np.argsort(group, kind="stable")
-        rows, group, target = rows[order], group[order], target[order]
-        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-        for a, z in zip(cut, [*cut[1:], len(rows)]):
-            low, high = first[group[a]], first[group[a] + 1]
-            if high - low > 1:
-                q = self.nodes[offset + low:offset + high, WIDTH:]
-                for i in range(a, z, 8192):
-                    j = min(i + 8192, z)
-                    out[rows[i:j]] += _softmax(h[rows[i:j]], q[:, :WIDTH], q[:, WIDTH], target[i:j] - low)
-
-
-def _softmax(h: np.ndarray, q: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The natural logarithm of each row's probability of ``at``."""
-    s = h @ q.T
-    s += b
+        """Sorted by group, the tokens of a block write their products side by side, for one
+        softmax over all of them; groups of more than ``CELL`` nodes have blocks of their own."""
+        size = first[group + 1] - first[group]
+        for small in (True, False):
+            some = np.flatnonzero((size > 1) & ((size <= CELL) == small))
+            own = some[np.argsort(group[some], kind="stable")]
+            low, at, n = first[group[own]], target[own] - first[group[own]], size[own]
+            new = np.ones(len(own), bool)
+            new[1:] = low[1:] != low[:-1]
+            new[::2048 if small else 256] = True
+            cut = np.flatnonzero(new)
+            cuts = list(zip(cut.tolist(), np.append(cut[1:], len(own)).tolist(), low[cut].tolist(), n[cut].tolist()))
+            own = rows[own]
+            hs = h.take(own, axis=0)
+            if not small:
+                for a, z, lo, k in cuts:
+                    out[own[a:z]] += _log_share(hs[a:z] @ self.targets[offset + lo:offset + lo + k].T, at[a:z])
+                continue
+            block = np.empty((2048, CELL), np.float32)
+            for a, z, lo, k in cuts:
+                b = a % 2048
+                if b == 0:
+                    block.fill(-1e30)
+                np.matmul(hs[a:z], self.targets[offset + lo:offset + lo + k].T, out=block[b:b + z - a, :k])
+                if z % 2048 == 0 or z == len(own):
+                    out[own[a - b:z]] += _log_share(block[:b + z - a], at[a - b:z])
+
+
+def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The natural logarithm of the softmax of each row at ``at``; takes ``s`` for itself."""
     s -= s.max(axis=1, keepdims=True)
     own = s[np.arange(len(s)), at].astype(np.float64)
-    return own - np.log(np.exp(s, out=s).sum(axis=1))
+    return own - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
 
 
 # ---- scores --------------------------------------------------------------------------------
@@ -503,6 +640,7 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, scorer = shared.value
+        lookup = Lookup(vocab.hashes)
         log_count = np.log10(vocab.counts + 1.0)
         log_sum = np.log10(vocab.tree.rare)
         row = TaskContext.get().partitionId() << 36
@@ -512,13 +650,10 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
                 n = len(offs) - 1
                 words = Words(LOWER[buf], offs)
                 h = words.hashes()
-                w, x, x1, x2, doc = sequences(words, h, vocab.hashes, vocab.classes, vocab.learned)
+                spot, hit = lookup.find(h)
+                spot = np.where(hit, spot, 0)
+                w, x, x1, x2, doc = placed(words, spot, hit, vocab.classes, vocab.learned)
                 model10 = np.bincount(doc, scorer.log10(w, x1, x2, x), n)
-                if len(vocab.hashes):
-                    spot = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-                    hit = vocab.hashes[spot] == h
-                else:
-                    spot, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
                 seen = np.where(hit, log_count[spot] if len(log_count) else 0.0, 0.0)
                 shared_cell = ~hit
                 if len(vocab.classes):

@@ -130,6 +130,48 @@ def test_lm_is_normalised():
         assert abs(p.sum() - 1) < 1e-4
 
 
+def test_lm_is_normalised_over_learned_words():
+    rng = np.random.default_rng(4)
+    shape = np.sort(np.concatenate([rng.integers(0, logbilinear.SHAPES, 300), np.full(200, 7)]))
+    c = rng.integers(100, 1000, 500)
+    tree = logbilinear.Tree.of(shape, c, np.bincount(shape, c + 1.0, logbilinear.SHAPES) + 5)
+    share = rng.random(logbilinear.CLASSES)
+    model = logbilinear.Model.start(share / share.sum())
+    nodes = rng.normal(0, 0.3, tree.start(model).shape).astype(np.float32)
+    scorer = logbilinear.Scorer(model, tree, nodes)
+    word = np.concatenate([np.arange(logbilinear.CLASSES), logbilinear.CLASSES + np.arange(500)])
+    cls = np.concatenate([np.arange(logbilinear.CLASSES), logbilinear.OWN + shape])
+    for a, b in ((0, 1), (logbilinear.OWN + 7, logbilinear.END), (logbilinear.CLASSES + 3, 5), (2, logbilinear.CLASSES + 499)):
+        p = 10 ** scorer.log10(cls, np.full_like(cls, a), np.full_like(cls, b), word)
+        assert abs(p.sum() - 1) < 1e-4
+
+
+def test_lm_scores_of_class_contexts_are_those_of_every_context():
+    rng = np.random.default_rng(6)
+    share = rng.random(logbilinear.CLASSES)
+    scorer = logbilinear.Scorer(logbilinear.Model.start(share / share.sum()))
+    x1, x2 = rng.integers(0, logbilinear.CLASSES, (2, 300))
+    h = logbilinear._mixed(scorer.R[x1], scorer.R[x2], *scorer.c)
+    assert np.allclose(scorer.pairs[x1, x2], np.log(np.exp((h @ scorer.Q.T).astype(np.float64)).sum(axis=1)), atol=1e-5)
+
+
+def test_lm_lookup_and_sums():
+    rng = np.random.default_rng(5)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500), [0, 1, 2, 3]]).astype(np.uint64) * np.uint64(2))
+    hashes = np.append(hashes, np.uint64((1 << 64) - 1))
+    asked = np.concatenate([hashes, hashes[:-1] + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64)])
+    for some in (hashes, hashes[:1], hashes[:0]):
+        spot, hit = logbilinear.Lookup(some).find(asked)
+        assert hit.tolist() == np.isin(asked, some).tolist() and (some[spot[hit]] == asked[hit]).all()
+    at = rng.integers(0, 50, 400) * 1000
+    rows = rng.random((400, 17), dtype=np.float32)
+    key, where, got, times = logbilinear._sparse_sums(at, rows)
+    want = np.zeros((50, 17))
+    np.add.at(want, at // 1000, rows)
+    assert (at[where] == key).all() and np.allclose(got, want[key // 1000], rtol=1e-5)
+    assert times.tolist() == np.bincount(at // 1000)[key // 1000].tolist()
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     held = [r for r in logbilinear.score(docs).collect() if r.held_out]
