@@ -1,6 +1,7 @@
 """Physical-plan properties the operators rely on at scale."""
 import contextlib
 import io
+import re
 
 from pyspark.sql import functions as F
 
@@ -84,3 +85,15 @@ def test_title_join_has_no_cartesian_product(spark):
     b = fx.bibliography(spark, SF001).select("bib_id", F.lower("title").alias("bkey"))
     plan = _plan(titles.title_candidates(q, b))
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_title_pairs_are_not_broadcast(spark):
+    """Their size is guessed from the compressed input: gigabytes would pass through the driver."""
+    q = fx.title_queries(spark, SF001).select(F.lower("PaperTitle").alias("qkey"))
+    bib = fx.bibliography(spark, SF001).withColumn("bkey", F.lower("title"))
+    keys = q.distinct()
+    recs = bib.groupBy("bkey", "source").agg(F.max(F.struct("rank", "bib_id", "doi")).alias("last"),
+                                             F.min(F.struct("rank", "bib_id")).alias("first"))
+    for df in (titles.title_candidates(q, bib), titles.deciding_hits(keys, recs, fuzzy=False), titles.deciding_hits(keys, recs)):
+        joins = re.findall(r"\) (\w+)\nLeft keys \[1\]: \[(qkey|bkey)#", _plan(df))
+        assert {"qkey", "bkey"} == {key for _, key in joins} and {"SortMergeJoin"} == {kind for kind, _ in joins}, joins
