@@ -51,7 +51,10 @@ ROUNDS = 2
 LEARNING_RATE = 0.04
 BLOCKS = 32
 NODES = 512  # words and cells in a block of parameters
+FEW = 12  # rows of a number that are summed one by one, all numbers together
 NOISE_IN = 4  # noise words (or cells) per token inside a cell (or class)
+TOGETHER = 1_000_000  # tokens whose contexts are scored together
+WIDE, NARROW = 1 << 14, 1 << 9  # second and first words of contexts whose scores are held at a time
 
 
 def shape_class(words: Words) -> np.ndarray:
@@ -230,9 +233,17 @@ class Trainer:
     def model(self) -> Model:
         return Model(*(x.astype(np.float64) for x in (self.R[:CLASSES], self.Q[:, :WIDTH], *self.c, self.Q[:, WIDTH])))
 
-    def step(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+    def learn(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+        """A step for every ``BATCH`` tokens."""
+        with np.errstate(over="ignore"):
+            for a in range(0, len(w), BATCH):
+                self._step(w[a:a + BATCH], x1[a:a + BATCH], x2[a:a + BATCH])
+
+    def _step(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray, inner: tuple | None = None) -> None:
         r1, r2, h = self._context(x1, x2)
         dh = self._classes(w, h)
+        if inner:
+            self._inside(h, dh, *inner)
         self._learn_contexts(x1, x2, r1, r2, dh)
         self.tokens += len(w)
 
@@ -244,10 +255,12 @@ class Trainer:
         """The gradient of the contexts; moves the classes' target vectors."""
         noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE)), len(self.edges) - 1)
         qw, qn = self.Q.take(w, axis=0), self.Q.take(noise, axis=0)
-        up = _sigmoid(self.noise[w] - np.einsum("ij,ij->i", h, qw))[:, None]  # 1 - P(data)
-        down = h @ qn.T
-        down -= self.noise[noise]
-        down = _sigmoid(down)  # P(data) of a noise word
+        up = np.einsum("ij,ij->i", h, qw)
+        up -= self.noise[w]
+        up = _sigmoid_of_negative(up)[:, None]  # 1 - P(data)
+        down = h @ np.negative(qn).T
+        down += self.noise[noise]
+        down = _sigmoid_of_negative(down)  # P(data) of a noise word
         dh = up * qw
         dh -= down @ qn
         g = _sums(np.concatenate([w, noise]), np.concatenate([up * h, -(down.T @ h)]), len(self.Q))
@@ -255,11 +268,12 @@ class Trainer:
         return dh[:, :WIDTH]
 
     def _learn_contexts(self, x1: np.ndarray, x2: np.ndarray, r1: np.ndarray, r2: np.ndarray, dh: np.ndarray) -> None:
-        g = np.concatenate([dh * self.c[0], dh * self.c[1]])
-        self._move_contexts(np.concatenate([x1, x2]), np.concatenate([r1, r2]), g)
-        _adagrad(self.c, self.c_sq, np.stack([np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2)]))
+        at, g, times = _merged(x1, x2, dh * self.c[0], dh * self.c[1])
+        self._move_contexts(at, g, times)
+        ones = np.ones(len(dh), np.float32)
+        _adagrad(self.c, self.c_sq, np.stack([ones @ (dh * r1), ones @ (dh * r2)]))
 
-    def _move_contexts(self, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
+    def _move_contexts(self, at: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
         _adagrad(self.R, self.R_sq, _sums(at, g, len(self.R)))
 
 
@@ -282,40 +296,80 @@ def _adagrad(x: np.ndarray, sq: np.ndarray, g: np.ndarray) -> None:
     x += g
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(-x)); takes ``x`` for itself."""
-    if x.size and max(x.max(), -x.min()) > 30:
-        np.clip(x, np.float32(-30), np.float32(30), out=x)
-    np.negative(x, out=x)
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)); takes ``x`` for itself.  Where exp overflows, it is 0."""
     np.exp(x, out=x)
     x += np.float32(1)
     return np.reciprocal(x, out=x)
 
 
+def _merged(x1: np.ndarray, x2: np.ndarray, g1: np.ndarray, g2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, gradient, how many) of contexts at both positions.  The word before the last of
+    a token mostly is the last word of the token before, so one row has the gradients of both."""
+    apart = np.flatnonzero(x2[1:] != x1[:-1]) + 1
+    apart = np.concatenate([[0], apart])
+    alone = g2.take(apart, axis=0)
+    g2[apart] = 0
+    g1[:-1] += g2[1:]
+    times = np.full(len(x1) + len(apart), 2)
+    times[apart - 1] = 1  # the last row has none after it
+    times[len(x1) - 1:] = 1
+    return np.concatenate([x1, x2[apart]]), np.concatenate([g1, alone]), times
+
+
 def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     width = rows.shape[1]
     flat = (at[:, None] * width + np.arange(width)).ravel()
     return np.bincount(flat, rows.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
-def _sparse_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number, where it is first, sum of its rows, how many) of every number in ``at``, ascending."""
+def _sorted(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers ascending, where each is in ``at``, whether it is the first of its kind)."""
     bits = len(at).bit_length()
-    key = at << bits | np.arange(len(at))
+    key = at.astype(np.int64) << bits | np.arange(len(at))
     key.sort()
     order, key = key & ((1 << bits) - 1), key >> bits
     new = np.ones(len(key), bool)
     np.not_equal(key[1:], key[:-1], out=new[1:])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(key)))
+    return key, order, new
+
+
+def _sparse_sums(at: np.ndarray, rows: np.ndarray, times: np.ndarray | None = None
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, where it is first, sum of its rows, how many) of every number in ``at``, ascending;
+    a row counts once or ``times``."""
+    key, order, new = _sorted(at)
+    first = new.nonzero()[0]
+    n = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=n[:-1])
+    n[-1:] = len(key) - first[-1:]
     where = order[first]
     out = rows.take(where, axis=0)
-    again = np.flatnonzero(~new)
-    if len(again):
-        width = rows.shape[1]
-        slot = (np.cumsum(new) - 1)[again]
-        np.add.at(out.reshape(-1), (slot[:, None] * width + np.arange(width)).ravel(), rows.take(order[again], axis=0).ravel())
-    return key[first], where, out, times
+    many = (n > 1).nonzero()[0]
+    if len(many):
+        # the second rows of all numbers are added together, then the third and so on
+        few = np.minimum(n[many], FEW + 1).astype(np.uint8)
+        many = many[np.argsort(few, kind="stable")[::-1]]
+        more = (len(many) - np.bincount(few, minlength=FEW + 1).cumsum()).tolist()  # numbers with more rows than that
+        sums, begin = out.take(many, axis=0), first[many]
+        i = 1
+        while i < FEW and more[i] > 16:
+            k = more[i]
+            sums[:k] += rows.take(order[begin[:k] + i], axis=0)
+            i += 1
+        if k := more[i]:
+            rest = n[many[:k]] - i
+            cut = rest.cumsum() - rest
+            places = np.repeat(begin[:k] + i - cut, rest) + np.arange(rest.sum())
+            sums[:k] += np.add.reduceat(rows.take(order[places], axis=0), cut, axis=0)
+        _put(out, many, sums)
+    return key[first], where, out, n if times is None else np.add.reduceat(times[order], first)
+
+
+def _put(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """x[at] = rows, a row at a time instead of a number."""
+    row = np.dtype((np.void, x.itemsize * x.shape[1]))
+    x.view(row).reshape(-1)[at] = rows.view(row).reshape(-1)
 
 
 class WordTrainer(Trainer):
@@ -341,61 +395,73 @@ class WordTrainer(Trainer):
         out[:, WIDTH:] = self.targets[at]
         return out
 
-    def step(self, w: np.ndarray, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
-        r1, r2, h = self._context(x1, x2)
-        dh = self._classes(w, h)
-        self._inside(w, x, h, dh)
-        self._learn_contexts(x1, x2, r1, r2, dh)
-        self.tokens += len(w)
-
-    def _move_contexts(self, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
-        at, where, g, times = _sparse_sums(at, g)
-        self._move(self.R, self.R_sq, at, now.take(where, axis=0), g)
+    def learn(self, w: np.ndarray, x: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> None:
+        cuts, *inner = self._inner(w, x)
+        with np.errstate(over="ignore"):
+            for i, a in enumerate(range(0, len(w), BATCH)):
+                low, middle, high = cuts[2 * i:2 * i + 3]
+                self._step(w[a:a + BATCH], x1[a:a + BATCH], x2[a:a + BATCH],
+                           (middle - low, *(column[low:high] for column in inner)))
+
+    def _inner(self, w: np.ndarray, x: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The softmaxes inside classes, then those inside cells, batch by batch: where each
+        batch's begin, then token, target node, first node, size of the group and its noise.  Nodes that are
+        alone in their group have probability 1 and nothing to learn."""
+        t, cells = self.tree, self.tree.cells[-1]
+        shaped, learned, cell, number = t.places(w, x)
+        shape, inside = w[shaped] - OWN, t.cell[number]
+        low = np.concatenate([t.cells[shape], cells + t.words[inside]])
+        size = np.concatenate([t.cells[shape + 1], cells + t.words[inside + 1]]) - low
+        token, target = np.concatenate([shaped, learned]), np.concatenate([cell, cells + number])
+        turn = 2 * (token // BATCH)
+        turn[len(shaped):] += 1
+        some = np.flatnonzero(size > 1)
+        some = some[np.argsort(turn[some], kind="stable")]
+        cuts = np.searchsorted(turn[some], np.arange(2 * (-(-len(w) // BATCH)) + 1))
+        size = size[some]
+        return cuts.tolist(), token[some] % BATCH, target[some], low[some], size, np.log(NOISE_IN / size).astype(np.float32)
+
+    def _move_contexts(self, at: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
+        at, _, g, n = _sparse_sums(at, g, times)
+        self._move(self.R, self.R_sq, at, self.R.take(at, axis=0), g)
         words = np.searchsorted(at, CLASSES)
-        self.met[at[words:] - CLASSES + self.tree.cells[-1]] += times[words:]
+        self.met[at[words:] - CLASSES + self.tree.cells[-1]] += n[words:]
 
     @staticmethod
     def _move(x: np.ndarray, sq: np.ndarray, at: np.ndarray, now: np.ndarray, g: np.ndarray) -> None:
         """A step of the rows ``at`` of x, which are ``now``."""
         s = sq.take(at, axis=0)
         s += g * g
-        sq[at] = s
+        _put(sq, at, s)
         g *= np.float32(LEARNING_RATE)
-        g /= np.sqrt(s)
+        np.sqrt(s, out=s)
+        g /= s
         g += now
-        x[at] = g
+        _put(x, at, g)
 
-    def _inside(self, w: np.ndarray, x: np.ndarray, h: np.ndarray, dh: np.ndarray) -> None:
-        """Moves the target vectors of cells and words; ``dh`` grows in place.  Nodes that are
-        alone in their group have probability 1 and nothing to learn."""
-        t, cells = self.tree, self.tree.cells[-1]
-        shaped, learned, cell, number = t.places(w, x)
-        shape, inside = w[shaped] - OWN, t.cell[number]
-        steps = []
-        for rows, target, low, high in ((shaped, cell, t.cells[shape], t.cells[shape + 1]),
-                                        (learned, cells + number, cells + t.words[inside], cells + t.words[inside + 1])):
-            size = high - low
-            some = np.flatnonzero(size > 1)
-            rows, target, low, size = rows[some], target[some], low[some], size[some]
-            every = np.empty((len(rows), 1 + NOISE_IN), np.int64)
-            every[:, 0] = target
-            every[:, 1:] = low[:, None] + (self.rng.random((len(rows), NOISE_IN)) * size[:, None]).astype(np.int64)
-            steps.append((rows, every, size))
-        rows, every, size = (np.concatenate(s) for s in zip(*steps))
+    def _inside(self, h: np.ndarray, dh: np.ndarray, classes: int, rows: np.ndarray, target: np.ndarray,
+                low: np.ndarray, size: np.ndarray, noise: np.ndarray) -> None:
+        """Moves the target vectors of cells and words; ``dh`` grows in place.  The first
+        ``classes`` rows are inside classes, the others inside cells."""
         if not len(rows):
             return
+        every = np.empty((len(rows), 1 + NOISE_IN), np.int64)
+        every[:, 0] = target
+        every[:, 1:] = self.rng.random((len(rows), NOISE_IN)) * size[:, None]
+        every[:, 1:] += low[:, None]
+        every = every.ravel()
         hr = h.take(rows, axis=0)
-        now = self.targets.take(every.ravel(), axis=0)
+        now = self.targets.take(every, axis=0)
         q = now.reshape(len(rows), 1 + NOISE_IN, WIDTH + 1)
-        s = np.einsum("ij,ikj->ik", hr, q)
-        s -= np.log(NOISE_IN / size).astype(np.float32)[:, None]
-        g = np.negative(_sigmoid(s))
+        g = np.einsum("ij,ikj->ik", hr, q)
+        g -= noise[:, None]
+        np.negative(g, out=g)
+        np.negative(_sigmoid_of_negative(g), out=g)
         g[:, 0] += 1
         back = np.einsum("ik,ikj->ij", g, q)[:, :WIDTH]
-        first = len(steps[0][0])
-        dh[steps[0][0]] += back[:first]
-        dh[steps[1][0]] += back[first:]
-        at, where, sums, times = _sparse_sums(every.ravel(), (g[:, :, None] * hr[:, None, :]).reshape(-1, WIDTH + 1))
+        dh[rows[:classes]] += back[:classes]
+        dh[rows[classes:]] += back[classes:]
+        at, where, sums, times = _sparse_sums(every, np.einsum("ik,ij->ikj", g, hr).reshape(-1, WIDTH + 1))
         self._move(self.targets, self.target_sq, at, now.take(where, axis=0), sums)
         self.met[at] += times
 
@@ -487,12 +553,11 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> tuple[Mo
                     size += len(w)
                     if size >= BATCH:
                         every = np.concatenate(held, axis=1)
-                        for at in range(0, size - BATCH + 1, BATCH):
-                            trainer.step(*every[:, at:at + BATCH])
                         rest = size % BATCH
+                        trainer.learn(*every[:, :size - rest])
                         held, size = [every[:, size - rest:]], rest
             if size:
-                trainer.step(*np.concatenate(held, axis=1))
+                trainer.learn(*np.concatenate(held, axis=1))
             if trainer.tokens:
                 flat = trainer.model().flat()
                 yield pa.RecordBatch.from_arrays([
@@ -555,15 +620,13 @@ class Scorer:
         self.pairs = np.stack([self._log_totals(_mixed(np.repeat(self.R[i:i + 1], CLASSES, axis=0), self.R[:CLASSES], *self.c))
                                for i in range(CLASSES)])
 
-    def log10(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    def log10(self, w: np.ndarray, x1: np.ndarray, x2: np.ndarray, x: np.ndarray | None = None,
+              totals: np.ndarray | None = None) -> np.ndarray:
         """Of the class; with ``x`` also of the cell and the word in it (rare words: of the
-        cell only)."""
+        cell only).  ``totals`` are those of ``context_totals``, if known."""
         h = _mixed(self.R.take(x1, axis=0), self.R.take(x2, axis=0), *self.c)
         out = np.einsum("ij,ij->i", h, self.Q.take(w, axis=0)).astype(np.float64)
-        classes = (x1 < CLASSES) & (x2 < CLASSES)
-        out[classes] -= self.pairs[x1[classes], x2[classes]]
-        words = np.flatnonzero(~classes)
-        out[words] -= self._log_totals(h.take(words, axis=0))
+        out -= self.context_totals(x1, x2) if totals is None else totals
         if x is not None:
             t = self.tree
             shaped, learned, cell, number = t.places(w, x)
@@ -571,6 +634,66 @@ class Scorer:
             self._inside(out, h, learned, t.cell[number], number, t.words, t.cells[-1])
         return out / np.log(10)
 
+    def context_totals(self, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+        """The logarithm of each context's sum of exp of scores over all classes.  A score is a
+        sum of what the two words add, so the sum is the product of one row of exp per word and
+        position: each is computed once for all contexts at hand (``WIDE`` second words, the
+        frequent ones first, against ``NARROW`` first words at a time)."""
+        classes = (x1 < CLASSES) & (x2 < CLASSES)
+        out = np.empty(len(x1))
+        out[classes] = self.pairs[x1[classes], x2[classes]]
+        words = np.flatnonzero(~classes)
+        if not len(words):
+            return out
+        key, order, new = _sorted(x2[words])
+        first = np.flatnonzero(new)
+        by_times = np.argsort(-np.diff(np.append(first, len(key))), kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[by_times] = np.arange(len(first))
+        seconds = key[first[by_times]]
+        second = np.empty(len(words), np.int64)
+        second[order] = rank[np.cumsum(new) - 1]
+        table1, table2 = (np.empty((min(n, len(words)), len(self.Q)), np.float32) for n in (NARROW, WIDE))
+        block1, block2 = np.empty((2, 128, len(self.Q)), np.float32)
+        for a in range(0, len(seconds), WIDE):
+            here = np.flatnonzero((second >= a) & (second < a + WIDE))
+            e2, top2 = self._factors(seconds[a:a + WIDE], 1, table2)
+            key, order, new = _sorted(x1[words[here]])
+            firsts, first = key[new], np.empty(len(here), np.int64)
+            first[order] = np.cumsum(new) - 1
+            # block of first words by block, and second words together in each
+            order = _sorted(first // NARROW * WIDE + second[here] - a)[1]
+            here, first = here[order], first[order]
+            cuts = np.searchsorted(first // NARROW, np.arange(-(-len(firsts) // NARROW) + 1)).tolist()
+            for b, low, high in zip(range(0, len(firsts), NARROW), cuts, cuts[1:]):
+                e1, top1 = self._factors(firsts[b:b + NARROW], 0, table1)
+                tokens, i1, i2 = words[here[low:high]], first[low:high] - b, second[here[low:high]] - a
+                sums = np.empty(high - low, np.float32)
+                for c in range(0, high - low, 128):
+                    n = min(128, high - low - c)
+                    np.einsum("ij,ij->i", e1.take(i1[c:c + n], axis=0, out=block1[:n], mode="clip"),
+                              e2.take(i2[c:c + n], axis=0, out=block2[:n], mode="clip"), out=sums[c:c + n])
+                tiny = np.flatnonzero(sums < 1e-25)  # the words' best classes lie far apart
+                sums[tiny] = 1
+                out[tokens] = np.log(sums.astype(np.float64)) + top1[i1] + top2[i2]
+                if len(tiny):
+                    t = tokens[tiny]
+                    out[t] = self._log_totals(_mixed(self.R.take(x1[t], axis=0), self.R.take(x2[t], axis=0), *self.c))
+        return out
+
+    def _factors(self, x: np.ndarray, position: int, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the exp of what it adds to the score of each class (with the bias at the
+        second position), over their greatest, and the logarithm of that; written to ``out``."""
+        r = np.full((len(x), WIDTH + 1), float(position), np.float32)
+        np.multiply(self.R.take(x, axis=0), self.c[position], out=r[:, :WIDTH])
+        out, top = out[:len(x)], np.empty(len(x), np.float32)
+        for a in range(0, len(x), 256):
+            s = np.matmul(r[a:a + 256], self.Q.T, out=out[a:a + 256])
+            s.max(axis=1, out=top[a:a + 256])
+            s -= top[a:a + 256, None]
+            np.exp(s, out=s)
+        return out, top
+
     def _log_totals(self, h: np.ndarray) -> np.ndarray:
         """The logarithm of each context's sum of exp of scores over all classes."""
         out = np.empty(len(h))
@@ -616,8 +739,11 @@ class Scorer:
 
 def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The natural logarithm of the softmax of each row at ``at``; takes ``s`` for itself."""
-    s -= s.max(axis=1, keepdims=True)
     own = s[np.arange(len(s)), at].astype(np.float64)
+    if s.max() > 60 or own.min() < -60:  # exp would leave the range of numbers
+        top = s.max(axis=1, keepdims=True)
+        own -= top[:, 0]
+        s -= top
     return own - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
 
 
@@ -644,32 +770,41 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
         log_count = np.log10(vocab.counts + 1.0)
         log_sum = np.log10(vocab.tree.rare)
         row = TaskContext.get().partitionId() << 36
-        for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for _, _, buf, offs in text_chunks(b.column("text")):
-                n = len(offs) - 1
+
+        def prepared(column: pa.Array) -> Iterator[Chunk]:
+            for _, _, buf, offs in text_chunks(column):
                 words = Words(LOWER[buf], offs)
                 h = words.hashes()
                 spot, hit = lookup.find(h)
                 spot = np.where(hit, spot, 0)
-                w, x, x1, x2, doc = placed(words, spot, hit, vocab.classes, vocab.learned)
-                model10 = np.bincount(doc, scorer.log10(w, x1, x2, x), n)
-                seen = np.where(hit, log_count[spot] if len(log_count) else 0.0, 0.0)
-                shared_cell = ~hit
-                if len(vocab.classes):
-                    shared_cell |= (vocab.classes[spot] < 0) & (vocab.learned[spot] < 0)
-                shape = shape_class(words) - OWN
-                model10 += np.bincount(words.doc, np.where(shared_cell, seen - log_sum[shape], 0.0), n)
-                base10 = np.bincount(words.doc, seen, n) + np.log10(vocab.ends + 1.0)
-                known = np.bincount(words.doc, hit, n).astype(np.int64) + (vocab.ends > 0)
-                rare, first, times = _rare(words.doc[~hit], h[~hit])
-                cut = np.searchsorted(rare, np.arange(n + 1))
-                cols[0] += (words.counts() + 1).tolist()
-                cols[1] += known.tolist()
-                cols[2] += base10.tolist()
-                cols[3] += model10.tolist()
-                cols[4] += [first[a:z] for a, z in zip(cut, cut[1:])]
-                cols[5] += [times[a:z] for a, z in zip(cut, cut[1:])]
+                *x, doc = placed(words, spot, hit, vocab.classes, vocab.learned)
+                yield Chunk(words.counts(), spot.astype(np.int32), hit, h[~hit], (shape_class(words) - OWN).astype(np.int8),
+                            np.stack(x).astype(np.int32), doc.astype(np.int32))
+
+        for b in batches:
+            cols: list[list] = [[] for _ in range(6)]
+            for chunks in _together(prepared(b.column("text"))):
+                totals = scorer.context_totals(*(np.concatenate([c.x[i] for c in chunks]) for i in (2, 3)))
+                for c, total in zip(chunks, np.split(totals, np.cumsum([len(c.doc) for c in chunks])[:-1])):
+                    n = len(c.counts)
+                    words_doc = np.repeat(np.arange(n), c.counts)
+                    w, x, x1, x2 = c.x.astype(np.int64)
+                    model10 = np.bincount(c.doc, scorer.log10(w, x1, x2, x, total), n)
+                    seen = np.where(c.hit, log_count[c.spot] if len(log_count) else 0.0, 0.0)
+                    shared_cell = ~c.hit
+                    if len(vocab.classes):
+                        shared_cell |= (vocab.classes[c.spot] < 0) & (vocab.learned[c.spot] < 0)
+                    model10 += np.bincount(words_doc, np.where(shared_cell, seen - log_sum[c.shape], 0.0), n)
+                    base10 = np.bincount(words_doc, seen, n) + np.log10(vocab.ends + 1.0)
+                    known = np.bincount(words_doc, c.hit, n).astype(np.int64) + (vocab.ends > 0)
+                    rare, first, times = _rare(words_doc[~c.hit], c.missed)
+                    cut = np.searchsorted(rare, np.arange(n + 1))
+                    cols[0] += (c.counts + 1).tolist()
+                    cols[1] += known.tolist()
+                    cols[2] += base10.tolist()
+                    cols[3] += model10.tolist()
+                    cols[4] += [first[a:z] for a, z in zip(cut, cut[1:])]
+                    cols[5] += [times[a:z] for a, z in zip(cut, cut[1:])]
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([
                 pa.array(row + np.arange(n)), b.column("doc_id"), b.column("held_out"), pa.array(cols[0], pa.int64()),
@@ -694,6 +829,33 @@ def score(docs: DataFrame, folds: int = FOLDS, rest: int = 2, rounds: int = ROUN
                     (F.col("model10") + more10).alias("score")))
 
 
+@dataclass
+class Chunk:
+    """What scoring keeps of some texts: words per text, then per word its place among the
+    frequent words, whether it is there and its shape class (hashes of those that are not), then
+    per token, ends included, class, word and the two words before (a row each), and text."""
+
+    counts: np.ndarray
+    spot: np.ndarray
+    hit: np.ndarray
+    missed: np.ndarray
+    shape: np.ndarray
+    x: np.ndarray
+    doc: np.ndarray
+
+
+def _together(chunks: Iterator[Chunk], tokens: int = TOGETHER) -> Iterator[list[Chunk]]:
+    """Runs of chunks of about ``tokens`` tokens together, whose contexts share words."""
+    held: list[Chunk] = []
+    for c in chunks:
+        held.append(c)
+        if sum(len(c.doc) for c in held) >= tokens:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def _rare(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, times) of each distinct word per text, by text."""
     order = np.lexsort((h, doc))

@@ -172,6 +172,57 @@ def test_lm_lookup_and_sums():
     assert times.tolist() == np.bincount(at // 1000)[key // 1000].tolist()
 
 
+def test_lm_sums_of_many_rows_and_of_both_context_positions():
+    rng = np.random.default_rng(7)
+    at = np.concatenate([np.full(300, 5), rng.integers(0, 400, 900), np.repeat(np.arange(500, 540), 15)])
+    at, rows = rng.permutation(at), rng.random((len(at), 17), dtype=np.float32)
+    times = rng.integers(1, 3, len(at))
+    key, where, got, n = logbilinear._sparse_sums(at, rows.copy(), times)
+    want = np.zeros((540, 17))
+    np.add.at(want, at, rows)
+    assert np.allclose(got, want[key], rtol=1e-4) and (at[where] == key).all()
+    assert n.tolist() == np.bincount(at, times)[key].tolist()
+    for x in ([3, 4, 4, 9, 3, 7], [3]):
+        x1 = np.array(x)
+        x2 = np.concatenate([[8], x1[:-1]])
+        x2[len(x) // 2] = 8  # a text begins
+        g1, g2 = rng.random((2, len(x), 16), dtype=np.float32)
+        want = np.zeros((10, 16))
+        np.add.at(want, np.concatenate([x1, x2]), np.concatenate([g1, g2]))
+        number, g, times = logbilinear._merged(x1, x2, g1.copy(), g2.copy())
+        got = np.zeros((10, 16))
+        np.add.at(got, number, g)
+        assert np.allclose(got, want) and len(number) < 2 * len(x) + (len(x) == 1)
+        assert np.bincount(number, times, 10).tolist() == np.bincount(np.concatenate([x1, x2]), minlength=10).tolist()
+
+
+def test_lm_context_totals_compute_each_word_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    c = rng.integers(100, 1000, 300)
+    shape = np.sort(rng.integers(0, logbilinear.SHAPES, 300))
+    tree = logbilinear.Tree.of(shape, c, np.bincount(shape, c + 1.0, logbilinear.SHAPES) + 5)
+    share = rng.random(logbilinear.CLASSES)
+    model = logbilinear.Model.start(share / share.sum())
+    nodes = rng.normal(0, 0.3, tree.start(model).shape).astype(np.float32)
+    nodes[-40:, :logbilinear.WIDTH] *= 400  # contexts that go to extremes
+    scorer = logbilinear.Scorer(model, tree, nodes)
+    x1, x2 = rng.integers(0, logbilinear.CLASSES + 300, (2, 20_000))
+    h = logbilinear._mixed(scorer.R[x1], scorer.R[x2], *scorer.c).astype(np.float64)
+    s = h @ scorer.Q.T.astype(np.float64)
+    want = np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1)
+    assert abs(s).max() > 100
+    made = []
+    rows = scorer._factors
+    monkeypatch.setattr(scorer, "_factors", lambda x, *a: (made.append(len(x)), rows(x, *a))[1])
+    assert np.allclose(scorer.context_totals(x1, x2), want, rtol=1e-5, atol=1e-4)
+    assert sum(made) <= 2 * (logbilinear.CLASSES + 300)  # 18,500 contexts hold a learned word
+    monkeypatch.setattr(logbilinear, "WIDE", 50)
+    monkeypatch.setattr(logbilinear, "NARROW", 7)
+    assert np.allclose(scorer.context_totals(x1, x2), want, rtol=1e-5, atol=1e-4)
+    none = np.empty(0, np.int64)
+    assert len(scorer.context_totals(none, none)) == 0 and len(scorer.context_totals(none[:0] + 1, none)) == 0
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     held = [r for r in logbilinear.score(docs).collect() if r.held_out]
