@@ -2,23 +2,20 @@
 sets, by tries.
 
 1. Equal sets are folded into one (a group of copies costs one row per task).
-2. Candidate clusters.  Sets x, y with Jaccard similarity of at least p% differ in at most
-   ``(100 - p) / (100 + p) * (|x| + |y|)`` shingles.  Shingles are dealt by hash to more parts
-   than that, so at least one part is the same in both; its contents' hash, with the number
-   of the part and of the size class that fixes the number of parts, is a signature that both
-   have.  (A part that is empty in both is no use; the parts are ``slack`` more than needed,
-   and a set with at least ``slack`` empty parts signs the empty ones too.)  Sets that share
-   a signature are linked to the smallest such set, first within a task's batch, then on the
-   cluster; the connected components hold every similar pair.
+2. Candidate clusters.  All shingles are counted (by hash, into levels of bounded size), which
+   gives them one order, rarest first.  Sets x, y with Jaccard similarity of at least p% share
+   ``ceil(p / 100 * max(|x|, |y|))`` shingles or more, so the rarest one that they share is among
+   the first ``|x| - ceil(p / 100 * |x|) + 1`` of x, and likewise of y.  These are the signatures
+   of a set, without those that no other text has.  Sets that share a signature are linked to
+   the smallest such set, first within a task's batch, then on the cluster; the connected
+   components hold every similar pair.  Passages that many sets share don't link them, unless
+   a set hardly holds anything rarer.
 3. Each cluster's sets, in one order of their shingles (rarest first), go into a prefix tree:
    sets with a common beginning share a path, so their overlap with a query is counted once;
    a subtree is left when the shingles that remain on either side can't reach the overlap its
    smallest set needs, when no size in it fits, or when none of its sets shares one of the
    first shingles that a similar set must share.  Pairs within one group are not visited.
-   A cluster of more than ``block`` sets (held together by passages that many sets share)
-   is taken apart first: its sets sign again, leaving out parts that hold nothing but
-   shingles common in it (see ``signatures``; still no similar pair is lost).
-4. A cluster of still more than ``block`` sets is cut into blocks by hash.  Each block is joined on
+4. A cluster of more than ``block`` sets is cut into blocks by hash.  Each block is joined on
    its own; then the blocks' groups are compared by one set each; then, unless one group is
    left, every set outside the largest group meets every block, in tasks of bounded size."""
 
@@ -28,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +36,7 @@ SHINGLE = 4
 PERCENT = 85
 BLOCK = 4000  # sets of a block, on average
 SIGNATURES = 1 << 19  # signatures that a task folds at once
-CLASS_RATIO = 0.6  # sizes of a class: from this times its top up to its top
-LEVELS = (3, 9, 27, 81, 243, 729)  # numbers of sets from which a shingle counts as common
-_EMPTY = np.uint64(0x51ED270B0A1F39C1)
+LEVELS = (2, 4, 16, 128)  # numbers of texts that part the levels of how common a shingle is
 
 
 # ---- sets and signatures -------------------------------------------------------------------
@@ -57,74 +53,50 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int(pair[0]), int(pair[1])
 
 
-def most_different(size: int, percent: int) -> int:
-    """The largest symmetric difference of a similar pair whose larger set has ``size``."""
-    return (100 - percent) * 2 * size // (100 + percent)
-
-
-def _class_top(c: int) -> int:
-    return int(CLASS_RATIO ** -c)
-
-
-def _classes(size: int, percent: int) -> range:
-    """The classes (of the larger set's size) in which a set of this size signs."""
-    c = 0
-    while _class_top(c) < size:
-        c += 1
-    last = c
-    while _class_top(last) < size * 100 // percent:
-        last += 1
-    return range(c, last + 1)
+def first_shingles(size: int, percent: int) -> int:
+    """How many shingles of a set, in any one order of all shingles, hold the first one that it
+    shares with a similar set."""
+    return size - (-(-percent * size // 100)) + 1
 
 
 def signatures(s: np.ndarray, percent: int = PERCENT, levels: np.ndarray | None = None) -> np.ndarray:
-    """The set's signatures in all its size classes.
-
-    Every similar pair has at least ``slack`` equal parts.  Without ``levels`` the empty parts
-    don't sign, unless there are ``slack`` of them.  With ``levels`` (see ``Levels``) neither
-    do parts whose shingles are all common; what counts as common starts at the lowest level
-    that leaves fewer than ``slack`` parts unsigned.  Of two similar sets, the one with the
-    lower level has an equal part with a shingle below that level, which the other signs too:
-    no pair is lost."""
-    out = []
-    for c in _classes(len(s), percent):
-        most = most_different(_class_top(c), percent)
-        slack = 4 + (most // 50 if levels is None else most // 5)
-        parts = most + slack
-        spread = mix(s + np.uint64(0x632BE59BD9B4E019))
-        at = ((spread >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)  # sums wrap
-        np.add.at(total, at, mix(s))
-        least = np.full(parts, len(LEVELS) + 1)  # the level of a part's rarest shingle; empty: above all
-        np.minimum.at(least, at, 0 if levels is None else levels)
-        total[least > len(LEVELS)] = _EMPTY
-        number = np.arange(parts, dtype=np.uint64) + np.uint64((c + 1) << 40)
-        sign = mix(total ^ mix(number))
-        for level in range(len(LEVELS) + 1):
-            if (least > level).sum() < slack:
-                sign = sign[least <= level]
-                break
-        out.append(sign)
-    return np.concatenate(out)
+    """The set's first shingles by (level, hash).  ``levels`` (see ``Levels``) is a number per
+    shingle, and a shingle of level 0 is in no other set, so it doesn't sign; without ``levels``
+    the hashes alone are the order.  Two similar sets have a signature in common."""
+    n = first_shingles(len(s), percent)
+    if levels is None:
+        return s[:n]
+    at = np.argsort(levels, kind="stable")[:n]  # the set is sorted by hash
+    return s[at[levels[at] > 0]]
 
 
 class Levels:
-    """How common shingles are: for each bound of ``LEVELS`` a bitmap of fixed size, by hash,
-    of the shingles in at least so many sets (a bit may stand for several shingles, so a
-    shingle may seem more common than it is, the same for every set)."""
+    """How common shingles are: for each bound of ``LEVELS`` a bitmap, by hash, of the shingles
+    in at least so many texts (a bit may stand for several shingles, so a shingle may seem more
+    common than it is, the same for every set).  The bitmaps grow with the corpus, up to a fixed size."""
 
-    SHARDS, BITS = 256, 1 << 16
+    SHARDS, LEAST, MOST = 256, 1 << 13, 1 << 19  # shards, and bits of a shard's bitmap
 
     @classmethod
-    def spot(cls, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (s >> np.uint64(56)).astype(np.int64), ((s >> np.uint64(32)) % np.uint64(cls.BITS)).astype(np.int64)
+    def bits_for(cls, shingles: int) -> int:
+        bits = cls.LEAST
+        while bits * cls.SHARDS < shingles and bits < cls.MOST:
+            bits *= 2
+        return bits
 
     def __init__(self, bitmaps: np.ndarray):
-        self.bitmaps = bitmaps  # uint8 [levels, SHARDS, BITS / 8]
+        self.bitmaps = bitmaps.reshape(len(LEVELS), -1)  # uint8 [levels, SHARDS * bits / 8]
+        self.bits = self.bitmaps.shape[1] * 8 // self.SHARDS
 
     def of(self, s: np.ndarray) -> np.ndarray:
-        shard, bit = self.spot(s)
-        return ((self.bitmaps[:, shard, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).sum(axis=0)
+        spot = (s >> np.uint64(56)) * np.uint64(self.bits) + (s >> np.uint64(32)) % np.uint64(self.bits)
+        byte, bit = (spot >> np.uint64(3)).astype(np.int64), (spot & np.uint64(7)).astype(np.uint8)
+        out = np.zeros(len(s), np.int8)
+        left = np.arange(len(s))
+        for i in range(len(LEVELS)):  # the shingles of a level are among those of the one before
+            left = left[(self.bitmaps[i][byte[left]] >> bit[left]) & 1 > 0]
+            out[left] = i + 1
+        return out
 
 
 # ---- the prefix tree -----------------------------------------------------------------------
@@ -266,7 +238,7 @@ def link_all(sets: list[np.ndarray], labels: list, percent: int, asks: list[bool
     index: dict[int, list[int]] = {}
 
     def first(s: np.ndarray) -> list[int]:
-        return s[:len(s) - (-(-percent * len(s) // 100)) + 1].tolist()
+        return s[:first_shingles(len(s), percent)].tolist()
 
     def enter(i: int) -> None:
         tree.add(sets[i], i)
@@ -319,9 +291,11 @@ def shingle_identities(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sa long, sb long")
 
 
-def common_shingles(texts: DataFrame, k: int = SHINGLE) -> Levels:
-    """The levels of the shingles of ``texts`` (one row per distinct set).  Shingles travel
-    packed, as 32 bits within one of 256 shards."""
+def common_shingles(texts: DataFrame, k: int = SHINGLE, shingles: int = 0) -> Levels:
+    """The levels of the shingles of ``texts``, which have about ``shingles`` together.  Shingles
+    travel packed, as 32 bits within one of 256 shards."""
+    bits = Levels.bits_for(shingles)
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, buf, offs in text_chunks(b.column("text")):
@@ -333,21 +307,20 @@ def common_shingles(texts: DataFrame, k: int = SHINGLE) -> Levels:
                     pa.array([low[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["shard", "low"])
 
     def count(table: pa.Table) -> pa.Table:
-        low, n = np.unique(np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4"), return_counts=True)
-        bit = (low.astype(np.int64) >> 8) % Levels.BITS
+        low = np.sort(np.frombuffer(b"".join(table.column("low").to_pylist()), "<u4"))
         rows = []
-        for bound in LEVELS:
-            flags = np.zeros(Levels.BITS, bool)
-            flags[bit[n >= bound]] = True
+        for bound in LEVELS:  # a number stands at two places ``bound - 1`` apart
+            flags = np.zeros(bits, bool)
+            flags[(low[bound - 1:][low[bound - 1:] == low[:max(0, len(low) - bound + 1)]] >> 8) % bits] = True
             rows.append(np.packbits(flags, bitorder="little").tobytes())
         shard = table.column("shard")[0].as_py()
         return pa.table({"shard": pa.array([shard] * len(LEVELS), pa.int32()),
                          "level": pa.array(range(len(LEVELS)), pa.int32()), "bits": pa.array(rows, pa.binary())})
 
-    table = np.zeros((len(LEVELS), Levels.SHARDS, Levels.BITS // 8), np.uint8)
+    table = np.zeros((len(LEVELS), Levels.SHARDS, bits // 8), np.uint8)
     found = (texts.select("text").mapInArrow(packed, "shard int, low binary").groupBy("shard")
              .applyInArrow(count, "shard int, level int, bits binary"))
-    for r in found.collect():  # a fixed size in all: LEVELS x SHARDS x BITS bits
+    for r in found.toLocalIterator():  # bounded in all: LEVELS x SHARDS x MOST bits
         table[r["level"], r["shard"]] = np.frombuffer(r["bits"], np.uint8)
     return Levels(table)
 
@@ -357,68 +330,64 @@ def candidate_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, l
     being the smallest of its batch or of all."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     # shards of signatures: one shuffle, packed (16 bytes a signature), and a sort in numpy; a
-    # signature comes once per batch
+    # signature comes once per batch, whose other sets are linked there
     shards = max(64, 8 * shuffle_partitions(docs.sparkSession))
 
-    def folded(signs: list, owners: list, want_links: bool) -> pa.RecordBatch:
-        """Of signatures that several sets have, one row each, or the links to the smallest."""
-        sign, owner = np.concatenate(signs), np.concatenate(owners)
+    def stars(sign: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(signatures, their smallest sets, links of the other sets to these)."""
         order = np.lexsort((owner, sign))
         sign, owner = sign[order], owner[order]
         new = np.ones(len(sign), bool)
         new[1:] = sign[1:] != sign[:-1]
-        if want_links:
-            first = np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))
-            pairs = np.stack([owner, owner[first]])[:, ~new]
-            pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-        sign, owner = sign[new], owner[new]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(sign)), 0))
+        pairs = np.stack([owner, owner[first]])[:, ~new]
+        return sign[new], owner[new], np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+
+    def folded(signs: list, owners: list) -> pa.RecordBatch:
+        sign, owner, pairs = stars(np.concatenate(signs), np.concatenate(owners))
         shard = (sign % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        sign, owner = sign[order].astype("<u8"), owner[order].astype("<i8")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        parts = [(i, x, y) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-        return pa.RecordBatch.from_arrays([
-            pa.array([i for i, _, _ in parts], pa.int32()),
-            pa.array([sign[x:y].tobytes() for _, x, y in parts], pa.binary()),
-            pa.array([owner[x:y].tobytes() for _, x, y in parts], pa.binary())], names=["shard", "x", "y"])
-
-    def signed(want_links: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            levels = shared.value
-            for b in batches:
-                signs, owners, size = [], [], 0
-                seen: set[int] = set()
-                for _, _, buf, offs in text_chunks(b.column("text")):
-                    for s in sets_of(buf, offs, k):
-                        if len(s) and (number := identity(s)[0]) not in seen:
-                            seen.add(number)
-                            signs.append(signatures(s, percent, None if levels is None else levels.of(s)))
-                            owners.append(np.full(len(signs[-1]), number))
-                            size += len(signs[-1])
-                    if size > SIGNATURES:
-                        yield folded(signs, owners, want_links)
-                        signs, owners, size = [], [], 0
-                if signs:
-                    yield folded(signs, owners, want_links)
-        return run
+        sign, owner = sign[order].astype("<u8"), owner[order].astype("<i8")
+        rows = [(i, False, sign[x:y].tobytes(), owner[x:y].tobytes()) for i, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
+        if pairs.size:
+            rows.append((int(pairs[0, 0] % shards), True, pairs[0].astype("<i8").tobytes(), pairs[1].astype("<i8").tobytes()))
+        at, linked, x, y = zip(*rows) if rows else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(linked, pa.bool_()), pa.array(x, pa.binary()),
+                                           pa.array(y, pa.binary())], names=["shard", "linked", "x", "y"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        signs, owners, size = [], [], 0
+        for b in batches:
+            seen: set[int] = set()
+            for _, _, buf, offs in text_chunks(b.column("text")):
+                for s in sets_of(buf, offs, k):
+                    sign = signatures(s, percent, None if levels is None else levels.of(s)) if len(s) else s
+                    if len(sign) and (number := identity(s)[0]) not in seen:
+                        seen.add(number)
+                        signs.append(sign)
+                        owners.append(np.full(len(sign), number))
+                        size += len(sign)
+                if size > SIGNATURES:
+                    yield folded(signs, owners)
+                    signs, owners, size = [], [], 0
+        if signs:
+            yield folded(signs, owners)
 
     def star(table: pa.Table) -> pa.Table:
-        x, y = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in (("x", "<u8"), ("y", "<i8")))
-        order = np.lexsort((y, x))
-        x, y = x[order], y[order]
-        new = np.ones(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        pairs = np.stack([y, y[first]])[:, ~new]
-        pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+        linked = table.column("linked").combine_chunks()
+
+        def numbers(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(rows.column(column).to_pylist()), kind)
+
+        near, far = table.filter(linked), table.filter(pc.invert(linked))
+        _, _, pairs = stars(numbers(far, "x", "<u8"), numbers(far, "y", "<i8"))
+        pairs = np.unique(np.concatenate([pairs, np.stack([numbers(near, "x", "<i8"), numbers(near, "y", "<i8")])], axis=1), axis=1)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    texts = docs.select("text")
-    near = texts.mapInArrow(signed(True), "a long, b long")
-    signs = texts.mapInArrow(signed(False), "shard int, x binary, y binary")
-    far = signs.groupBy("shard").applyInArrow(star, "a long, b long")
-    return near.unionByName(far).distinct()
+    return (docs.select("text").mapInArrow(signed, "shard int, linked boolean, x binary, y binary")
+            .groupBy("shard").applyInArrow(star, "a long, b long").distinct())
 
 
 def _cut(members: DataFrame, block: int) -> DataFrame:
@@ -450,26 +419,18 @@ def _sets_in(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def linked_sets(docs: DataFrame, reps: DataFrame, guests: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, shingles: int = 0) -> DataFrame:
     """(rep, component): the representatives (``reps``: rep, number = sa) that are similar to
     another one, and the smallest representative they are connected to.  A representative's
-    text is that of its doc_id in ``docs`` or ``guests`` (doc_id, text)."""
-    clusters = components(candidate_links(docs, k, percent), "a", "b").toDF("number", "cluster")
-    # the only shuffle of all texts; those of clustered representatives are kept
+    text is that of its doc_id in ``docs`` or ``guests`` (doc_id, text).  ``shingles``: about how
+    many all texts have."""
+    clusters = components(candidate_links(docs, k, percent, common_shingles(docs, k, shingles)), "a", "b").toDF("number", "cluster")
+    # texts are looked up in place unless very many are in clusters; those of clustered representatives are kept
+    clusters = publish(clusters.join(reps, "number").select("cluster", "number", "rep"), "clusters")
     texts = docs.filter("doc_id is not null").select("doc_id", "text").unionByName(guests)
-    members = publish(clusters.join(reps, "number").join(texts, F.col("rep") == F.col("doc_id"))
+    members = publish(texts.join(bounded(clusters), F.col("rep") == F.col("doc_id"))
                       .select("cluster", "number", "rep", "text"), "cluster-members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    wide = publish(sizes.filter(F.col("size") > block).select("cluster"), "large-clusters")
-    parts = members
-    if wide.limit(1).count():
-        wide = bounded(wide)
-        # sets in a large cluster sign again, without the shingles that many of them share
-        crowd = members.join(wide, "cluster")
-        again = components(candidate_links(crowd, k, percent, common_shingles(crowd, k)), "a", "b").toDF("number", "sub")
-        parts = (members.join(wide, "cluster", "left_anti")
-                 .unionByName(crowd.drop("cluster").join(again, "number").withColumnRenamed("sub", "cluster")))
-    rows = publish(_cut(parts, block), "cluster-blocks")
+    rows = _cut(members, block)
 
     def join_block(table: pa.Table) -> pa.Table:
         sets, at = _sets_in(table, k)
@@ -566,8 +527,9 @@ def similar_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bl
     sets = (rows.filter("n > 0 and doc_id is not null").select("sa", "sb", "doc_id", F.lit(None).cast("long").alias("guest"))
             .unionByName(unnamed).groupBy("sa", "sb").agg(F.min("doc_id").alias("least"), F.min("guest").alias("guest")))
     sets = publish(sets.select("sa", "sb", "least", F.coalesce("least", "guest").alias("rep")), "distinct-sets")
+    shingles = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
     labels = linked_sets(docs.select("doc_id", "text"), sets.select("rep", F.col("sa").alias("number")), guests,
-                         k, percent, block).groupBy("rep").agg(F.min("label").alias("label"))
+                         k, percent, block, shingles).groupBy("rep").agg(F.min("label").alias("label"))
     groups = publish(sets.join(labels, "rep", "left").select("sa", "sb", "least", F.coalesce("label", "rep").alias("label")), "set-groups")
     # the label is the smallest id, except where a set without one takes part
     odd = groups.groupBy("label").agg(F.min("least").alias("id"), F.count("least").alias("named"), F.count("*").alias("all"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import components, curves, jaccard, substrings
+from tessera.llm.common import joined
 
 
 def repeats(rows, w=13):
@@ -162,6 +163,49 @@ def test_every_similar_pair_shares_a_signature():
                     assert len(np.intersect1d(jaccard.signatures(x, percent), jaccard.signatures(y, percent)))
 
 
+def test_similar_pairs_share_a_signature_in_any_order_of_shingles():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        for n in (1, 6, 20, 300):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            drop = n * (100 - percent) // 200
+            y = np.unique(np.concatenate([x[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(x, y)) < percent * len(np.union1d(x, y)):
+                continue
+            every = np.union1d(x, y)
+            for _ in range(5):
+                level = rng.integers(1, 4, len(every))
+                level[~np.isin(every, np.intersect1d(x, y))] = rng.integers(0, 2)  # 0: in one set only
+                sign = [jaccard.signatures(s, percent, level[np.searchsorted(every, s)]) for s in (x, y)]
+                assert len(np.intersect1d(*sign))
+                assert all((level[np.searchsorted(every, s)] > 0).all() for s in sign)
+
+
+def test_levels_count_the_texts_of_a_shingle(spark):
+    rows = [(" ".join(f"{g}{j}" for j in range(9)),) for g, n in (("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 130)) for _ in range(n)]
+    levels = jaccard.common_shingles(spark.createDataFrame(rows, "text string").repartition(3), 4)
+    at = {t[0][0]: set(levels.of(jaccard.sets_of(*joined([t[0].encode()]), 4)[0]).tolist()) for t in rows}
+    assert at == {"a": {0}, "b": {1}, "c": {1}, "d": {2}, "e": {4}}
+
+
+def test_texts_that_only_share_a_passage_are_not_gathered(spark, monkeypatch):
+    rng = random.Random(6)
+    line = [f"line{i}" for i in range(16)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(70)] + line)) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(10)]
+    kept, publish = {}, jaccard.publish
+
+    def counted(df, name):
+        out = publish(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "publish", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, jaccard.similar_groups(df).collect())) == brute_groups(rows, 4, 85)
+    assert kept["cluster-members"] == 20
+
+
 def test_one_of_each(spark, odd_docs):
     kept = jaccard.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
