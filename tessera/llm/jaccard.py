@@ -224,56 +224,66 @@ def ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(x) for x in np.split(rank[back], np.cumsum([len(s) for s in sets])[:-1])]
 
 
+class Holders:
+    """Which sets (as ranks) have a shingle: lists of set numbers, of the sets that can be found."""
+
+    def __init__(self, sets: list[np.ndarray], asks: list[bool] | None):
+        size = np.array([len(s) for s in sets], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        ranks, number = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+        order = np.argsort(ranks, kind="stable")  # in a list by number
+        self.asks = asks is not None
+        if self.asks:
+            order = order[~np.array(asks, bool)[number[order]]]
+        self.number = number[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(ranks[order], minlength=int(ranks.max()) + 1))])
+        self.place = np.empty(0 if self.asks else len(ranks), np.int64)
+        if not self.asks:
+            self.place[order] = np.arange(len(order))
+
+    def shared(self, i: int, s: np.ndarray, needed: int) -> np.ndarray | None:
+        """How many shingles set i shares with each of the others (without asking sets: of those before
+        it); None if it shares none of its first ``needed``."""
+        low = self.begin[s]
+        high = self.begin[s + 1] if self.asks else self.place[self.first[i]:self.first[i + 1]]
+        some = high > low
+        if not some[:needed].any():
+            return None
+        lists = [self.number[x:y] for x, y in zip(low[some].tolist(), high[some].tolist())]
+        return np.bincount(np.concatenate(lists))
+
+
 def link_all(sets: list[np.ndarray], labels: list, percent: int, asks: list[bool] | None = None) -> Groups:
     """Groups of similar sets; sets with one label are one group to begin with.  With
     ``asks``, only pairs of an asking and another set are looked for.
 
-    Sets come by size.  Two similar sets share one of their first
-    ``n - ceil(p / 100 * n) + 1`` shingles in the common order, so each set is led to those
-    before it (with ``asks``: to all that don't ask) by an index of these; of every group
-    among them, one similar set is looked for in the tree."""
+    Sets come by size.  Two similar sets share one of their first shingles (see
+    ``first_shingles``) in the common order; if a set shares one, what it shares with each of those
+    before it (with ``asks``: with all that don't ask) is counted along the lists of its
+    shingles, and of every other group with enough in common one set is looked for in the tree."""
     groups = Groups(labels)
+    if not sets:
+        return groups
     sets = ranked(sets)
-    tree = PrefixTree(percent)
-    index: dict[int, list[int]] = {}
-
-    def first(s: np.ndarray) -> list[int]:
-        return s[:first_shingles(len(s), percent)].tolist()
-
-    def enter(i: int) -> None:
-        tree.add(sets[i], i)
-        for x in first(sets[i]):
-            index.setdefault(x, []).append(i)
-
+    size = np.array([len(s) for s in sets], np.int64)
+    tree, holders = PrefixTree(percent), Holders(sets, asks)
     if asks is not None:
         for i in range(len(sets)):
             if not asks[i]:
-                enter(i)
+                tree.add(sets[i], i)
     for i, s in enumerate(sets):
         if asks is not None and not asks[i]:
             continue
         if groups.count == 1:
             break
-        near: dict[int, list[int]] = {}
-        own = groups.find(i)
-        known: set[int] = set()
-        for x in first(s):
-            for j in index.get(x, ()):
-                if j not in known:
-                    known.add(j)
-                    g = groups.find(j)
-                    if g != own:
-                        near.setdefault(g, []).append(j)
-        for members in near.values():
-            if groups.find(members[0]) == groups.find(i):
-                continue
-            found = tree.similar(s, members[:4])  # in a group of near copies the first will do
-            if found is None and len(members) > 4:
-                found = tree.similar(s, members[4:])
-            if found is not None:
-                groups.join(i, found)
+        overlap = holders.shared(i, s, first_shingles(len(s), percent))
+        if overlap is not None:
+            enough = (overlap > 0) & ((100 + percent) * overlap >= percent * (len(s) + size[:len(overlap)]))
+            for j in np.flatnonzero(enough).tolist():
+                if groups.find(j) != groups.find(i) and tree.similar(s, [j]) is not None:
+                    groups.join(i, j)
         if asks is None:
-            enter(i)
+            tree.add(s, i)
     return groups
 
 

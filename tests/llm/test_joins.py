@@ -206,6 +206,26 @@ def test_texts_that_only_share_a_passage_are_not_gathered(spark, monkeypatch):
     assert kept["cluster-members"] == 20
 
 
+def test_a_family_is_linked_in_few_walks_of_the_tree(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(base, len(base) - n, replace=False), rng.integers(0, 2**63, n, dtype=np.uint64)]))
+            for n in rng.integers(0, 40, 250)]
+    sets.sort(key=len)
+    walks, similar = [], jaccard.PrefixTree.similar
+    monkeypatch.setattr(jaccard.PrefixTree, "similar", lambda tree, s, wanted: walks.append(len(wanted)) or similar(tree, s, wanted))
+    alike = np.array([[100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y)) for y in sets] for x in sets])
+    for asks in (None, [i % 3 == 0 for i in range(250)]):
+        walks.clear()
+        groups = jaccard.link_all(sets, list(range(250)), 85, asks)
+        want = jaccard.Groups(list(range(250)))
+        for i, j in zip(*np.nonzero(alike)):
+            if asks is None or asks[i] != asks[j]:
+                want.join(int(i), int(j))
+        assert [groups.find(i) for i in range(250)] == [want.find(i) for i in range(250)]
+        assert 1 < groups.count < 250 and sum(walks) <= 250
+
+
 def test_one_of_each(spark, odd_docs):
     kept = jaccard.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
